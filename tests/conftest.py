@@ -1,0 +1,30 @@
+import os
+import sys
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
+
+from tidemark.plans.store import TierStore  # noqa: E402
+from tidemark.session import build_session, scratch  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = build_session(4, app="tidemark-tests", memory="4g")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def store(spark):
+    return TierStore(spark, scratch(spark, "test-store"))
+
+
+@pytest.fixture(scope="session")
+def sf():
+    return SF

@@ -1,0 +1,131 @@
+"""Column expressions against the fixture log and the type table."""
+
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions import statements as S
+from tidemark.functions.times import iso_text, local_to_utc
+from tidemark.functions.types import SOURCE_TYPES, spark_type, spark_type_column, table_schema
+from tidemark.plans.workload import (
+    profile,
+    replay,
+    top_statements,
+    unseen,
+    validate_batch,
+)
+
+LOG = [
+    (1, "SELECT SUM(x) FROM order_line WHERE a = $1 AND b = $2", 10),
+    (2, "  update customer set c=1", 20),
+    (3, "SELECT * FROM oorder o JOIN customer c ON 1=1", 5),
+    (4, "WITH t AS (SELECT 1) SELECT * FROM t", 7),
+    (5, "SELECT a FROM stock FOR UPDATE", 9),
+    (6, "SET search_path = x", 99),
+    (7, "INSERT INTO a SELECT b FROM c GROUP BY b", 1),
+    (8, "\n\tselect 1 from pg_catalog.pg_class", 3),
+    (9, "", 0),
+]
+
+
+@pytest.fixture
+def log(spark):
+    return spark.createDataFrame(LOG, "id int, query string, calls long")
+
+
+def test_profile(log):
+    got = {r.id: r for r in profile(log).collect()}
+    assert [got[i]["class"] for i in range(1, 10)] == [
+        "OLAP", "OLTP", "OLAP", "UNKNOWN", "OLAP", "UNKNOWN", "OLTP", "OLAP", "UNKNOWN"]
+    assert [got[i].tables for i in range(1, 8)] == [
+        ["order_line"], [], ["customer", "oorder"], ["t"], ["stock"], [], ["c"]]
+    assert [got[i].params for i in range(1, 10)] == [2, 0, 0, 0, 0, 0, 0, 0, 0]
+    assert got[1].normalized == "SELECT SUM(x) FROM order_line WHERE a = ? AND b = ?"
+    assert got[2].normalized == "update customer set c=1"
+    assert [got[i].route for i in range(1, 10)] == [
+        "hybrid", "hot", "hybrid", "none", "hot", "none", "hot", "hybrid", "none"]
+
+
+def test_workload_filter(log):
+    kept = {r.id for r in log.where(S.is_workload(F.col("query"))).collect()}
+    assert kept == {1, 2, 3, 4, 5, 7, 9}
+
+
+def test_dummy_arguments(log):
+    got = {r.id: r.a for r in log.select("id", S.dummy_arguments(F.col("query")).alias("a"))
+           .collect()}
+    assert got[1] == [1, 1] and got[2] == []
+
+
+def test_top_keeps_the_most_called_that_mention_a_table(log):
+    assert [r.calls for r in top_statements(log).collect()] == [20, 10, 5]
+    assert [r.calls for r in top_statements(log, 1).collect()] == [20]
+
+
+def test_unseen(log):
+    assert {r["query"] for r in unseen(log, log.where("id > 2")).collect()} == {
+        LOG[0][1], LOG[1][1]}
+
+
+def test_replay_runs_reads_and_reports_failures(spark):
+    spark.range(10).selectExpr("id AS c_id").createOrReplaceTempView("customer")
+    log = spark.createDataFrame([
+        ("SELECT c_id FROM customer WHERE c_id > $1 ORDER BY c_id", 3),
+        ("UPDATE customer SET c_id = 1", 2), ("SELECT * FROM customer_absent", 1)],
+        "query string, calls long")
+    report = replay(spark, top_statements(log))
+    assert [r["rows"] for r in report] == [8, None, None]
+    assert report[1]["route"] == "hot" and report[1]["error"] is None
+    assert "customer_absent" in report[2]["error"]
+
+
+@pytest.mark.parametrize("batch", [None, {}, ["SELECT 1"], [["SELECT 1"]], [[1, []]],
+                                   [["SELECT 1", "x"]], [["SELECT 1", [], 3]]])
+def test_malformed_batches(batch):
+    with pytest.raises(ValueError):
+        validate_batch(batch)
+
+
+def test_batch_shape():
+    assert validate_batch([["SELECT ?", [1]], ("SELECT 2", [])]) == [
+        ("SELECT ?", [1]), ("SELECT 2", [])]
+
+
+TYPES = {
+    **SOURCE_TYPES, "NUMERIC": "decimal(18,4)", "numeric(12,2)": "decimal(12,2)",
+    "Decimal( 4 , 4 )": "decimal(4,4)", "numeric(7)": "decimal(7,0)",
+    "character varying(20)": "string", "TIMESTAMP(6) WITHOUT TIME ZONE": "timestamp_ntz",
+    "timestamp (3) with time zone": "timestamp", "tsvector": "string", "": "string",
+}
+
+
+def test_type_mapping_in_both_forms(spark):
+    df = spark.createDataFrame([(t,) for t in TYPES], "t string")
+    got = {r.t: r.m for r in df.select("t", spark_type_column(F.col("t")).alias("m")).collect()}
+    assert got == TYPES
+    assert {t: spark_type(t) for t in TYPES} == TYPES
+
+
+def test_table_schema(spark):
+    schema = table_schema([("a", "smallint"), ("b", "numeric(4,4)"), ("c", "bytea")])
+    assert schema.simpleString() == "struct<a:smallint,b:decimal(4,4),c:binary>"
+
+
+def test_times(spark):
+    df = spark.createDataFrame([(datetime(2024, 1, 1, 9, 0, 0),)], "ts timestamp_ntz")
+    row = df.select(local_to_utc(F.col("ts"), "Asia/Seoul").alias("u"),
+                    iso_text(F.col("ts")).alias("t")).first()
+    assert row.u == datetime(2024, 1, 1) and row.t == "2024-01-01 09:00:00.000000"
+
+
+def test_clock_expressions(spark):
+    row = spark.sql("SELECT current_date() AS d, current_timestamp() AS t").first()
+    assert row.t.date() == row.d
+
+
+def test_arguments_are_bound_not_pasted(spark):
+    spark.createDataFrame([("it's",), ("x",)], "s string").createOrReplaceTempView("strings")
+    assert spark.sql("SELECT * FROM strings WHERE s = ?", args=["it's"]).count() == 1
+    with pytest.raises(Exception):
+        spark.sql("SELECT * FROM strings WHERE s = ? AND s = ?", args=["x"]).count()

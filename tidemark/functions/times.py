@@ -53,6 +53,15 @@ def in_window(ts: Column, last: datetime, until: datetime, zone: str | None = No
     return after(ts, last, zone) & up_to(ts, until, zone)
 
 
+def outside_window(ts: Column, last: datetime, until: datetime, zone: str | None = None) -> Column:
+    """Every row that :func:`in_window` leaves, a missing time included, as a plain disjunction."""
+    if zone is None:
+        return ts.isNull() | (ts <= ntz(last)) | (ts > ntz(until))
+    instant = local_to_utc(ts, zone)
+    return ((ts.isNull() | (ts <= ntz(last + _SLACK)) | (ts > ntz(until - _SLACK)))
+            & (ts.isNull() | (instant <= ntz(last)) | (instant > ntz(until))))
+
+
 def iso_text(ts: Column) -> Column:
     """ISO datetime text, always with six fractional digits."""
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")

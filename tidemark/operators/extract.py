@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.times import EPOCH, after, in_window, local_to_utc, ntz
+from tidemark.functions.times import EPOCH, after, in_window, local_to_utc, ntz, outside_window
 from tidemark.operators.keyed import keyed_upsert
 
 # The categories a policy may have.
@@ -88,10 +88,16 @@ def with_watermark(policies: DataFrame, watermarks: DataFrame) -> DataFrame:
 
 
 def settled(policy: TablePolicy, last: datetime, until: datetime):
-    """The row condition of a policy that looks at its own timestamp only."""
-    ts = F.col(policy.ts_column)
-    window = in_window(ts, last, until, policy.zone)
-    return ts.isNotNull() & window if policy.category == "update_once" else window
+    """The row condition of a policy that looks at its own timestamp only.
+
+    An ``update_once`` row without its timestamp has not had its update yet: no window holds it.
+    """
+    return in_window(F.col(policy.ts_column), last, until, policy.zone)
+
+
+def unsettled(policy: TablePolicy, last: datetime, until: datetime):
+    """The rows that :func:`settled` leaves."""
+    return outside_window(F.col(policy.ts_column), last, until, policy.zone)
 
 
 def closed_parents(policy: TablePolicy, parent: DataFrame, child: DataFrame, last: datetime,

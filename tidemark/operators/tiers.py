@@ -15,9 +15,12 @@ def as_column(predicate: Column | str) -> Column:
 
 
 def split_tiers(df: DataFrame, cold: Column | str) -> tuple[DataFrame, DataFrame]:
-    """``(hot, cold)``: rows for which the predicate is not true, NULL included, stay hot."""
+    """``(hot, cold)``: rows for which the predicate is not true, NULL included, stay hot.
+
+    The complement is written so that the scan can prune by it, as ``coalesce`` could not.
+    """
     condition = as_column(cold)
-    return df.where(~F.coalesce(condition, F.lit(False))), df.where(condition)
+    return df.where(~condition | condition.isNull()), df.where(condition)
 
 
 def hybrid(hot: DataFrame, cold: DataFrame | None = None, committed: int | None = None,

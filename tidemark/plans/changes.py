@@ -23,10 +23,11 @@ def apply_batch(store: TierStore, name: str, changes: DataFrame, keys: Sequence[
     """Apply row changes to the hot table and publish the result as its next version.
 
     ``changes`` has the columns of the table, ``op``, and the ``order`` columns; of several
-    changes to one key the last by ``order`` counts. The next version is written once, parted by
-    what became of each row, so the affected rows are counted from file metadata. An unknown
-    operation, a NULL key or an insert onto an existing key refuses the whole batch before the
-    commit, and the earlier version stays the published one.
+    changes to one key the last by ``order`` counts, and without ``order`` there may be only one.
+    The next version is written once, with a mark of what became of each row; the affected rows
+    are counted from that column alone. An unknown operation, a NULL or repeated key, or an
+    insert onto an existing key refuses the whole batch before the commit, and the earlier
+    version stays the published one.
     """
     last_batch, states = store.state()
     batch, state = last_batch + 1, states[name]
@@ -38,11 +39,12 @@ def apply_batch(store: TierStore, name: str, changes: DataFrame, keys: Sequence[
         raise ChangeError("unknown operation or missing key")
     if order:
         changes = latest_by_key(changes, list(keys), list(order))
-    images = change_images(store.hot(name, last_batch), changes.select(*columns, "op"), keys)
-    path = store.hot_path(name, batch)
-    images.write.mode("overwrite").partitionBy(CHANGE).parquet(path)
+    elif not changes.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ChangeError("several changes to one key, and no order between them")
+    images = change_images(store.hot_version(state), changes.select(*columns, "op"), keys)
+    store.write_hot(name, images, batch)
 
-    staged = store.spark.read.schema(images.schema).parquet(path)
+    staged = store.spark.read.schema(images.schema).parquet(store.hot_path(name, batch))
     counts = {r[CHANGE]: r["count"] for r in staged.groupBy(CHANGE).count().collect()}
     if counts.get("conflict"):
         raise ChangeError(f"{counts['conflict']} inserts onto existing keys")

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import EPOCH, cutoff
-from tidemark.operators.extract import CATEGORIES, TablePolicy, extract, settled
+from tidemark.operators.extract import CATEGORIES, TablePolicy, extract, unsettled
 from tidemark.operators.keyed import delete_using, key_rows
-from tidemark.operators.tiers import BATCH, as_column, split_tiers
-from tidemark.plans.store import TierStore
+from tidemark.operators.tiers import as_column, hybrid, split_tiers
+from tidemark.plans.store import TableState, TierStore
+from tidemark.session import in_parallel
 from tidemark.sources.jdbc import JdbcHot
 
 
@@ -40,28 +40,26 @@ def run_batch(store: TierStore, policies: Sequence[TablePolicy], as_of: datetime
         else:
             work.append(policy)
 
-    for policy in work:
-        state = states[policy.relname]
-        child = store.hot(policy.close_by.child, last_batch) if policy.close_by else None
-        moved = extract(policy, store.hot(policy.relname, last_batch), state.last_ts, until, child)
-        store.write_cold(policy.relname, moved, batch)
-
-    done = []
-    for policy in work:
-        state = states[policy.relname]
-        rows = store.cold_batch(policy.relname, batch, state.struct)
-        moved = rows.count()
+    hot = {name: store.hot_version(states[name]) for name in
+           {p.relname for p in work} | {p.close_by.child for p in work if p.close_by}}
+
+    def move(policy: TablePolicy) -> TableState:
+        name, state = policy.relname, states[policy.relname]
+        child = hot[policy.close_by.child] if policy.close_by else None
+        rows = extract(policy, hot[name], state.last_ts, until, child)
+        store.write_cold(name, rows, batch, rebalance=True)
+        written = store.cold_batch(name, batch, state.struct)
+        moved = written.count()
         if moved:
-            hot = store.hot(policy.relname, last_batch)
-            store.write_hot(policy.relname, _remaining(policy, hot, rows, state.last_ts, until),
-                            batch)
-        done.append(replace(state, last_ts=max(until, state.last_ts), moved=moved,
-                            hot_version=batch if moved else state.hot_version,
-                            has_cold=state.has_cold or moved > 0))
-        report.append({"relname": policy.relname, "moved": moved, "skipped": None})
+            rest = _remaining(policy, hot[name], written, state.last_ts, until)
+            store.write_hot(name, rest, batch)
+        return state.after_batch(batch, moved, last_ts=max(until, state.last_ts),
+                                 hot_version=batch if moved else state.hot_version)
+
+    done = in_parallel(store.spark, [lambda p=p: move(p) for p in work])
     if done:
         store.commit(batch, done)
-    return report
+    return report + [{"relname": s.relname, "moved": s.moved, "skipped": None} for s in done]
 
 
 def _skip_reason(policy: TablePolicy, states: dict) -> str | None:
@@ -79,7 +77,7 @@ def _skip_reason(policy: TablePolicy, states: dict) -> str | None:
 def _remaining(policy: TablePolicy, hot: DataFrame, moved: DataFrame, last: datetime,
                until: datetime) -> DataFrame:
     if policy.close_by is None:
-        return split_tiers(hot, settled(policy, last, until))[0]
+        return hot.where(unsettled(policy, last, until))
     return delete_using(hot, key_rows(moved, policy.pk_columns), policy.pk_columns)
 
 
@@ -107,23 +105,27 @@ def move_by_predicate(store: TierStore, predicates: dict[str, Column | str]) ->
     A failing table does not hold up the others: its entry in the report is the error.
     """
     last_batch, states = store.state()
-    batch, done, report = last_batch + 1, [], {}
-    for name, predicate in predicates.items():
+    batch = last_batch + 1
+
+    def move(name: str, predicate: Column | str) -> TableState | Exception:
         try:
             state = states[name]
-            stay, move = split_tiers(store.hot(name, last_batch), as_column(predicate))
-            store.write_cold(name, move, batch)
+            stay, go = split_tiers(store.hot_version(state), as_column(predicate))
+            store.write_cold(name, go, batch)
             moved = store.cold_batch(name, batch, state.struct).count()
             if moved:
                 store.write_hot(name, stay, batch)
-            done.append(replace(state, moved=moved, has_cold=state.has_cold or moved > 0,
-                                hot_version=batch if moved else state.hot_version))
-            report[name] = moved
+            return state.after_batch(batch, moved,
+                                     hot_version=batch if moved else state.hot_version)
         except Exception as error:  # noqa: BLE001 - reported per table
-            report[name] = error
+            return error
+
+    results = dict(zip(predicates, in_parallel(store.spark, [
+        lambda n=name, p=predicate: move(n, p) for name, predicate in predicates.items()])))
+    done = [r for r in results.values() if isinstance(r, TableState)]
     if done:
         store.commit(batch, done)
-    return report
+    return {n: r.moved if isinstance(r, TableState) else r for n, r in results.items()}
 
 
 def tier_counts(store: TierStore, names: Sequence[str]) -> DataFrame:
@@ -219,14 +221,9 @@ def _advance(tx, relname: str, mark: datetime, batch: int) -> None:
 
 def jdbc_hybrid(hot: JdbcHot, cold_table: DataFrame | None, name: str, keys: Sequence[str]):
     """The table over a live database and the cold tier, right at every step of a batch."""
-    from tidemark.operators.tiers import hybrid
-
     live = _zoneless(hot.table(name))
     if cold_table is None:
         return live
     done = jdbc_watermarks(hot).get(name, (EPOCH, -1))[1]
     return hybrid(live, cold_table, committed=done, keys=keys)
 
-
-__all__ = ["BATCH", "jdbc_hybrid", "jdbc_watermarks", "move_by_predicate", "run_batch", "run_for",
-           "run_jdbc_batch", "run_rounds", "tier_counts"]

@@ -8,7 +8,9 @@ Layout under one folder::
 
 A batch writes its cold partitions and next hot versions, then its commit. Until then readers
 use the earlier commit, so a row is never seen twice nor missed, and a retry of the same batch
-overwrites what a failed attempt left behind.
+overwrites what a failed attempt left behind. For each table a commit names the hot version and
+the cold batches that count, as ranges: what a failed attempt left for a table that the next
+attempt does not touch stays invisible. A store has one writer at a time.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import types as T
 from tidemark.functions.times import EPOCH
 from tidemark.operators.keyed import CHANGE
 from tidemark.operators.tiers import BATCH, hybrid
+from tidemark.session import in_parallel
 from tidemark.sources.files import file_stats, try_read
 
 COMMIT_SCHEMA = T.StructType([
@@ -31,7 +34,7 @@ COMMIT_SCHEMA = T.StructType([
     T.StructField("last_ts", T.TimestampNTZType()),
     T.StructField("hot_version", T.LongType()),
     T.StructField("moved", T.LongType()),
-    T.StructField("has_cold", T.BooleanType()),
+    T.StructField("cold", T.ArrayType(T.ArrayType(T.LongType()))),
     T.StructField("schema", T.StringType()),
 ])
 
@@ -44,13 +47,22 @@ class TableState:
     last_ts: datetime
     hot_version: int
     moved: int
-    has_cold: bool
+    cold: tuple[tuple[int, int], ...]  # ranges of cold batches, first and last
     schema: str
 
     @property
     def struct(self) -> T.StructType:
         return T.StructType.fromJson(json.loads(self.schema))
 
+    def after_batch(self, batch: int, moved: int, **changes) -> TableState:
+        """The state once ``batch`` has written its cold partition."""
+        cold = self.cold
+        if cold and cold[-1][1] == batch - 1:
+            cold = cold[:-1] + ((cold[-1][0], batch),)
+        elif moved:
+            cold += ((batch, batch),)
+        return replace(self, moved=moved, cold=cold, **changes)
+
 
 class TierStore:
     def __init__(self, spark: SparkSession, root: str):
@@ -73,13 +85,22 @@ class TierStore:
         latest = log.groupBy("relname").agg(
             F.max(F.struct("batch_id", *names)).alias("s")).select("relname", "s.*").collect()
         last = max((r.batch_id for r in latest), default=-1)
-        return last, {r.relname: TableState(r.relname, *[r[n] for n in names]) for r in latest}
+        states = {}
+        for r in latest:
+            values = {n: r[n] for n in names} | {"cold": tuple(tuple(c) for c in r.cold)}
+            states[r.relname] = TableState(relname=r.relname, **values)
+        return last, states
 
     def commit(self, batch: int, states: list[TableState]) -> None:
-        """Publish a batch: one file, which must not exist yet."""
-        rows = [tuple(getattr(s, n) for n in COMMIT_SCHEMA.fieldNames()) for s in states]
+        """Publish a batch: one file. A batch that is already published is refused; the remains
+        of a commit that failed half-way are overwritten."""
+        log = self.log()
+        if log is not None and not log.where(F.col("batch_id") == batch).isEmpty():
+            raise RuntimeError(f"batch {batch} of {self.root} is already published")
+        rows = [(s.relname, s.last_ts, s.hot_version, s.moved, [list(c) for c in s.cold], s.schema)
+                for s in states]
         self.spark.createDataFrame(rows, COMMIT_SCHEMA).coalesce(1).write.mode(
-            "errorifexists").parquet(f"{self.root}/commits/batch_id={batch}")
+            "overwrite").parquet(f"{self.root}/commits/batch_id={batch}")
 
     def watermarks(self) -> DataFrame:
         """``(relname, last_ts)`` of every table, as a DataFrame."""
@@ -95,23 +116,31 @@ class TierStore:
     def load_tiers(self, tables: dict[str, tuple[DataFrame, DataFrame | None]]) -> int:
         """Publish new tables from ``(hot, cold)`` pairs; ``cold=None`` for hot alone."""
         batch = self.state()[0] + 1
-        states = []
-        for name, (hot, cold) in tables.items():
+
+        def write(name: str, hot: DataFrame, cold: DataFrame | None) -> TableState:
             self.write_hot(name, hot, batch)
-            moved = 0
-            if cold is not None:
-                self.write_cold(name, cold, batch)
-                moved = self.cold_batch(name, batch, hot.schema).count()
-            states.append(TableState(name, EPOCH, batch, moved, cold is not None,
-                                     hot.schema.json()))
-        self.commit(batch, states)
+            state = TableState(name, EPOCH, batch, 0, (), hot.schema.json())
+            if cold is None:
+                return state
+            self.write_cold(name, cold, batch)
+            return state.after_batch(batch, self.cold_batch(name, batch, hot.schema).count())
+
+        self.commit(batch, in_parallel(self.spark, [
+            lambda n=name, t=tiers: write(n, *t) for name, tiers in tables.items()]))
         return batch
 
     def write_hot(self, name: str, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(self.hot_path(name, version))
 
-    def write_cold(self, name: str, df: DataFrame, batch: int) -> None:
-        """Write one batch partition; a retry replaces it. No repartitioning, no single task."""
+    def write_cold(self, name: str, df: DataFrame, batch: int, rebalance: bool = False) -> None:
+        """Write one batch partition; a retry replaces it.
+
+        ``rebalance`` is for a small share of a large hot table, which would else leave one tiny
+        file per scan task: its rows are spread evenly over as few files as their size needs. A
+        bulk move keeps the tasks of its scan and exchanges nothing.
+        """
+        if rebalance:
+            df = df.hint("rebalance")
         df.write.mode("overwrite").parquet(f"{self.cold_path(name)}/{BATCH}={batch}")
 
     def hot_path(self, name: str, version: int) -> str:
@@ -123,22 +152,19 @@ class TierStore:
     # Reading
 
     def hot(self, name: str, as_of: int | None = None) -> DataFrame:
-        return self._hot(self._table(name, as_of)[1])
+        return self.hot_version(self._table(name, as_of)[1])
 
     def cold(self, name: str, as_of: int | None = None) -> DataFrame | None:
         """Committed cold rows with their ``_batch_id``; None if nothing was ever moved."""
-        batch, state = self._table(name, as_of)
-        return self._cold(state).where(F.col(BATCH) <= batch) if state.has_cold else None
+        return self.cold_rows(self._table(name, as_of)[1])
 
     def read(self, name: str, as_of: int | None = None) -> DataFrame:
         """The table as of a commit, the last one by default: hot version and cold batches."""
-        batch, state = self._table(name, as_of)
-        return self._read(batch, state)
+        return self._read(self._table(name, as_of)[1])
 
     def tables(self, as_of: int | None = None) -> dict[str, DataFrame]:
         """Every table of the store, as of one commit: one look at the log for all."""
-        batch, states = self.state(as_of)
-        return {name: self._read(batch, s) for name, s in states.items()}
+        return {name: self._read(s) for name, s in self.state(as_of)[1].items()}
 
     def cold_batch(self, name: str, batch: int, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.cold_path(name)}/{BATCH}={batch}")
@@ -159,19 +185,25 @@ class TierStore:
             raise KeyError(f"no table {name!r} in {self.root}")
         return batch, states[name]
 
-    def _hot(self, state: TableState) -> DataFrame:
+    def hot_version(self, state: TableState) -> DataFrame:
+        """The hot rows a state names; rows that a change batch deleted are marked, not kept."""
         path = self.hot_path(state.relname, state.hot_version)
         schema = T.StructType(state.struct.fields + [T.StructField(CHANGE, T.StringType())])
         df = self.spark.read.schema(schema).parquet(path)
         return df.where(F.col(CHANGE).isNull() | (F.col(CHANGE) != "delete")).drop(CHANGE)
 
-    def _cold(self, state: TableState) -> DataFrame:
+    def cold_rows(self, state: TableState) -> DataFrame | None:
+        """The cold batches a state names: a filter on partitions alone."""
+        if not state.cold:
+            return None
         schema = T.StructType(state.struct.fields + [T.StructField(BATCH, T.LongType())])
-        return self.spark.read.schema(schema).parquet(self.cold_path(state.relname))
+        counts = F.lit(False)
+        for first, last in state.cold:
+            counts = counts | F.col(BATCH).between(first, last)
+        return self.spark.read.schema(schema).parquet(self.cold_path(state.relname)).where(counts)
 
-    def _read(self, batch: int, state: TableState) -> DataFrame:
-        cold = self._cold(state) if state.has_cold else None
-        return hybrid(self._hot(state), cold, committed=batch)
+    def _read(self, state: TableState) -> DataFrame:
+        return hybrid(self.hot_version(state), self.cold_rows(state))
 
     def add_column(self, name: str, column: str, ddl_type: str) -> int:
         """A new last column; rows written earlier read NULL. Nothing is rewritten."""
@@ -187,5 +219,5 @@ class TierStore:
         columns = state.struct.fieldNames()
         self.write_cold(name, df.select(*columns), batch)
         moved = self.cold_batch(name, batch, state.struct).count()
-        self.commit(batch, [replace(state, moved=moved, has_cold=True)])
+        self.commit(batch, [state.after_batch(batch, moved)])
         return batch

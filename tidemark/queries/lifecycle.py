@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.times import iso_text
+from tidemark.operators.tiers import BATCH
 from tidemark.functions.types import spark_type_column, table_schema
 from tidemark.queries.staging import (
     ANALYTIC_TABLES,
@@ -49,11 +50,12 @@ def cold_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parquet_paths_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An explicit list of data files of one cold batch."""
+    """An explicit list of paths: those of the cold batches the commit log names."""
     store = analytic_store(spark, sf_dir)
-    cold = store.cold("lineitem")
-    files = cold.inputFiles()
-    rows = read_paths(spark, files, cold.schema, store.cold_path("lineitem"))
+    batches = [r.batch_id for r in store.snapshots("lineitem").where("moved > 0").collect()]
+    base = store.cold_path("lineitem")
+    rows = read_paths(spark, [f"{base}/{BATCH}={b}" for b in batches],
+                      store.cold("lineitem").schema, base)
     return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"),
                                             money("l_extendedprice", "total"))
 

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.times import EPOCH, cutoff, in_window, iso_text, ntz
+from tidemark.functions.times import EPOCH, cutoff, in_window, iso_text
 from tidemark.operators.extract import (
     TPCC_POLICIES,
     CloseBy,
@@ -22,14 +22,13 @@ from tidemark.operators.extract import (
 )
 from tidemark.operators.keyed import delete_using, key_rows, keyed_upsert, orphans
 from tidemark.operators.tiers import BATCH
-from tidemark.plans.migrate import move_by_predicate, run_batch, run_rounds, tier_counts
+from tidemark.plans.migrate import move_by_predicate, run_batch, tier_counts
 from tidemark.queries.staging import (
     MOVED_SQL,
     ROUNDS,
     TPCC_MOVED,
     TPCC_SQL,
     analytic_store,
-    fresh,
     given,
     money,
     staged,

@@ -5,9 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
+T = TypeVar("T")
+
 _LOCAL_SHARED: dict[str, str] = {}
 
 
@@ -53,3 +59,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     if path.startswith("/"):
         os.makedirs(os.path.dirname(path), exist_ok=True)
     return path
+
+
+def in_parallel(spark: SparkSession, jobs: Sequence[Callable[[], T]], at_most: int = 8) -> list[T]:
+    """Run independent jobs side by side, so that one table's last tasks do not idle the rest.
+
+    Each job is an action on the executors; the threads only wait. The first error is raised.
+    """
+    if len(jobs) < 2:
+        return [job() for job in jobs]
+    with ThreadPoolExecutor(min(at_most, len(jobs))) as pool:
+        return list(pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs))

@@ -61,20 +61,37 @@ def poll_records(df: DataFrame, topic: str, key: str, at: datetime) -> DataFrame
     )
 
 
-def parse_records(records: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """``(rows, rejects)``: decoded values, and the records that do not fit the schema.
+def decode(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """Records with their decoded value in ``_row``, for :func:`rows_of` and :func:`rejects_of`.
 
-    Columns of the record other than ``key`` and ``value`` are kept beside the decoded ones in
-    ``rows`` under a ``record_`` prefix.
+    The value passes through a generator of one row, because a filter on a plain expression
+    would be merged with it and parse every record again.
     """
-    text = F.col("value").cast("string")
     wide = T.StructType(schema.fields + [T.StructField(_CORRUPT, T.StringType())])
     options = dict(JSON_OPTIONS, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT)
-    parsed = records.withColumn("_row", F.from_json(text, wide, options))
-    good = F.col("_row").isNotNull() & F.col(f"_row.{_CORRUPT}").isNull()
-    rest = [c for c in records.columns if c not in ("key", "value")]
-    rows = parsed.where(good).select(
+    parsed = F.from_json(F.col("value").cast("string"), wide, options)
+    return records.select("*", F.explode(F.array(parsed)).alias("_row"))
+
+
+def _fits():
+    return F.col("_row").isNotNull() & F.col(f"_row.{_CORRUPT}").isNull()
+
+
+def rows_of(decoded: DataFrame, schema: T.StructType) -> DataFrame:
+    """Decoded values; other record columns stay beside them under a ``record_`` prefix."""
+    rest = [c for c in decoded.columns if c not in ("key", "value", "_row")]
+    return decoded.where(_fits()).select(
         *[F.col(f"_row.{f.name}").alias(f.name) for f in schema.fields],
         *[F.col(c).alias(f"record_{c}") for c in rest])
-    rejects = parsed.where(~good).select(text.alias("value"), *rest)
-    return rows, rejects
+
+
+def rejects_of(decoded: DataFrame) -> DataFrame:
+    """Records that do not fit the schema, as text."""
+    rest = [c for c in decoded.columns if c not in ("key", "value", "_row")]
+    return decoded.where(~_fits()).select(F.col("value").cast("string").alias("value"), *rest)
+
+
+def parse_records(records: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """``(rows, rejects)`` of one record schema."""
+    decoded = decode(records, schema)
+    return rows_of(decoded, schema), rejects_of(decoded)

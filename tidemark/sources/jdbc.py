@@ -19,7 +19,8 @@ class JdbcHot:
                  **properties: str):
         self.spark, self.url, self.driver = spark, url, driver
         self.properties = properties
-        self.options = {"url": url, "driver": driver, "fetchsize": str(fetch_size), **properties}
+        self.options = {"url": url, "driver": driver, "fetchsize": str(fetch_size),
+                        "preferTimestampNTZ": "true", **properties}
 
     # Reading
 

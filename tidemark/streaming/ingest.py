@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.plans.store import TierStore
-from tidemark.sources.feed import parse_records
+from tidemark.plans.store import TableState, TierStore
+from tidemark.session import in_parallel
+from tidemark.sources.feed import decode, rejects_of, rows_of
 
 REJECTS = "rejects"
 RECORD_TIME = "record_timestamp"
@@ -58,27 +59,29 @@ def ingest(stream: DataFrame, store: TierStore, routes: Sequence[Route], checkpo
         batch = epoch + 1
         if batch <= last:
             return
-        several = len(routes) > 1
-        if several:
-            records = records.persist()
+        records = records.select("value", "topic", "timestamp")
         topics = [r.topic for r in routes]
         rejects = records.where(~F.coalesce(F.col("topic").isin(*topics), F.lit(False))).select(
             F.col("value").cast("string").alias("value"), "topic", "timestamp")
-        written = {}
+        written, cached = {}, []
         for route in routes:
-            rows, bad = parse_records(records.where(F.col("topic") == route.topic), route.schema)
-            written[route.table] = rows.drop("record_topic")
-            rejects = rejects.unionByName(bad)
-        written[REJECTS] = rejects
-        done = []
-        for name, rows in written.items():
-            store.write_cold(name, rows, batch)
+            # Rows and rejects are two writes of one parse; the micro-batch bounds what is kept.
+            decoded = decode(records.where(F.col("topic") == route.topic), route.schema).persist()
+            cached.append(decoded)
+            written[route.table] = rows_of(decoded, route.schema).drop("record_topic")
+            rejects = rejects.unionByName(rejects_of(decoded))
+
+        def save(name: str, rows: DataFrame) -> TableState:
+            store.write_cold(name, rows, batch, rebalance=True)
             count = store.cold_batch(name, batch, schemas[name]).count()
-            done.append(replace(states[name], moved=count,
-                                has_cold=states[name].has_cold or count > 0))
+            return states[name].after_batch(batch, count)
+
+        done = in_parallel(store.spark, [
+            lambda n=name, r=rows: save(n, r) for name, rows in written.items()])
+        done.append(save(REJECTS, rejects))
         store.commit(batch, done)
-        if several:
-            records.unpersist()
+        for decoded in cached:
+            decoded.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
