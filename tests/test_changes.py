@@ -40,6 +40,34 @@ def test_last_change_to_a_key_counts(spark, loaded):
     assert [k for k, _ in content(loaded)] == [2, 3]
 
 
+I, U, D = "insert", "update", "delete"
+
+
+@pytest.mark.parametrize("key", [1, 50])
+@pytest.mark.parametrize("ops", [(U, D), (D, I), (D, U), (I, U), (I, D), (D, I, U), (D, I, D),
+                                 (U, D, I), (I, U, D, I, U), (U, U)])
+def test_changes_to_a_key_take_effect_in_order(spark, loaded, key, ops):
+    """Against the same operations one by one, for a key that exists and one that does not."""
+    rows = dict(content(loaded))
+    if ops[0] == I and key in rows or ops[:2] == (U, I):
+        return
+    for i, op in enumerate(ops):
+        if op == D:
+            rows.pop(key, None)
+        elif op == I or key in rows:
+            rows[key] = f"v{i}"
+    apply_batch(loaded, "t", changes(
+        spark, [(key, f"v{i}", op, i) for i, op in enumerate(ops)]), ["k"], ["seq"])
+    assert content(loaded) == sorted(rows.items())
+
+
+def test_order_may_be_a_column_of_the_table(spark, store):
+    store.load({"t": spark.createDataFrame([(1, 0)], "k int, at int")})
+    apply_batch(store, "t", spark.createDataFrame(
+        [(1, 5, U), (1, 3, U)], "k int, at int, op string"), ["k"], ["at"])
+    assert [tuple(r) for r in store.read("t").collect()] == [(1, 5)]
+
+
 @pytest.mark.parametrize("rows", [
     [(1, "x", "insert", 1)], [(1, "x", "replace", 1)], [(None, "x", "insert", 1)],
     [(1, "x", None, 1)], [(2, "x", "update", 1), (2, "y", "update", 2)]])

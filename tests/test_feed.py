@@ -1,0 +1,167 @@
+"""Change records, streaming ingestion, files and objects."""
+
+from collections import Counter
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.operators.keyed import latest_by_key
+from tidemark.session import scratch
+from tidemark.sources.feed import (
+    RECORD_SCHEMA,
+    folder_stream,
+    kafka_stream,
+    parse_records,
+    poll_records,
+)
+from tidemark.sources.files import (
+    file_stats,
+    may_match,
+    object_report,
+    pruned_scan,
+    resolve_path,
+    try_read,
+)
+from tidemark.streaming.ingest import REJECTS, Route, ingest
+
+CAR = T.StructType().add("id", "integer").add("price", "double").add("sold", "timestamp_ntz")
+AT = datetime(2024, 1, 1)
+
+
+def records(spark, rows):
+    return spark.createDataFrame([(None, None if v is None else v.encode(), t, AT) for v, t in rows],
+                                 RECORD_SCHEMA)
+
+
+def cars(spark, low, high):
+    return spark.range(low, high).select(
+        F.col("id").cast("int"), (F.col("id") / 3).alias("price"),
+        F.lit("2024-02-03 04:05:06.000007").cast("timestamp_ntz").alias("sold"))
+
+
+def rows(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_records_round_trip(spark):
+    df = cars(spark, 0, 50)
+    good, bad = parse_records(poll_records(df, "cars", "id", AT), CAR)
+    assert rows(good.select(*df.columns)) == rows(df) and bad.count() == 0
+    assert good.columns[-2:] == ["record_topic", "record_timestamp"]
+
+
+def test_bad_records_are_rejected_whole(spark):
+    texts = ['{"id": 1}', "{", "not json", "", None, '{"id": "x"}', '{"id": 2, "new": 1}', "[]",
+             "null"]
+    good, bad = parse_records(records(spark, [(t, "cars") for t in texts]), CAR)
+    assert sorted(r.id for r in good.collect()) == [1, 2]
+    assert good.count() + bad.count() == len(texts)
+
+
+def test_records_are_parsed_once(spark):
+    good, _ = parse_records(records(spark, [('{"id": 1}', "cars")]), CAR)
+    text = good._jdf.queryExecution().executedPlan().toString()
+    assert text.count("from_json") == 1
+
+
+def run(spark, store, source, checkpoint, **options):
+    routes = [Route("cars", "car", CAR),
+              Route("tags", "tag", T.StructType().add("tag", "string"))]
+    ingest(folder_stream(spark, source, **options), store, routes, checkpoint).awaitTermination()
+
+
+def test_stream_routes_rejects_and_resumes(spark, store):
+    source, checkpoint = scratch(spark, "source"), scratch(spark, "checkpoint")
+    poll_records(cars(spark, 0, 30), "cars", "id", AT).write.mode("append").parquet(source)
+    records(spark, [('{"tag": "x"}', "tags"), ("oops", "cars"), ("{}", "elsewhere")]).write.mode(
+        "append").parquet(source)
+    run(spark, store, source, checkpoint, max_files=1)
+    first = store.state()[0]
+    assert store.read("car").count() == 30 and first > 1
+    assert [r.tag for r in store.read("tag").collect()] == ["x"]
+    assert sorted(r.topic for r in store.read(REJECTS).collect()) == ["cars", "elsewhere"]
+
+    run(spark, store, source, checkpoint)
+    assert store.state()[0] == first and store.read("car").count() == 30
+
+    poll_records(cars(spark, 20, 40), "cars", "id", datetime(2024, 1, 2)).write.mode(
+        "append").parquet(source)
+    run(spark, store, source, checkpoint)
+    assert store.read("car").count() == 50
+    latest = latest_by_key(store.read("car"), ["id"], ["record_timestamp"])
+    assert latest.count() == 40
+
+
+@pytest.mark.parametrize("step", ["write_cold", "commit"])
+@pytest.mark.parametrize("after", [False, True])
+def test_a_failed_micro_batch_is_run_again_without_repeats(spark, store, monkeypatch, step, after):
+    source, checkpoint = scratch(spark, "source"), scratch(spark, "checkpoint")
+    poll_records(cars(spark, 0, 30), "cars", "id", AT).write.parquet(source)
+    store.load({"car": spark.createDataFrame([], T.StructType(list(CAR.fields)).add(
+        "record_timestamp", "timestamp_ntz")),
+        "tag": spark.createDataFrame([], "tag string, record_timestamp timestamp_ntz"),
+        REJECTS: spark.createDataFrame([], "value string, topic string, timestamp timestamp_ntz")})
+    original = getattr(type(store), step)
+
+    def failing(self, *args, **kwargs):
+        if after:
+            original(self, *args, **kwargs)
+        raise RuntimeError("lost")
+    with monkeypatch.context() as patch:
+        patch.setattr(type(store), step, failing)
+        with pytest.raises(Exception):
+            run(spark, store, source, checkpoint)
+    assert store.read("car").count() == (30 if step == "commit" and after else 0)
+    run(spark, store, source, checkpoint)
+    assert store.read("car").count() == 30 and store.state()[0] == 1
+
+
+def test_kafka_needs_its_package(spark):
+    with pytest.raises(Exception, match="kafka|Kafka"):
+        kafka_stream(spark, "nowhere:9092", "topic", max_offsets=5)
+
+
+def test_manifest_prunes_files_and_no_rows(spark):
+    path = scratch(spark, "files")
+    spark.range(0, 1000, 1, 10).withColumn("v", F.col("id") * 2).write.parquet(path)
+    table = spark.read.parquet(path)
+    saved = scratch(spark, "stats")
+    file_stats(table, ["id"]).write.parquet(saved)
+    manifest = spark.read.parquet(saved)
+    assert manifest.count() == 10 and manifest.agg(F.sum("rows")).first()[0] == 1000
+    match = may_match("id", 250, 349)
+    scan = pruned_scan(spark, table, manifest, match, path)
+    assert len(scan.inputFiles()) == 2
+    assert rows(scan.where("id BETWEEN 250 AND 349")) == rows(
+        table.where("id BETWEEN 250 AND 349"))
+    whole = pruned_scan(spark, table, manifest, match, path, limit=1)
+    assert len(whole.inputFiles()) == 10
+    assert pruned_scan(spark, table, manifest, may_match("id", 5000), path).count() == 0
+    assert len(pruned_scan(spark, table, manifest, may_match("id"), path).inputFiles()) == 10
+
+
+def test_paths(spark):
+    df = spark.createDataFrame([("s3://b/x",), ("s3a://b/x",), ("file:/x",), ("data/x",),
+                                ("gs://b/x",)], "p string")
+    got = [r.r for r in df.select(resolve_path(F.col("p"), "s3://w/").alias("r")).collect()]
+    assert got == ["s3://b/x", "s3a://b/x", "file:/x", "s3://w/data/x", "s3://w/gs://b/x"]
+
+
+def test_missing_folder_is_none_other_failures_raise(spark, tmp_path):
+    assert try_read(spark, str(tmp_path / "absent")) is None
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        try_read(spark, str(tmp_path / "broken"))
+
+
+def test_object_report(spark, tmp_path):
+    for i in range(77):
+        (tmp_path / f"test-file-{i}.bin").write_bytes(b"x" * 8192)
+    expected = spark.range(80).select(
+        F.concat(F.lit("test-file-"), F.col("id"), F.lit(".bin")).alias("key"))
+    report = object_report(spark, str(tmp_path), expected,
+                           F.element_at(F.split("path", "/"), -1)).first()
+    assert tuple(report) == (80, 77, 3, 77 * 8192)

@@ -57,9 +57,12 @@ def outside_window(ts: Column, last: datetime, until: datetime, zone: str | None
     """Every row that :func:`in_window` leaves, a missing time included, as a plain disjunction."""
     if zone is None:
         return ts.isNull() | (ts <= ntz(last)) | (ts > ntz(until))
+    # Not the same disjunction twice: the optimizer would take out what both have in common, and
+    # the rest would no longer reach the scan.
     instant = local_to_utc(ts, zone)
+    inside = (instant > ntz(last)) & (instant <= ntz(until))
     return ((ts.isNull() | (ts <= ntz(last + _SLACK)) | (ts > ntz(until - _SLACK)))
-            & (ts.isNull() | (instant <= ntz(last)) | (instant > ntz(until))))
+            & ~F.coalesce(inside, F.lit(False)))
 
 
 def iso_text(ts: Column) -> Column:

@@ -28,7 +28,12 @@ def key_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def delete_using(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows whose key is not staged for deletion."""
+    """Rows whose key is not staged for deletion.
+
+    Give the keys as they were stored, repeats and all: repeats do no harm here, whereas a
+    preceding aggregation would share its exchange with the join, and a heavy key in ``df``
+    could then not be split at run time.
+    """
     return df.join(keys, list(on), "left_anti")
 
 
@@ -38,14 +43,37 @@ def keyed_upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> Da
     return kept.unionByName(changes)
 
 
+def net_changes(changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One change per key with the effect of all its changes in order.
+
+    A key whose last insert or delete is a delete ends absent; one whose last is an insert ends
+    with the latest row, as ``insert`` if it began with an insert, or as ``put`` (replace or add)
+    if a delete came first; one that was only updated is updated to the latest row. Reduced
+    within each task before the exchange, so a key with very many changes is no burden.
+    """
+    rest = [c for c in changes.columns if c not in keys and c not in order]
+    mark = F.when(F.col("op") != "update", F.struct(*order, "op"))
+    net = changes.groupBy(*keys).agg(
+        F.max(F.struct(*order, *rest)).alias("_last"), F.min(mark).alias("_from"),
+        F.max(mark).alias("_to"))
+    op = (F.when(F.col("_to").isNull(), "update")
+          .when(F.col("_to.op") == "delete", "delete")
+          .when(F.col("_from.op") == "insert", "insert")
+          .otherwise("put"))
+    return net.select(*[
+        F.col(c) if c in keys else op.alias("op") if c == "op" else F.col(f"_last.{c}").alias(c)
+        for c in changes.columns])
+
+
 def change_images(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``base`` after a set of row changes, each row marked with what became of it.
 
     ``changes`` holds at most one row per key: the columns of ``base`` plus ``op`` (``insert``,
-    ``update`` or ``delete``). The mark in ``_change`` is ``same``, ``update``, ``delete`` (the
-    old row), ``insert``, or ``conflict`` where an insert met an existing key. An update or
-    delete without a row in ``base`` changes nothing. The base is joined once, as the left side,
-    so a skewed base can be split at run time.
+    ``update``, ``delete`` or ``put``). The mark in ``_change`` is ``same``, ``update``,
+    ``delete`` (the old row), ``insert``, or ``conflict`` where an insert met an existing key. An
+    update or delete without a row in ``base`` changes nothing. The base is joined once, as the left side,
+    so a skewed base can be split at run time, if ``changes`` is a stored table (as in
+    :func:`delete_using`).
     """
     values = [c for c in base.columns if c not in keys]
     new = changes.select(*keys, F.col("op").alias("_op"),
@@ -53,15 +81,18 @@ def change_images(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> D
     joined = base.join(new, list(keys), "left")
     mark = (F.when(F.col("_op").isNull(), "same")
             .when(F.col("_op") == "insert", "conflict")
+            .when(F.col("_op") == "put", "update")
             .otherwise(F.col("_op")))
     touched = joined.select(
         *[F.col(c) if c in keys
-          else F.when(F.col("_op") == "update", F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
+          else F.when(mark == "update", F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
           for c in base.columns],
         mark.alias(CHANGE))
-    added = changes.where(F.col("op") == "insert").select(
-        *base.columns, F.lit("insert").alias(CHANGE))
-    return touched.unionByName(added)
+    added = changes.where(F.col("op") == "insert")
+    puts = changes.where(F.col("op") == "put")
+    if not puts.isEmpty():
+        added = added.unionByName(puts.join(base.select(*keys), list(keys), "left_anti"))
+    return touched.unionByName(added.select(*base.columns, F.lit("insert").alias(CHANGE)))
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:

@@ -17,7 +17,7 @@ def as_column(predicate: Column | str) -> Column:
 def split_tiers(df: DataFrame, cold: Column | str) -> tuple[DataFrame, DataFrame]:
     """``(hot, cold)``: rows for which the predicate is not true, NULL included, stay hot.
 
-    The complement is written so that the scan can prune by it, as ``coalesce`` could not.
+    The complement is written so that, for comparisons, the scan can prune by it too.
     """
     condition = as_column(cold)
     return df.where(~condition | condition.isNull()), df.where(condition)

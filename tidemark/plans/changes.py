@@ -8,12 +8,22 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.keyed import CHANGE, change_images, latest_by_key
+from tidemark.operators.keyed import CHANGE, change_images, net_changes
 from tidemark.plans.store import TierStore
 
 OPS = ("insert", "update", "delete")
 
 
+def _stage(store: TierStore, name: str, batch: int, changes: DataFrame,
+           columns: Sequence[str]) -> DataFrame:
+    """Write the changes once and read them back: they are looked at several times, and must be
+    the same each time; and a stored side lets the join split a heavy key of the other."""
+    path = f"{store.root}/changes/{name}/batch={batch}"
+    df = changes.select(*dict.fromkeys(columns))
+    df.write.mode("overwrite").parquet(path)
+    return store.spark.read.schema(df.schema).parquet(path)
+
+
 class ChangeError(ValueError):
     """The batch was refused; the table is as it was."""
 
@@ -22,8 +32,8 @@ def apply_batch(store: TierStore, name: str, changes: DataFrame, keys: Sequence[
                 order: Sequence[str] = ()) -> dict[str, int]:
     """Apply row changes to the hot table and publish the result as its next version.
 
-    ``changes`` has the columns of the table, ``op``, and the ``order`` columns; of several
-    changes to one key the last by ``order`` counts, and without ``order`` there may be only one.
+    ``changes`` has the columns of the table, ``op``, and the ``order`` columns; several changes
+    to one key take effect in that order, and without ``order`` there may be only one.
     The next version is written once, with a mark of what became of each row; the affected rows
     are counted from that column alone. An unknown operation, a NULL or repeated key, or an
     insert onto an existing key refuses the whole batch before the commit, and the earlier
@@ -31,17 +41,19 @@ def apply_batch(store: TierStore, name: str, changes: DataFrame, keys: Sequence[
     """
     last_batch, states = store.state()
     batch, state = last_batch + 1, states[name]
-    columns = state.struct.fieldNames()
+    changes = _stage(store, name, batch, changes, [*state.struct.fieldNames(), "op", *order])
     valid = F.col("op").isin(*OPS)
     for key in keys:
         valid = valid & F.col(key).isNotNull()
     if not changes.where(~F.coalesce(valid, F.lit(False))).isEmpty():
         raise ChangeError("unknown operation or missing key")
-    if order:
-        changes = latest_by_key(changes, list(keys), list(order))
-    elif not changes.groupBy(*keys).count().where("count > 1").isEmpty():
-        raise ChangeError("several changes to one key, and no order between them")
-    images = change_images(store.hot_version(state), changes.select(*columns, "op"), keys)
+    if not changes.groupBy(*keys).count().where("count > 1").isEmpty():
+        if not order:
+            raise ChangeError("several changes to one key, and no order between them")
+        changes = _stage(store, f"{name}-last", batch,
+                         net_changes(changes, keys, order), changes.columns)
+    images = change_images(store.hot_version(state), changes.select(*state.struct.fieldNames(), "op"),
+                           keys)
     store.write_hot(name, images, batch)
 
     staged = store.spark.read.schema(images.schema).parquet(store.hot_path(name, batch))

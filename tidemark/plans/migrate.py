@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.times import EPOCH, cutoff
 from tidemark.operators.extract import CATEGORIES, TablePolicy, extract, unsettled
-from tidemark.operators.keyed import delete_using, key_rows
+from tidemark.operators.keyed import delete_using
 from tidemark.operators.tiers import as_column, hybrid, split_tiers
 from tidemark.plans.store import TableState, TierStore
 from tidemark.session import in_parallel
@@ -78,7 +78,7 @@ def _remaining(policy: TablePolicy, hot: DataFrame, moved: DataFrame, last: date
                until: datetime) -> DataFrame:
     if policy.close_by is None:
         return hot.where(unsettled(policy, last, until))
-    return delete_using(hot, key_rows(moved, policy.pk_columns), policy.pk_columns)
+    return delete_using(hot, moved.select(*policy.pk_columns), policy.pk_columns)
 
 
 def run_rounds(store: TierStore, policies: Sequence[TablePolicy],

@@ -136,8 +136,8 @@ def pk_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def delete_using_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines left after those of all pending orders are deleted by staged keys."""
-    keys = key_rows(given(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(
-        F.col("o_orderkey").alias("l_orderkey")), ["l_orderkey"])
+    keys = given(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(
+        F.col("o_orderkey").alias("l_orderkey"))
     return delete_using(given(spark, sf_dir, "lineitem"), keys, ["l_orderkey"]).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 

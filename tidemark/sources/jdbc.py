@@ -67,6 +67,10 @@ class JdbcHot:
             .orderBy("ordinal_position").select("column_name", "data_type")
         )
 
+    def tables(self, schema: str = "public") -> DataFrame:
+        return self.query("SELECT table_name FROM information_schema.tables "
+                          f"WHERE table_schema = '{_plain(schema)}'")
+
     # Writing
 
     def write(self, df: DataFrame, table: str, mode: str = "append") -> None:
@@ -130,7 +134,5 @@ def _plain(text: str) -> str:
 
 
 def _name(column: str) -> str:
-    """A column name as the database folds it: plain identifiers stay unquoted."""
-    if not column.replace("_", "a").isalnum():
-        raise ValueError(f"not a plain column name: {column!r}")
-    return column
+    """A column name exactly as the database reported it."""
+    return '"' + column.replace('"', '""') + '"'
