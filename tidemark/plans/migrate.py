@@ -131,8 +131,7 @@ def move_by_predicate(store: TierStore, predicates: dict[str, Column | str]) ->
 def tier_counts(store: TierStore, names: Sequence[str]) -> DataFrame:
     """``relname, tier, rows`` of the current state."""
     parts = []
-    for name in names:
-        hot, cold = store.hot(name), store.cold(name)
+    for name, (hot, cold) in store.tiers(*names).items():
         for tier, df in (("hot", hot), ("cold", cold)):
             if df is not None:
                 parts.append(df.select(F.lit(name).alias("relname"), F.lit(tier).alias("tier")))
@@ -220,7 +219,11 @@ def _advance(tx, relname: str, mark: datetime, batch: int) -> None:
 
 
 def jdbc_hybrid(hot: JdbcHot, cold_table: DataFrame | None, name: str, keys: Sequence[str]):
-    """The table over a live database and the cold tier, right at every step of a batch."""
+    """The table over a live database and the cold tier, right at every step of a batch.
+
+    Make it anew for each query: Spark lists cold files when the frame is made, and a batch that
+    begins and ends between that listing and the hot scan would hide its rows from both.
+    """
     live = _zoneless(hot.table(name))
     if cold_table is None:
         return live

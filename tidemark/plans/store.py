@@ -166,6 +166,11 @@ class TierStore:
         """Every table of the store, as of one commit: one look at the log for all."""
         return {name: self._read(s) for name, s in self.state(as_of)[1].items()}
 
+    def tiers(self, *names: str) -> dict[str, tuple[DataFrame, DataFrame | None]]:
+        """``name -> (hot, cold)`` of one commit, with one look at the log."""
+        states = self.state()[1]
+        return {n: (self.hot_version(states[n]), self.cold_rows(states[n])) for n in names}
+
     def cold_batch(self, name: str, batch: int, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.cold_path(name)}/{BATCH}={batch}")
 

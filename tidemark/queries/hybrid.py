@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.operators.tiers import BATCH, hybrid, multiset_diff, tier_concat
+from tidemark.operators.tiers import BATCH, hybrid, multiset_diff, split_tiers, tier_concat
+from tidemark.plans.migrate import tier_counts
 from tidemark.queries.staging import (
     analytic_store,
     analytic_views,
-    fresh,
     given,
     money,
+    staged,
     tpcc_views,
 )
-from tidemark.operators.tiers import split_tiers
-from tidemark.plans.migrate import tier_counts
 from tidemark.schemas import CH_COLD
 
 FLAGSHIP = """
@@ -69,27 +69,27 @@ PARAM_ARGS = [150000.0, "1-URGENT", 10]
 
 RECENT_LINES = """
 SELECT CAST(SUM(ol.ol_amount) AS DOUBLE) AS amount, COUNT(*) AS n
-FROM order_line ol JOIN {orders} o ON ol.ol_o_id = o.o_id
+FROM order_line ol JOIN oorder o ON ol.ol_o_id = o.o_id
 WHERE ol.ol_delivery_d >= DATE '2001-11-04' - INTERVAL '7' DAY
 """
 
 
 def _sql(text: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        analytic_views(spark, sf_dir)
+        analytic_views(spark, sf_dir, text)
         return spark.sql(text)
     return run
 
 
 def param_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    analytic_views(spark, sf_dir)
+    analytic_views(spark, sf_dir, PARAM_SQL)
     return spark.sql(PARAM_SQL, args=PARAM_ARGS)
 
 
 def hybrid_recent_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recent order lines over tables that three migration rounds have split."""
-    tpcc_views(spark, sf_dir)
-    return spark.sql(RECENT_LINES.format(orders="oorder"))
+    tpcc_views(spark, sf_dir, RECENT_LINES)
+    return spark.sql(RECENT_LINES)
 
 
 def tier_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,11 +97,11 @@ def tier_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tier_concat_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = analytic_store(spark, sf_dir)
+    hot, cold = analytic_store(spark, sf_dir).tiers("orders")["orders"]
 
     def wanted(df: DataFrame) -> DataFrame:
         return df.where("o_totalprice > 100000").select("o_orderkey", "o_totalprice")
-    return tier_concat(wanted, store.hot("orders"), store.cold("orders"))
+    return tier_concat(wanted, hot, cold)
 
 
 def tier_vs_whole_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,15 +111,16 @@ def tier_vs_whole_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _in_flight(spark: SparkSession, sf_dir: str):
     """Orders in the middle of a move: appended to cold, not yet gone from hot."""
-    store = fresh(spark, "overlap")
-    store.load_tiers({"orders": split_tiers(given(spark, sf_dir, "orders"),
-                                            "o_orderdate < TIMESTAMP_NTZ '1998-01-01 00:00:00'")})
+    def build(store) -> None:
+        early, later = ("o_orderdate < TIMESTAMP_NTZ '1998-01-01 00:00:00'",
+                        "o_orderdate < TIMESTAMP_NTZ '1999-01-01 00:00:00'")
+        batch = store.load_tiers({"orders": split_tiers(given(spark, sf_dir, "orders"), early)})
+        store.write_cold("orders", store.hot("orders").where(later), batch + 1)
+    store = staged(spark, sf_dir, "overlap", build)
     committed, states = store.state()
-    moving = store.hot("orders").where("o_orderdate < TIMESTAMP_NTZ '1999-01-01 00:00:00'")
-    store.write_cold("orders", moving, committed + 1)
-    schema = f"{', '.join(f.name + ' ' + f.dataType.simpleString() for f in states['orders'].struct)}"
-    cold = spark.read.schema(f"{schema}, {BATCH} long").parquet(store.cold_path("orders"))
-    return store.hot("orders"), cold, committed
+    hot = store.hot_version(states["orders"])
+    schema = T.StructType(states["orders"].struct.fields + [T.StructField(BATCH, T.LongType())])
+    return hot, spark.read.schema(schema).parquet(store.cold_path("orders")), committed
 
 
 def _order_totals(df: DataFrame) -> DataFrame:
@@ -146,8 +147,8 @@ def hot_nonempty_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query's result under a fixed name, replaced by the next query."""
-    analytic_views(spark, sf_dir)
     for text in (SQL["hybrid_group_count"], SQL["hybrid_comma_join"]):
+        analytic_views(spark, sf_dir, text)
         spark.sql(text).createOrReplaceTempView("last_result")
     return spark.table("last_result")
 

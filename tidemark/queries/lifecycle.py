@@ -16,14 +16,14 @@ from tidemark.queries.staging import (
     MOVED_SQL,
     TPCC_SQL,
     analytic_store,
-    fresh,
     given,
     money,
+    staged,
     tpcc_frames,
     tpcc_store,
 )
 from tidemark.schemas import CH_NAMES, TPCC, schema_drift, tpcc_schema
-from tidemark.session import scratch
+from tidemark.session import in_parallel, scratch
 from tidemark.sources.files import file_stats, may_match, pruned_scan, read_paths
 from tidemark.sources.lake import append, bulk_load, create_from_source, create_table
 
@@ -107,16 +107,24 @@ def insert_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("total_amount").cast("double").alias("total"))
 
 
+def _layout(name: str) -> str:
+    """The orders of a policy are laid out as ``oorder``."""
+    return "oorder" if name == "orders" else name
+
+
 def tpcc_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nine order-processing tables, created and filled; rows and columns of each."""
-    out = None
-    for name, df in tpcc_frames(spark, sf_dir).items():
-        layout = "oorder" if name == "orders" else name
-        table = _new_table(layout)
-        create_table(spark, table, tpcc_schema(layout, wide=True), scratch(spark, table))
-        append(df, table)
-        part = spark.table(table).agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(layout).alias("table_name"), F.lit(len(df.columns)).alias("columns"), "rows")
+    out, frames = None, tpcc_frames(spark, sf_dir)
+    tables = {n: _new_table(_layout(n)) for n in frames}
+
+    def fill(name: str) -> None:
+        table = tables[name]
+        create_table(spark, table, tpcc_schema(_layout(name), wide=True), scratch(spark, table))
+        append(frames[name], table)
+    in_parallel(spark, [lambda n=name: fill(n) for name in frames])
+    for name, df in frames.items():
+        part = spark.table(tables[name]).agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(_layout(name)).alias("table_name"), F.lit(len(df.columns)).alias("columns"), "rows")
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -140,23 +148,25 @@ def export_parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def schema_evolution_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A column added between two appends: earlier rows read NULL, nothing is rewritten."""
-    customer = given(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    store = fresh(spark, "evolution")
-    store.load({"customer": customer.where("c_acctbal < 0")})
-    store.add_column("customer", "email", "string")
-    store.append_cold("customer", customer.where("c_acctbal >= 0").withColumn(
-        "email", F.concat(F.lower("c_name"), F.lit("@example.com"))))
+    def build(store) -> None:
+        customer = given(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+        store.load({"customer": customer.where("c_acctbal < 0")})
+        store.add_column("customer", "email", "string")
+        store.append_cold("customer", customer.where("c_acctbal >= 0").withColumn(
+            "email", F.concat(F.lower("c_name"), F.lit("@example.com"))))
+    store = staged(spark, sf_dir, "evolution", build)
     return store.read("customer").select("c_custkey", "c_name", "email")
 
 
 def time_travel_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as of the first of two commits."""
-    orders = given(spark, sf_dir, "orders")
-    early = "o_orderdate < TIMESTAMP_NTZ '1998-01-01 00:00:00'"
-    store = fresh(spark, "travel")
-    first = store.load({"orders": orders.where(early)})
-    store.append_cold("orders", orders.where(f"NOT {early}"))
-    return store.read("orders", as_of=first).select("o_orderkey", "o_orderstatus", "o_totalprice")
+    def build(store) -> None:
+        orders = given(spark, sf_dir, "orders")
+        early = "o_orderdate < TIMESTAMP_NTZ '1998-01-01 00:00:00'"
+        store.load({"orders": orders.where(early)})
+        store.append_cold("orders", orders.where(f"NOT {early}"))
+    store = staged(spark, sf_dir, "travel", build)
+    return store.read("orders", as_of=0).select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
 def snapshot_list(spark: SparkSession, sf_dir: str) -> DataFrame:

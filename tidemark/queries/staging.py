@@ -57,52 +57,56 @@ def analytic_store(spark: SparkSession, sf_dir: str) -> TierStore:
     return staged(spark, sf_dir, "analytic", build)
 
 
-def _register(spark: SparkSession, store: TierStore) -> None:
-    """Views over the last commit; the frames are kept, since a published state never changes."""
-    if store.root not in _FRAMES:
-        _FRAMES[store.root] = store.tables()
-    register_hybrid(_FRAMES[store.root])
-
-
-def analytic_views(spark: SparkSession, sf_dir: str) -> None:
-    _register(spark, analytic_store(spark, sf_dir))
+def _register(store: TierStore, text: str, aliases: dict[str, str]) -> None:
+    """Views of the tables that occur in ``text``, over the last commit.
 
-
-def tpcc_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The order-processing tables, with the given tables in their roles.
-
-    Warehouse and district numbers, which the given tables lack, are derived from the keys; the
-    layout is the wide one, since keys outgrow 32 bits as the data grows.
+    The frames are kept, since a published state never changes.
     """
-    g = {t: given(spark, sf_dir, t) for t in (*ANALYTIC_TABLES, "events")}
-    frames = {
-        "customer": g["customer"].selectExpr(
-            "c_custkey c_id", *_place("c_custkey", "c"), "c_name c_last", "c_mktsegment c_credit",
-            "c_acctbal c_balance"),
-        "district": g["nation"].selectExpr(
-            "n_nationkey d_id", "n_regionkey + 1 d_w_id", "n_name d_name"),
-        "hhistory": g["events"].selectExpr(
-            "user_id h_c_id", *_place("user_id", "h_c"), *_place("user_id", "h"), "ts h_date",
-            "value h_amount", "event_type h_data"),
-        "item": g["part"].selectExpr(
-            "p_partkey i_id", "p_size i_im_id", "p_name i_name", "p_retailprice i_price",
-            "p_type i_data"),
-        "new_order": g["orders"].where("o_orderstatus = 'O'").selectExpr(
-            "o_orderkey no_o_id", *_place("o_orderkey", "no")),
-        "orders": g["orders"].selectExpr(
-            "o_orderkey o_id", "o_custkey o_c_id", *_place("o_orderkey", "o"),
-            "o_orderdate o_entry_d", "o_orderstatus <> 'P' o_all_local"),
-        "order_line": g["lineitem"].selectExpr(
-            "l_orderkey ol_o_id", *_place("l_orderkey", "ol"), "l_linenumber ol_number",
-            "l_partkey ol_i_id", "l_suppkey ol_supply_w_id",
-            "CASE WHEN l_linestatus = 'F' THEN l_shipdate END ol_delivery_d",
-            "l_quantity ol_quantity", "l_extendedprice ol_amount", "l_returnflag ol_dist_info"),
-        "stock": g["part"].selectExpr(
-            "p_partkey s_i_id", "p_size s_quantity", "p_brand s_data"),
-        "warehouse": g["region"].selectExpr("r_regionkey + 1 w_id", "r_name w_name"),
-    }
-    layout = {"orders": "oorder"}
-    return {n: conform(df, tpcc_schema(layout.get(n, n), wide=True)) for n, df in frames.items()}
+    if store.root not in _FRAMES:
+        _FRAMES[store.root] = store.tables()
+    names = {n: aliases.get(n, n) for n in _FRAMES[store.root]}
+    register_hybrid({v: _FRAMES[store.root][n] for n, v in names.items() if v in text})
+
+
+def analytic_views(spark: SparkSession, sf_dir: str, text: str) -> None:
+    _register(analytic_store(spark, sf_dir), text, {})
+
+
+# Each order-processing table: the given table in its role, the rows, and the columns. Warehouse
+# and district numbers, which the given tables lack, are derived from the keys.
+_ROLES = {
+    "customer": ("customer", None, ["c_custkey c_id", ("c_custkey", "c"), "c_name c_last",
+                                    "c_mktsegment c_credit", "c_acctbal c_balance"]),
+    "district": ("nation", None, ["n_nationkey d_id", "n_regionkey + 1 d_w_id", "n_name d_name"]),
+    "hhistory": ("events", None, ["user_id h_c_id", ("user_id", "h_c"), ("user_id", "h"),
+                                  "ts h_date", "value h_amount", "event_type h_data"]),
+    "item": ("part", None, ["p_partkey i_id", "p_size i_im_id", "p_name i_name",
+                            "p_retailprice i_price", "p_type i_data"]),
+    "new_order": ("orders", "o_orderstatus = 'O'", ["o_orderkey no_o_id", ("o_orderkey", "no")]),
+    "orders": ("orders", None, ["o_orderkey o_id", "o_custkey o_c_id", ("o_orderkey", "o"),
+                                "o_orderdate o_entry_d", "o_orderstatus <> 'P' o_all_local"]),
+    "order_line": ("lineitem", None, [
+        "l_orderkey ol_o_id", ("l_orderkey", "ol"), "l_linenumber ol_number",
+        "l_partkey ol_i_id", "l_suppkey ol_supply_w_id",
+        "CASE WHEN l_linestatus = 'F' THEN l_shipdate END ol_delivery_d",
+        "l_quantity ol_quantity", "l_extendedprice ol_amount", "l_returnflag ol_dist_info"]),
+    "stock": ("part", None, ["p_partkey s_i_id", "p_size s_quantity", "p_brand s_data"]),
+    "warehouse": ("region", None, ["r_regionkey + 1 w_id", "r_name w_name"]),
+}
+
+
+def tpcc_frames(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """Order-processing tables, all nine by default; the layout is the wide one, since keys
+    outgrow 32 bits as the data grows."""
+    frames = {}
+    for name in names or _ROLES:
+        source, rows, columns = _ROLES[name]
+        exprs = [e for c in columns for e in (_place(*c) if isinstance(c, tuple) else (c,))]
+        df = given(spark, sf_dir, source)
+        df = df.where(rows) if rows else df
+        layout = "oorder" if name == "orders" else name
+        frames[name] = conform(df.selectExpr(*exprs), tpcc_schema(layout, wide=True))
+    return frames
 
 
 def _place(key: str, prefix: str) -> tuple[str, str]:
@@ -115,15 +119,13 @@ TPCC_MOVED = ("orders", "order_line", "hhistory")
 def tpcc_store(spark: SparkSession, sf_dir: str) -> TierStore:
     """The tables with a policy, loaded hot and then migrated in the three rounds."""
     def build(store: TierStore) -> None:
-        frames = tpcc_frames(spark, sf_dir)
-        store.load({n: frames[n] for n in TPCC_MOVED})
+        store.load(tpcc_frames(spark, sf_dir, *TPCC_MOVED))
         run_rounds(store, TPCC_POLICIES, ROUNDS)
     return staged(spark, sf_dir, "tpcc", build)
 
 
-def tpcc_views(spark: SparkSession, sf_dir: str) -> None:
-    _register(spark, tpcc_store(spark, sf_dir))
-    spark.table("orders").createOrReplaceTempView("oorder")
+def tpcc_views(spark: SparkSession, sf_dir: str, text: str) -> None:
+    _register(tpcc_store(spark, sf_dir), text, {"orders": "oorder"})
 
 
 # The same roles in SQL, for the counterparts of queries over the order-processing tables.

@@ -21,7 +21,7 @@ from tidemark.operators.extract import (
     with_watermark,
 )
 from tidemark.operators.keyed import delete_using, key_rows, keyed_upsert, orphans
-from tidemark.operators.tiers import BATCH
+from tidemark.operators.tiers import BATCH, hybrid
 from tidemark.plans.migrate import move_by_predicate, run_batch, tier_counts
 from tidemark.queries.staging import (
     MOVED_SQL,
@@ -93,8 +93,7 @@ def _row_counts(frames: dict[str, DataFrame]) -> DataFrame:
 
 def policy_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every policy after the upsert, with the rows of the table it governs."""
-    frames = tpcc_frames(spark, sf_dir)
-    rows = _row_counts({n: frames[n] for n in (*TPCC_MOVED, "customer")})
+    rows = _row_counts(tpcc_frames(spark, sf_dir, *TPCC_MOVED, "customer"))
     return _policies(spark).join(rows, "relname").select(
         "relname", "category", "ts_column", F.concat_ws(",", "pk_columns").alias("pk"),
         "enabled", "rows")
@@ -102,7 +101,7 @@ def policy_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def policy_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policies that a batch would run, with the rows it would move."""
-    frames = tpcc_frames(spark, sf_dir)
+    frames = tpcc_frames(spark, sf_dir, *TPCC_MOVED)
     until = cutoff(ROUNDS[1], 1)
     due = _row_counts({
         p.relname: extract(p, frames[p.relname], EPOCH, until,
@@ -116,7 +115,7 @@ def watermark_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policies with their marks; customer was never moved, so its mark is the epoch."""
     store = tpcc_store(spark, sf_dir)
     marks = with_watermark(_policies(spark), store.watermarks())
-    rows = _row_counts({n: store.cold(n) for n in TPCC_MOVED})
+    rows = _row_counts({n: cold for n, (_, cold) in store.tiers(*TPCC_MOVED).items()})
     return marks.join(rows, "relname", "left").select(
         "relname", iso_text(F.col("last_ts")).alias("last_ts"),
         F.coalesce("rows", F.lit(0)).alias("cold_rows"))
@@ -146,9 +145,8 @@ def _where_rows_are(store, names) -> DataFrame:
     """``relname, batch, n, total`` of the rows in each tier; batch NULL is hot."""
     value = {"orders": "o_c_id", "order_line": "ol_amount", "hhistory": "h_amount"}
     out = None
-    for name in names:
-        for df, batch in ((store.hot(name), F.lit(None).cast("long")),
-                          (store.cold(name), F.col(BATCH))):
+    for name, (hot, cold) in store.tiers(*names).items():
+        for df, batch in ((hot, F.lit(None).cast("long")), (cold, F.col(BATCH))):
             if df is None:
                 continue
             part = df.select(F.lit(name).alias("relname"), batch.alias("batch"),
@@ -170,8 +168,7 @@ def migrate_batch_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _one_batch(spark: SparkSession, sf_dir: str):
     def build(store) -> None:
-        frames = tpcc_frames(spark, sf_dir)
-        store.load({n: frames[n] for n in TPCC_MOVED})
+        store.load(tpcc_frames(spark, sf_dir, *TPCC_MOVED))
         run_batch(store, TPCC_POLICIES, ROUNDS[0])
     return staged(spark, sf_dir, "tpcc-one-batch", build)
 
@@ -190,10 +187,10 @@ def move_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = {"customer": "c_custkey", "lineitem": "l_orderkey", "orders": "o_orderkey",
             "part": "p_partkey"}
     out = None
-    for name, key in keys.items():
-        for tier, df in (("hot", store.hot(name)), ("cold", store.cold(name))):
+    for name, tiers in store.tiers(*keys).items():
+        for tier, df in zip(("hot", "cold"), tiers):
             part = df.select(F.lit(name).alias("relname"), F.lit(tier).alias("tier"),
-                             F.col(key).cast("decimal(18,0)").alias("k"))
+                             F.col(keys[name]).cast("decimal(18,0)").alias("k"))
             out = part if out is None else out.unionAll(part)
     return out.groupBy("relname", "tier").agg(
         F.count(F.lit(1)).alias("n"), F.sum("k").cast("double").alias("key_sum"))
@@ -218,11 +215,12 @@ def keyed_upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orphan_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hot orders without a customer: in the hot tier alone, and over both tiers."""
     store = analytic_store(spark, sf_dir)
-    child = store.hot("orders")
+    tiers = store.tiers("orders", "customer")
+    child, (hot, cold) = tiers["orders"][0], tiers["customer"]
     parts = [
         orphans(child, parent, "o_custkey", "c_custkey").agg(F.count(F.lit(1)).alias("orphans"))
         .select(F.lit(label).alias("parents"), "orphans")
-        for label, parent in (("hot", store.hot("customer")), ("hybrid", store.read("customer")))]
+        for label, parent in (("hot", hot), ("hybrid", hybrid(hot, cold)))]
     return parts[0].unionAll(parts[1])
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -55,10 +54,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no earlier run has used."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    if path.startswith("/"):
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-    return path
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def in_parallel(spark: SparkSession, jobs: Sequence[Callable[[], T]], at_most: int = 8) -> list[T]:

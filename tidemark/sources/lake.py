@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.types import table_schema
 from tidemark.operators.tiers import BATCH
+from tidemark.session import in_parallel
 
 
 class LakeCold:
@@ -98,8 +99,9 @@ def append(df: DataFrame, table: str) -> None:
 
 def bulk_load(spark: SparkSession, source: str, names: dict[str, str], target: str) -> dict:
     """Load ``<source>/<name>.parquet`` into tables under new names; ``new name -> path``."""
-    paths = {}
-    for old, new in names.items():
-        paths[new] = f"{target.rstrip('/')}/{new}"
+    paths = {new: f"{target.rstrip('/')}/{new}" for new in names.values()}
+
+    def load(old: str, new: str) -> None:
         spark.read.parquet(f"{source}/{old}.parquet").write.mode("overwrite").parquet(paths[new])
+    in_parallel(spark, [lambda o=old, n=new: load(o, n) for old, new in names.items()])
     return paths
