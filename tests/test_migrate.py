@@ -4,6 +4,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions.times import EPOCH
 from tidemark.operators.extract import (
@@ -17,6 +18,7 @@ from tidemark.operators.extract import (
     upsert_policies,
 )
 from tidemark.operators.tiers import BATCH
+from tidemark.plans.changes import apply_batch
 from tidemark.plans import migrate
 from tidemark.plans.migrate import move_by_predicate, run_batch, run_for, run_rounds
 from tidemark.plans.store import TierStore
@@ -84,14 +86,58 @@ def test_empty_batch_keeps_the_version_and_advances(spark, store):
     assert after.hot_version == before.hot_version and after.last_ts == day(40)
 
 
+def test_small_windows_are_noted_and_rewritten_once_half_is_gone(spark, store):
+    """41 rows, 4 per day: versions stay until 21 rows have gone."""
+    data = tables(spark)["log"]
+    store.load({"log": data})
+    seen = []
+    for n in range(10):
+        run_batch(store, [LOG], day(n), 0)
+        state = store.state()[1]["log"]
+        seen.append((state.hot_version, state.hot_rows, state.gone_rows))
+        assert rows(store.read("log")) == rows(data)
+        assert store.hot("log").count() == state.hot_rows - state.gone_rows == 41 - 4 * (n + 1)
+    assert seen[:6] == [(0, 41, 4), (0, 41, 8), (0, 41, 12), (0, 41, 16), (0, 41, 20), (6, 17, 0)]
+    assert seen[6:] == [(6, 17, 4), (6, 17, 8), (9, 5, 0), (10, 1, 0)]
+    for batch in range(11):
+        assert rows(store.read("log", as_of=batch)) == rows(data)
+
+
+def test_changes_between_windows(spark, store):
+    """A late row, an update of a settled row's key, then more windows."""
+    store.load({"log": tables(spark)["log"]})
+    run_batch(store, [LOG], day(1), 0)
+    assert store.state()[1]["log"].gone is not None
+    apply_batch(store, "log", spark.createDataFrame(
+        [(500, day(0), "insert"), (2, day(7), "update"), (0, day(7), "update")],
+        "id int, ts timestamp_ntz, op string"), ["id"])
+    want = rows(store.read("log"))
+    assert store.state()[1]["log"].gone is None
+    assert want[(500, day(0))] == want[(2, day(7))] == want[(0, day(0))] == 1
+    for n in (2, 3, 8, 9):
+        run_batch(store, [LOG], day(n), 0)
+        assert rows(store.read("log")) == want
+    assert (500, day(0)) in rows(store.hot("log"))
+
+
+def test_another_time_column_forces_a_rewrite(spark, store):
+    df = spark.createDataFrame([(i, day(i), day(9 - i)) for i in range(10)],
+                               "id int, ts timestamp_ntz, other timestamp_ntz")
+    store.load({"log": df})
+    run_batch(store, [LOG], day(1), 0)
+    assert store.state()[1]["log"].gone is not None
+    run_batch(store, [TablePolicy("log", "append_only", "other", ("id",))], day(3), 0)
+    assert store.state()[1]["log"].gone is None
+    assert rows(store.read("log")) == rows(df)
+    # ids 0 and 1 went by ts; of the rest, other lies after day 1 and up to day 3 for 6 and 7
+    assert sorted(r.id for r in store.hot("log").collect()) == [2, 3, 4, 5, 8, 9]
+
+
 def test_straggler_stays_readable(spark, store):
     store.load({"log": tables(spark)["log"]})
     run_batch(store, [LOG], day(5), 0)
     late = spark.createDataFrame([(1000, day(3))], "id int, ts timestamp_ntz")
-    _, states = store.state()
-    store.write_hot("log", store.hot("log").unionAll(late), 7)
-    from dataclasses import replace
-    store.commit(7, [replace(states["log"], hot_version=7)])
+    apply_batch(store, "log", late.withColumn("op", F.lit("insert")), ["id"])
     run_batch(store, [LOG], day(9), 0)
     assert (1000, day(3)) in rows(store.hot("log"))
     assert (1000, day(3)) in rows(store.read("log"))

@@ -60,5 +60,6 @@ def apply_batch(store: TierStore, name: str, changes: DataFrame, keys: Sequence[
     counts = {r[CHANGE]: r["count"] for r in staged.groupBy(CHANGE).count().collect()}
     if counts.get("conflict"):
         raise ChangeError(f"{counts['conflict']} inserts onto existing keys")
-    store.commit(batch, [replace(state, hot_version=batch, moved=0)])
+    rows = sum(counts.values())
+    store.commit(batch, [replace(state, moved=0).with_hot(batch, rows)])
     return {op: counts.get(op, 0) for op in OPS}

@@ -24,8 +24,9 @@ def run_batch(store: TierStore, policies: Sequence[TablePolicy], as_of: datetime
 
     All tables are extracted from the same published state. Where a policy looks at the row
     alone, the rows that stay are its complement over the same immutable version: no keys are
-    exchanged, and tables without a true key are handled. Where it depends on another table,
-    the keys are read back from the batch just written and removed by anti-join.
+    exchanged, tables without a true key are handled, and the window is only noted as gone until
+    so much has gone that a rewrite pays. Where it depends on another table, the keys are read
+    back from the batch just written and removed by anti-join.
 
     A table with nothing to move keeps its hot version. Every processed table advances its
     watermark; disabled, unknown or invalid policies are reported and left alone.
@@ -50,11 +51,16 @@ def run_batch(store: TierStore, policies: Sequence[TablePolicy], as_of: datetime
         store.write_cold(name, rows, batch, rebalance=True)
         written = store.cold_batch(name, batch, state.struct)
         moved = written.count()
-        if moved:
-            rest = _remaining(policy, hot[name], written, state.last_ts, until)
-            store.write_hot(name, rest, batch)
-        return state.after_batch(batch, moved, last_ts=max(until, state.last_ts),
-                                 hot_version=batch if moved else state.hot_version)
+        after = state.after_batch(batch, moved, last_ts=max(until, state.last_ts))
+        if not moved:
+            return after
+        if policy.close_by is None:
+            noted = after.without_window(policy.ts_column, policy.zone, state.last_ts, until, moved)
+            if noted is not None:
+                return noted
+        rest = _remaining(policy, hot[name], written, state.last_ts, until)
+        store.write_hot(name, rest, batch)
+        return after.with_hot(batch, state.hot_rows - state.gone_rows - moved)
 
     done = in_parallel(store.spark, [lambda p=p: move(p) for p in work])
     if done:
@@ -113,10 +119,11 @@ def move_by_predicate(store: TierStore, predicates: dict[str, Column | str]) ->
             stay, go = split_tiers(store.hot_version(state), as_column(predicate))
             store.write_cold(name, go, batch)
             moved = store.cold_batch(name, batch, state.struct).count()
-            if moved:
-                store.write_hot(name, stay, batch)
-            return state.after_batch(batch, moved,
-                                     hot_version=batch if moved else state.hot_version)
+            after = state.after_batch(batch, moved)
+            if not moved:
+                return after
+            store.write_hot(name, stay, batch)
+            return after.with_hot(batch, state.hot_rows - state.gone_rows - moved)
         except Exception as error:  # noqa: BLE001 - reported per table
             return error
 

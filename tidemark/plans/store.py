@@ -11,6 +11,10 @@ use the earlier commit, so a row is never seen twice nor missed, and a retry of
 overwrites what a failed attempt left behind. For each table a commit names the hot version and
 the cold batches that count, as ranges: what a failed attempt left for a table that the next
 attempt does not touch stays invisible. A store has one writer at a time.
+
+Moving a time window need not rewrite a hot version: the commit notes the window as gone, and
+readers leave it out, with a filter that the scan prunes by. A version never changes, so the
+window holds exactly the rows that were moved. It is rewritten once half of it is gone.
 """
 
 from __future__ import annotations
@@ -18,12 +22,13 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, replace
 from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.times import EPOCH
+from tidemark.functions.times import EPOCH, outside_window
 from tidemark.operators.keyed import CHANGE
 from tidemark.operators.tiers import BATCH, hybrid
 from tidemark.session import in_parallel
@@ -36,9 +41,26 @@ COMMIT_SCHEMA = T.StructType([
     T.StructField("moved", T.LongType()),
     T.StructField("cold", T.ArrayType(T.ArrayType(T.LongType()))),
     T.StructField("schema", T.StringType()),
+    T.StructField("hot_rows", T.LongType()),
+    T.StructField("gone_rows", T.LongType()),
+    T.StructField("gone", T.StructType([
+        T.StructField("column", T.StringType()),
+        T.StructField("zone", T.StringType()),
+        T.StructField("after", T.TimestampNTZType()),
+        T.StructField("until", T.TimestampNTZType()),
+    ])),
 ])
 
 
+class Gone(NamedTuple):
+    """A time window whose rows have left the hot version."""
+
+    column: str
+    zone: str | None
+    after: datetime
+    until: datetime
+
+
 @dataclass(frozen=True)
 class TableState:
     """What the log says of one table as of some batch."""
@@ -49,6 +71,9 @@ class TableState:
     moved: int
     cold: tuple[tuple[int, int], ...]  # ranges of cold batches, first and last
     schema: str
+    hot_rows: int  # in the hot version, those gone included
+    gone_rows: int = 0
+    gone: Gone | None = None
 
     @property
     def struct(self) -> T.StructType:
@@ -63,6 +88,26 @@ class TableState:
             cold += ((batch, batch),)
         return replace(self, moved=moved, cold=cold, **changes)
 
+    def with_hot(self, version: int, rows: int) -> TableState:
+        """The state once a whole new hot version has been written."""
+        return replace(self, hot_version=version, hot_rows=rows, gone_rows=0, gone=None)
+
+    def without_window(self, column: str, zone: str | None, after: datetime, until: datetime,
+                       rows: int) -> TableState | None:
+        """The state with a window noted as gone; None where a rewrite is due instead.
+
+        A window that follows an earlier one extends it, for the same column only: between the
+        two the version held no row, or it would have been moved.
+        """
+        if 2 * (self.gone_rows + rows) >= self.hot_rows:
+            return None
+        if self.gone is not None:
+            if (self.gone.column, self.gone.zone) != (column, zone) or after < self.gone.until:
+                return None
+            after = self.gone.after
+        return replace(self, gone_rows=self.gone_rows + rows,
+                       gone=Gone(column, zone, after, until))
+
 
 class TierStore:
     def __init__(self, spark: SparkSession, root: str):
@@ -87,7 +132,9 @@ class TierStore:
         last = max((r.batch_id for r in latest), default=-1)
         states = {}
         for r in latest:
-            values = {n: r[n] for n in names} | {"cold": tuple(tuple(c) for c in r.cold)}
+            values = {n: r[n] for n in names} | {
+                "cold": tuple(tuple(c) for c in r.cold),
+                "gone": None if r.gone is None else Gone(*r.gone)}
             states[r.relname] = TableState(relname=r.relname, **values)
         return last, states
 
@@ -97,8 +144,8 @@ class TierStore:
         log = self.log()
         if log is not None and not log.where(F.col("batch_id") == batch).isEmpty():
             raise RuntimeError(f"batch {batch} of {self.root} is already published")
-        rows = [(s.relname, s.last_ts, s.hot_version, s.moved, [list(c) for c in s.cold], s.schema)
-                for s in states]
+        rows = [(s.relname, s.last_ts, s.hot_version, s.moved, [list(c) for c in s.cold], s.schema,
+                 s.hot_rows, s.gone_rows, s.gone) for s in states]
         self.spark.createDataFrame(rows, COMMIT_SCHEMA).coalesce(1).write.mode(
             "overwrite").parquet(f"{self.root}/commits/batch_id={batch}")
 
@@ -119,7 +166,8 @@ class TierStore:
 
         def write(name: str, hot: DataFrame, cold: DataFrame | None) -> TableState:
             self.write_hot(name, hot, batch)
-            state = TableState(name, EPOCH, batch, 0, (), hot.schema.json())
+            rows = self.spark.read.schema(hot.schema).parquet(self.hot_path(name, batch)).count()
+            state = TableState(name, EPOCH, batch, 0, (), hot.schema.json(), rows)
             if cold is None:
                 return state
             self.write_cold(name, cold, batch)
@@ -191,11 +239,15 @@ class TierStore:
         return batch, states[name]
 
     def hot_version(self, state: TableState) -> DataFrame:
-        """The hot rows a state names; rows that a change batch deleted are marked, not kept."""
+        """The hot rows a state names, without those marked as deleted or in a window gone."""
         path = self.hot_path(state.relname, state.hot_version)
         schema = T.StructType(state.struct.fields + [T.StructField(CHANGE, T.StringType())])
         df = self.spark.read.schema(schema).parquet(path)
-        return df.where(F.col(CHANGE).isNull() | (F.col(CHANGE) != "delete")).drop(CHANGE)
+        df = df.where(F.col(CHANGE).isNull() | (F.col(CHANGE) != "delete")).drop(CHANGE)
+        if state.gone is not None:
+            column, zone, after, until = state.gone
+            df = df.where(outside_window(F.col(column), after, until, zone))
+        return df
 
     def cold_rows(self, state: TableState) -> DataFrame | None:
         """The cold batches a state names: a filter on partitions alone."""

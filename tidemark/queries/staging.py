@@ -25,11 +25,16 @@ ANALYTIC_TABLES = ("region", "nation", "supplier", "customer", "part", "orders",
 ROUNDS = (datetime(1998, 1, 1, 0, 1), datetime(1999, 1, 1, 0, 1), datetime(2024, 1, 15, 0, 1))
 
 _ROOTS: dict[tuple[str, str, str], str] = {}
+_GIVEN: dict[tuple[str, str, str], DataFrame] = {}
 _FRAMES: dict[str, dict[str, DataFrame]] = {}
 
 
 def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A given table; its schema is looked up once."""
+    key = (spark.sparkContext.applicationId, sf_dir, table)
+    if key not in _GIVEN:
+        _GIVEN[key] = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return _GIVEN[key]
 
 
 def staged(spark: SparkSession, sf_dir: str, name: str,
