@@ -1,12 +1,20 @@
 """Column expressions against the fixture log and the type table."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import statements as S
-from tidemark.functions.times import iso_text, local_to_utc
+from tidemark.functions.times import (
+    in_window,
+    iso_text,
+    local_bound,
+    local_to_utc,
+    ntz,
+    outside_window,
+)
 from tidemark.functions.types import SOURCE_TYPES, spark_type, spark_type_column, table_schema
 from tidemark.plans.workload import (
     profile,
@@ -119,6 +127,32 @@ def test_times(spark):
     assert row.u == datetime(2024, 1, 1) and row.t == "2024-01-01 09:00:00.000000"
 
 
+def test_bounds_near_a_clock_change_are_not_shifted():
+    assert local_bound(datetime(2024, 7, 1), "Europe/Berlin") == datetime(2024, 7, 1, 2)
+    assert local_bound(datetime(2024, 1, 1), "Asia/Seoul") == datetime(2024, 1, 1, 9)
+    assert local_bound(datetime(2024, 3, 30), "Europe/Berlin") is None
+    assert local_bound(datetime(2024, 1, 1), "No/Where") is None
+    assert local_bound(datetime(2024, 3, 30), None) == datetime(2024, 3, 30)
+
+
+@pytest.mark.parametrize("zone", ["Asia/Seoul", "Europe/Berlin", "America/St_Johns",
+                                  "Australia/Lord_Howe"])
+@pytest.mark.parametrize("start", [datetime(2024, 3, 1), datetime(2024, 9, 25)])
+def test_zoned_windows_equal_conversion_of_every_row(spark, zone, start):
+    """Two months of local half-hours around clock changes, against the converted time."""
+    df = spark.range(0, 60 * 48).select(F.col("id"), F.expr(
+        f"TIMESTAMP_NTZ '{start}' + make_interval(0, 0, 0, 0, 0, 30 * id)").alias("ts"))
+    ts, utc = F.col("ts"), local_to_utc(F.col("ts"), zone)
+    checks = []
+    for day in range(1, 60, 3):
+        last, until = start + timedelta(days=day), start + timedelta(days=day + 2, hours=day % 24)
+        want = (utc > ntz(last)) & (utc <= ntz(until))
+        checks.append(in_window(ts, last, until, zone) != want)
+        checks.append(outside_window(ts, last, until, zone) == want)
+    wrong = df.where(reduce(lambda a, b: a | b, checks))
+    assert wrong.count() == 0
+
+
 def test_clock_expressions(spark):
     row = spark.sql("SELECT current_date() AS d, current_timestamp() AS t").first()
     assert row.t.date() == row.d

@@ -123,7 +123,8 @@ def test_batches_move_rows_and_keep_them_readable(spark, loaded, store):
     want = whole(spark, loaded, store)
     moved = []
     for moment in (day(2), day(5), day(9)):
-        report = run_jdbc_batch(loaded, store, [ORDER, LINE], moment, 0)
+        report = run_jdbc_batch(loaded, store, [ORDER, LINE], moment, 0,
+                                read=lambda t: loaded.parallel(t, "o", 2))
         moved.append([r["moved"] for r in report])
         assert whole(spark, loaded, store) == want
     assert moved == [[1, 3], [1, 1], [2, 3]]

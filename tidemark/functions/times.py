@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,23 +29,41 @@ def local_to_utc(ts: Column, zone: str) -> Column:
     return F.convert_timezone(F.lit(zone), F.lit("UTC"), ts)
 
 
-# A converted column cannot be compared inside a Parquet scan. The zoned forms below therefore
-# add a plain bound, wider by more than any offset, which the scan can use; the exact comparison
-# decides the rows that are left.
+# Zoned windows. Converting every row would cost a zone lookup each and keep the comparison out of
+# the scan. Far from a clock change (two days, more than any offset) it is the same to shift the
+# bound instead, and almost every bound is. Next to a clock change local times can repeat or be
+# missing; there a plain, wider bound goes to the scan and the converted time decides.
 _SLACK = timedelta(days=2)
 
 
+def local_bound(instant: datetime, zone: str | None) -> datetime | None:
+    """The UTC bound as local time; None if the zone's offset changes around it."""
+    if zone is None:
+        return instant
+    try:
+        tz = ZoneInfo(zone)
+    except ZoneInfoNotFoundError:
+        return None
+    hours = int(_SLACK / timedelta(hours=1))
+    utc = instant.replace(tzinfo=timezone.utc)
+    offsets = {(utc + timedelta(hours=h)).astimezone(tz).utcoffset()
+               for h in range(-hours, hours + 1)}
+    return instant + offsets.pop() if len(offsets) == 1 else None
+
+
 def after(ts: Column, last: datetime, zone: str | None = None) -> Column:
     """``ts > last``; with a zone, ``ts`` is local and ``last`` is UTC."""
-    if zone is None:
-        return ts > ntz(last)
+    bound = local_bound(last, zone)
+    if bound is not None:
+        return ts > ntz(bound)
     return (ts > ntz(last - _SLACK)) & (local_to_utc(ts, zone) > ntz(last))
 
 
 def up_to(ts: Column, until: datetime, zone: str | None = None) -> Column:
     """``ts <= until``, zoned as in :func:`after`."""
-    if zone is None:
-        return ts <= ntz(until)
+    bound = local_bound(until, zone)
+    if bound is not None:
+        return ts <= ntz(bound)
     return (ts <= ntz(until + _SLACK)) & (local_to_utc(ts, zone) <= ntz(until))
 
 
@@ -55,12 +74,12 @@ def in_window(ts: Column, last: datetime, until: datetime, zone: str | None = No
 
 def outside_window(ts: Column, last: datetime, until: datetime, zone: str | None = None) -> Column:
     """Every row that :func:`in_window` leaves, a missing time included, as a plain disjunction."""
-    if zone is None:
-        return ts.isNull() | (ts <= ntz(last)) | (ts > ntz(until))
+    low, high = local_bound(last, zone), local_bound(until, zone)
+    if low is not None and high is not None:
+        return ts.isNull() | (ts <= ntz(low)) | (ts > ntz(high))
     # Not the same disjunction twice: the optimizer would take out what both have in common, and
     # the rest would no longer reach the scan.
-    instant = local_to_utc(ts, zone)
-    inside = (instant > ntz(last)) & (instant <= ntz(until))
+    inside = in_window(ts, last, until, zone)
     return ((ts.isNull() | (ts <= ntz(last + _SLACK)) | (ts > ntz(until - _SLACK)))
             & ~F.coalesce(inside, F.lit(False)))
 

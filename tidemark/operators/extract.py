@@ -9,7 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.times import EPOCH, after, in_window, local_to_utc, ntz, outside_window
+from tidemark.functions.times import (
+    EPOCH,
+    after,
+    in_window,
+    local_bound,
+    local_to_utc,
+    ntz,
+    outside_window,
+)
 from tidemark.operators.keyed import keyed_upsert
 
 # The categories a policy may have.
@@ -108,16 +116,16 @@ def closed_parents(policy: TablePolicy, parent: DataFrame, child: DataFrame, las
     lower bound goes to the child scan; children after ``until`` must stay, since they hold
     their parent back. Each task reduces its children to one row per parent before the exchange.
     """
-    close = policy.close_by
-    instant = F.col(close.ts_column)
-    if policy.zone:
-        instant = local_to_utc(instant, policy.zone)
+    close, zone = policy.close_by, policy.zone
+    ts = F.col(close.ts_column)
+    last_ts = ts
+    if local_bound(last, zone) is None or local_bound(until, zone) is None:
+        last_ts, zone = local_to_utc(ts, zone), None
     last_child = (
-        child.where(F.col(close.ts_column).isNotNull()
-                    & after(F.col(close.ts_column), last, policy.zone))
+        child.where(ts.isNotNull() & after(ts, last, policy.zone))
         .groupBy(*[F.col(c).alias(p) for p, c in close.on])
-        .agg(F.max(instant).alias("_closed_at"))
-        .where(in_window(F.col("_closed_at"), last, until))
+        .agg(F.max(last_ts).alias("_closed_at"))
+        .where(in_window(F.col("_closed_at"), last, until, zone))
     )
     on = [p for p, _ in close.on]
     return parent.join(last_child.select(*on), on, "left_semi")

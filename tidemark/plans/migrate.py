@@ -164,15 +164,21 @@ def jdbc_watermarks(hot: JdbcHot) -> dict[str, tuple[datetime, int]]:
 
 
 def run_jdbc_batch(hot: JdbcHot, cold, policies: Sequence[TablePolicy], as_of: datetime,
-                   delay_minutes: int = 1) -> list[dict]:
+                   delay_minutes: int = 1,
+                   read: Callable[[str], DataFrame] | None = None) -> list[dict]:
     """As :func:`run_batch`, deleting from a live database.
 
+    The window is evaluated by the database, so that only settled rows travel. ``read`` gives the
+    rows of a table, by default over one connection; for a large first move give for instance
+    ``lambda t: hot.parallel(t, "id", 64)``.
+
     ``cold`` offers ``write_cold(name, df, batch)`` and ``cold_batch(name, batch, schema)``.
     Rows are read once, into the batch partition; the keys to delete are read back from it, so
     a row that arrives meanwhile is neither lost nor deleted. Delete and watermark are one
     database transaction. Until it commits, read with :func:`~tidemark.operators.tiers.hybrid`
     given the keys; a retry writes the same batch number again.
     """
+    read = read or hot.table
     marks = jdbc_watermarks(hot)
     batch = max((b for _, b in marks.values()), default=-1) + 1
     until = cutoff(as_of, delay_minutes)
@@ -182,8 +188,8 @@ def run_jdbc_batch(hot: JdbcHot, cold, policies: Sequence[TablePolicy], as_of: d
             report.append({"relname": policy.relname, "moved": 0, "skipped": "inactive"})
             continue
         last = marks.get(policy.relname, (EPOCH, -1))[0]
-        rows = _zoneless(hot.table(policy.relname))
-        child = _zoneless(hot.table(policy.close_by.child)) if policy.close_by else None
+        rows = _zoneless(read(policy.relname))
+        child = _zoneless(read(policy.close_by.child)) if policy.close_by else None
         cold.write_cold(policy.relname, extract(policy, rows, last, until, child), batch)
         written = cold.cold_batch(policy.relname, batch, rows.schema)
         moved = written.count()

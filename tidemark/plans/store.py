@@ -224,8 +224,7 @@ class TierStore:
 
     def manifest(self, name: str, columns: list[str]) -> DataFrame:
         """Per-file statistics of the committed cold rows, to be saved and reused."""
-        cold = self.cold(name)
-        return file_stats(cold, columns)
+        return file_stats(self.cold(name), columns)
 
     def snapshots(self, name: str) -> DataFrame:
         """Commits that touched a table: ``batch_id, hot_version, moved, last_ts``."""

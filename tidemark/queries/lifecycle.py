@@ -24,7 +24,7 @@ from tidemark.queries.staging import (
 )
 from tidemark.schemas import CH_NAMES, TPCC, schema_drift, tpcc_schema
 from tidemark.session import in_parallel, scratch
-from tidemark.sources.files import file_stats, may_match, pruned_scan, read_paths
+from tidemark.sources.files import may_match, pruned_scan, read_paths
 from tidemark.sources.lake import append, bulk_load, create_from_source, create_table
 
 # Source types of the orders columns, as its database declares them.
@@ -193,7 +193,7 @@ def _manifest(spark: SparkSession, sf_dir: str):
     store = tpcc_store(spark, sf_dir)
     cold = store.cold("order_line")
     path = scratch(spark, "manifest")
-    file_stats(cold, ["ol_delivery_d"]).write.parquet(path)
+    store.manifest("order_line", ["ol_delivery_d"]).write.parquet(path)
     return store, cold, spark.read.parquet(path)
 
 

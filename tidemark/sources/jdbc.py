@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 class JdbcHot:
@@ -32,12 +31,13 @@ class JdbcHot:
         return self.table(f"({sql}) subquery")
 
     def parallel(self, name: str, column: str, partitions: int) -> DataFrame:
-        """The table in key ranges of equal width, read side by side.
+        """The table in key ranges of equal width, read side by side; the database finds the ends.
 
         Ranges suit an evenly spread key. For another distribution give :meth:`by_predicates`
         conditions that split the rows evenly, such as remainders of a hash.
         """
-        low, high = self.table(name).agg(F.min(column), F.max(column)).first()
+        c = _name(column)
+        low, high = self.query(f"SELECT MIN({c}) AS low, MAX({c}) AS high FROM {name}").first()
         if low is None:
             return self.table(name)
         return self.spark.read.format("jdbc").options(
