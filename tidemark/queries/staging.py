@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,16 +26,17 @@ ANALYTIC_TABLES = ("region", "nation", "supplier", "customer", "part", "orders",
 ROUNDS = (datetime(1998, 1, 1, 0, 1), datetime(1999, 1, 1, 0, 1), datetime(2024, 1, 15, 0, 1))
 
 _ROOTS: dict[tuple[str, str, str], str] = {}
-_GIVEN: dict[tuple[str, str, str], DataFrame] = {}
-_FRAMES: dict[str, dict[str, DataFrame]] = {}
+# Frames belong to a session: given tables by path, and the tables of a store by its root.
+_GIVEN: WeakKeyDictionary[SparkSession, dict[str, DataFrame]] = WeakKeyDictionary()
+_FRAMES: WeakKeyDictionary[SparkSession, dict[str, dict[str, DataFrame]]] = WeakKeyDictionary()
 
 
 def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A given table; its schema is looked up once."""
-    key = (spark.sparkContext.applicationId, sf_dir, table)
-    if key not in _GIVEN:
-        _GIVEN[key] = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return _GIVEN[key]
+    frames, path = _GIVEN.setdefault(spark, {}), f"{sf_dir}/{table}.parquet"
+    if path not in frames:
+        frames[path] = spark.read.parquet(path)
+    return frames[path]
 
 
 def staged(spark: SparkSession, sf_dir: str, name: str,
@@ -67,10 +69,11 @@ def _register(store: TierStore, text: str, aliases: dict[str, str]) -> None:
 
     The frames are kept, since a published state never changes.
     """
-    if store.root not in _FRAMES:
-        _FRAMES[store.root] = store.tables()
-    names = {n: aliases.get(n, n) for n in _FRAMES[store.root]}
-    register_hybrid({v: _FRAMES[store.root][n] for n, v in names.items() if v in text})
+    frames = _FRAMES.setdefault(store.spark, {})
+    if store.root not in frames:
+        frames[store.root] = store.tables()
+    register_hybrid({aliases.get(name, name): df for name, df in frames[store.root].items()
+                     if aliases.get(name, name) in text})
 
 
 def analytic_views(spark: SparkSession, sf_dir: str, text: str) -> None:
