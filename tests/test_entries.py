@@ -4,8 +4,9 @@ import compare
 import pytest
 
 import __spark_entry__ as contract
+from tidemark.queries import ORACLES, QUERIES
+
 
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
