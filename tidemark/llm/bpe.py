@@ -138,7 +138,7 @@ def loaded(path: str) -> BytePairs:
 
 def encode_texts(docs: DataFrame, text_col: str = "text", ranks: str = RANKS) -> DataFrame:
     """``docs`` with ``_ids`` (packed ids) and ``_bytes`` (what the ids decode to)."""
-    schema = StructType(docs.schema.fields).add("_ids", "binary").add("_bytes", "binary")
+    schema = StructType(list(docs.schema.fields)).add("_ids", "binary").add("_bytes", "binary")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs = loaded(ranks)
