@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, embeddings, fingerprints, licenses, lines
-from tidemark.llm.common import table
+from tidemark.llm import bpe, embeddings, fingerprints, languages, licenses, lines, toxicity
+from tidemark.llm.common import crc_mod, table
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,24 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod("doc_id", 5) == 0
+    model = toxicity.learn(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), F.col("_toxic").alias("score"),
+        (F.col("_toxic") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod("doc_id", 3) == 1
+    model = languages.learn(docs.where(~held_out))
+    return languages.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), F.col("_lang").alias("lang_pred"),
+        F.col("_sure").alias("score"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
@@ -41,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op5_document_fingerprints": op5_document_fingerprints,
+    "op6_toxicity": op6_toxicity,
+    "op7_language_id": op7_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_byte_bpe": op10_byte_bpe,
 }
