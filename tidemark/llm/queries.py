@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, embeddings, fingerprints, languages, licenses, lines, toxicity
+from tidemark.llm import bpe, embeddings, fingerprints, languages, licenses, lines, mixing, toxicity
 from tidemark.llm.common import crc_mod, table
 
 
@@ -47,6 +47,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_sure").alias("score"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target",
+        (F.col("repeats") * F.col("size")).alias("taken"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
+    "op8_source_mixing": op8_source_mixing,
     "op9_license_scan": op9_license_scan,
     "op10_byte_bpe": op10_byte_bpe,
 }
@@ -97,4 +104,32 @@ ORACLES: dict[str, str] = {
                sha256(COALESCE(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), ''))
                  AS kept_sha256
         FROM f GROUP BY doc_id""",
+    "op8_source_mixing": r"""
+        WITH d AS (
+          SELECT doc_id, source,
+                 len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                 CAST('0x' || left(md5(COALESCE(CAST(doc_id AS VARCHAR), '')), 12) AS BIGINT) AS k
+          FROM documents),
+        s AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, CAST((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1
+                             AS DOUBLE) AS weight, CAST(3 * source_size AS DOUBLE) AS lim FROM s),
+        l AS (SELECT *, ((SELECT CAST(SUM(source_size) AS DOUBLE) FROM s) - COALESCE(SUM(lim) OVER (
+                  ORDER BY source_size / weight, encode(source) NULLS LAST
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / SUM(weight) OVER (ORDER BY source_size / weight, encode(source) NULLS LAST
+                  ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM w),
+        a AS (SELECT arg_min(lev, source_size / weight) AS lev FROM l WHERE lev * weight <= lim),
+        t AS (SELECT l.source, source_size, least(lim, weight * a.lev) AS target FROM l, a),
+        u AS (SELECT d.doc_id, d.source, d.k, d.size, t.source_size, t.target, SUM(d.size) OVER (
+                PARTITION BY d.source ORDER BY d.k) AS upto
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        q AS (SELECT u.*, r.r, CASE WHEN target > 0
+                THEN CAST(upto + r.r * source_size AS DOUBLE) / target ELSE r.r END AS finish
+              FROM u, (SELECT unnest([0, 1, 2]) AS r) r),
+        c AS (SELECT *, SUM(size) OVER (ORDER BY finish, encode(source) NULLS LAST, k, r) AS total
+              FROM q)
+        SELECT doc_id, size, source_size, target,
+               CAST(SUM(CASE WHEN total <= (SELECT SUM(size) FROM d) THEN size ELSE 0 END) AS BIGINT)
+                 AS taken
+        FROM c GROUP BY doc_id, size, source_size, target""",
 }
