@@ -53,14 +53,14 @@ NAMED = (
     ("apache-2.0", "apache", r"apache(?: software)? licen[sc]e version 2(?: 0)?", "apache", r"(?:apache(?: licen[sc]e)? ?v? ?2(?: 0)?|apache org licen[sc]es licen[sc]e 2 0)"),
     ("mit", "licen", r"(?:mit|expat)(?: x11| expat)? licen[sc]e", "mit", r"(?:spdx licen[sc]e identifier mit|opensource org licen[sc]es mit(?: licen[sc]e php)?)"),
     ("mit-0", "mit", r"mit no attribution(?: licen[sc]e)?", "mit 0", r"mit 0"),
-    ("x11", "x11", r"x11 licen[sc]e", "x11", r"spdx licen[sc]e identifier x11"),
+    ("x11", "x11 licen", r"x11 licen[sc]e", "identifier x11", r"spdx licen[sc]e identifier x11"),
     ("bsd-1-clause", "bsd", r"bsd (?:1|one) clause(?: licen[sc]e)?", "bsd", r"(?:1|one) clause bsd(?: licen[sc]e)?"),
     ("bsd-2-clause", "bsd", r"(?:simplified|freebsd) bsd licen[sc]e", "bsd", r"(?:bsd (?:2|two) clause|(?:2|two) clause bsd)(?: licen[sc]e)?"),
     ("bsd-3-clause", "bsd", r"(?:new|modified|revised) bsd licen[sc]e", "bsd", r"(?:bsd (?:3|three) clause|(?:3|three) clause bsd)(?: licen[sc]e)?"),
     ("bsd-4-clause", "bsd", r"(?:original|old) bsd licen[sc]e", "bsd", r"(?:bsd (?:4|four) clause|(?:4|four) clause bsd)(?: licen[sc]e)?"),
     ("0bsd", "bsd", r"(?:zero clause|free public) bsd(?: licen[sc]e)?", "0bsd", r"0bsd"),
     ("bsd", "bsd", r"bsd(?: style)? licen[sc]e", "bsd", r"opensource org licen[sc]es bsd licen[sc]e(?: php)?"),
-    ("isc", "isc", r"isc licen[sc]e", "isc", r"spdx licen[sc]e identifier isc"),
+    ("isc", "isc licen", r"isc licen[sc]e", "identifier isc", r"spdx licen[sc]e identifier isc"),
     ("mpl-1.0", "mozilla", r"mozilla public licen[sc]e version 1 0", "mpl", r"mpl ?v? ?1 0"),
     ("mpl-1.1", "mozilla", r"mozilla public licen[sc]e version 1 1", "mpl", r"(?:mpl ?v? ?1 1|mozilla org mpl mpl 1 1)"),
     ("mpl-2.0", "mozilla", r"mozilla public licen[sc]e(?: version| v)? ?2(?: 0)?", "mpl", r"(?:mpl ?v? ?2(?: 0)?|mozilla org mpl 2 0)"),
@@ -79,7 +79,7 @@ NAMED = (
     ("artistic-1.0", "artistic", r"artistic licen[sc]e(?: version)? 1 0", "artistic", r"artistic 1 0(?: perl)?"),
     ("artistic-2.0", "artistic", r"artistic licen[sc]e(?: version)? 2 0", "artistic", r"(?:artistic 2 0|perlfoundation org artistic licen[sc]e 2 0)"),
     ("artistic", "artistic", r"artistic licen[sc]e", "artistic", r"opensource org licen[sc]es artistic licen[sc]e(?: php)?"),
-    ("zlib", "zlib", r"zlib(?: libpng)? licen[sc]e", "zlib", r"spdx licen[sc]e identifier zlib"),
+    ("zlib", "zlib", r"zlib(?: libpng)? licen[sc]e", "identifier zlib", r"spdx licen[sc]e identifier zlib"),
     ("libpng", "licen", r"(?:png reference library|libpng) licen[sc]e(?: version 2)?", "libpng", r"libpng 2 0"),
     ("boost-1.0", "boost", r"boost software licen[sc]e(?: version)?(?: 1 0)?", "1 0", r"(?:bsl 1 0|boost org licen[sc]e 1 0(?: txt)?)"),
     ("bsl-1.1", "business source", r"business source licen[sc]e(?: version)?(?: 1 1)?", "busl", r"busl 1 1"),
@@ -89,22 +89,22 @@ NAMED = (
     ("wtfpl", "do what the", r"do what the f\w+ you want to public licen[sc]e", "wtfpl", r"wtfpl(?: v? ?2)?"),
     ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?(?: public domain dedication)?", "publicdomain", r"creativecommons org publicdomain zero 1 0"),
     ("public-domain", "public domain", r"(?:dedicated to|placed in(?:to)?|released into|in) the public domain", "publicdomain", r"creativecommons org (?:licen[sc]es )?publicdomain(?: mark 1 0)?"),
-    ("cc-by-1.0", "attribution", r"creative commons attribution(?: licen[sc]e)? 1 0(?: generic)?", "by", r"(?:cc by 1 0|creativecommons org licen[sc]es by 1 0)"),
-    ("cc-by-2.0", "attribution", r"creative commons attribution(?: licen[sc]e)? 2 0(?: generic)?", "by", r"(?:cc by 2 0|creativecommons org licen[sc]es by 2 0)"),
-    ("cc-by-2.5", "attribution", r"creative commons attribution(?: licen[sc]e)? 2 5(?: generic)?", "by", r"(?:cc by 2 5|creativecommons org licen[sc]es by 2 5)"),
-    ("cc-by-3.0", "attribution", r"creative commons attribution(?: licen[sc]e)? 3 0(?: unported)?", "by", r"(?:cc by 3 0|creativecommons org licen[sc]es by 3 0)"),
-    ("cc-by-4.0", "attribution", r"creative commons attribution(?: licen[sc]e)? 4 0(?: international)?", "by", r"(?:cc by 4 0|creativecommons org licen[sc]es by 4 0)"),
-    ("cc-by-sa-2.0", "share", r"attribution share ?alike 2 0(?: generic)?", "by sa", r"(?:cc by sa 2 0|creativecommons org licen[sc]es by sa 2 0)"),
-    ("cc-by-sa-2.5", "share", r"attribution share ?alike 2 5(?: generic)?", "by sa", r"(?:cc by sa 2 5|creativecommons org licen[sc]es by sa 2 5)"),
-    ("cc-by-sa-3.0", "share", r"attribution share ?alike 3 0(?: unported)?", "by sa", r"(?:cc by sa 3 0|creativecommons org licen[sc]es by sa 3 0)"),
-    ("cc-by-sa-4.0", "share", r"attribution share ?alike 4 0(?: international)?", "by sa", r"(?:cc by sa 4 0|creativecommons org licen[sc]es by sa 4 0)"),
-    ("cc-by-nc-3.0", "non", r"attribution non ?commercial 3 0(?: unported)?", "by nc", r"(?:cc by nc 3 0|creativecommons org licen[sc]es by nc 3 0)"),
-    ("cc-by-nc-4.0", "non", r"attribution non ?commercial 4 0(?: international)?", "by nc", r"(?:cc by nc 4 0|creativecommons org licen[sc]es by nc 4 0)"),
-    ("cc-by-nc-sa-3.0", "non", r"attribution non ?commercial share ?alike 3 0(?: unported)?", "by nc sa", r"(?:cc by nc sa 3 0|creativecommons org licen[sc]es by nc sa 3 0)"),
-    ("cc-by-nc-sa-4.0", "non", r"attribution non ?commercial share ?alike 4 0(?: international)?", "by nc sa", r"(?:cc by nc sa 4 0|creativecommons org licen[sc]es by nc sa 4 0)"),
-    ("cc-by-nd-4.0", "no", r"attribution no ?deriv(?:s|atives) 4 0(?: international)?", "by nd", r"(?:cc by nd 4 0|creativecommons org licen[sc]es by nd 4 0)"),
-    ("cc-by-nc-nd-3.0", "non", r"attribution non ?commercial no ?deriv(?:s|atives) 3 0(?: unported)?", "by nc nd", r"(?:cc by nc nd 3 0|creativecommons org licen[sc]es by nc nd 3 0)"),
-    ("cc-by-nc-nd-4.0", "non", r"attribution non ?commercial no ?deriv(?:s|atives) 4 0(?: international)?", "by nc nd", r"(?:cc by nc nd 4 0|creativecommons org licen[sc]es by nc nd 4 0)"),
+    ("cc-by-1.0", "attribution", r"creative commons attribution(?: licen[sc]e)? 1 0(?: generic)?", "by 1 0", r"(?:cc by 1 0|creativecommons org licen[sc]es by 1 0)"),
+    ("cc-by-2.0", "attribution", r"creative commons attribution(?: licen[sc]e)? 2 0(?: generic)?", "by 2 0", r"(?:cc by 2 0|creativecommons org licen[sc]es by 2 0)"),
+    ("cc-by-2.5", "attribution", r"creative commons attribution(?: licen[sc]e)? 2 5(?: generic)?", "by 2 5", r"(?:cc by 2 5|creativecommons org licen[sc]es by 2 5)"),
+    ("cc-by-3.0", "attribution", r"creative commons attribution(?: licen[sc]e)? 3 0(?: unported)?", "by 3 0", r"(?:cc by 3 0|creativecommons org licen[sc]es by 3 0)"),
+    ("cc-by-4.0", "attribution", r"creative commons attribution(?: licen[sc]e)? 4 0(?: international)?", "by 4 0", r"(?:cc by 4 0|creativecommons org licen[sc]es by 4 0)"),
+    ("cc-by-sa-2.0", "attribution share", r"attribution share ?alike 2 0(?: generic)?", "by sa 2 0", r"(?:cc by sa 2 0|creativecommons org licen[sc]es by sa 2 0)"),
+    ("cc-by-sa-2.5", "attribution share", r"attribution share ?alike 2 5(?: generic)?", "by sa 2 5", r"(?:cc by sa 2 5|creativecommons org licen[sc]es by sa 2 5)"),
+    ("cc-by-sa-3.0", "attribution share", r"attribution share ?alike 3 0(?: unported)?", "by sa 3 0", r"(?:cc by sa 3 0|creativecommons org licen[sc]es by sa 3 0)"),
+    ("cc-by-sa-4.0", "attribution share", r"attribution share ?alike 4 0(?: international)?", "by sa 4 0", r"(?:cc by sa 4 0|creativecommons org licen[sc]es by sa 4 0)"),
+    ("cc-by-nc-3.0", "attribution non", r"attribution non ?commercial 3 0(?: unported)?", "by nc 3 0", r"(?:cc by nc 3 0|creativecommons org licen[sc]es by nc 3 0)"),
+    ("cc-by-nc-4.0", "attribution non", r"attribution non ?commercial 4 0(?: international)?", "by nc 4 0", r"(?:cc by nc 4 0|creativecommons org licen[sc]es by nc 4 0)"),
+    ("cc-by-nc-sa-3.0", "attribution non", r"attribution non ?commercial share ?alike 3 0(?: unported)?", "by nc sa 3 0", r"(?:cc by nc sa 3 0|creativecommons org licen[sc]es by nc sa 3 0)"),
+    ("cc-by-nc-sa-4.0", "attribution non", r"attribution non ?commercial share ?alike 4 0(?: international)?", "by nc sa 4 0", r"(?:cc by nc sa 4 0|creativecommons org licen[sc]es by nc sa 4 0)"),
+    ("cc-by-nd-4.0", "attribution no", r"attribution no ?deriv(?:s|atives) 4 0(?: international)?", "by nd 4 0", r"(?:cc by nd 4 0|creativecommons org licen[sc]es by nd 4 0)"),
+    ("cc-by-nc-nd-3.0", "attribution non", r"attribution non ?commercial no ?deriv(?:s|atives) 3 0(?: unported)?", "by nc nd 3 0", r"(?:cc by nc nd 3 0|creativecommons org licen[sc]es by nc nd 3 0)"),
+    ("cc-by-nc-nd-4.0", "attribution non", r"attribution non ?commercial no ?deriv(?:s|atives) 4 0(?: international)?", "by nc nd 4 0", r"(?:cc by nc nd 4 0|creativecommons org licen[sc]es by nc nd 4 0)"),
     ("cc-by-nc", "creative commons", r"creative commons(?: attribution)? non ?commercial(?: licen[sc]e)?", "by nc", r"cc by nc"),
     ("cc-by-sa", "creative commons", r"creative commons(?: attribution)? share ?alike(?: licen[sc]e)?", "by sa", r"cc by sa"),
     ("ofl-1.1", "open font", r"(?:sil )?open font licen[sc]e(?: version)?(?: 1 1)?", "ofl", r"(?:ofl 1 1|scripts sil org ofl)"),
@@ -112,12 +112,12 @@ NAMED = (
     ("odc-by-1.0", "open data", r"open data commons attribution licen[sc]e(?: v? ?1 0)?", "by", r"(?:odc by(?: 1 0)?|opendatacommons org licen[sc]es by)"),
     ("pddl-1.0", "public domain", r"public domain dedication and licen[sc]e(?: v? ?1 0)?", "pddl", r"(?:pddl(?: 1 0)?|opendatacommons org licen[sc]es pddl)"),
     ("psf-2.0", "licen", r"(?:python software foundation|psf) licen[sc]e(?: agreement)?(?: version 2)?", "psf", r"psf 2 0"),
-    ("python-2.0", "python", r"python licen[sc]e(?: version)?(?: 2 0)?", "python", r"spdx licen[sc]e identifier python 2 0"),
+    ("python-2.0", "python", r"python licen[sc]e(?: version)?(?: 2 0)?", "identifier python", r"spdx licen[sc]e identifier python 2 0"),
     ("ruby", "ruby", r"ruby(?: s)? licen[sc]e", "ruby", r"ruby lang org en about licen[sc]e(?: txt)?"),
     ("php-3.0", "php", r"php licen[sc]e(?: version)? 3 0", "php", r"php net licen[sc]e 3 0(?: txt)?"),
     ("php-3.01", "php", r"php licen[sc]e(?: version)? 3 01", "php", r"php net licen[sc]e 3 01(?: txt)?"),
     ("openssl", "openssl", r"openssl licen[sc]e", "openssl", r"openssl org source licen[sc]e(?: html)?"),
-    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa open source licen[sc]e", "ncsa", r"spdx licen[sc]e identifier ncsa"),
+    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa open source licen[sc]e", "identifier ncsa", r"spdx licen[sc]e identifier ncsa"),
     ("postgresql", "postgresql", r"postgresql licen[sc]e", "postgresql", r"postgresql org about licen[sc]e"),
     ("w3c", "w3c", r"w3c(?: software)?(?: notice and)? licen[sc]e", "w3 org", r"w3 org consortium legal 20\d\d copyright software"),
     ("ms-pl", "microsoft", r"microsoft public licen[sc]e", "ms pl", r"ms pl"),
@@ -128,13 +128,13 @@ NAMED = (
     ("blueoak-1.0", "blue oak", r"blue oak model licen[sc]e(?: 1 0 0)?", "blueoak", r"blueoak 1 0 0"),
     ("mulan-psl-2.0", "mulan", r"mulan permissive software licen[sc]e(?: version| v)? ?2", "mulan", r"mulanpsl 2 0"),
     ("lppl-1.3c", "latex", r"latex project public licen[sc]e(?: version| v)?(?: 1 3c?)?", "lppl", r"(?:lppl(?: 1 3c)?|latex project org lppl(?: txt)?)"),
-    ("vim", "vim", r"vim licen[sc]e", "vim", r"spdx licen[sc]e identifier vim"),
-    ("curl", "curl", r"curl licen[sc]e", "curl", r"curl se docs copyright html"),
-    ("beerware", "beer", r"beer ?ware licen[sc]e", "beerware", r"spdx licen[sc]e identifier beerware"),
+    ("vim", "vim licen", r"vim licen[sc]e", "identifier vim", r"spdx licen[sc]e identifier vim"),
+    ("curl", "curl licen", r"curl licen[sc]e", "curl", r"curl se docs copyright html"),
+    ("beerware", "licen", r"beer ?ware licen[sc]e", "identifier beerware", r"spdx licen[sc]e identifier beerware"),
     ("json", "json", r"json licen[sc]e", "json", r"json org licen[sc]e html"),
     ("unicode-dfs", "unicode", r"unicode licen[sc]e(?: agreement)?(?: v3)?", "unicode", r"(?:unicode dfs 201[56]|unicode org (?:copyright|licen[sc]e)(?: html| txt)?)"),
     ("qpl-1.0", "q public", r"q public licen[sc]e(?: version)?(?: 1 0)?", "qpl", r"qpl 1 0"),
-    ("sleepycat", "sleepycat", r"sleepycat licen[sc]e", "sleepycat", r"spdx licen[sc]e identifier sleepycat"),
+    ("sleepycat", "sleepycat licen", r"sleepycat licen[sc]e", "identifier sleepycat", r"spdx licen[sc]e identifier sleepycat"),
     ("zpl-2.1", "zope", r"zope public licen[sc]e(?: zpl)?(?: version)?(?: 2 1)?", "zpl", r"zpl 2 1"),
     ("naist", "naist", r"naist licen[sc]e", "naist", r"naist 2003"),
     ("proprietary", "all rights", r"all rights reserved", "proprietary", r"(?:proprietary and confidential|confidential and proprietary)"),

@@ -22,15 +22,19 @@ from tidemark.llm.fingerprints import let
 from tidemark.llm.license_rules import IDENTIFIER, NAME, NOTICE, PHRASE, TEXT, all_rules
 
 #: Beginnings of words of which every detection holds one.
-GATE = ("0bsd", "academic", "advertising", "affero", "afl", "agpl", "all rights", "apache", "artistic",
-        "attribution", "beer", "blue", "boost", "bsd", "bsl", "busl", "cc by", "cc0", "cddl", "cecill",
-        "confidential", "copyright", "cpl", "creative", "curl", "disclaimed", "disclaimer",
-        "do what", "eclipse", "edl", "elastic", "endorse", "epl", "eupl", "evil", "gfdl", "gnu", "gpl",
-        "json", "latex", "lgpl", "libpng", "licen", "lppl", "misrepresented", "mit 0", "mit no",
-        "mozilla", "mpl", "ms pl", "ms rl", "mulan", "naist", "ncsa", "odbl", "odc", "ofl",
-        "opendatacommons", "openssl", "osl", "pddl", "perl", "permission", "php net", "postgresql",
-        "proprietary", "psf", "public", "qpl", "redistribut", "ruby lang", "scripts sil", "sspl",
-        "unauthorized", "unicode", "unlicense", "upl", "w3", "warrant", "wtfpl", "you just", "zpl")
+GATE = ("0bsd", "advertising materials", "afl 3", "agpl", "all rights reserved", "apache", "copyright and",
+        "artistic [12]", "attribution ", "beer in return", "blueoak", "boost org", "bsd ",
+        "bsl 1 0", "busl 1", "cc by ", "cc0", "cddl", "cecill", "clause bsd", "confidential and",
+        "copyright notice", "cpl v? ?1", "creative commons", "creativecommons", "curl se",
+        "disclaimed", "disclaimer", "do what the", "eclipse ", "edl v? ?1", "elastic 2",
+        "endorse or", "epl ?v? ?[12]", "eupl", "for good not evil", "gfdl", "gnu ", "gpl",
+        "json org", "latex project", "lgpl", "libpng 2", "licen", "lppl", "misrepresented", "mit 0",
+        "mit no attribution", "mozilla org", "mpl ?v? ?[12]", "ms [pr]l", "mulanpsl", "naist 2003",
+        "odbl", "odc by", "ofl 1 1", "opendatacommons", "openssl", "osl 3", "pddl", "perl itself",
+        "perlfoundation", "permission ", "php net", "postgresql", "proprietary and", "psf 2",
+        "public domain", "qpl 1", "redistribut", "ruby lang", "scripts sil", "sspl",
+        "strictly prohibited", "unicode dfs", "unicode org", "unlicense", "upl 1", "w3 org",
+        "wtfpl", "zpl 2", "warranty", "warranties", "you just do")
 GATE_PATTERN = " (?:" + "|".join(GATE) + ")"
 
 #: How sure a detection of a priority makes.
@@ -57,7 +61,7 @@ def _blanks(text: Column) -> Column:
 def _rule_array() -> Column:
     return F.array(*[F.struct(
         F.lit(i).alias("nth"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"),
-        F.lit(r.keyword).alias("keyword"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern"))
+        F.lit(" " + r.keyword).alias("keyword"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern"))
         for i, r in enumerate(all_rules())])
 
 
