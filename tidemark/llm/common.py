@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +19,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 OTHER_CASED = r"[\p{javaUpperCase}\p{javaTitleCase}&&[^\x00-\x7F]]"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this library from where the driver has it, if they find it there."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -253,7 +253,7 @@ def _blocks(rows: DataFrame, many: DataFrame, words: int, percent: int) -> DataF
     blocks = F.ceil(F.when(own, F.col("k")).otherwise(F.col("small")) / BLOCK)
     member = stored(member.select(
         "part", F.col("rep").alias("id"), "comp", F.concat_ws(
-            "/", F.when(own, F.col("comp")).otherwise(F.lit("some")).cast("string"),
+            "/", F.when(own, F.col("comp").cast("string")).otherwise(F.lit("some")),
             F.pmod(F.xxhash64("rep"), blocks).cast("string")).alias("block"),
         F.when(own, F.col("comp")).alias("whole")), "blocks")
     listed = member.select("part", "block", "whole").distinct()
