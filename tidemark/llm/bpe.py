@@ -168,7 +168,7 @@ def decode_ids(encoded: DataFrame, ids_col: str = "_ids", ranks: str = RANKS) ->
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS
             ) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of every text."""
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every row."""
     out = encode_texts(docs.select(id_col, text_col), text_col, ranks)
     return out.select(
         id_col, (F.length("_ids") / 4).cast("long").alias("n_tokens"),

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, embeddings, fingerprints, jaccard, languages, licenses, lines, mixing, toxicity
+from tidemark.llm import bpe, embeddings, fingerprints, jaccard, languages, licenses, lines, mixing, tokens, toxicity
 from tidemark.llm.common import crc_mod, table
+from tidemark.session import scratch
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,15 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_sets(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "llm-token-files")
+    tokens.write_tokens(table(spark, sf_dir, "documents"), path)
+    read = tokens.read_tokens(spark, path)
+    return read.join(tokens.starts(spark, path), ["shard", "block"]).select(
+        "doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens",
+        F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -69,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_token_files": op4_token_files,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
