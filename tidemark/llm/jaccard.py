@@ -177,21 +177,30 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     sets = stored(rows.mapInArrow(_prefixes(words, percent, frequent),
                                   "id long, n long, h1 long, h2 long, prefix array<long>"), "sets")
 
-    reps = sets.where("n > 0 AND id IS NOT NULL").groupBy("n", "h1", "h2", "prefix").agg(
-        F.min("id").alias("rep"))
-    groups = reps.groupBy("n", "prefix").agg(F.min("rep").alias("gid"), F.count("*").alias("members"))
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
-    met = groups.select("gid", "n", "members", band.alias("band"), F.explode("prefix").alias("s"))
-    shared = met.groupBy("s").agg(F.sum("members").alias("k")).where("k > 1").select("s")
-    met = stored(met.join(shared, "s"), "meetings")
+    # sets and groups are told apart by 128-bit hashes; prefixes themselves move only to be met
+    filled = sets.where("n > 0 AND id IS NOT NULL")
+    reps = filled.select("id", "n", "h1", "h2", F.xxhash64("prefix").alias("p1"),
+                         F.xxhash64(F.lit(1), "prefix").alias("p2"))
+    reps = reps.groupBy("n", "h1", "h2", "p1", "p2").agg(F.min("id").alias("rep"))
+    groups = reps.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"), F.count("*").alias("members"))
+    reps = stored(reps.join(groups, ["n", "p1", "p2"]).select(
+        "rep", "gid", "n", "h1", "h2", "members"), "reps")
+    others = filled.select("id").distinct().join(
+        reps.select(F.col("gid").alias("id")), "id", "left_anti")
+    tokens = filled.join(others, "id", "left_anti").select(
+        F.col("id").alias("gid"), F.explode("prefix").alias("s"))
+    several = reps.where("members > 1").select("gid").distinct()
+    shared = tokens.union(tokens.join(several, "gid")).groupBy("s").agg(F.count("*").alias("k")).where(
+        "k > 1").select("s")
+    met = stored(tokens.join(shared, "s").distinct(), "meetings")
 
     # the members of groups that meet any other, or have several
-    wide = met.select("gid").distinct()
-    member = stored(reps.join(groups.withColumnRenamed("n", "n2").withColumnRenamed("prefix", "p2"),
-                              (F.col("n") == F.col("n2")) & (F.col("prefix") == F.col("p2"))).select(
-        "rep", "gid", "n").join(wide, "gid", "left_semi").distinct(), "members")
-    hubs = met.groupBy("s", "band").agg(F.min("gid").alias("hub"))
-    star = met.join(hubs, ["s", "band"]).select("gid", "hub")
+    member = stored(reps.select("rep", "gid", "n").join(
+        met.select("gid").distinct(), "gid", "left_semi").distinct(), "members")
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    banded = met.join(member.select("gid", band.alias("band")).distinct(), "gid")
+    hubs = banded.groupBy("s", "band").agg(F.min("gid").alias("hub"))
+    star = banded.join(hubs, ["s", "band"]).select("gid", "hub")
     # neighbouring bands of sizes meet by their hubs
     next_band = hubs.select("s", (F.col("band") - 1).alias("band"), F.col("hub").alias("next"))
     steps = hubs.join(next_band, ["s", "band"]).select(F.col("hub").alias("gid"), F.col("next").alias("hub"))
@@ -203,7 +212,7 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         ids = pairs.select("a").union(pairs.select("b")).distinct()
-        texts = stored(rows.join(ids, rows.id == ids.a, "left_semi").distinct(), f"{name}-texts")
+        texts = rows.join(ids, rows.id == ids.a, "left_semi").distinct()
         a = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
         b = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
         return stored(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(
@@ -232,8 +241,7 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     if many.head(1):
         links = links.union(_blocks(rows, many, words, percent))
 
-    edges = links.union(sets.where("n > 0 AND id IS NOT NULL").join(
-        reps.withColumnRenamed("n", "n2"), ["h1", "h2"]).where("id <> rep AND n = n2").select("id", "rep"))
+    edges = links.union(filled.join(reps, ["n", "h1", "h2"]).where("id <> rep").select("id", "rep"))
     group = components(edges)
     return sets.join(group, sets.id == group.node, "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
