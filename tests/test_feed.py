@@ -136,17 +136,19 @@ def test_manifest_prunes_files_and_no_rows(spark):
     assert len(scan.inputFiles()) == 2
     assert rows(scan.where("id BETWEEN 250 AND 349")) == rows(
         table.where("id BETWEEN 250 AND 349"))
-    whole = pruned_scan(spark, table, manifest, match, path, limit=1)
-    assert len(whole.inputFiles()) == 10
+    # a file that came after the manifest is read
+    spark.range(300, 310, 1, 1).withColumn("v", F.col("id") * 2).write.mode("append").parquet(path)
+    grown = spark.read.parquet(path)
+    assert pruned_scan(spark, grown, manifest, match, path).where("id = 305").count() == 2
     assert pruned_scan(spark, table, manifest, may_match("id", 5000), path).count() == 0
     assert len(pruned_scan(spark, table, manifest, may_match("id"), path).inputFiles()) == 10
 
 
 def test_paths(spark):
     df = spark.createDataFrame([("s3://b/x",), ("s3a://b/x",), ("file:/x",), ("data/x",),
-                                ("gs://b/x",)], "p string")
+                                ("gs://b/x",), ("abfss://c@a/x",)], "p string")
     got = [r.r for r in df.select(resolve_path(F.col("p"), "s3://w/").alias("r")).collect()]
-    assert got == ["s3://b/x", "s3a://b/x", "file:/x", "s3://w/data/x", "s3://w/gs://b/x"]
+    assert got == ["s3://b/x", "s3a://b/x", "file:/x", "s3://w/data/x", "gs://b/x", "abfss://c@a/x"]
 
 
 def test_missing_folder_is_none_other_failures_raise(spark, tmp_path):
@@ -165,3 +167,20 @@ def test_object_report(spark, tmp_path):
     report = object_report(spark, str(tmp_path), expected,
                            F.element_at(F.split("path", "/"), -1)).first()
     assert tuple(report) == (80, 77, 3, 77 * 8192)
+
+
+def test_an_object_in_several_files_counts_once(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"part-{i}.bin").write_bytes(b"x" * 10)
+    expected = spark.createDataFrame([("all",), ("all",), ("none",)], "key string")
+    assert tuple(object_report(spark, str(tmp_path), expected, F.lit("all")).first()) == (2, 1, 1, 30)
+
+
+def test_pruned_scan_of_names_with_blanks_and_brackets(spark):
+    path = scratch(spark, "odd [names] with blanks")
+    spark.range(0, 100, 1, 4).write.parquet(path)
+    literal_path = path.replace("[", "\\[").replace("]", "\\]")
+    table = spark.read.parquet(literal_path)
+    manifest = file_stats(table, ["id"])
+    scan = pruned_scan(spark, table, manifest, may_match("id", 10, 20), path)
+    assert scan.where("id BETWEEN 10 AND 20").count() == 11 and len(scan.inputFiles()) == 1

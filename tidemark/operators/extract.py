@@ -140,7 +140,3 @@ def extract(policy: TablePolicy, hot: DataFrame, last: datetime, until: datetime
         return closed_parents(policy, hot, child, last, until)
     return hot.where(settled(policy, last, until))
 
-
-def stragglers(hot: DataFrame, ts: str, visible: str, as_of: datetime, until: datetime):
-    """Rows within the window that were not yet visible when it was moved: they stay hot."""
-    return hot.where((F.col(ts) <= ntz(until)) & (F.col(visible) > ntz(as_of)))

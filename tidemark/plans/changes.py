@@ -61,5 +61,5 @@ def apply_batch(store: TierStore, name: str, changes: DataFrame, keys: Sequence[
     if counts.get("conflict"):
         raise ChangeError(f"{counts['conflict']} inserts onto existing keys")
     rows = sum(counts.values())
-    store.commit(batch, [replace(state, moved=0).with_hot(batch, rows)])
+    store.commit(batch, [replace(state, moved=0).with_hot(batch, rows, counts.get("delete", 0))])
     return {op: counts.get(op, 0) for op in OPS}

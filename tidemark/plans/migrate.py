@@ -48,9 +48,7 @@ def run_batch(store: TierStore, policies: Sequence[TablePolicy], as_of: datetime
         name, state = policy.relname, states[policy.relname]
         child = hot[policy.close_by.child] if policy.close_by else None
         rows = extract(policy, hot[name], state.last_ts, until, child)
-        store.write_cold(name, rows, batch, rebalance=True)
-        written = store.cold_batch(name, batch, state.struct)
-        moved = written.count()
+        moved = store.add_cold(name, rows, batch, state.struct, True, state.generation)
         after = state.after_batch(batch, moved, last_ts=max(until, state.last_ts))
         if not moved:
             return after
@@ -58,6 +56,7 @@ def run_batch(store: TierStore, policies: Sequence[TablePolicy], as_of: datetime
             noted = after.without_window(policy.ts_column, policy.zone, state.last_ts, until, moved)
             if noted is not None:
                 return noted
+        written = store.cold_batch(name, batch, state.struct, state.generation)
         rest = _remaining(policy, hot[name], written, state.last_ts, until)
         store.write_hot(name, rest, batch)
         return after.with_hot(batch, state.hot_rows - state.gone_rows - moved)
@@ -117,8 +116,7 @@ def move_by_predicate(store: TierStore, predicates: dict[str, Column | str]) ->
         try:
             state = states[name]
             stay, go = split_tiers(store.hot_version(state), as_column(predicate))
-            store.write_cold(name, go, batch)
-            moved = store.cold_batch(name, batch, state.struct).count()
+            moved = store.add_cold(name, go, batch, state.struct, generation=state.generation)
             after = state.after_batch(batch, moved)
             if not moved:
                 return after

@@ -3,14 +3,21 @@
 Layout under one folder::
 
     hot/<table>/v=<n>/...            a whole hot version, never changed once published
-    cold/<table>/_batch_id=<n>/...   rows that batch <n> moved
+    cold/<table>/_batch_id=<n>/...   rows that batch <n> moved; ``<table>@<g>`` once compacted
     commits/batch_id=<n>/...         one file; batch <n> counts from the moment it exists
+    checkpoints/upto=<n>/...         the state of every table as of commit <n>
 
 A batch writes its cold partitions and next hot versions, then its commit. Until then readers
 use the earlier commit, so a row is never seen twice nor missed, and a retry of the same batch
 overwrites what a failed attempt left behind. For each table a commit names the hot version and
 the cold batches that count, as ranges: what a failed attempt left for a table that the next
-attempt does not touch stays invisible. A store has one writer at a time.
+attempt does not touch stays invisible.
+
+A commit is a folder renamed into place unless it exists already: of two writers that chose the
+same number one is refused. A store is meant for one writer at a time, since a refused one has
+overwritten files of its number. The state is read from the last checkpoint and the commits after
+it, so it opens a bounded number of files; :meth:`TierStore.compact` and :meth:`TierStore.expire`
+bound what is listed and kept.
 
 Moving a time window need not rewrite a hot version: the commit notes the window as gone, and
 readers leave it out, with a filter that the scan prunes by. A version never changes, so the
@@ -20,19 +27,21 @@ window holds exactly the rows that were moved. It is rewritten once half of it i
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, replace
 from datetime import datetime
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.times import EPOCH, outside_window
+from tidemark.functions.times import EPOCH, in_window, outside_window
 from tidemark.operators.keyed import CHANGE
 from tidemark.operators.tiers import BATCH, hybrid
-from tidemark.session import in_parallel
-from tidemark.sources.files import file_stats, try_read
+from tidemark.session import in_parallel, scratch_name
+from tidemark.sources.files import file_stats, may_match, pruned_scan, read_paths, try_read
+from tidemark.sources.paths import literal, names, plain, publish, remove
 
 COMMIT_SCHEMA = T.StructType([
     T.StructField("relname", T.StringType()),
@@ -49,8 +58,13 @@ COMMIT_SCHEMA = T.StructType([
         T.StructField("after", T.TimestampNTZType()),
         T.StructField("until", T.TimestampNTZType()),
     ])),
+    T.StructField("generation", T.LongType()),
+    T.StructField("epochs", T.MapType(T.StringType(), T.LongType())),
 ])
 
+#: Commits between two checkpoints of the state.
+CHECKPOINT_EVERY = 20
+
 
 class Gone(NamedTuple):
     """A time window whose rows have left the hot version."""
@@ -74,6 +88,8 @@ class TableState:
     hot_rows: int  # in the hot version, those gone included
     gone_rows: int = 0
     gone: Gone | None = None
+    generation: int = 0  # of the cold folder; compaction begins a new one
+    epochs: dict[str, int] | None = None  # per stream, the last micro-batch that was stored
 
     @property
     def struct(self) -> T.StructType:
@@ -82,15 +98,16 @@ class TableState:
     def after_batch(self, batch: int, moved: int, **changes) -> TableState:
         """The state once ``batch`` has written its cold partition."""
         cold = self.cold
-        if cold and cold[-1][1] == batch - 1:
+        if moved and cold and cold[-1][1] == batch - 1:
             cold = cold[:-1] + ((cold[-1][0], batch),)
         elif moved:
             cold += ((batch, batch),)
         return replace(self, moved=moved, cold=cold, **changes)
 
-    def with_hot(self, version: int, rows: int) -> TableState:
-        """The state once a whole new hot version has been written."""
-        return replace(self, hot_version=version, hot_rows=rows, gone_rows=0, gone=None)
+    def with_hot(self, version: int, rows: int, gone: int = 0) -> TableState:
+        """The state once a whole new hot version has been written; ``gone`` of its ``rows`` are
+        marked as deleted."""
+        return replace(self, hot_version=version, hot_rows=rows, gone_rows=gone, gone=None)
 
     def without_window(self, column: str, zone: str | None, after: datetime, until: datetime,
                        rows: int) -> TableState | None:
@@ -121,48 +138,124 @@ class TierStore:
 
     def state(self, as_of: int | None = None) -> tuple[int, dict[str, TableState]]:
         """``(last batch, state per table)``; one row per table comes to the driver."""
+        base = self._checkpoint(as_of)
         log = self.log()
         if log is None:
             return -1, {}
+        log = log.where(F.col("batch_id") > (-1 if base is None else base))
         if as_of is not None:
             log = log.where(F.col("batch_id") <= as_of)
-        names = COMMIT_SCHEMA.fieldNames()[1:]
+        columns = ["batch_id", "relname", *COMMIT_SCHEMA.fieldNames()[1:]]
+        log = log.select(*columns)
+        if base is not None:
+            log = log.unionByName(self.spark.read.schema(COMMIT_SCHEMA).parquet(
+                f"{self.root}/checkpoints/upto={base}").withColumn(
+                "batch_id", F.lit(base).cast("long")).select(*columns))
+        kept = [c for c in columns if c != "relname"]
         latest = log.groupBy("relname").agg(
-            F.max(F.struct("batch_id", *names)).alias("s")).select("relname", "s.*").collect()
+            F.max_by(F.struct(*kept), "batch_id").alias("s")).select("relname", "s.*").collect()
         last = max((r.batch_id for r in latest), default=-1)
-        states = {}
-        for r in latest:
-            values = {n: r[n] for n in names} | {
-                "cold": tuple(tuple(c) for c in r.cold),
-                "gone": None if r.gone is None else Gone(*r.gone)}
-            states[r.relname] = TableState(relname=r.relname, **values)
-        return last, states
+        return last, {r.relname: self._state_of(r) for r in latest}
+
+    def _checkpoint(self, as_of: int | None) -> int | None:
+        found = [int(n.partition("=")[2]) for n in names(self.spark, f"{self.root}/checkpoints")
+                 if n.startswith("upto=")]
+        return max((n for n in found if as_of is None or n <= as_of), default=None)
+
+    @staticmethod
+    def _state_of(row) -> TableState:
+        values = {n: row[n] for n in COMMIT_SCHEMA.fieldNames()[1:]} | {
+            "cold": tuple(tuple(c) for c in row.cold),
+            "gone": None if row.gone is None else Gone(*row.gone)}
+        return TableState(relname=row.relname, **values)
+
+    def _write_states(self, states: list[TableState], target: str) -> bool:
+        """One file, renamed into place; False if the target exists."""
+        rows = [(s.relname, s.last_ts, s.hot_version, s.moved, [list(c) for c in s.cold], s.schema,
+                 s.hot_rows, s.gone_rows, s.gone, s.generation, s.epochs or {}) for s in states]
+        staged = f"{self.root}/staging/{scratch_name('commit')}"
+        self.spark.createDataFrame(rows, COMMIT_SCHEMA).coalesce(1).write.parquet(staged)
+        return publish(self.spark, staged, target)
 
     def commit(self, batch: int, states: list[TableState]) -> None:
-        """Publish a batch: one file. A batch that is already published is refused; the remains
-        of a commit that failed half-way are overwritten."""
-        log = self.log()
-        if log is not None and not log.where(F.col("batch_id") == batch).isEmpty():
+        """Publish a batch: one folder that appears at once. A batch that is already published,
+        by this writer or another, is refused."""
+        if not self._write_states(states, f"{self.root}/commits/batch_id={batch}"):
             raise RuntimeError(f"batch {batch} of {self.root} is already published")
-        rows = [(s.relname, s.last_ts, s.hot_version, s.moved, [list(c) for c in s.cold], s.schema,
-                 s.hot_rows, s.gone_rows, s.gone) for s in states]
-        self.spark.createDataFrame(rows, COMMIT_SCHEMA).coalesce(1).write.mode(
-            "overwrite").parquet(f"{self.root}/commits/batch_id={batch}")
+        if batch % CHECKPOINT_EVERY == CHECKPOINT_EVERY - 1:
+            self._write_states(list(self.state(batch)[1].values()),
+                               f"{self.root}/checkpoints/upto={batch}")
+
+    # Upkeep
+
+    def compact(self, name: str) -> int:
+        """Rewrite the cold batches of a table as one, in files of the size Spark aims at. Earlier
+        commits keep reading the old batches until they expire. The rows' ``_batch_id`` becomes
+        that of the compaction."""
+        batch, state = self._table(name, None)
+        cold = self.cold_rows(state)
+        if cold is None:
+            return batch
+        batch += 1
+        state = replace(state, generation=batch, cold=((batch, batch),), moved=0)
+        cold.drop(BATCH).hint("rebalance").write.mode("overwrite").parquet(
+            f"{self.cold_path(name, batch)}/{BATCH}={batch}")
+        self.commit(batch, [state])
+        return batch
+
+    def expire(self, keep: int = 1) -> None:
+        """Keep the last ``keep`` commits readable and delete what only earlier ones need: commits,
+        checkpoints, hot versions, compacted batches, staged changes."""
+        last, now = self.state()
+        oldest = max(0, last - keep + 1)
+        held: dict[str, set[tuple[int, int]]] = {n: set() for n in now}
+        for as_of in range(oldest, last + 1):
+            for state in self.state(as_of)[1].values():
+                held[state.relname].add((state.hot_version, state.generation))
+        if self._checkpoint(oldest) != oldest:
+            self._write_states(list(self.state(oldest)[1].values()),
+                               f"{self.root}/checkpoints/upto={oldest}")
+        number = lambda n: int(n.partition("=")[2])
+        for folder, part in (("commits", "batch_id="), ("checkpoints", "upto=")):
+            for n in names(self.spark, f"{self.root}/{folder}"):
+                if n.startswith(part) and number(n) < oldest:
+                    remove(self.spark, f"{self.root}/{folder}/{n}")
+        for name, used in held.items():
+            for n in names(self.spark, f"{self.root}/hot/{name}"):
+                if n.startswith("v=") and number(n) <= last and number(n) not in {h for h, _ in used}:
+                    remove(self.spark, f"{self.root}/hot/{name}/{n}")
+            for n in names(self.spark, f"{self.root}/cold"):
+                table, _, generation = n.partition("@")
+                if table == name and int(generation or 0) <= last and int(generation or 0) not in {
+                        g for _, g in used}:
+                    remove(self.spark, f"{self.root}/cold/{n}")
+        for n in names(self.spark, f"{self.root}/changes"):
+            for part in names(self.spark, f"{self.root}/changes/{n}"):
+                if number(part) <= last:
+                    remove(self.spark, f"{self.root}/changes/{n}/{part}")
 
     def watermarks(self) -> DataFrame:
         """``(relname, last_ts)`` of every table, as a DataFrame."""
-        return self.log().groupBy("relname").agg(
-            F.max_by("last_ts", "batch_id").alias("last_ts"))
+        return self.spark.createDataFrame(
+            [(s.relname, s.last_ts) for s in self.state()[1].values()],
+            "relname string, last_ts timestamp_ntz")
 
     # Loading and writing
 
-    def load(self, tables: dict[str, DataFrame]) -> int:
+    def load(self, tables: dict[str, DataFrame], replace_existing: bool = False) -> int:
         """Publish new tables, all rows hot."""
-        return self.load_tiers({name: (df, None) for name, df in tables.items()})
+        return self.load_tiers({name: (df, None) for name, df in tables.items()}, replace_existing)
 
-    def load_tiers(self, tables: dict[str, tuple[DataFrame, DataFrame | None]]) -> int:
-        """Publish new tables from ``(hot, cold)`` pairs; ``cold=None`` for hot alone."""
-        batch = self.state()[0] + 1
+    def load_tiers(self, tables: dict[str, tuple[DataFrame, DataFrame | None]],
+                   replace_existing: bool = False) -> int:
+        """Publish new tables from ``(hot, cold)`` pairs; ``cold=None`` for hot alone.
+
+        A table that the store has is refused, unless it is to be replaced, both tiers of it.
+        """
+        last, states = self.state()
+        if (known := sorted(states.keys() & tables)) and not replace_existing:
+            raise ValueError(f"{self.root} already has {', '.join(known)}")
+        batch = last + 1
 
         def write(name: str, hot: DataFrame, cold: DataFrame | None) -> TableState:
             self.write_hot(name, hot, batch)
@@ -170,8 +263,7 @@ class TierStore:
             state = TableState(name, EPOCH, batch, 0, (), hot.schema.json(), rows)
             if cold is None:
                 return state
-            self.write_cold(name, cold, batch)
-            return state.after_batch(batch, self.cold_batch(name, batch, hot.schema).count())
+            return state.after_batch(batch, self.add_cold(name, cold, batch, hot.schema))
 
         self.commit(batch, in_parallel(self.spark, [
             lambda n=name, t=tiers: write(n, *t) for name, tiers in tables.items()]))
@@ -180,7 +272,8 @@ class TierStore:
     def write_hot(self, name: str, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(self.hot_path(name, version))
 
-    def write_cold(self, name: str, df: DataFrame, batch: int, rebalance: bool = False) -> None:
+    def write_cold(self, name: str, df: DataFrame, batch: int, rebalance: bool = False,
+                   generation: int = 0) -> None:
         """Write one batch partition; a retry replaces it.
 
         ``rebalance`` is for a small share of a large hot table, which would else leave one tiny
@@ -189,13 +282,22 @@ class TierStore:
         """
         if rebalance:
             df = df.hint("rebalance")
-        df.write.mode("overwrite").parquet(f"{self.cold_path(name)}/{BATCH}={batch}")
+        df.write.mode("overwrite").parquet(f"{self.cold_path(name, generation)}/{BATCH}={batch}")
+
+    def add_cold(self, name: str, df: DataFrame, batch: int, schema: T.StructType,
+                 rebalance: bool = False, generation: int = 0) -> int:
+        """Write one batch partition and count what was written; an empty one leaves no folder."""
+        self.write_cold(name, df, batch, rebalance, generation)
+        rows = self.cold_batch(name, batch, schema, generation).count()
+        if not rows:
+            remove(self.spark, f"{self.cold_path(name, generation)}/{BATCH}={batch}")
+        return rows
 
     def hot_path(self, name: str, version: int) -> str:
         return f"{self.root}/hot/{name}/v={version}"
 
-    def cold_path(self, name: str) -> str:
-        return f"{self.root}/cold/{name}"
+    def cold_path(self, name: str, generation: int = 0) -> str:
+        return f"{self.root}/cold/{name}@{generation}" if generation else f"{self.root}/cold/{name}"
 
     # Reading
 
@@ -219,12 +321,41 @@ class TierStore:
         states = self.state()[1]
         return {n: (self.hot_version(states[n]), self.cold_rows(states[n])) for n in names}
 
-    def cold_batch(self, name: str, batch: int, schema: T.StructType) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.cold_path(name)}/{BATCH}={batch}")
+    def cold_batch(self, name: str, batch: int, schema: T.StructType, generation: int = 0
+                   ) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(
+            f"{self.cold_path(name, generation)}/{BATCH}={batch}")
 
     def manifest(self, name: str, columns: list[str]) -> DataFrame:
-        """Per-file statistics of the committed cold rows, to be saved and reused."""
-        return file_stats(self.cold(name), columns)
+        """Statistics of every committed cold file. They are saved, and each call scans only files
+        that no earlier one has seen."""
+        path = f"{self.root}/stats/{name}/{'+'.join(columns)}"
+        state = self._table(name, None)[1]
+        saved = try_read(self.spark, path)
+        known = set() if saved is None else {plain(r.file) for r in saved.select("file").collect()}
+        cold = self.cold_rows(state)
+        batch = re.compile(f"/{BATCH}=(\\d+)/")
+        files = {plain(f): f for f in cold.inputFiles() if any(
+            first <= int(batch.search(f)[1]) <= last for first, last in state.cold)}
+        if new := [literal(f) for spelt, f in files.items() if spelt not in known]:
+            fresh = read_paths(self.spark, new, cold.schema, self.cold_path(name, state.generation))
+            file_stats(fresh, columns).write.mode("append").parquet(path)
+        saved = self.spark.read.parquet(path)
+        listed = [(r.file,) for r in saved.select("file").collect() if plain(r.file) in files]
+        return saved.join(self.spark.createDataFrame(listed, "file string"), "file", "left_semi")
+
+    def pruned(self, name: str, manifest: DataFrame, column: str, low=None, high=None) -> DataFrame:
+        """Committed cold rows of the files whose statistics overlap ``[low, high]``, and of files
+        that the manifest does not list; the caller still filters rows."""
+        state = self._table(name, None)[1]
+        return pruned_scan(self.spark, self.cold_rows(state), manifest, may_match(column, low, high),
+                           self.cold_path(name, state.generation)).where(self._counts(state))
+
+    def stragglers(self, name: str, ts_column: str, zone: str | None = None) -> DataFrame:
+        """Rows that are still hot though their time is not after the table's watermark: they came
+        too late for their window, and stay hot."""
+        state = self._table(name, None)[1]
+        return self.hot_version(state).where(in_window(F.col(ts_column), EPOCH, state.last_ts, zone))
 
     def snapshots(self, name: str) -> DataFrame:
         """Commits that touched a table: ``batch_id, hot_version, moved, last_ts``."""
@@ -253,10 +384,16 @@ class TierStore:
         if not state.cold:
             return None
         schema = T.StructType(state.struct.fields + [T.StructField(BATCH, T.LongType())])
-        counts = F.lit(False)
-        for first, last in state.cold:
-            counts = counts | F.col(BATCH).between(first, last)
-        return self.spark.read.schema(schema).parquet(self.cold_path(state.relname)).where(counts)
+        return self.spark.read.schema(schema).parquet(
+            self.cold_path(state.relname, state.generation)).where(self._counts(state))
+
+    @staticmethod
+    def _counts(state: TableState) -> Column:
+        """Whether a row's batch counts: one flat predicate, however many ranges there are."""
+        if len(state.cold) == 1:
+            return F.col(BATCH).between(*state.cold[0])
+        ranges = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in state.cold])
+        return F.exists(ranges, lambda r: F.col(BATCH).between(r["a"], r["b"]))
 
     def _read(self, state: TableState) -> DataFrame:
         return hybrid(self.hot_version(state), self.cold_rows(state))
@@ -273,7 +410,7 @@ class TierStore:
         batch, state = self._table(name, None)
         batch += 1
         columns = state.struct.fieldNames()
-        self.write_cold(name, df.select(*columns), batch)
-        moved = self.cold_batch(name, batch, state.struct).count()
+        moved = self.add_cold(name, df.select(*columns), batch, state.struct,
+                              generation=state.generation)
         self.commit(batch, [state.after_batch(batch, moved)])
         return batch

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import statements as S
+from tidemark.sources.files import try_read
 from tidemark.sources.jdbc import JdbcHot
 
 TOP = 50  # fixed value: statements kept per poll
+SEEN = "query string, poll long"
 
 
 def profile(log: DataFrame) -> DataFrame:
@@ -29,8 +31,8 @@ def profile(log: DataFrame) -> DataFrame:
 def top_statements(log: DataFrame, n: int = TOP) -> DataFrame:
     """The most-called workload statements that mention the tables of interest."""
     q = F.col("query")
-    return (log.where(S.mentions(q)).groupBy("query").agg(F.sum("calls").alias("calls"))
-            .orderBy(F.desc("calls"), "query").limit(n).where(S.is_workload(q)))
+    return (log.where(S.mentions(q) & S.is_workload(q)).groupBy("query").agg(
+        F.sum("calls").alias("calls")).orderBy(F.desc("calls"), "query").limit(n))
 
 
 def unseen(log: DataFrame, seen: DataFrame) -> DataFrame:
@@ -39,15 +41,25 @@ def unseen(log: DataFrame, seen: DataFrame) -> DataFrame:
                                                "left_anti")
 
 
+def take_unseen(log: DataFrame, path: str) -> DataFrame:
+    """Statements that no earlier poll of the table at ``path`` had, which now has them too."""
+    spark = log.sparkSession
+    seen = try_read(spark, path, SEEN)
+    new = log.select("query").distinct() if seen is None else unseen(log, seen)
+    poll = 0 if seen is None else 1 + (seen.agg(F.max("poll")).first()[0] or 0)
+    new.select("query", F.lit(poll).cast("long").alias("poll")).write.mode("append").parquet(path)
+    return spark.read.schema(SEEN).parquet(path).where(F.col("poll") == poll).select("query")
+
+
 def replay(spark: SparkSession, top: DataFrame) -> list[dict]:
-    """Run the reads of a short list (see :func:`top_statements`) with dummy arguments.
+    """Run the reads of a list (see :func:`top_statements`), all of it, with dummy arguments.
 
     Statements run over the registered hybrid views; one that fails is reported and the rest go
     on. Writes and locking reads belong to the hot tier and are not run here.
     """
     q = F.col("query")
     todo = top.select("query", S.positional(S.strip(q)).alias("text"), S.route(q).alias("route"),
-                      S.parameter_count(q).alias("params")).limit(TOP).collect()
+                      S.parameter_count(q).alias("params")).collect()
     report = []
     for row in todo:
         entry = {"query": row["query"], "route": row.route, "rows": None, "error": None}
@@ -89,21 +101,22 @@ def run_statements(spark: SparkSession, hot: JdbcHot, batch: object) -> dict:
     adds no result. On any error the transaction is rolled back and the report says why.
     """
     results: list[dict] = []
+
+    def run(tx, sql: str, args: list, route: str) -> dict | None:
+        if route == "hybrid":
+            return {"type": "olap", "rows": spark.sql(sql, args=args).count()}
+        if route not in ("hot", "hot-read"):
+            raise ValueError(f"cannot tell where to run {sql!r}")
+        affected = tx.execute(sql, args)[1]
+        return {"type": "write", "affected": affected} if route == "hot" else None
+
     try:
         statements = validate_batch(batch)
         routes = classify(spark, [sql for sql, _ in statements])
         with hot.transaction() as tx:
-            for i, ((sql, args), where) in enumerate(zip(statements, routes)):
-                if where == "hot":
-                    results.append({"index": i, "type": "write",
-                                    "affected": tx.execute(sql, args)[1]})
-                elif where == "hot-read":
-                    tx.execute(sql, args)
-                elif where == "hybrid":
-                    rows = spark.sql(sql, args=args).count()
-                    results.append({"index": i, "type": "olap", "rows": rows})
-                else:
-                    raise ValueError(f"unknown statement at index {i}: {sql}")
+            for i, ((sql, args), route) in enumerate(zip(statements, routes, strict=True)):
+                if done := run(tx, sql, args, route):
+                    results.append({"index": i, **done})
     except Exception as error:  # noqa: BLE001 - the report carries it
         return {"status": "error", "message": str(error), "executed": len(results),
                 "results": results}

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.keyed import latest_by_key
+from tidemark.plans.changes import apply_batch
 from tidemark.queries.staging import given, money, staged
 from tidemark.session import scratch
-from tidemark.sources.feed import folder_stream, parse_records, poll_records, row_json
+from tidemark.sources.feed import decode, fits, folder_stream, parse_records, poll_records, row_json
 from tidemark.sources.files import object_report
 from tidemark.streaming.ingest import Route, ingest
 
@@ -53,17 +54,14 @@ def cdc_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").cast("string").cast("binary").alias("key"),
         text.cast("binary").alias("value"), F.col("event_type").alias("topic"),
         F.col("ts").alias("timestamp"))
-    rows, rejects = parse_records(records, T.StructType().add("k", "integer"))
-    good = rows.groupBy(F.col("record_topic").alias("topic")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("k").alias("k_sum"), F.lit("row").alias("kind"))
-    bad = rejects.groupBy("topic").agg(
-        F.count(F.lit(1)).alias("n"), F.lit(None).cast("long").alias("k_sum"),
-        F.lit("reject").alias("kind"))
-    return good.unionByName(bad)
+    decoded = decode(records, T.StructType().add("k", "integer"))
+    kind = F.when(fits(), "row").otherwise("reject").alias("kind")
+    return decoded.groupBy("topic", kind).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(fits(), F.col("_row.k"))).alias("k_sum"))
 
 
 def cdc_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two topics and some broken records through a stream into tables."""
+    """Two topics and some broken records through several micro-batches of a stream into tables."""
     def build(store) -> None:
         source = scratch(spark, "records")
         customers = given(spark, sf_dir, "customer").select(*CUSTOMER.fieldNames())
@@ -71,12 +69,21 @@ def cdc_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("s_name").cast("binary").alias("key"), F.col("s_name").cast("binary").alias(
                 "value"), F.lit("orders").alias("topic"),
             F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("timestamp"))
-        for part in (_polls(spark, sf_dir),
-                     poll_records(customers, "customer", "c_custkey", FIRST_POLL), broken):
-            part.write.mode("append").parquet(source)
         routes = [Route("orders", "orders", ORDER), Route("customer", "customer", CUSTOMER)]
-        ingest(folder_stream(spark, source), store, routes,
-               scratch(spark, "checkpoint")).awaitTermination()
+        checkpoint = scratch(spark, "checkpoint")
+
+        def arrive(records: DataFrame) -> None:
+            records.write.mode("append").parquet(source)
+            ingest(folder_stream(spark, source, max_files=2), store, routes,
+                   checkpoint).awaitTermination()
+        # other commits come between the micro-batches of one stream
+        arrive(_polls(spark, sf_dir))
+        store.add_column("customer", "note", "string")
+        arrive(poll_records(customers, "customer", "c_custkey", FIRST_POLL))
+        store.load({"region": given(spark, sf_dir, "region")})
+        apply_batch(store, "region", given(spark, sf_dir, "region").withColumn(
+            "op", F.lit("delete")), ["r_regionkey"])
+        arrive(broken)
     store = staged(spark, sf_dir, "stream", build)
     orders = latest_by_key(store.read("orders"), ["o_orderkey"], ["record_timestamp"])
     parts = [

@@ -24,7 +24,7 @@ from tidemark.queries.staging import (
 )
 from tidemark.schemas import CH_NAMES, TPCC, schema_drift, tpcc_schema
 from tidemark.session import in_parallel, scratch
-from tidemark.sources.files import may_match, pruned_scan, read_paths
+from tidemark.sources.files import read_paths
 from tidemark.sources.lake import append, bulk_load, create_from_source, create_table
 
 # Source types of the orders columns, as its database declares them.
@@ -100,9 +100,9 @@ def insert_values(spark: SparkSession, sf_dir: str) -> DataFrame:
               "CAST(o_totalprice AS DECIMAL(15,2)), o_orderdate FROM order_source")
     spark.sql(f"""INSERT INTO {name}
         (order_id, customer_id, order_status, total_amount, last_updated) VALUES
-        (-1, 101, 'pending', 299.99, TIMESTAMP_NTZ '2024-01-01 00:00:00'),
-        (-2, 102, 'processing', 1250.50, TIMESTAMP_NTZ '2024-01-01 00:00:00'),
-        (-3, 103, 'shipped', 89.99, TIMESTAMP_NTZ '2024-01-01 00:00:00')""")
+        (-1, 7, 'reserved', 12.50, TIMESTAMP_NTZ '2023-05-17 08:30:00'),
+        (-2, 7, 'reserved', 0.75, TIMESTAMP_NTZ '2023-05-18 09:00:00'),
+        (-3, 8, 'returned', 640.00, TIMESTAMP_NTZ '2023-06-02 17:45:30')""")
     return spark.table(name).groupBy("order_status").agg(
         F.count(F.lit(1)).alias("n"), F.sum("total_amount").cast("double").alias("total"))
 
@@ -188,31 +188,29 @@ def partitioned_read(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "user_id", "value", "event_type")
 
 
-def _manifest(spark: SparkSession, sf_dir: str):
-    """Order lines of the cold tier with their saved file statistics."""
-    store = tpcc_store(spark, sf_dir)
-    cold = store.cold("order_line")
-    path = scratch(spark, "manifest")
-    store.manifest("order_line", ["ol_delivery_d"]).write.parquet(path)
-    return store, cold, spark.read.parquet(path)
-
-
 def file_stats_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest, summed up: its files are named differently in every run."""
-    return _manifest(spark, sf_dir)[2].agg(
+    """The saved manifest, summed up: its files are named differently in every run."""
+    return tpcc_store(spark, sf_dir).manifest("order_line", ["ol_delivery_d"]).agg(
         F.sum("rows").alias("rows"),
         iso_text(F.min("min_ol_delivery_d")).alias("first"),
         iso_text(F.max("max_ol_delivery_d")).alias("last"))
 
 
 def file_pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only files whose range overlaps the quarter are opened."""
-    store, cold, manifest = _manifest(spark, sf_dir)
+    """Only files whose range overlaps the quarter are opened, and one that came after the manifest
+    was taken: the lines of the last order status."""
+    def build(store) -> None:
+        lines = tpcc_frames(spark, sf_dir, "order_line")["order_line"]
+        late = F.col("ol_dist_info") == "R"
+        store.load_tiers({"order_line": (lines.where(F.lit(False)), lines.where(~late))})
+        store.manifest("order_line", ["ol_delivery_d"])
+        store.append_cold("order_line", lines.where(late))
+    store = staged(spark, sf_dir, "manifest", build)
+    saved = spark.read.parquet(f"{store.root}/stats/order_line/ol_delivery_d")
     low = F.lit("1998-03-01 00:00:00").cast("timestamp_ntz")
     high = F.lit("1998-05-31 00:00:00").cast("timestamp_ntz")
-    rows = pruned_scan(spark, cold, manifest, may_match("ol_delivery_d", low, high),
-                       store.cold_path("order_line"))
-    return rows.where(F.col("ol_delivery_d").between(low, high)).agg(
+    return store.pruned("order_line", saved, "ol_delivery_d", low, high).where(
+        F.col("ol_delivery_d").between(low, high)).agg(
         F.count(F.lit(1)).alias("n"), F.sum("ol_amount").cast("double").alias("amount"))
 
 
@@ -315,7 +313,7 @@ ORACLES = {
         SELECT order_status, COUNT(*) AS n, CAST(SUM(total_amount) AS DOUBLE) AS total FROM (
           SELECT o_orderstatus AS order_status, CAST(o_totalprice AS DECIMAL(15,2)) AS total_amount
           FROM orders
-          UNION ALL VALUES ('pending', 299.99), ('processing', 1250.50), ('shipped', 89.99))
+          UNION ALL VALUES ('reserved', 12.50), ('reserved', 0.75), ('returned', 640.00))
         GROUP BY order_status""",
     "tpcc_schemas": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, {len(TPCC[t].split(', '))} AS columns, COUNT(*) AS rows FROM {s}"

@@ -16,12 +16,12 @@ from tidemark.operators.extract import (
     active_policies,
     extract,
     policy_frame,
-    stragglers,
     upsert_policies,
     with_watermark,
 )
 from tidemark.operators.keyed import delete_using, key_rows, keyed_upsert, orphans
 from tidemark.operators.tiers import BATCH, hybrid
+from tidemark.plans.changes import apply_batch
 from tidemark.plans.migrate import move_by_predicate, run_batch, tier_counts
 from tidemark.queries.staging import (
     MOVED_SQL,
@@ -225,12 +225,17 @@ def orphan_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def straggler_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events inside the window that became visible too late for it, up to ten minutes on."""
-    events = given(spark, sf_dir, "events").withColumn(
-        "visible", F.expr("ts + make_interval(0, 0, 0, 0, 0, event_id % 11)"))
-    as_of = datetime(2024, 1, 15)
-    return stragglers(events, "ts", "visible", as_of, cutoff(as_of, 1)).select(
-        "event_id", "user_id", "value")
+    """Error events arrive only after their window was moved: those up to the watermark stay hot."""
+    def build(store) -> None:
+        events = given(spark, sf_dir, "events")
+        late = F.col("event_type") == "error"
+        store.load({"events": events.where(~late)})
+        run_batch(store, [TablePolicy("events", "append_only", "ts", ("event_id",))],
+                  datetime(2024, 1, 15), 0)
+        apply_batch(store, "events", events.where(late).withColumn("op", F.lit("insert")),
+                    ["event_id"])
+    store = staged(spark, sf_dir, "late-events", build)
+    return store.stragglers("events", "ts").select("event_id", "user_id", "value")
 
 
 def iso_text_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,8 +320,7 @@ ORACLES = {
                     "WHERE o_orderkey <= 100 AND o_custkey > 100 "
                     "UNION ALL SELECT 'hybrid', COUNT(*) FROM orders WHERE o_orderkey <= 100 "
                     "AND o_custkey NOT IN (SELECT c_custkey FROM customer)",
-    "stragglers": "SELECT event_id, user_id, value FROM events "
-                  "WHERE ts <= TIMESTAMP '2024-01-14 23:59:00' "
-                  "AND ts + to_minutes(event_id % 11) > TIMESTAMP '2024-01-15 00:00:00'",
+    "stragglers": "SELECT event_id, user_id, value FROM events WHERE event_type = 'error' "
+                  "AND ts <= TIMESTAMP '2024-01-15 00:00:00'",
     "iso_text": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts_text FROM events",
 }

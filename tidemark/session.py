@@ -52,9 +52,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_SHARED[app]
 
 
+def scratch_name(name: str) -> str:
+    """A name that no earlier run has used."""
+    return f"{name}-{uuid.uuid4().hex[:12]}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no earlier run has used."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/{scratch_name(name)}"
 
 
 def in_parallel(spark: SparkSession, jobs: Sequence[Callable[[], T]], at_most: int = 8) -> list[T]:

@@ -73,14 +73,15 @@ def decode(records: DataFrame, schema: T.StructType) -> DataFrame:
     return records.select("*", F.explode(F.array(parsed)).alias("_row"))
 
 
-def _fits():
+def fits() -> Column:
+    """Of decoded records: whether the value fits the schema."""
     return F.col("_row").isNotNull() & F.col(f"_row.{_CORRUPT}").isNull()
 
 
 def rows_of(decoded: DataFrame, schema: T.StructType) -> DataFrame:
     """Decoded values; other record columns stay beside them under a ``record_`` prefix."""
     rest = [c for c in decoded.columns if c not in ("key", "value", "_row")]
-    return decoded.where(_fits()).select(
+    return decoded.where(fits()).select(
         *[F.col(f"_row.{f.name}").alias(f.name) for f in schema.fields],
         *[F.col(c).alias(f"record_{c}") for c in rest])
 
@@ -88,7 +89,7 @@ def rows_of(decoded: DataFrame, schema: T.StructType) -> DataFrame:
 def rejects_of(decoded: DataFrame) -> DataFrame:
     """Records that do not fit the schema, as text."""
     rest = [c for c in decoded.columns if c not in ("key", "value", "_row")]
-    return decoded.where(~_fits()).select(F.col("value").cast("string").alias("value"), *rest)
+    return decoded.where(~fits()).select(F.col("value").cast("string").alias("value"), *rest)
 
 
 def parse_records(records: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:

@@ -9,11 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# URI schemes that are complete as they stand.
-KNOWN_SCHEMES = ("s3", "s3a", "file")
-
-# Beyond this many selected files the plan is left to the scan, which prunes by the same filter.
-MAX_LISTED_FILES = 10_000
+from tidemark.sources.paths import literal, plain
 
 
 def read_paths(spark: SparkSession, paths: Sequence[str], schema: T.StructType | None = None,
@@ -36,10 +32,14 @@ def try_read(spark: SparkSession, path: str, schema: T.StructType | None = None)
         raise
 
 
+def has_rows(df: DataFrame) -> bool:
+    """Whether there is any row; stops at the first."""
+    return not df.isEmpty()
+
+
 def resolve_path(path: Column, warehouse: str) -> Column:
-    """Complete URIs stay, other paths are taken relative to the warehouse."""
-    schemes = "|".join(KNOWN_SCHEMES)
-    return F.when(path.rlike(f"^({schemes}):"), path).otherwise(
+    """Paths with any scheme stay, others are taken relative to the warehouse."""
+    return F.when(path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), path).otherwise(
         F.concat(F.lit(warehouse.rstrip("/") + "/"), path))
 
 
@@ -65,32 +65,33 @@ def may_match(column: str, low=None, high=None) -> Column:
 
 
 def pruned_scan(spark: SparkSession, table: DataFrame, manifest: DataFrame, match: Column,
-                base: str, limit: int = MAX_LISTED_FILES) -> DataFrame:
-    """The table restricted to the files whose statistics match.
+                base: str) -> DataFrame:
+    """The table without the files whose statistics rule them out.
 
-    The caller still filters rows. What comes to the driver is a list of file names, which every
-    file scan keeps there anyway, and only up to ``limit`` of them; when more files match, the
-    list would save little, and the whole table is scanned with the filter instead.
+    A file that the manifest does not list is read, so a saved manifest never hides newer rows.
+    The caller still filters rows. Only names of ruled-out files come to the driver, which keeps
+    the names of all files of a scan in any case.
     """
-    files = [r.file for r in manifest.where(match).select("file").limit(limit + 1).collect()]
-    if len(files) > limit:
-        return table
+    out = {plain(r.file) for r in manifest.where(~F.coalesce(match, F.lit(True))).select(
+        "file").collect()}
+    files = [f for f in table.inputFiles() if plain(f) not in out]
     if not files:
         return table.where(F.lit(False))
-    return read_paths(spark, files, table.schema, base)
+    return read_paths(spark, [literal(f) for f in files], table.schema, base)
 
 
 def object_report(spark: SparkSession, root: str, expected: DataFrame, key: Column) -> DataFrame:
     """Read every object under ``root`` whole and compare with the expected keys.
 
-    ``key`` turns ``path`` into the value of ``expected.key``. Tasks read objects side by side;
-    only sizes leave a task.
+    ``key`` turns ``path`` into the value of ``expected.key``; an object in several files, and an
+    expected key given twice, count once. Tasks read objects side by side; only sizes leave a task.
     """
     read = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         .select(key.alias("key"), F.length("content").cast("long").alias("bytes"))
+        .groupBy("key").agg(F.sum("bytes").alias("bytes"))
     )
-    return expected.join(read, "key", "left").agg(
+    return expected.select("key").distinct().join(read, "key", "left").agg(
         F.count(F.lit(1)).alias("total"),
         F.count("bytes").alias("success"),
         F.sum(F.when(F.col("bytes").isNull(), 1).otherwise(0)).alias("missing"),

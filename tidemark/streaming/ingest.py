@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -39,49 +40,61 @@ _REJECT_SCHEMA = T.StructType([
 ])
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the stream when its checkpoint was made."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def ingest(stream: DataFrame, store: TierStore, routes: Sequence[Route], checkpoint: str,
            every: str | None = None) -> StreamingQuery:
     """Start the stream: each micro-batch becomes one commit of ``store``.
 
     Without ``every`` all available records are taken and the query ends; with it a micro-batch
-    starts at that interval. The store belongs to this stream alone: micro-batch ``e`` is batch
-    ``e + 1`` (batch 0 created the tables), so one that is run again after a failure either
-    overwrites its unpublished files or, if it was published, does nothing. Records that fit no
-    route or do not parse go to the table ``rejects``.
+    starts at that interval. Give the stream a rate limit (files or offsets per trigger), as a
+    micro-batch is held while it is stored. A commit notes the stream, by the id that its
+    checkpoint keeps, and the number of the micro-batch: one that is run again after a failure is
+    passed over if just it was published, whatever else has been committed since. Records that fit
+    no route or do not parse go to the table ``rejects``.
     """
     schemas = {r.table: _table_schema(r) for r in routes} | {REJECTS: _REJECT_SCHEMA}
-    if store.state()[0] < 0:
-        spark = stream.sparkSession
-        store.load({name: spark.createDataFrame([], schema) for name, schema in schemas.items()})
+    spark = stream.sparkSession
+    known = store.state()[1]
+    if new := {n: spark.createDataFrame([], s) for n, s in schemas.items() if n not in known}:
+        store.load(new)
 
     def write(records: DataFrame, epoch: int) -> None:
         last, states = store.state()
-        batch = epoch + 1
-        if batch <= last:
+        batch, source = last + 1, _stream_id(spark, checkpoint)
+        if (states[REJECTS].epochs or {}).get(source) == epoch:
             return
-        records = records.select("value", "topic", "timestamp")
-        topics = [r.topic for r in routes]
-        rejects = records.where(~F.coalesce(F.col("topic").isin(*topics), F.lit(False))).select(
-            F.col("value").cast("string").alias("value"), "topic", "timestamp")
-        written, cached = {}, []
-        for route in routes:
-            # Rows and rejects are two writes of one parse; the micro-batch bounds what is kept.
-            decoded = decode(records.where(F.col("topic") == route.topic), route.schema).persist()
-            cached.append(decoded)
-            written[route.table] = rows_of(decoded, route.schema).drop("record_topic")
-            rejects = rejects.unionByName(rejects_of(decoded))
-
-        def save(name: str, rows: DataFrame) -> TableState:
-            store.write_cold(name, rows, batch, rebalance=True)
-            count = store.cold_batch(name, batch, schemas[name]).count()
-            return states[name].after_batch(batch, count)
-
-        done = in_parallel(store.spark, [
-            lambda n=name, r=rows: save(n, r) for name, rows in written.items()])
-        done.append(save(REJECTS, rejects))
-        store.commit(batch, done)
-        for decoded in cached:
-            decoded.unpersist()
+        # one read of the source for all routes, and one parse of each record
+        records = records.select("value", "topic", "timestamp").persist()
+        cached = [records]
+        try:
+            topics = [r.topic for r in routes]
+            rejects = records.where(~F.coalesce(F.col("topic").isin(*topics), F.lit(False))).select(
+                F.col("value").cast("string").alias("value"), "topic", "timestamp")
+            written = {}
+            for route in routes:
+                decoded = decode(records.where(F.col("topic") == route.topic), route.schema).persist()
+                cached.append(decoded)
+                rows = rows_of(decoded, route.schema).drop("record_topic")
+                written[route.table] = (written[route.table].unionByName(rows)
+                                        if route.table in written else rows)
+                rejects = rejects.unionByName(rejects_of(decoded))
+
+            def save(name: str, rows: DataFrame) -> TableState:
+                state = states[name]
+                count = store.add_cold(name, rows, batch, schemas[name], True, state.generation)
+                return state.after_batch(batch, count, epochs={**(state.epochs or {}), source: epoch})
+
+            done = in_parallel(store.spark, [
+                lambda n=name, r=rows: save(n, r) for name, rows in written.items()])
+            done.append(save(REJECTS, rejects))
+            store.commit(batch, done)
+        finally:
+            for frame in cached:
+                frame.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
