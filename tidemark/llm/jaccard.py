@@ -3,7 +3,8 @@
 1. Every text becomes its set of shingle hashes. Rare shingles come first in one order for all
    texts, by hash; those that tasks saw often come last, by how often (at most ``FREQUENT`` of them
    are told apart; the order decides the work and never the result). Two sets that are similar
-   enough share a shingle among the first n - ceil(threshold n) + 1, their prefixes.
+   enough share at least k shingles among the first n - ceil(threshold n) + k, their prefixes;
+   k grows with the size up to ``NEED``, so that chance meetings of long texts are no candidates.
 2. Texts with equal sets are one. Sets with equal prefix and size are one group; groups meet at the
    shingles of their prefixes.
 3. Where groups meet, all members of like size are first verified against one hub, so that a group
@@ -38,8 +39,10 @@ from tidemark.llm.common import Forest, components, stored
 FREQUENT = 1 << 17
 SEEN = 2
 #: Members of a meeting that are compared as pairs; rows of a block beyond that.
-FEW = 64
+FEW = 32
 BLOCK = 512
+#: Shingles that the prefixes of long texts must share.
+NEED = 8
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -103,7 +106,8 @@ def _prefixes(words: int, percent: int, frequent):
                 sizes.append(n)
                 first.append(int.from_bytes(high[:8], "little", signed=True))
                 second.append(int.from_bytes(high[8:], "little", signed=True))
-                prefix.append(found[:n + (-percent * n) // 100 + 1] if n else found)
+                apart = n + (-percent * n) // 100  # how many the other set may lack
+                prefix.append(found[:apart + min(NEED, 1 + apart // 4)] if n else found)
             offsets = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(sizes, pa.int64()), pa.array(first, pa.int64()),
@@ -161,6 +165,12 @@ def _across(words: int, percent: int):
     return run
 
 
+def _need(size: Column, percent: int) -> Column:
+    """Shingles that a set's prefix must share with another's; as in :func:`_prefixes`."""
+    apart = size - F.ceil(percent * size / 100)
+    return F.least(F.lit(NEED), 1 + F.floor(apart / 4))
+
+
 def _like_sizes(x: str, y: str, percent: int) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
@@ -194,9 +204,11 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         "k > 1").select("s")
     met = stored(tokens.join(shared, "s").distinct(), "meetings")
 
-    # the members of groups that meet any other, or have several
-    member = stored(reps.select("rep", "gid", "n").join(
-        met.select("gid").distinct(), "gid", "left_semi").distinct(), "members")
+    # the members of groups that meet others often enough, or have several
+    size = reps.groupBy("gid").agg(F.min("n").alias("n"), F.max("members").alias("members"))
+    enough = met.groupBy("gid").agg(F.count("*").alias("k")).join(size, "gid").where(
+        (F.col("k") >= _need(F.col("n"), percent)) | (F.col("members") > 1)).select("gid")
+    member = stored(reps.select("rep", "gid", "n").join(enough, "gid", "left_semi").distinct(), "members")
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
     banded = met.join(member.select("gid", band.alias("band")).distinct(), "gid")
     hubs = banded.groupBy("s", "band").agg(F.min("gid").alias("hub"))
@@ -204,11 +216,12 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     # neighbouring bands of sizes meet by their hubs
     next_band = hubs.select("s", (F.col("band") - 1).alias("band"), F.col("hub").alias("next"))
     steps = hubs.join(next_band, ["s", "band"]).select(F.col("hub").alias("gid"), F.col("next").alias("hub"))
-    pairs = star.union(steps).distinct()
-    pairs = member.join(pairs, "gid").select(F.col("rep").alias("a"), F.col("hub").alias("b"), "n")
-    size = member.select(F.col("rep").alias("b"), F.col("n").alias("nb")).distinct()
-    pairs = stored(pairs.join(size, "b").where("a <> b").where(_like_sizes("n", "nb", percent)).select(
-        "a", "b").distinct(), "pairs")
+    size = member.groupBy(F.col("gid").alias("hub")).agg(F.min("n").alias("nb"))
+    pairs = star.union(steps).groupBy("gid", "hub").agg(F.count("*").alias("k")).join(size, "hub")
+    pairs = member.join(pairs, "gid").where(
+        (F.col("rep") != F.col("hub")) & _like_sizes("n", "nb", percent)
+        & (F.col("k") >= _need(F.least("n", "nb"), percent)))
+    pairs = stored(pairs.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         ids = pairs.select("a").union(pairs.select("b")).distinct()
@@ -229,11 +242,14 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     open_ = meeting.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
                                      F.count("*").alias("k")).where("low <> high").select("s", "k")
     meeting = stored(meeting.join(open_, "s"), "open")
+    # a pair that meets only among few shares all it must there; any other is met among many
     few = meeting.where(F.col("k") <= FEW)
     left = few.select("s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     right = few.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     rest = left.join(right, "s").where("a < b AND ca <> cb").where(
-        _like_sizes("na", "nb", percent)).select("a", "b").distinct()
+        _like_sizes("na", "nb", percent)).groupBy("a", "b").agg(
+        F.count("*").alias("k"), F.min(F.least("na", "nb")).alias("n")).where(
+        F.col("k") >= _need(F.col("n"), percent)).select("a", "b")
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(done, ["a", "b"], "left_anti"), "rest")
     links = links.union(verified(rest, "more"))
