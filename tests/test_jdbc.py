@@ -13,7 +13,7 @@ import pytest
 from tidemark.operators.extract import CloseBy, TablePolicy
 from tidemark.operators.tiers import BATCH
 from tidemark.plans import migrate
-from tidemark.plans.migrate import WATERMARK_DDL, jdbc_hybrid, run_jdbc_batch
+from tidemark.plans.migrate import BATCH_DDL, WATERMARK_DDL, jdbc_hybrid, run_jdbc_batch
 from tidemark.plans.store import TierStore
 from tidemark.plans.workload import run_statements
 from tidemark.sources.jdbc import JdbcHot
@@ -34,6 +34,7 @@ def hot(spark, tmp_path):
     db = JdbcHot(spark, f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", DERBY)
     with db.transaction() as tx:
         tx.execute(WATERMARK_DDL)
+        tx.execute(BATCH_DDL)
     return db
 
 
@@ -205,3 +206,41 @@ def test_lake_table_append_and_batch_read(spark, hot):
     assert rows(lake.read("COLD_T").select("K")) == Counter([(1,), (2,), (3,)])
     schema = spark.createDataFrame([], "K int").schema
     assert rows(lake.cold_batch("COLD_T", 1, schema)) == Counter([(2,), (3,)])
+
+
+def test_closed_parents_are_found_by_the_database(loaded):
+    got = loaded.closed_parents("ord", "line", [("o", "o")], "done", day(1), day(6))
+    assert sorted(r.o for r in got.collect()) == [0, 1, 2]
+    assert "GROUP BY" in plan(got)
+
+
+def test_a_key_that_gains_a_row_meanwhile_is_not_deleted(spark, hot, store, monkeypatch):
+    """Two equal keys are copied; a third arrives between reading and deleting."""
+    policy = TablePolicy("hist", "append_only", "ts", ("c",), unique=False)
+    frame = lambda *v: spark.createDataFrame([(1, day(1), x) for x in v], "c int, ts timestamp_ntz, v int")
+    hot.write(frame(1, 2), "hist")
+    original = JdbcHot.stage_keys
+
+    def late(self, *args):
+        original(self, *args)
+        hot.write(frame(3), "hist")
+    with monkeypatch.context() as patch:
+        patch.setattr(JdbcHot, "stage_keys", late)
+        with pytest.raises(RuntimeError, match="run again"):
+            run_jdbc_batch(hot, store, [policy], day(2), 0)
+    assert hot.table("hist").count() == 3
+    run_jdbc_batch(hot, store, [policy], day(2), 0)
+    assert hot.table("hist").count() == 0
+    cold = cold_table(spark, store, "hist", hot.table("hist").schema.add(BATCH, "long"))
+    assert sorted(r.v for r in jdbc_hybrid(hot, cold, "hist", ("c", "v")).collect()) == [1, 2, 3]
+
+
+def test_a_retry_that_leaves_a_table_out(spark, loaded, store, monkeypatch):
+    want = whole(spark, loaded, store)
+    with monkeypatch.context() as patch:
+        patch.setattr(JdbcHot, "delete_statement", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            run_jdbc_batch(loaded, store, [ORDER, LINE], day(5), 0)
+    run_jdbc_batch(loaded, store, [ORDER], day(5), 0)
+    run_jdbc_batch(loaded, store, [ORDER, LINE], day(9), 0)
+    assert whole(spark, loaded, store) == want

@@ -42,6 +42,7 @@ class TablePolicy:
     enabled: bool = True
     close_by: CloseBy | None = None
     zone: str | None = None
+    unique: bool = True  # whether pk_columns are a true key
 
 
 # The policies of the order-processing schema and its time zone.
@@ -54,7 +55,7 @@ TPCC_POLICIES = (
     TablePolicy("order_line", "update_once", "ol_delivery_d",
                 ("ol_w_id", "ol_d_id", "ol_o_id", "ol_number"), zone=TPCC_ZONE),
     TablePolicy("hhistory", "append_only", "h_date",
-                ("h_c_id", "h_c_d_id", "h_c_w_id", "h_date"), zone=TPCC_ZONE),
+                ("h_c_id", "h_c_d_id", "h_c_w_id", "h_date"), zone=TPCC_ZONE, unique=False),
 )
 
 POLICY_SCHEMA = T.StructType([

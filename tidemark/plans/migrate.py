@@ -9,10 +9,10 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.times import EPOCH, cutoff
+from tidemark.functions.times import EPOCH, cutoff, local_bound
 from tidemark.operators.extract import CATEGORIES, TablePolicy, extract, unsettled
 from tidemark.operators.keyed import delete_using
-from tidemark.operators.tiers import as_column, hybrid, split_tiers
+from tidemark.operators.tiers import BATCH, as_column, hybrid, split_tiers
 from tidemark.plans.store import TableState, TierStore
 from tidemark.session import in_parallel
 from tidemark.sources.jdbc import JdbcHot
@@ -149,6 +149,8 @@ def tier_counts(store: TierStore, names: Sequence[str]) -> DataFrame:
 # A live database as the hot tier. The lake and the database cannot commit together, so the
 # watermark and the number of the last finished batch live in the database, beside the deletes.
 
+BATCH_DDL = ("CREATE TABLE sync_batch (relname VARCHAR(128) NOT NULL, batch_id BIGINT NOT NULL, "
+             "PRIMARY KEY (relname, batch_id))")
 WATERMARK_DDL = ("CREATE TABLE sync_watermark (relname VARCHAR(128) PRIMARY KEY, "
                  "last_ts TIMESTAMP NOT NULL, batch_id BIGINT NOT NULL)")
 
@@ -166,17 +168,20 @@ def run_jdbc_batch(hot: JdbcHot, cold, policies: Sequence[TablePolicy], as_of: d
                    read: Callable[[str], DataFrame] | None = None) -> list[dict]:
     """As :func:`run_batch`, deleting from a live database.
 
-    The window is evaluated by the database, so that only settled rows travel. ``read`` gives the
-    rows of a table, by default over one connection; for a large first move give for instance
-    ``lambda t: hot.parallel(t, "id", 64)``.
+    Windows, and which parents have closed, are evaluated by the database, so that only settled rows
+    travel; next to a clock change of the policy's zone Spark finds the closed parents instead.
+    ``read`` gives the rows of a table, by default over one connection; for a large first move give
+    for instance ``lambda t: hot.parallel(t, "id", 64)``, and Spark finds the closed parents.
 
     ``cold`` offers ``write_cold(name, df, batch)`` and ``cold_batch(name, batch, schema)``.
-    Rows are read once, into the batch partition; the keys to delete are read back from it, so
-    a row that arrives meanwhile is neither lost nor deleted. Delete and watermark are one
-    database transaction. Until it commits, read with :func:`~tidemark.operators.tiers.hybrid`
+    Rows are read once, into the batch partition; the keys to delete are read back from it. A row
+    with a new key that arrives meanwhile is neither lost nor deleted. Where the key is no true one
+    (``unique=False``), rows of each key are counted in the transaction, and if any came or went
+    since, all is rolled back and a retry moves them. Delete, watermark and the note that the batch
+    counts are one database transaction. Until it commits, read with :func:`~tidemark.operators.tiers.hybrid`
     given the keys; a retry writes the same batch number again.
     """
-    read = read or hot.table
+    scan = read or hot.table
     marks = jdbc_watermarks(hot)
     batch = max((b for _, b in marks.values()), default=-1) + 1
     until = cutoff(as_of, delay_minutes)
@@ -186,9 +191,12 @@ def run_jdbc_batch(hot: JdbcHot, cold, policies: Sequence[TablePolicy], as_of: d
             report.append({"relname": policy.relname, "moved": 0, "skipped": "inactive"})
             continue
         last = marks.get(policy.relname, (EPOCH, -1))[0]
-        rows = _zoneless(read(policy.relname))
-        child = _zoneless(read(policy.close_by.child)) if policy.close_by else None
-        cold.write_cold(policy.relname, extract(policy, rows, last, until, child), batch)
+        rows = _zoneless(scan(policy.relname))
+        settled = None if read else _closed_in_database(hot, policy, last, until)
+        if settled is None:
+            child = _zoneless(scan(policy.close_by.child)) if policy.close_by else None
+            settled = extract(policy, rows, last, until, child)
+        cold.write_cold(policy.relname, settled, batch)
         written = cold.cold_batch(policy.relname, batch, rows.schema)
         moved = written.count()
         if moved:
@@ -199,15 +207,29 @@ def run_jdbc_batch(hot: JdbcHot, cold, policies: Sequence[TablePolicy], as_of: d
 
     with hot.transaction() as tx:
         for policy in moved_tables:
+            if not policy.unique and tx.execute(hot.changed_statement(
+                    policy.relname, _staging(policy), policy.pk_columns))[1]:
+                raise RuntimeError(f"rows of staged keys of {policy.relname} have changed; run again")
             tx.execute(hot.delete_statement(policy.relname, _staging(policy), policy.pk_columns))
         for policy, mark in active:
             _advance(tx, policy.relname, mark, batch)
+            tx.execute("INSERT INTO sync_batch VALUES (?, ?)", [policy.relname, batch])
     with hot.transaction() as tx:
         for policy in moved_tables:
             tx.execute(f"DROP TABLE {_staging(policy)}")
     return report
 
 
+def _closed_in_database(hot: JdbcHot, policy: TablePolicy, last: datetime, until: datetime
+                        ) -> DataFrame | None:
+    """The closed parents of a policy; None where it has no children or the zone's offset changes."""
+    bounds = [local_bound(t, policy.zone) for t in (last, until)]
+    if policy.close_by is None or None in bounds:
+        return None
+    close = policy.close_by
+    return _zoneless(hot.closed_parents(policy.relname, close.child, close.on, close.ts_column, *bounds))
+
+
 def _staging(policy: TablePolicy) -> str:
     return "staging_delete_" + policy.relname.replace(".", "_")
 
@@ -229,15 +251,22 @@ def _advance(tx, relname: str, mark: datetime, batch: int) -> None:
                    [relname, text, batch])
 
 
-def jdbc_hybrid(hot: JdbcHot, cold_table: DataFrame | None, name: str, keys: Sequence[str]):
+def jdbc_hybrid(hot: JdbcHot, cold_table: DataFrame | None, name: str, keys: Sequence[str],
+                read: Callable[[str], DataFrame] | None = None):
     """The table over a live database and the cold tier, right at every step of a batch.
 
-    Make it anew for each query: Spark lists cold files when the frame is made, and a batch that
-    begins and ends between that listing and the hot scan would hide its rows from both.
+    Batches that count are those the database has noted; what a failed attempt left of an earlier
+    one is passed over, and rows of a batch in flight are dropped from hot. Make it anew for each
+    query: Spark lists cold files when the frame is made, and a batch that begins and ends between
+    that listing and the hot scan would hide its rows from both. ``read`` is as in
+    :func:`run_jdbc_batch`.
     """
-    live = _zoneless(hot.table(name))
+    live = _zoneless((read or hot.table)(name))
     if cold_table is None:
         return live
-    done = jdbc_watermarks(hot).get(name, (EPOCH, -1))[1]
-    return hybrid(live, cold_table, committed=done, keys=keys)
-
+    # the last batch of the database, whichever tables it had
+    done = max((b for _, b in jdbc_watermarks(hot).values()), default=-1)
+    noted = hot.query(f"SELECT batch_id FROM sync_batch WHERE relname = '{name}'")
+    counts = sorted(r[0] for r in noted.collect())
+    cold = cold_table.where(F.col(BATCH).isin(counts) | (F.col(BATCH) > done))
+    return hybrid(live, cold, committed=done, keys=keys)

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from contextlib import contextmanager
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Column of a staging table: rows of the key when it was staged.
+STAGED = "staged_rows"
 
 
 class JdbcHot:
@@ -77,13 +82,33 @@ class JdbcHot:
         df.write.format("jdbc").options(**self.options, dbtable=table).mode(mode).save()
 
     def stage_keys(self, rows: DataFrame, keys: Sequence[str], staging: str) -> None:
-        """Write the distinct keys from the executors, keeping their types."""
-        self.write(rows.select(*keys).distinct(), staging, "overwrite")
+        """Write the distinct keys from the executors, keeping their types, and how many rows each
+        has."""
+        self.write(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(STAGED)), staging, "overwrite")
 
     def delete_statement(self, table: str, staging: str, keys: Sequence[str]) -> str:
         match = " AND ".join(f"s.{_name(k)} = {table}.{_name(k)}" for k in keys)
         return f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM {staging} s WHERE {match})"
 
+    def changed_statement(self, table: str, staging: str, keys: Sequence[str]) -> str:
+        """Staged keys that by now have another number of rows than were staged."""
+        match = " AND ".join(f"s.{_name(k)} = {table}.{_name(k)}" for k in keys)
+        return (f"SELECT 1 FROM {staging} s WHERE s.{_name(STAGED)} <> "
+                f"(SELECT COUNT(*) FROM {table} WHERE {match})")
+
+    def closed_parents(self, parent: str, child: str, on: Sequence[tuple[str, str]], ts: str,
+                       last: datetime, until: datetime) -> DataFrame:
+        """Parent rows whose latest child time lies in ``(last, until]``, found by the database:
+        only those travel. Bounds are in the zone of the column."""
+        at = _name(ts)
+        bound = "CAST('{}' AS TIMESTAMP)".format
+        low, high = bound(last.isoformat(sep=" ")), bound(until.isoformat(sep=" "))
+        keys = ", ".join(_name(c) for _, c in on)
+        match = " AND ".join(f"p.{_name(p)} = c.{_name(c)}" for p, c in on)
+        return self.query(
+            f"SELECT p.* FROM {parent} p JOIN (SELECT {keys} FROM {child} WHERE {at} > {low} "
+            f"GROUP BY {keys} HAVING MAX({at}) > {low} AND MAX({at}) <= {high}) c ON {match}")
+
     @contextmanager
     def transaction(self):
         """A connection from the driver; committed at the end, rolled back on any error."""
@@ -111,7 +136,7 @@ class JdbcTransaction:
         self.connection.setAutoCommit(False)
 
     def execute(self, sql: str, args: Sequence = ()) -> tuple[str, int]:
-        """``("select", rows)`` or ``("write", affected)``; rows are counted, not fetched."""
+        """``("select", 1 if there is any row, else 0)`` or ``("write", affected)``."""
         statement = self.connection.prepareStatement(sql)
         try:
             expected = statement.getParameterMetaData().getParameterCount()
@@ -121,10 +146,7 @@ class JdbcTransaction:
                 statement.setObject(i, value)
             if not statement.execute():
                 return "write", statement.getUpdateCount()
-            result, rows = statement.getResultSet(), 0
-            while result.next():
-                rows += 1
-            return "select", rows
+            return "select", int(statement.getResultSet().next())
         finally:
             statement.close()
 
