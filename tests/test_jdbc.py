@@ -17,6 +17,7 @@ from tidemark.plans.migrate import BATCH_DDL, WATERMARK_DDL, jdbc_hybrid, run_jd
 from tidemark.plans.store import TierStore
 from tidemark.plans.workload import run_statements
 from tidemark.sources.jdbc import JdbcHot
+from tidemark.session import scratch
 from tidemark.sources.lake import LakeCold
 
 DERBY = "org.apache.derby.jdbc.EmbeddedDriver"
@@ -244,3 +245,25 @@ def test_a_retry_that_leaves_a_table_out(spark, loaded, store, monkeypatch):
     run_jdbc_batch(loaded, store, [ORDER], day(5), 0)
     run_jdbc_batch(loaded, store, [ORDER, LINE], day(9), 0)
     assert whole(spark, loaded, store) == want
+
+
+def test_cold_tables_for_every_hot_table(spark, hot):
+    from tidemark.sources.lake import create_all
+
+    with hot.transaction() as tx:
+        tx.execute("CREATE SCHEMA information_schema")
+        tx.execute('CREATE TABLE information_schema.columns (table_schema VARCHAR(20), table_name '
+                   'VARCHAR(20), column_name VARCHAR(20), data_type VARCHAR(40), ordinal_position INT)')
+        tx.execute("CREATE TABLE information_schema.tables (table_schema VARCHAR(20), "
+                   "table_name VARCHAR(20))")
+        tx.execute("INSERT INTO information_schema.tables VALUES ('public', 'h1'), ('public', 'h2'), "
+                   "('other', 'h3')")
+        for row in (["h1", "b", "numeric(10,2)", 2], ["h1", "a", "bigint", 1], ["h2", "u", "uuid", 1]):
+            tx.execute("INSERT INTO information_schema.columns VALUES ('public', ?, ?, ?, ?)", row)
+    database = f"cold_{uuid.uuid4().hex[:8]}"
+    spark.sql(f"CREATE DATABASE {database}")
+    made = create_all(spark, hot, scratch(spark, "all"), database=database)
+    assert sorted(made) == [f"{database}.h1", f"{database}.h2"]
+    assert spark.table(f"{database}.h1").dtypes == [("a", "bigint"), ("b", "decimal(10,2)")]
+    assert spark.table(f"{database}.h2").dtypes == [("u", "string")]
+    spark.sql(f"DROP DATABASE {database} CASCADE")

@@ -60,6 +60,10 @@ def test_bulk_load_renames(spark, sf):
                       scratch(spark, "load"))
     assert spark.read.parquet(paths["ch_nation"]).count() == 25
     assert spark.read.parquet(paths["ch_region"]).count() == 5
+    assert {"ch_nation", "ch_region"} <= {r.tableName for r in spark.sql("SHOW TABLES").collect()}
+    assert spark.table("ch_nation").count() == 25
+    for name in paths:
+        spark.sql(f"DROP TABLE {name}")
 
 
 def test_arrow_at_the_edge(spark, sf):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.times import iso_text
 from tidemark.operators.tiers import BATCH
-from tidemark.functions.types import spark_type_column, table_schema
+from tidemark.functions.types import SOURCE_TYPES, spark_type_column, table_schema
 from tidemark.queries.staging import (
     ANALYTIC_TABLES,
     MOVED_SQL,
@@ -22,10 +23,10 @@ from tidemark.queries.staging import (
     tpcc_frames,
     tpcc_store,
 )
-from tidemark.schemas import CH_NAMES, TPCC, schema_drift, tpcc_schema
+from tidemark.schemas import CH_NAMES, TPCC, conform, schema_drift, tpcc_schema
 from tidemark.session import in_parallel, scratch
 from tidemark.sources.files import read_paths
-from tidemark.sources.lake import append, bulk_load, create_from_source, create_table
+from tidemark.sources.lake import append, bulk_load, create_from_source, create_table, create_tpcc
 
 # Source types of the orders columns, as its database declares them.
 ORDERS_COLUMNS = [
@@ -39,13 +40,21 @@ def _new_table(name: str) -> str:
     return f"{name}_{uuid.uuid4().hex[:12]}"
 
 
+def _released(spark: SparkSession, name: str) -> DataFrame:
+    """The table as a frame that has been looked up; the name is given up."""
+    df = spark.table(name)
+    df.schema  # noqa: B018 - looks the table up
+    spark.sql(f"DROP TABLE {name}")
+    return df
+
+
 def cold_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalogue table read by name."""
     events = given(spark, sf_dir, "events")
     name = _new_table("cold_events")
     create_table(spark, name, events.schema, scratch(spark, name))
     append(events, name)
-    return spark.table(name).groupBy("event_type").agg(
+    return _released(spark, name).groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), money("value", "total"))
 
 
@@ -74,7 +83,7 @@ def cold_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     create_table(spark, name, orders.schema, scratch(spark, name))
     append(orders.where("o_orderstatus = 'F'"), name)
     append(orders.where("o_orderstatus <> 'F'"), name)
-    return spark.table(name).select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return _released(spark, name).select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
 def create_from_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +93,7 @@ def create_from_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = name.replace(".", "_")
     append(given(spark, sf_dir, "orders").select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]), table)
-    return spark.table(table).groupBy("o_orderstatus").agg(
+    return _released(spark, table).groupBy("o_orderstatus").agg(
         F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").cast("double").alias("total"),
         F.max(F.typeof("o_totalprice")).alias("price_type"))
 
@@ -103,7 +112,7 @@ def insert_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         (-1, 7, 'reserved', 12.50, TIMESTAMP_NTZ '2023-05-17 08:30:00'),
         (-2, 7, 'reserved', 0.75, TIMESTAMP_NTZ '2023-05-18 09:00:00'),
         (-3, 8, 'returned', 640.00, TIMESTAMP_NTZ '2023-06-02 17:45:30')""")
-    return spark.table(name).groupBy("order_status").agg(
+    return _released(spark, name).groupBy("order_status").agg(
         F.count(F.lit(1)).alias("n"), F.sum("total_amount").cast("double").alias("total"))
 
 
@@ -113,30 +122,44 @@ def _layout(name: str) -> str:
 
 
 def tpcc_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nine order-processing tables, created and filled; rows and columns of each."""
-    out, frames = None, tpcc_frames(spark, sf_dir)
-    tables = {n: _new_table(_layout(n)) for n in frames}
-
-    def fill(name: str) -> None:
-        table = tables[name]
-        create_table(spark, table, tpcc_schema(_layout(name), wide=True), scratch(spark, table))
-        append(frames[name], table)
-    in_parallel(spark, [lambda n=name: fill(n) for name in frames])
-    for name, df in frames.items():
-        part = spark.table(tables[name]).agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(_layout(name)).alias("table_name"), F.lit(len(df.columns)).alias("columns"), "rows")
+    """The nine order-processing tables, created with their declared types and filled; what the
+    catalogue says of every column, and the rows. The names are given up again."""
+    frames, root = tpcc_frames(spark, sf_dir), scratch(spark, "tpcc-tables")
+    layouts = {_layout(n): n for n in frames}
+    tables = create_tpcc(spark, root, {t: _new_table(t) for t in layouts})
+
+    def fill(layout: str) -> None:
+        append(conform(frames[layouts[layout]], tpcc_schema(layout)), tables[layout])
+    in_parallel(spark, [lambda t=t: fill(t) for t in layouts])
+    out = None
+    for layout, table in tables.items():
+        df = spark.table(table)
+        columns = F.array(*[F.struct(F.lit(n).alias("column_name"), F.lit(t).alias("type"))
+                            for n, t in df.dtypes])
+        stored = spark.read.schema(df.schema).parquet(f"{root}/{layout}")
+        spark.sql(f"DROP TABLE {table}")
+        part = stored.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(layout).alias("table_name"), F.explode(columns).alias("c"), "rows").select(
+            "table_name", "c.column_name", "c.type", "rows")
         out = part if out is None else out.unionAll(part)
     return out
 
 
 def bulk_load_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = {t: CH_NAMES[t] for t in ANALYTIC_TABLES}
+    """Tables of the catalogue under new names, in a database of their own."""
+    database = _new_table("lake")
+    spark.sql(f"CREATE DATABASE {database}")
+    names = {t: f"{database}.{CH_NAMES[t]}" for t in ANALYTIC_TABLES}
     paths = bulk_load(spark, sf_dir, names, scratch(spark, "bulk"))
+    listed = {r.tableName for r in spark.sql(f"SHOW TABLES IN {database}").collect()}
     out = None
     for name, path in sorted(paths.items()):
-        part = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(name).alias("table_name"), "rows")
+        short = name.partition(".")[2]
+        part = spark.read.schema(spark.table(name).schema).parquet(path).agg(
+            F.count(F.lit(1)).alias("rows")).select(
+            F.lit(short).alias("table_name"), F.lit(short in listed).alias("listed"), "rows")
         out = part if out is None else out.unionAll(part)
+    spark.sql(f"DROP DATABASE {database} CASCADE")
     return out
 
 
@@ -214,6 +237,12 @@ def file_pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("ol_amount").cast("double").alias("amount"))
 
 
+# Every type name a source may declare, some with sizes and in other spellings, and what it becomes.
+_DECLARED_TYPES = [*SOURCE_TYPES.items(), ("numeric(12,2)", "decimal(12,2)"),
+                   ("DECIMAL(9)", "decimal(9,0)"), ("numeric ( 20 , 5 )", "decimal(20,5)"),
+                   ("character varying(255)", "string"), ("char(1)", "string"),
+                   ("Timestamp(6) without time zone", "timestamp_ntz"), ("interval", "string")]
+
 # How the source database names the types of the given tables.
 _SOURCE_NAMES = {"bigint": "bigint", "int": "integer", "string": "character varying",
                  "double": "double precision", "timestamp_ntz": "timestamp without time zone"}
@@ -235,8 +264,16 @@ def type_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = _column_counts(given(spark, sf_dir, name), name)
         out = part if out is None else out.unionAll(part)
     source = F.create_map(*[F.lit(x) for pair in _SOURCE_NAMES.items() for x in pair])[F.col("type")]
-    return out.select("table_name", "column_name", source.alias("source_type"),
-                      spark_type_column(source).alias("lake_type"), "non_null")
+    out = out.select("table_name", "column_name", source.alias("source_type"), "non_null")
+    # a catalogue whose columns have every type a source may declare, filled for each nation
+    kinds = F.array(*[F.struct(F.lit(f"c{i}").alias("column_name"), F.lit(t).alias("source_type"))
+                      for i, (t, _) in enumerate(_DECLARED_TYPES)])
+    declared = given(spark, sf_dir, "nation").agg(F.count(F.lit(1)).alias("non_null")).select(
+        F.explode(kinds).alias("c"), "non_null").select(
+        F.lit("declared").alias("table_name"), "c.column_name", "c.source_type", "non_null")
+    out = out.unionAll(declared)
+    return out.select("table_name", "column_name", "source_type",
+                      spark_type_column(F.col("source_type")).alias("lake_type"), "non_null")
 
 
 def schema_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,6 +323,12 @@ _LAKE_NAMES = {"bigint": "bigint", "integer": "int", "character varying": "strin
                "double precision": "double", "timestamp without time zone": "timestamp_ntz"}
 
 
+def _declared(table: str) -> list[str]:
+    """``('column', 'type')`` of a layout as its text states them."""
+    columns = [c.strip().split(" ", 1) for c in re.split(r",(?![^(]*\))", TPCC[table])]
+    return [f"('{n}', '{t.lower()}')" for n, t in columns]
+
+
 def _type_mapping_sql() -> str:
     parts = []
     for table, columns in _GIVEN_COLUMNS.items():
@@ -294,6 +337,9 @@ def _type_mapping_sql() -> str:
             parts.append(f"SELECT '{table}' AS table_name, '{name}' AS column_name, "
                          f"'{source}' AS source_type, '{_LAKE_NAMES[source]}' AS lake_type, "
                          f"COUNT({name}) AS non_null FROM {table}")
+    for i, (source, lake) in enumerate(_DECLARED_TYPES):
+        parts.append(f"SELECT 'declared' AS table_name, 'c{i}' AS column_name, '{source}' AS "
+                     f"source_type, '{lake}' AS lake_type, COUNT(*) AS non_null FROM nation")
     return " UNION ALL ".join(parts)
 
 
@@ -316,10 +362,11 @@ ORACLES = {
           UNION ALL VALUES ('reserved', 12.50), ('reserved', 0.75), ('returned', 640.00))
         GROUP BY order_status""",
     "tpcc_schemas": " UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, {len(TPCC[t].split(', '))} AS columns, COUNT(*) AS rows FROM {s}"
-        for t, s in _TPCC_SOURCES.items()),
+        f"SELECT '{t}' AS table_name, c.column_name, c.type, n.rows FROM "
+        f"(VALUES {', '.join(_declared(t))}) c(column_name, type), "
+        f"(SELECT COUNT(*) AS rows FROM {s}) n" for t, s in _TPCC_SOURCES.items()),
     "bulk_load_renamed": " UNION ALL ".join(
-        f"SELECT '{CH_NAMES[t]}' AS table_name, COUNT(*) AS rows FROM {t}"
+        f"SELECT '{CH_NAMES[t]}' AS table_name, TRUE AS listed, COUNT(*) AS rows FROM {t}"
         for t in ANALYTIC_TABLES),
     "export_parquet_roundtrip": "SELECT * FROM part",
     "schema_evolution_read": "SELECT c_custkey, c_name, CASE WHEN c_acctbal >= 0 THEN "

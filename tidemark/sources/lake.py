@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 
 from tidemark.functions.types import table_schema
 from tidemark.operators.tiers import BATCH
+from tidemark.schemas import TPCC, tpcc_schema
 from tidemark.session import in_parallel
+from tidemark.sources.jdbc import JdbcHot
 
 
 class LakeCold:
@@ -91,6 +93,29 @@ def create_from_source(spark: SparkSession, table: str, columns: list[tuple[str,
     return schema
 
 
+def create_all(spark: SparkSession, hot: JdbcHot, location: str, schema: str = "public",
+               database: str | None = None) -> dict[str, T.StructType]:
+    """An empty cold table for every table of a database, from its catalogue; by cold name.
+
+    The catalogue is small (a row per column) and read once per table."""
+    made = {}
+    for table in sorted(r[0] for r in hot.tables(schema).collect()):
+        columns = [(r[0], r[1]) for r in hot.columns(table, schema).collect()]
+        name = f"{database}.{table}" if database else table
+        made[name] = table_schema(columns)
+        create_table(spark, name, made[name], f"{location.rstrip('/')}/{table}")
+    return made
+
+
+def create_tpcc(spark: SparkSession, location: str, names: dict[str, str] | None = None,
+                wide: bool = False) -> dict[str, str]:
+    """The nine order-processing tables with their declared types; ``layout -> table name``."""
+    names = names or {t: t for t in TPCC}
+    for layout, table in names.items():
+        create_table(spark, table, tpcc_schema(layout, wide), f"{location.rstrip('/')}/{layout}")
+    return names
+
+
 def append(df: DataFrame, table: str) -> None:
     """Append by column name to a Parquet table, from as many tasks as the data has."""
     columns = df.sparkSession.table(table).columns
@@ -98,10 +123,14 @@ def append(df: DataFrame, table: str) -> None:
 
 
 def bulk_load(spark: SparkSession, source: str, names: dict[str, str], target: str) -> dict:
-    """Load ``<source>/<name>.parquet`` into tables under new names; ``new name -> path``."""
-    paths = {new: f"{target.rstrip('/')}/{new}" for new in names.values()}
+    """Load ``<source>/<name>.parquet`` into catalogue tables under new names; ``new name -> path``.
+    A name may have a database before a dot; a table that exists is loaded anew."""
+    paths = {new: f"{target.rstrip('/')}/{new.replace('.', '/')}" for new in names.values()}
 
     def load(old: str, new: str) -> None:
-        spark.read.parquet(f"{source}/{old}.parquet").write.mode("overwrite").parquet(paths[new])
+        df = spark.read.parquet(f"{source}/{old}.parquet")
+        df.write.mode("overwrite").parquet(paths[new])
+        create_table(spark, new, df.schema, paths[new])
+        spark.catalog.refreshTable(new)
     in_parallel(spark, [lambda o=old, n=new: load(o, n) for old, new in names.items()])
     return paths
