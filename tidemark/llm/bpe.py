@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.pretokens import PATTERN, Memo, chunk, is_plain, parts
+from tidemark.llm.pretokens import PATTERN, Memo, is_plain, parts, pieces
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -56,7 +56,8 @@ class BytePairs:
         #: for each token, the next shorter one that begins as it does
         self.shorter = {r: next(made[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in made)
                         for t, r in made.items() if len(t) > 1}
-        self.memo = Memo(lambda part: self.packed(chunk(part)))
+        self.pieces = Memo(lambda piece: np.array(self.piece(piece.encode("utf-8", "replace")), "<u4").tobytes())
+        self.memo = Memo(lambda part: b"".join(map(self.pieces.__getitem__, pieces(part))))
 
     def _merged(self, data: bytes) -> list[bytes]:
         """The merges as defined: join the neighbours of the lowest rank until none can be."""
@@ -109,11 +110,8 @@ class BytePairs:
                 step = shorter.get(rank)
             rank = step
 
-    def ids(self, text: str) -> list[int]:
-        return [i for p in PATTERN.findall(text) for i in self.piece(p.encode())]
-
     def packed(self, text: str) -> bytes:
-        return np.array(self.ids(text), "<u4").tobytes()
+        return b"".join(map(self.pieces.__getitem__, PATTERN.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""

@@ -8,7 +8,7 @@ Other texts are split by the pattern itself.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import public_tokenizers
 import regex
@@ -38,6 +38,21 @@ def chunk(part: str) -> str:
     return part if part.startswith("\n") else " " + part
 
 
+#: Marks that are a piece by themselves between a word and white space.
+_MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+
+
+def pieces(part: str) -> list[str]:
+    """The pieces of a part other than the first. Most are a word, or a word and a mark."""
+    if part.isalpha():
+        return [" " + part]
+    if part[-1:] in _MARKS and part[:-1].isalpha():
+        return [" " + part[:-1], part[-1]]
+    if part[:1] == "\n" and part[1:].isalpha():
+        return ["\n", part[1:]]
+    return PATTERN.findall(chunk(part))
+
+
 class Memo(dict):
     """part -> packed ids. ``make`` fills in what is missing. The first ``limit`` entries stay, as
     frequent parts come first; later ones share a second dictionary that starts anew when full."""
@@ -50,16 +65,10 @@ class Memo(dict):
         value = self.young.get(part)
         if value is None:
             value = self.make(part)
-            self.put(part, value)
+            if len(self) < self.limit:
+                self[part] = value
+            else:
+                if len(self.young) >= self.limit:
+                    self.young.clear()
+                self.young[part] = value
         return value
-
-    def put(self, part: str, value: bytes) -> None:
-        if len(self) < self.limit:
-            self[part] = value
-        else:
-            if len(self.young) >= self.limit:
-                self.young.clear()
-            self.young[part] = value
-
-    def new(self, found: Iterable[str]) -> list[str]:
-        return [p for p in found if p not in self and p not in self.young]

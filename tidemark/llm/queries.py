@@ -33,10 +33,11 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "llm-token-files")
     tokens.write_tokens(table(spark, sf_dir, "documents"), path)
-    read = tokens.read_tokens(spark, path)
+    # the digest is taken before the join, which then moves no ids
+    read = tokens.read_tokens(spark, path).select(
+        "shard", "block", "doc_id", "offset", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     return read.join(tokens.starts(spark, path), ["shard", "block"]).select(
-        "doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens",
-        F.crc32("ids").alias("ids_crc32"))
+        "doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,8 @@ table gives files without blocks. Other columns are not stored.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator, Sequence
+import struct
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -29,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.pretokens import Memo, chunk, is_plain, parts
+from tidemark.llm.pretokens import PATTERN, Memo, is_plain, parts, pieces
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
 #: Tokens after which a block is closed; one document is never split.
 BLOCK = 1 << 20
 #: Rounds of replacement, pairs replaced in a round, and how often a pair must occur.
-ROUNDS, PAIRS, OFTEN = 3, 4096, 16
+ROUNDS, PAIRS, OFTEN = 2, 8192, 16
 
 MAGIC = b"RPG1"
 FILES = "shard int, block int, doc_ids array<long>, n_tokens array<long>, payload binary"
@@ -57,17 +58,9 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS) -> bytes:
             pair = (seq[:-1] << np.uint32(16)) | seq[1:]
         else:
             pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        ordered = np.sort(pair)
-        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(np.append(starts, len(ordered)))
-        often = np.flatnonzero(counts >= OFTEN)
-        if not len(often):
+        chosen, rank = _frequent(pair)
+        if not len(chosen):
             break
-        if len(often) > PAIRS:
-            often = often[np.argpartition(-counts[often], PAIRS)[:PAIRS]]
-        often = often[np.argsort(-counts[often], kind="stable")]
-        chosen = ordered[starts[often]]
-        rank = _rank(pair, chosen)
         # of overlapping pairs the more frequent one stays, of equal ones the first
         left = np.concatenate([[len(chosen)], rank[:-1]])
         right = np.append(rank[1:], len(chosen))
@@ -94,21 +87,25 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS) -> bytes:
                      _lengths(table, first).astype("<u4").tobytes(), seq.astype(kind).tobytes()])
 
 
-def _rank(pair: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Each pair's place among the chosen, or their number. Most pairs are ruled out by a table of
-    hashes; the others are looked up."""
-    out = np.full(len(pair), len(chosen), np.int32)
-    order = np.argsort(chosen)
-    known = chosen[order]
-    spread = pair.dtype.type(0x9E3779B1)
-    shift = pair.dtype.type(8 * pair.dtype.itemsize - 17)
-    maybe = np.zeros(1 << 17, bool)
-    maybe[(known * spread) >> shift] = True
-    some = np.flatnonzero(maybe[(pair * spread) >> shift])
-    at = np.minimum(np.searchsorted(known, pair[some]), len(known) - 1)
-    hit = known[at] == pair[some]
-    out[some[hit]] = order[at[hit]]
-    return out
+def _frequent(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent pairs, most frequent first, and each place's pair among them, or their number.
+
+    Pairs are counted in a table by hash. Where pairs share a place in it, one of them is counted,
+    exactly, and the others wait for the next round."""
+    bits = max(8, min(21, len(pair).bit_length() + 1))
+    spread = pair.dtype.type(0x9E3779B1 if pair.dtype == np.uint32 else 0x9E3779B97F4A7C15)
+    place = ((pair * spread) >> pair.dtype.type(8 * pair.dtype.itemsize - bits)).astype(np.int64)
+    owner = np.zeros(1 << bits, pair.dtype)
+    owner[place] = pair
+    own = owner[place] == pair
+    counts = np.bincount(place[own], minlength=1 << bits)
+    often = np.flatnonzero(counts >= OFTEN)
+    if len(often) > PAIRS:
+        often = often[np.argpartition(-counts[often], PAIRS)[:PAIRS]]
+    often = often[np.argsort(-counts[often], kind="stable")]
+    rank = np.full(1 << bits, len(often), np.int32)
+    rank[often] = np.arange(len(often))
+    return owner[often], np.where(own, rank[place], np.int32(len(often)))
 
 
 def _lengths(table: np.ndarray, first: int) -> np.ndarray:
@@ -163,36 +160,47 @@ class Block:
 
 # --- encoding ----------------------------------------------------------------------------------
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it can be seen,
+    else the next letter from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
-    """The library's ids of whole texts. What plain texts' chunks become is remembered, within
-    bounds; what is new is encoded many at a time."""
+    """The library's ids of whole texts. Texts are split into pieces as the vocabulary's own
+    pre-tokenizer does; what pieces and chunks become is remembered, within bounds."""
+
+    LETTERS = _byte_letters()
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.size = self.tokenizer.get_vocab_size()
+        tokenizer = Tokenizer.from_file(path)
+        self.model = tokenizer.model
+        self.size = tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.memo = Memo(lambda part: self._batch([chunk(part)])[0], 300_000)
-
-    def _batch(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes()
-                for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """Packed ids of each text."""
-        split = [parts(t) if is_plain(t) else None for t in texts]
-        new = self.memo.new(set().union(*(p[1:] for p in split if p)))
-        for at in range(0, len(new), 2048):
-            some = new[at:at + 2048]
-            for part, ids in zip(some, self._batch([chunk(p) for p in some]), strict=True):
-                self.memo.put(part, ids)
-        heads = self._batch([p[0] if p else t for p, t in zip(split, texts, strict=True)])
-        get = self.memo.__getitem__
-        return [head + b"".join(map(get, p[1:])) if p else head
-                for head, p in zip(heads, split, strict=True)]
+        self._code = "H" if self.kind.itemsize == 2 else "I"
+        self.pieces = Memo(self._piece, 250_000)
+        self.parts = Memo(self._part, 250_000)
+
+    def _piece(self, piece: str) -> bytes:
+        letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self.LETTERS)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}{self._code}", *ids)
+
+    def _part(self, part: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, pieces(part)))
+
+    def encode(self, text: str) -> bytes:
+        """Packed ids of a text; special tokens' strings in it are ordinary text."""
+        if not is_plain(text):
+            return b"".join(map(self.pieces.__getitem__, PATTERN.findall(text)))
+        first, *rest = parts(text)
+        return (b"".join(map(self.pieces.__getitem__, PATTERN.findall(first)))
+                + b"".join(map(self.parts.__getitem__, rest)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -227,10 +235,9 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for key, packed in zip(part.column(0).to_pylist(), own.encode(texts), strict=True):
+                for key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     ids.append(key)
-                    held.append(packed + last)
+                    held.append(own.encode(text or "") + last)
                     tokens += len(held[-1]) // own.kind.itemsize
                     if tokens >= BLOCK:
                         yield close()
