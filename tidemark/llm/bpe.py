@@ -8,22 +8,21 @@ all agree is exactly what the merges make of the whole piece, and each place is
 once, so the work is linear in the piece's length.
 
 Defined results: a null text is empty; an empty text has no ids. Rows that repeat are encoded each.
-An empty table gives an empty table. All columns of the input stay.
+An empty table gives an empty table. All columns of the input stay; those named like the results are
+replaced.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
+from tidemark.llm.common import with_column
 from tidemark.llm.pretokens import PATTERN, Memo, is_plain, parts, pieces
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -135,39 +134,21 @@ def loaded(path: str) -> BytePairs:
 
 
 def encode_texts(docs: DataFrame, text_col: str = "text", ranks: str = RANKS) -> DataFrame:
-    """``docs`` with ``_ids`` (packed ids) and ``_bytes`` (what the ids decode to)."""
-    schema = StructType(list(docs.schema.fields)).add("_ids", "binary").add("_bytes", "binary")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = loaded(ranks)
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at:at + 256].copy()
-                part["_ids"] = [pairs.encode(x) if isinstance(x, str) else b""
-                                for x in part[text_col]]
-                part["_bytes"] = [pairs.decode(x) for x in part["_ids"]]
-                yield part
-
-    return docs.mapInPandas(run, schema)
+    """``docs`` with ``_ids``, packed, none for null or empty text."""
+    return with_column(docs, lambda texts: [[loaded(ranks).encode(x or "") for x in texts]],
+                       {"_ids": "binary"}, text_col)
 
 
 def decode_ids(encoded: DataFrame, ids_col: str = "_ids", ranks: str = RANKS) -> DataFrame:
     """``encoded`` with ``_bytes`` made from its packed ids alone; a null has none."""
-    schema = StructType([f for f in encoded.schema.fields if f.name != "_bytes"]).add("_bytes", "binary")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = loaded(ranks)
-        for batch in batches:
-            batch["_bytes"] = [None if x is None else pairs.decode(x) for x in batch[ids_col]]
-            yield batch
-
-    return encoded.drop("_bytes").mapInPandas(run, schema)
+    return with_column(encoded, lambda ids: [[x and loaded(ranks).decode(x) for x in ids]],
+                       {"_bytes": "binary"}, ids_col)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS
             ) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row."""
-    out = encode_texts(docs.select(id_col, text_col), text_col, ranks)
+    out = decode_ids(encode_texts(docs.select(id_col, text_col), text_col, ranks), "_ids", ranks)
     return out.select(
         id_col, (F.length("_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("_ids", 256).alias("ids_sha256"), F.sha2("_bytes", 256).alias("decoded_sha256"))

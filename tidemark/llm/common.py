@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from tidemark.session import scratch
 
@@ -48,6 +50,30 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def with_column(df: DataFrame, make: Callable[[list], list], results: dict[str, str],
+                column: str, rows: int = 256) -> DataFrame:
+    """``df`` with columns that ``make`` computes from lists of values of ``column``, on the
+    executors: it returns one list for each of ``results`` (name -> type). All other columns pass
+    through as they are; those with a result's name are replaced."""
+    df = df.drop(*[c for c in results if c != column])
+    schema = StructType(list(df.schema.fields))
+    for name, kind in results.items():
+        schema = schema.add(name, kind)
+    at = df.columns.index(column)
+    kinds = [to_arrow_type(schema[name].dataType) for name in results]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                made = make(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))],
+                    names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession

@@ -171,6 +171,11 @@ def _need(size: Column, percent: int) -> Column:
     return F.least(F.lit(NEED), 1 + F.floor(apart / 4))
 
 
+def _sorted(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: never broadcast, at any size."""
+    return side.hint("merge")
+
+
 def _like_sizes(x: str, y: str, percent: int) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
@@ -193,73 +198,74 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                          F.xxhash64(F.lit(1), "prefix").alias("p2"))
     reps = reps.groupBy("n", "h1", "h2", "p1", "p2").agg(F.min("id").alias("rep"))
     groups = reps.groupBy("n", "p1", "p2").agg(F.min("rep").alias("gid"), F.count("*").alias("members"))
-    reps = stored(reps.join(groups, ["n", "p1", "p2"]).select(
+    reps = stored(reps.join(_sorted(groups), ["n", "p1", "p2"]).select(
         "rep", "gid", "n", "h1", "h2", "members"), "reps")
     others = filled.select("id").distinct().join(
         reps.select(F.col("gid").alias("id")), "id", "left_anti")
-    tokens = filled.join(others, "id", "left_anti").select(
+    tokens = filled.join(_sorted(others), "id", "left_anti").select(
         F.col("id").alias("gid"), F.explode("prefix").alias("s"))
     several = reps.where("members > 1").select("gid").distinct()
     shared = tokens.union(tokens.join(several, "gid")).groupBy("s").agg(F.count("*").alias("k")).where(
         "k > 1").select("s")
-    met = stored(tokens.join(shared, "s").distinct(), "meetings")
+    met = stored(tokens.join(_sorted(shared), "s").distinct(), "meetings")
 
     # the members of groups that meet others often enough, or have several
     size = reps.groupBy("gid").agg(F.min("n").alias("n"), F.max("members").alias("members"))
     enough = met.groupBy("gid").agg(F.count("*").alias("k")).join(size, "gid").where(
         (F.col("k") >= _need(F.col("n"), percent)) | (F.col("members") > 1)).select("gid")
-    member = stored(reps.select("rep", "gid", "n").join(enough, "gid", "left_semi").distinct(), "members")
+    member = stored(reps.select("rep", "gid", "n").join(_sorted(enough), "gid", "left_semi").distinct(), "members")
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
-    banded = met.join(member.select("gid", band.alias("band")).distinct(), "gid")
+    banded = met.join(_sorted(member.select("gid", band.alias("band")).distinct()), "gid")
     hubs = banded.groupBy("s", "band").agg(F.min("gid").alias("hub"))
-    star = banded.join(hubs, ["s", "band"]).select("gid", "hub")
+    star = banded.join(_sorted(hubs), ["s", "band"]).select("gid", "hub")
     # neighbouring bands of sizes meet by their hubs
     next_band = hubs.select("s", (F.col("band") - 1).alias("band"), F.col("hub").alias("next"))
-    steps = hubs.join(next_band, ["s", "band"]).select(F.col("hub").alias("gid"), F.col("next").alias("hub"))
+    steps = hubs.join(_sorted(next_band), ["s", "band"]).select(F.col("hub").alias("gid"), F.col("next").alias("hub"))
     size = member.groupBy(F.col("gid").alias("hub")).agg(F.min("n").alias("nb"))
-    pairs = star.union(steps).groupBy("gid", "hub").agg(F.count("*").alias("k")).join(size, "hub")
-    pairs = member.join(pairs, "gid").where(
+    pairs = star.union(steps).groupBy("gid", "hub").agg(F.count("*").alias("k")).join(
+        _sorted(size), "hub")
+    pairs = member.join(_sorted(pairs), "gid").where(
         (F.col("rep") != F.col("hub")) & _like_sizes("n", "nb", percent)
         & (F.col("k") >= _need(F.least("n", "nb"), percent)))
     pairs = stored(pairs.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         ids = pairs.select("a").union(pairs.select("b")).distinct()
-        texts = rows.join(ids, rows.id == ids.a, "left_semi").distinct()
+        texts = rows.join(_sorted(ids), rows.id == ids.a, "left_semi").distinct()
         a = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
         b = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-        return stored(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(
+        return stored(pairs.join(_sorted(a), "a").join(_sorted(b), "b").select("a", "b", "ta", "tb").mapInArrow(
             _verify(words, percent), "a long, b long"), name)
 
     links = verified(pairs, "links")
 
     # what still joins several components
     comp = components(links)
-    placed = member.join(comp, member.rep == comp.node, "left").select(
+    placed = member.join(_sorted(comp), member.rep == comp.node, "left").select(
         "rep", "gid", "n", F.coalesce("component", "rep").alias("comp"))
     placed = stored(placed, "placed")
-    meeting = met.select("s", "gid").join(placed, "gid").select("s", "rep", "n", "comp")
+    meeting = met.select("s", "gid").join(_sorted(placed), "gid").select("s", "rep", "n", "comp")
     open_ = meeting.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
                                      F.count("*").alias("k")).where("low <> high").select("s", "k")
-    meeting = stored(meeting.join(open_, "s"), "open")
+    meeting = stored(meeting.join(_sorted(open_), "s"), "open")
     # a pair that meets only among few shares all it must there; any other is met among many
     few = meeting.where(F.col("k") <= FEW)
     left = few.select("s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     right = few.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    rest = left.join(right, "s").where("a < b AND ca <> cb").where(
+    rest = left.join(_sorted(right), "s").where("a < b AND ca <> cb").where(
         _like_sizes("na", "nb", percent)).groupBy("a", "b").agg(
         F.count("*").alias("k"), F.min(F.least("na", "nb")).alias("n")).where(
         F.col("k") >= _need(F.col("n"), percent)).select("a", "b")
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(rest.join(done, ["a", "b"], "left_anti"), "rest")
+    rest = stored(rest.join(_sorted(done), ["a", "b"], "left_anti"), "rest")
     links = links.union(verified(rest, "more"))
     many = meeting.where(F.col("k") > FEW)
     if many.head(1):
         links = links.union(_blocks(rows, many, words, percent))
 
-    edges = links.union(filled.join(reps, ["n", "h1", "h2"]).where("id <> rep").select("id", "rep"))
+    edges = links.union(filled.join(_sorted(reps), ["n", "h1", "h2"]).where("id <> rep").select("id", "rep"))
     group = components(edges)
-    return sets.join(group, sets.id == group.node, "left").select(
+    return sets.join(_sorted(group), sets.id == group.node, "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.coalesce("component", "id").alias("component_id"))
 

@@ -12,21 +12,22 @@ whole of every text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is every text
 if there is nothing to learn from. Null languages and texts teach nothing. Rows that repeat are
-predicted alike; a tie goes to the language that sorts first. Other columns stay.
+predicted alike; a tie goes to the language that sorts first. Other columns stay;
+those named like the results are replaced.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from tidemark.llm.common import with_column
 
 LANDMARKS = 32
 TRAIN = 250
@@ -148,13 +149,5 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     if model is None:
         return docs.withColumns({"_lang": F.lit(UNKNOWN), "_sure": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                batch["_lang"], batch["_sure"] = predict_texts(
-                    shared.value, [x if isinstance(x, str) else None for x in batch[text_col]])
-                yield batch
-
-    schema = StructType(list(docs.schema.fields)).add("_lang", "string").add("_sure", "double")
-    return docs.mapInPandas(run, schema)
+    return with_column(docs, lambda texts: list(predict_texts(shared.value, texts)),
+                       {"_lang": "string", "_sure": "double"}, text_col, BATCH)

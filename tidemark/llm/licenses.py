@@ -9,7 +9,7 @@ kept. Everything happens within the row: no shuffle, and a source full of licens
 rows are.
 
 Defined results: a null or empty text has no words, no detections and score 0. Rows that repeat
-give equal rows. Other columns stay. An empty table gives an empty one.
+give equal rows. Other columns stay, but for those named like the results. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def _kept(found: Column) -> Column:
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_n_words``, ``_detections`` (start, end, priority, label, in order of start)
     and ``_base`` (the starts of the base phrases)."""
-    rows = docs.withColumn("_words", normal_words(F.col(text_col)))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), normal_words(F.col(text_col)).alias("_words"))
     rows = rows.withColumn("_gated", F.col("_words").rlike(GATE_PATTERN))
     none = F.array().cast("array<struct<start:int,neg_end:int,neg_priority:int,nth:int,label:string>>")
     found = F.when(F.col("_gated"), F.sort_array(F.flatten(F.transform(
@@ -98,9 +98,10 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         _kept(f), lambda d: F.struct(
             d["start"].alias("start"), (-d["neg_end"]).alias("end"),
             (-d["neg_priority"]).alias("priority"), d["label"].alias("label")))))
-    rows = rows.withColumn("_n_words", (_blanks(F.col("_words")) - 1).cast("long"))
-    return rows.select(*docs.columns, "_n_words", "_detections", F.transform(
-        F.filter("_detections", lambda d: d["priority"] == PHRASE), lambda d: d["start"]).alias("_base"))
+    kept = [F.col(f"_row.`{c}`") for c in docs.columns if c not in ("_n_words", "_detections", "_base")]
+    return rows.select(*kept, (_blanks(F.col("_words")) - 1).cast("long").alias("_n_words"), "_detections",
+                       F.transform(F.filter("_detections", lambda d: d["priority"] == PHRASE),
+                                   lambda d: d["start"]).alias("_base"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

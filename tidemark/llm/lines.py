@@ -7,7 +7,7 @@ exploded, and a line that a third of all documents hold is one row per task in t
 
 Defined results: each row is a document, also one that repeats another. A null or empty text is
 one empty line. Ties do not arise. An empty table gives an empty table. All columns of the input
-stay; working columns have names of their own.
+stay; those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ def line_keys(text: Column) -> Column:
 def drop_shared_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                       min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the text that stays, and ``_lines``, ``_dropped``: lines before, lines gone."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
     tag = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("_tag")
     hashed = docs.select(tag, F.col(id_col).alias("_id"), line_keys(F.col(text_col)).alias("_keys"))
     hashed = hashed.select("_tag", "_id", F.transform("_keys", lambda k: F.when(
@@ -43,13 +42,17 @@ def drop_shared_lines(docs: DataFrame, text_col: str = "text", id_col: str = "do
         "k IS NOT NULL").select("_tag", "_id", "p", "k.a", "k.b")
     gone = places.join(often, ["a", "b"]).groupBy("_tag", "_id").agg(
         F.collect_set("p").alias("_gone"))
-    whole = docs.withColumn("_tag", tag)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), tag)
+    row = lambda c: F.col(f"_row.`{c}`")
     joined = whole.join(gone.withColumnRenamed("_id", "_doc").withColumnRenamed("_tag", "_key"),
                         (F.col("_tag") == F.col("_key"))
-                        & F.col(id_col).eqNullSafe(F.col("_doc")), "left")
+                        & row(id_col).eqNullSafe(F.col("_doc")), "left")
+    text = F.coalesce(row(text_col), F.lit(""))
     lines = F.split(text, "\n", -1)
     kept = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(
         F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n"))
-    return joined.select(*[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-                         F.size(lines).cast("long").alias("_lines"),
-                         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_dropped"))
+    results = {"_lines": F.size(lines).cast("long"),
+               "_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
+    return joined.select(
+        *[kept.alias(c) if c == text_col else row(c).alias(c) for c in docs.columns if c not in results],
+        *[column.alias(name) for name, column in results.items()])

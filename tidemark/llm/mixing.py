@@ -120,7 +120,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         F.col("source").alias("_s"), F.col("_key").alias("_k"), "repeats", "finish",
         F.when(F.col("target") > 0, F.col("source_size") / F.col("target")).otherwise(1.0).alias("_step")
     ).distinct()
-    rows = docs.withColumn("_key", shuffle_key(id_col)).join(
-        chosen, F.col("_key").eqNullSafe(F.col("_k")) & F.col(source_col).eqNullSafe(F.col("_s")))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), shuffle_key(id_col).alias("_key"),
+                       F.col(source_col).alias("_source")).join(
+        chosen, (F.col("_key") == F.col("_k")) & F.col("_source").eqNullSafe(F.col("_s")))
     rows = rows.withColumn("_round", F.explode(F.sequence(F.lit(0), (F.col("repeats") - 1).cast("int"))))
-    return rows.orderBy(F.col("finish") + F.col("_round") * F.col("_step"), "_key").select(*docs.columns)
+    return rows.orderBy(F.col("finish") + F.col("_round") * F.col("_step"), "_key").select("_row.*")

@@ -10,22 +10,22 @@ row and the whole of every text.
 
 Defined results: a null or empty text is scored too, as a text with one empty window. Rows that
 repeat score alike. Labels that contradict each other for one id count as they stand; null labels
-and null texts teach nothing. Without labels of both kinds every score is 0. Other columns stay
-where documents are returned.
+and null texts teach nothing. Without labels of both kinds every score is 0. Other columns
+stay; one named like the result is replaced.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from tidemark.llm.common import with_column
 
 #: Labelled rows of each kind that are looked at: toxic, ordinary.
 PER_CLASS = (1500, 4000)
@@ -136,8 +136,19 @@ def fit(toxic: Sequence[str], ordinary: Sequence[str]) -> Model | None:
     return Model(tuple(pairs), mean, spread, weights)
 
 
-def score_texts(model: Model, texts: Sequence[str | None], gains: Gains | None = None) -> np.ndarray:
-    gains = gains or Gains(model.pairs)
+_GAINS: dict[tuple[tuple[bytes, bytes], ...], Gains] = {}
+
+
+def _gains(pairs: tuple[tuple[bytes, bytes], ...]) -> Gains:
+    """This worker's compressors; those of the last model are kept."""
+    if pairs not in _GAINS:
+        _GAINS.clear()
+        _GAINS[pairs] = Gains(pairs)
+    return _GAINS[pairs]
+
+
+def score_texts(model: Model, texts: Sequence[str | None]) -> np.ndarray:
+    gains = _gains(model.pairs)
     x = (np.array([features(gains.of(words_of(t))) for t in texts]) - model.mean) / model.spread
     return 1 / (1 + np.exp(-np.clip(model.weights[0] + x @ model.weights[1:], -30, 30)))
 
@@ -167,12 +178,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
         return docs.withColumn("_toxic", F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gains = Gains(shared.value.pairs)
-        for batch in batches:
-            if len(batch):
-                batch["_toxic"] = score_texts(
-                    shared.value, [x if isinstance(x, str) else None for x in batch[text_col]], gains)
-                yield batch
+    def make(texts: list[str | None]) -> list[np.ndarray]:
+        return [score_texts(shared.value, texts)]
 
-    return docs.mapInPandas(run, StructType(list(docs.schema.fields)).add("_toxic", "double"))
+    return with_column(docs, make, {"_toxic": "double"}, text_col)
