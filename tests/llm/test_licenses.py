@@ -1,0 +1,84 @@
+import random
+import re
+from re import _constants as sc
+from re import _parser as sp
+
+from data import edge_docs, empty, kept_columns
+from tidemark.llm import licenses as L
+from tidemark.llm import license_rules as R
+
+PHRASES = {r.pattern: r.label for r in R.BASE}
+
+
+def example(parsed, rnd):
+    """A random text that a pattern matches."""
+    out = ""
+    for op, arg in parsed:
+        if op is sc.LITERAL:
+            out += chr(arg)
+        elif op is sc.IN:
+            out += rnd.choice([chr(a) if o is sc.LITERAL else chr(a[0]) if o is sc.RANGE else "7" for o, a in arg])
+        elif op is sc.BRANCH:
+            out += example(rnd.choice(arg[1]), rnd)
+        elif op is sc.SUBPATTERN:
+            out += example(arg[3], rnd)
+        elif op is sc.MAX_REPEAT:
+            out += "".join(example(arg[2], rnd) for _ in range(rnd.choice([arg[0], min(arg[1], arg[0] + 1)])))
+    return out
+
+
+def test_gate_and_keywords_rule_out_no_match():
+    rnd, rules = random.Random(1), R.all_rules()
+    assert len(rules) > 400
+    for rule in rules:
+        for _ in range(40):
+            text = " " + example(sp.parse(rule.pattern), rnd) + " "
+            if "  " in text:
+                continue
+            assert re.search(f"(?<= )(?:{rule.pattern})(?= )", text), rule
+            assert re.search(L.GATE_PATTERN, text), (rule, text)
+            assert " " + rule.keyword in text, (rule, text)
+
+
+def brute(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    places = [(i, label) for phrase, label in PHRASES.items() for p in [phrase.split()]
+              for i in range(len(words)) if words[i:i + len(p)] == p]
+    joined, found = " " + " ".join(words) + " ", []
+    for nth, rule in enumerate(R.all_rules()):
+        for m in re.finditer(f"(?<= )(?:{rule.pattern})(?= )", joined):
+            start = joined[:m.start()].count(" ") - 1
+            found.append((start, -(start + m[0].count(" ") + 1), -rule.priority, nth, rule.label))
+    found.sort()
+    kept = [d for i, d in enumerate(found) if d[2] == -R.PHRASE or not any(
+        b[1] <= d[1] and b[2] <= d[2] for b in found[:i])]
+    at = [i for i, _ in places]
+    return (len(words), len(at), min(at, default=None), max(at, default=None),
+            ",".join(sorted({x for _, x in places})), ",".join(sorted({d[4] for d in kept})),
+            max((L.SURE[-d[2]] for d in kept), default=0.0))
+
+
+def test_equals_brute_force(spark):
+    rnd, rules = random.Random(2), R.all_rules()
+    rows = [(i, " ".join(example(sp.parse(rnd.choice(rules).pattern), rnd) + rnd.choice([".", "", " foo", "\n--"])
+                         for _ in range(rnd.randint(0, 6))).upper() if i % 2 else
+             " ".join(example(sp.parse(rnd.choice(rules).pattern), rnd) for _ in range(3))) for i in range(150)]
+    rows += [(1000, "CC BY cc by CC-BY 4.0, İ K MIT\tLicense"), (1001, "the mit licenses; apache licensed"),
+             (1002, "GNU General Public License " * 40), (1003, "gnu general public license, version 3 or later")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in L.report(df).collect():
+        got = (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score)
+        assert got == brute(dict(rows)[r.doc_id]), dict(rows)[r.doc_id]
+
+
+def test_awkward_documents(spark):
+    df = edge_docs(spark, [(20, "Licensed under the MIT License", "en", "a")] * 2)
+    out = L.scan(df)
+    kept_columns(df, out, ["_n_words"])
+    rows = L.report(df).collect()
+    assert len(rows) == df.count()
+    assert {r.labels for r in rows if r.doc_id == 20} == {"mit"}
+    assert all(r.n_words == 0 and r.score == 0 and r.first_word is None for r in rows if r.doc_id in (2, 3, 4))
+    assert L.report(empty(df)).count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan

@@ -71,7 +71,7 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, rows: int = 256
 
 
 def _tile(threshold: float):
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         """Of one tile: for each vector with links, how many and one edge towards its root."""
         _, first, second = key
         frame = frame.sort_values("id", kind="stable")

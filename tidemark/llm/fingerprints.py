@@ -110,7 +110,7 @@ def with_neighbour(docs: DataFrame, id_col: str, text_col: str, ranges: int | No
     rows = docs.select(F.col(id_col).alias("id"), key.alias("k"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cuts = sorted({int(x) for x in rows.approxQuantile(
-        "k", [i / ranges for i in range(1, ranges)], 0.25 / ranges)})
+        "k", [i / ranges for i in range(1, ranges)], 0.25 / ranges)}) if ranges > 1 else []
     cut = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<long>")
     rows = rows.withColumn("r", F.size(F.filter(cut, lambda c: c < F.col("k"))))
     tops = rows.groupBy("r").agg(F.max("k").alias("top"))

@@ -141,7 +141,7 @@ def _verify(words: int, percent: int):
 
 
 def _across(words: int, percent: int):
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         """Links between components in one pair of blocks, as many as join what they join."""
         sides = [frame[frame.side == s] for s in (0, 1)]
         left, right = sides[0], sides[1] if len(sides[1]) else sides[0]
