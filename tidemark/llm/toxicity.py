@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import with_column
 
 #: Labelled rows of each kind that are looked at: toxic, ordinary.
-PER_CLASS = (1500, 4000)
+PER_CLASS = (1000, 2000)
 #: Words of a window.
 WINDOW = 16
 #: Bytes of the shared dictionary, and of the part that sets the two apart.
