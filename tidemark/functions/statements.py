@@ -16,6 +16,8 @@ ANALYTIC_PATTERNS = (
     r"\s(SUM|AVG|COUNT|MAX|MIN)\s*\(",
     r"\sJOIN\s",
 )
+# What names a table, what is a placeholder, and the statements and words a log is
+# filtered by; the control patterns are tested on trimmed upper case, as one.
 TABLE_PATTERN = r"(?i)(?:FROM|JOIN)\s+([a-zA-Z_][a-zA-Z0-9_]*)"
 PLACEHOLDER_PATTERN = r"\$\d+"
 CONTROL_PATTERN = r"^SET |^SHOW |^BEGIN|^COMMIT|PG_STAT_STATEMENTS|PG_CATALOG"
