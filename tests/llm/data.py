@@ -10,7 +10,7 @@ def edge_docs(spark, extra=()):
     long = "alpha beta gamma delta epsilon zeta eta theta iota kappa\n" * 3000
     rows = [(1, "one two three four five six", "en", "a"), (1, "one two three four five six", "en", "a"),
             (2, None, "en", "a"), (3, "", None, "b"), (4, " \t\n \x0b", "de", None), (5, long, "de", None),
-            (None, "one two three four five six", None, None), (7, "Ünï İ K 日本 😀 \x00 x\xa0y", "fr", "b"),
+            (None, "one two three four five six", None, None), (7, "Ünï \u0130 \u212a 日本 😀 \x00 x\xa0y", "fr", "b"),
             (8, "x" * 5000, None, "c"), (9, "one  two three four\tfive six ", "en", "c"), *extra]
     schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(
         f"`{c}` string" for c in CLASH)

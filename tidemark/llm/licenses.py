@@ -42,7 +42,7 @@ SURE = {PHRASE: 0.5, NAME: 0.6, IDENTIFIER: 0.8, NOTICE: 0.9, TEXT: 1.0}
 
 _MARK = "\x01"
 #: Other letters whose lower case holds an ASCII letter.
-_TO_ASCII = "[İK]"
+_TO_ASCII = "[\u0130\u212a]"
 
 
 def normal_words(text: Column) -> Column:

@@ -18,8 +18,7 @@ PATTERN = regex.compile(public_tokenizers.PATTERN)
 #: What a plain text does not hold: runs of white space, and white space of other kinds.
 _RUNS = ("  ", " \n", "\n ", "\n\n")
 _OTHER = tuple("\t\x0b\x0c\r")
-_WIDE = tuple("\x85\xa0            "
-              "    　")
+_WIDE = tuple("\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 
 
 def is_plain(text: str) -> bool:

@@ -62,8 +62,8 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS) -> bytes:
         if not len(chosen):
             break
         # of overlapping pairs the more frequent one stays, of equal ones the first
-        left = np.concatenate([[len(chosen)], rank[:-1]])
-        right = np.append(rank[1:], len(chosen))
+        none = np.array([len(chosen)], rank.dtype)
+        left, right = np.concatenate([none, rank[:-1]]), np.concatenate([rank[1:], none])
         at = np.flatnonzero((rank < len(chosen)) & (rank < left) & (rank <= right))
         used = np.bincount(rank[at], minlength=len(chosen))
         good = np.flatnonzero(used >= OFTEN // 2)[:room - made]
@@ -92,7 +92,7 @@ def _frequent(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     Pairs are counted in a table by hash. Where pairs share a place in it, one of them is counted,
     exactly, and the others wait for the next round."""
-    bits = max(8, min(21, len(pair).bit_length() + 1))
+    bits = max(8, min(18, len(pair).bit_length() + 1))  # a table that stays in the cache
     spread = pair.dtype.type(0x9E3779B1 if pair.dtype == np.uint32 else 0x9E3779B97F4A7C15)
     place = ((pair * spread) >> pair.dtype.type(8 * pair.dtype.itemsize - bits)).astype(np.int64)
     owner = np.zeros(1 << bits, pair.dtype)
@@ -183,8 +183,8 @@ class Encoder:
         self.size = tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self._code = "H" if self.kind.itemsize == 2 else "I"
-        self.pieces = Memo(self._piece, 250_000)
-        self.parts = Memo(self._part, 250_000)
+        self.pieces = Memo(self._piece, 600_000)
+        self.parts = Memo(self._part, 600_000)
 
     def _piece(self, piece: str) -> bytes:
         letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self.LETTERS)
