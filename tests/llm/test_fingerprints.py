@@ -53,6 +53,13 @@ def test_neighbours_across_ranges_and_gaps(spark):
     assert one.near_next == 1.0
 
 
+def test_places_among_cuts(spark):
+    df = spark.range(-5, 60).toDF("k")
+    for cuts in ([], [3], [3, 4], list(range(0, 50, 3)), [-2, 0, 1, 7, 30]):
+        got = {r.k: r.p for r in df.select("k", P._place(F.col("k"), cuts).alias("p")).collect()}
+        assert got == {k: sum(c < k for c in cuts) for k in range(-5, 60)}
+
+
 def test_equal_texts_and_awkward_documents(spark):
     df = edge_docs(spark)
     out = P.fingerprints(df).collect()

@@ -19,6 +19,7 @@ out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -101,6 +102,19 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), ((BINS - off) / BINS - chance) / (1 - chance))
 
 
+def _place(key: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts lie below a key. They are looked through in two steps, so many
+    ranges cost each row little more than few."""
+    if not cuts:
+        return F.lit(0)
+    wide = math.ceil(math.sqrt(len(cuts)))
+    parts = [cuts[i:i + wide] for i in range(0, len(cuts), wide)]
+    below = lambda some: F.size(F.filter(some, lambda c: c < key))
+    ends = F.array(*[F.lit(p[-1]) for p in parts[:-1]]).cast("array<long>")
+    listed = F.array(*[F.array(*map(F.lit, p)).cast("array<long>") for p in parts])
+    return let(below(ends), lambda n: n * wide + below(F.get(listed, n)))
+
+
 def with_neighbour(docs: DataFrame, id_col: str, text_col: str, ranges: int | None = None
                    ) -> DataFrame:
     """(id, text, fp, next_text, next_fp) of every row."""
@@ -111,8 +125,7 @@ def with_neighbour(docs: DataFrame, id_col: str, text_col: str, ranges: int | No
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cuts = sorted({int(x) for x in rows.approxQuantile(
         "k", [i / ranges for i in range(1, ranges)], 0.25 / ranges)}) if ranges > 1 else []
-    cut = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<long>")
-    rows = rows.withColumn("r", F.size(F.filter(cut, lambda c: c < F.col("k"))))
+    rows = rows.withColumn("r", _place(F.col("k"), cuts))
     tops = rows.groupBy("r").agg(F.max("k").alias("top"))
     heads = rows.join(F.broadcast(tops.withColumnRenamed("r", "r2")),
                       (F.col("r") == F.col("r2")) & (F.col("k") == F.col("top")), "left_semi")
