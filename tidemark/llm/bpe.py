@@ -37,14 +37,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class BytePairs:
     """Encoder and decoder for one vocabulary. Everything remembered is bounded."""
 
-    PAIRS = 1_000_000
+    #: Pairs, pieces and chunks that are remembered: some 150 MB in all.
+    PAIRS, PIECES, CHUNKS = 300_000, 150_000, 60_000
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        self.agreed: dict[tuple[int, int], bool] = {}
+        self.agreed: dict[int, bool] = {}  # by left << 32 | right
         self.size = [len(token) for token in self.bytes_of]
         self.automaton = ahocorasick.Automaton()
         # a token that the merges do not make can only be a whole piece
@@ -55,8 +56,9 @@ class BytePairs:
         #: for each token, the next shorter one that begins as it does
         self.shorter = {r: next(made[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in made)
                         for t, r in made.items() if len(t) > 1}
-        self.pieces = Memo(lambda piece: np.array(self.piece(piece.encode("utf-8", "replace")), "<u4").tobytes())
-        self.memo = Memo(lambda part: b"".join(map(self.pieces.__getitem__, pieces(part))))
+        self.pieces = Memo(lambda piece: np.array(
+            self.piece(piece.encode("utf-8", "replace")), "<u4").tobytes(), self.PIECES)
+        self.memo = Memo(lambda part: b"".join(map(self.pieces.__getitem__, pieces(part))), self.CHUNKS)
 
     def _merged(self, data: bytes) -> list[bytes]:
         """The merges as defined: join the neighbours of the lowest rank until none can be."""
@@ -74,7 +76,7 @@ class BytePairs:
         a, b = self.bytes_of[left], self.bytes_of[right]
         if len(self.agreed) >= self.PAIRS:
             self.agreed.clear()
-        return self.agreed.setdefault((left, right), self._merged(a + b) == [a, b])
+        return self.agreed.setdefault(left << 32 | right, self._merged(a + b) == [a, b])
 
     def piece(self, data: bytes) -> list[int]:
         """The ids of one piece."""
@@ -91,7 +93,7 @@ class BytePairs:
             end = at + size[rank]
             stands = end not in dead
             if stands and out:
-                stands = agreed.get((out[-1], rank))
+                stands = agreed.get(out[-1] << 32 | rank)
                 if stands is None:
                     stands = agree(out[-1], rank)
             if stands:

@@ -56,7 +56,7 @@ class Memo(dict):
     """part -> packed ids. ``make`` fills in what is missing. The first ``limit`` entries stay, as
     frequent parts come first; later ones share a second dictionary that starts anew when full."""
 
-    def __init__(self, make: Callable[[str], bytes], limit: int = 200_000) -> None:
+    def __init__(self, make: Callable[[str], bytes], limit: int) -> None:
         super().__init__()
         self.make, self.limit, self.young = make, limit, {}
 
