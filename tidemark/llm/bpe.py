@@ -37,8 +37,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class BytePairs:
     """Encoder and decoder for one vocabulary. Everything remembered is bounded."""
 
-    #: Pairs, pieces and chunks that are remembered: some 150 MB in all.
-    PAIRS, PIECES, CHUNKS = 300_000, 150_000, 60_000
+    #: Pairs, pieces and chunks that are remembered: some 100 MB in all.
+    PAIRS, PIECES, CHUNKS = 200_000, 100_000, 40_000
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks

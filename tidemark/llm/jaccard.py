@@ -67,7 +67,7 @@ def _columns(batch: pa.RecordBatch) -> tuple[pa.Array, list[str | None]]:
     return batch.column(0), batch.column(1).to_pylist()
 
 
-def _slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -76,7 +76,7 @@ def _slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.
 def _often(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shingles that several different texts of some rows have, with their number."""
-        for batch in _slices(batches, 4096):
+        for batch in _slices(batches, 2048):
             sets = {}
             for text in _columns(batch)[1]:
                 found = shingle_set(text, words)
