@@ -66,3 +66,41 @@ def test_files_hold_every_document_in_order(spark, library, monkeypatch):
     nothing = scratch(spark, "tokens")
     T.write_tokens(empty(df), nothing, shards=2)
     assert T.read_tokens(spark, nothing).count() == 0 and T.starts(spark, nothing).count() == 0
+
+
+def remaining(payload):
+    """How often the most frequent pair occurs in the sequence of a block."""
+    s = T.Block(payload).sequence
+    return int(np.unique((s[:-1] << 32) + s[1:], return_counts=True)[1].max(initial=0))
+
+
+def test_rounds_go_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(3)
+    for ids in (np.minimum(rng.zipf(1.3, 100_000), 30_000), rng.integers(0, 40, 30_000), np.full(100_000, 7),
+                np.tile(rng.integers(0, 50_000, 400), 3000)):
+        payload = T.compress(ids.astype(np.uint32), 50257)
+        assert remaining(payload) < T.OFTEN
+        assert (T.Block(payload).read(0, len(ids)) == ids).all()
+    # equal documents again and again leave little more than their rules
+    assert len(T.Block(payload).sequence) < 50 and len(payload) < 8000
+
+
+def test_pairs_that_share_a_slot_are_all_counted():
+    rng = np.random.default_rng(4)
+    for kind in (np.uint32, np.uint64):
+        pair = rng.permutation(np.repeat(rng.integers(0, 1 << 32, 60_000), rng.integers(1, 40, 60_000))).astype(kind)
+        chosen, rank = T._frequent(pair)
+        values, counts = np.unique(pair, return_counts=True)
+        assert set(chosen.tolist()) == set(values[counts >= T.OFTEN].tolist())
+        assert (np.bincount(rank, minlength=len(chosen) + 1)[:-1] == np.sort(counts[counts >= T.OFTEN])[::-1]).all()
+        assert (chosen[rank[rank < len(chosen)]] == pair[rank < len(chosen)]).all()
+
+
+def test_rules_beyond_two_bytes():
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 50_000, (20_000, 2))
+    ids = words[rng.permutation(np.repeat(np.arange(20_000), 20))].ravel().astype(np.uint32)
+    payload = T.compress(ids, 50257)
+    block = T.Block(payload)
+    assert len(block.table) > (1 << 16) - 50257 and remaining(payload) < T.OFTEN
+    assert (block.read(0, len(ids)) == ids).all() and (block.read(777, 3333) == ids[777:3333]).all()

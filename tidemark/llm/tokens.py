@@ -2,8 +2,8 @@
 
 Documents are range-partitioned by id, and each range is one shard. A task encodes its documents in
 order, ends each with the end id, and packs runs of documents into blocks of bounded size. In each
-block the frequent pairs of neighbouring ids become nonterminals, round after round; a block stores
-its rules, the length that each rule expands to, and the remaining sequence. From the lengths the
+block the frequent pairs of neighbouring ids become nonterminals, round after round until no pair is
+frequent; a block stores its rules, the length that each rule expands to, and the remaining sequence. From the lengths the
 place of any token in the sequence follows, so a document is decoded by itself.
 
 Files are Parquet, written by Spark: one row for each block with its shard and number, the ids and
@@ -36,8 +36,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
 #: Tokens after which a block is closed; one document is never split.
 BLOCK = 1 << 20
-#: Rounds of replacement, pairs replaced in a round, and how often a pair must occur.
-ROUNDS, PAIRS, OFTEN = 2, 8192, 16
+#: How often a pair must occur to be replaced.
+OFTEN = 16
 
 MAGIC = b"RPG1"
 FILES = "shard int, block int, doc_ids array<long>, n_tokens array<long>, payload binary"
@@ -45,41 +45,48 @@ FILES = "shard int, block int, doc_ids array<long>, n_tokens array<long>, payloa
 
 # --- grammar -----------------------------------------------------------------------------------
 
-def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS) -> bytes:
-    """A block's payload; ``first`` is above all ids and becomes the first nonterminal."""
-    seq, rules = ids.astype(np.uint32), []
-    # while symbols fit in two bytes, so do pairs in four
-    room = (1 << 16) - first if first < 1 << 16 else 1 << 31
-    made = 0
-    for _ in range(rounds):
-        if len(seq) < 2 or made >= room:
-            break
-        if first < 1 << 16:
-            pair = (seq[:-1] << np.uint32(16)) | seq[1:]
-        else:
-            pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+def compress(ids: np.ndarray, first: int, rounds: int | None = None) -> bytes:
+    """A block's payload; ``first`` is above all ids and becomes the first nonterminal. Rounds go on
+    until no pair occurs ``OFTEN`` times, unless ``rounds`` ends them before."""
+    seq, rules, made = ids.astype(np.uint32), [], 0
+    # the places to look at: from the second round on those next to a new symbol or with a pair that
+    # was frequent, as no other pair's count grows
+    live = np.arange(max(0, len(seq) - 1))
+    while len(live) and (rounds is None or len(rules) < rounds):
+        # while symbols fit in two bytes, so do pairs in four
+        kind, bits = (np.uint32, 16) if first + made <= 1 << 16 else (np.uint64, 32)
+        pair = (seq[live].astype(kind) << kind(bits)) | seq[live + 1]
         chosen, rank = _frequent(pair)
         if not len(chosen):
             break
-        # of overlapping pairs the more frequent one stays, of equal ones the first
-        none = np.array([len(chosen)], rank.dtype)
-        left, right = np.concatenate([none, rank[:-1]]), np.concatenate([rank[1:], none])
-        at = np.flatnonzero((rank < len(chosen)) & (rank < left) & (rank <= right))
-        used = np.bincount(rank[at], minlength=len(chosen))
-        good = np.flatnonzero(used >= OFTEN // 2)[:room - made]
-        if not len(good):
-            break
+        some = np.flatnonzero(rank < len(chosen))
+        live, rank = live[some], rank[some]
+        # of overlapping pairs the more frequent one stays, of a run of equal ones every second
+        near, step = np.diff(live) == 1, np.diff(rank)
+        free = np.ones(len(live), bool)
+        free[:-1] &= ~(near & (step < 0))
+        free[1:] &= ~(near & (step > 0))
+        if len(run := np.flatnonzero(near & (step == 0))):
+            begin = np.maximum.accumulate(np.where(np.diff(run, prepend=-2) > 1, run, 0))
+            free[run[(run - begin) % 2 == 0] + 1] = False
+        take = np.flatnonzero(free)
+        # the most frequent pair loses no place to others, so every round has a rule
+        used = np.bincount(rank[take], minlength=len(chosen))
+        good = np.flatnonzero(used >= OFTEN // 2)
         name = np.zeros(len(chosen), np.uint32)
         name[good] = first + made + np.arange(len(good), dtype=np.uint32)
-        at = at[name[rank[at]] > 0]
-        shift = chosen.dtype.type(16 if chosen.dtype == np.uint32 else 32)
-        rules.append(np.stack([chosen[good] >> shift, chosen[good] & ((chosen.dtype.type(1) << shift)
-                                                                     - chosen.dtype.type(1))], 1))
+        take = take[name[rank[take]] > 0]
+        at = live[take]
+        rules.append(np.stack([chosen[good] >> kind(bits), chosen[good] & kind((1 << bits) - 1)], 1))
         made += len(good)
-        seq[at] = name[rank[at]]
-        stay = np.ones(len(seq), bool)
+        seq[at] = name[rank[take]]
+        stay, look = np.ones(len(seq), bool), np.zeros(len(seq), bool)
         stay[at + 1] = False
-        seq = seq[stay]
+        look[live] = True
+        seq, look = seq[stay], look[stay]
+        at -= np.arange(len(at))
+        look[at] = look[np.maximum(at, 1) - 1] = True
+        live = np.flatnonzero(look[:-1])
     table = np.concatenate(rules).astype(np.uint32) if rules else np.zeros((0, 2), np.uint32)
     kind = np.dtype("<u2") if first + made <= 1 << 16 else np.dtype("<u4")
     head = np.array([len(table), len(seq), first, kind.itemsize], "<u4")
@@ -90,22 +97,38 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS) -> bytes:
 def _frequent(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The frequent pairs, most frequent first, and each place's pair among them, or their number.
 
-    Pairs are counted in a table by hash. Where pairs share a place in it, one of them is counted,
-    exactly, and the others wait for the next round."""
+    Pairs are counted exactly, in a table by hash: where pairs share a slot one of them is counted,
+    and the others go on to a table by another hash, until too few are left to be frequent."""
     bits = max(8, min(18, len(pair).bit_length() + 1))  # a table that stays in the cache
-    spread = pair.dtype.type(0x9E3779B1 if pair.dtype == np.uint32 else 0x9E3779B97F4A7C15)
-    place = ((pair * spread) >> pair.dtype.type(8 * pair.dtype.itemsize - bits)).astype(np.int64)
-    owner = np.zeros(1 << bits, pair.dtype)
-    owner[place] = pair
-    own = owner[place] == pair
-    counts = np.bincount(place[own], minlength=1 << bits)
-    often = np.flatnonzero(counts >= OFTEN)
-    if len(often) > PAIRS:
-        often = often[np.argpartition(-counts[often], PAIRS)[:PAIRS]]
-    often = often[np.argsort(-counts[often], kind="stable")]
-    rank = np.full(1 << bits, len(often), np.int32)
-    rank[often] = np.arange(len(often))
-    return owner[often], np.where(own, rank[place], np.int32(len(often)))
+    kind = pair.dtype.type
+    spread, odd = (0x9E3779B1, 0x85EBCA6B) if kind is np.uint32 else (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+    group = np.full(len(pair), -1, np.int32)
+    owner, pairs, counts, made = np.zeros(1 << bits, kind), [], [], 0
+    rest, left = slice(None), pair
+    while len(left) >= OFTEN:
+        place = ((left * kind(spread)) >> kind(8 * pair.dtype.itemsize - bits)).astype(np.int64)
+        owner[place] = left
+        own = owner[place] == left
+        count = np.bincount(place[own], minlength=1 << bits)
+        often = np.flatnonzero(count >= OFTEN)
+        number = np.full(1 << bits, -1, np.int32)
+        number[often] = made + np.arange(len(often))
+        group[rest] = np.where(own, number[place], -1)
+        pairs.append(owner[often])
+        counts.append(count[often])
+        made += len(often)
+        other = np.flatnonzero(~own)
+        place = place[other]
+        other = other[(np.bincount(place, minlength=1 << bits) >= OFTEN)[place]]
+        rest = other if isinstance(rest, slice) else rest[other]
+        left = left[other]
+        spread = spread * odd % (1 << 8 * pair.dtype.itemsize)
+    if not made:
+        return pair[:0], np.zeros(len(pair), np.int32)
+    order = np.argsort(-np.concatenate(counts), kind="stable")
+    rank = np.full(made + 1, made, np.int32)  # the last is that of group -1
+    rank[order] = np.arange(made)
+    return np.concatenate(pairs)[order], rank[group]
 
 
 def _lengths(table: np.ndarray, first: int) -> np.ndarray:
@@ -132,6 +155,7 @@ class Block:
         self.length = np.frombuffer(payload, "<u4", rules, at).astype(np.int64)
         at += 4 * rules
         self.sequence = np.frombuffer(payload, kind, sequence, at).astype(np.int64)
+        self.left = self._size(self.table[:, 0])
         size = self._size(self.sequence)
         self.upto = np.concatenate([[0], np.cumsum(size)])
 
@@ -145,16 +169,14 @@ class Block:
         """Tokens from ``start`` up to ``stop``; only the symbols that cover them are expanded."""
         lo = max(0, int(np.searchsorted(self.upto, start, "right")) - 1)
         hi = int(np.searchsorted(self.upto, stop))
-        out = self.sequence[lo:hi]
-        while len(high := np.flatnonzero(out >= self.first)):
-            wide = np.ones(len(out), np.int64)
-            wide[high] = 2
-            place = np.cumsum(wide) - wide
-            grown = np.empty(int(wide.sum()), np.int64)
-            grown[place] = out
-            pairs = self.table[out[high] - self.first]
-            grown[place[high]], grown[place[high] + 1] = pairs[:, 0], pairs[:, 1]
-            out = grown
+        symbols, at = self.sequence[lo:hi], self.upto[lo:hi] - self.upto[lo]
+        out = np.empty(int(self.upto[hi] - self.upto[lo]), np.int64)
+        while len(symbols):
+            out[at] = symbols
+            high = np.flatnonzero(symbols >= self.first)
+            rule, at = symbols[high] - self.first, at[high]
+            symbols = self.table[rule].T.ravel()
+            at = np.concatenate([at, at + self.left[rule]])
         return out[start - self.upto[lo]:stop - self.upto[lo]].astype("<u4")
 
 
