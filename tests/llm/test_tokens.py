@@ -104,3 +104,16 @@ def test_rules_beyond_two_bytes():
     block = T.Block(payload)
     assert len(block.table) > (1 << 16) - 50257 and remaining(payload) < T.OFTEN
     assert (block.read(0, len(ids)) == ids).all() and (block.read(777, 3333) == ids[777:3333]).all()
+
+
+def test_added_tokens_are_found_in_texts(spark):
+    default = Tokenizer.from_file(T.VOCABULARY)
+    own = T.encoder(T.VOCABULARY)
+    texts = [*ODD, "<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> \n<|endoftext|><|endoftext|>x", "<|endoftext|", "é<|endoftext|>日本"]
+    want = [default.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[ODD.index("<|endoftext|> x")]
+    assert [np.frombuffer(own.encode_added(t), own.kind).tolist() for t in texts] == want
+    path = scratch(spark, "tokens")
+    T.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, shards=2)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in T.read_tokens(spark, path).collect()}
+    assert got == {i: [*ids, 0] for i, ids in enumerate(want)}

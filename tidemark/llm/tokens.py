@@ -12,6 +12,9 @@ token counts of its documents, and the payload:
     "RPG1" | u32 rules | u32 sequence | u32 first nonterminal | u32 width of a symbol in bytes
     rules x 2 symbols | rules x u32 expansion length | sequence x symbol
 
+Ids are those of the library's ``encode(text, add_special_tokens=False)``: a text that holds the string
+of one of the vocabulary's added tokens, such as the one that ends a text, has that token's id there.
+
 Defined results: a null text is empty; an empty text has the end id alone. Rows that repeat are
 stored each; equal ids keep the order of their texts' hashes, and null ids come first. An empty
 table gives files without blocks. Other columns are not stored.
@@ -201,7 +204,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.model = tokenizer.model
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content]
         self.size = tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self._code = "H" if self.kind.itemsize == 2 else "I"
@@ -211,6 +215,9 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self.LETTERS)
         ids = [t.id for t in self.model.tokenize(letters)]
+        return self._packed(ids)
+
+    def _packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self._code}", *ids)
 
     def _part(self, part: str) -> bytes:
@@ -224,6 +231,13 @@ class Encoder:
         return (b"".join(map(self.pieces.__getitem__, PATTERN.findall(first)))
                 + b"".join(map(self.parts.__getitem__, rest)))
 
+    def encode_added(self, text: str) -> bytes:
+        """Packed ids of a text in which the strings of added tokens are these tokens, as the library
+        takes them unless told otherwise. Such texts are rare, and the library's own."""
+        if any(token in text for token in self.added):
+            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self.encode(text)
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -259,7 +273,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 part = batch.slice(at, 256)
                 for key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     ids.append(key)
-                    held.append(own.encode(text or "") + last)
+                    held.append(own.encode_added(text or "") + last)
                     tokens += len(held[-1]) // own.kind.itemsize
                     if tokens >= BLOCK:
                         yield close()
