@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from data import edge_docs, empty, kept_columns
 from tidemark.llm import toxicity as T
@@ -68,3 +69,23 @@ def test_windows_cover_the_whole_text():
     words = T.words_of("A b  c\nD " * 10)
     assert b"".join(T.windows(words, 7)).split() == [b"a", b"b", b"c", b"d"] * 10
     assert T.windows([], 7) == [b"  "]
+
+
+def test_the_share_of_toxic_rows_is_that_of_all_labelled_rows(spark):
+    """Labels that say nothing about the texts: scores are near the share, whatever the caps take."""
+    rnd = random.Random(8)
+    rows = [(i, text, int(rnd.random() < 0.1)) for i, text, toxic in corpus(2400, 8) if not toxic]
+    share = sum(y for _, _, y in rows) / len(rows)
+    nulls = [(5000 + i, None, 1) for i in range(500)]  # teach nothing, the share neither
+    labelled = spark.createDataFrame(rows + nulls, "doc_id long, text string, toxic int")
+    for caps in ((120, 120), (150, 60), (60, 600)):
+        model = T.learn(labelled, labelled, per_class=caps)
+        scores = T.score_texts(model, [t for _, t, _ in rows[:400]])
+        assert abs(np.median(scores) - share) < 0.06, caps
+
+
+def test_odds_follow_the_rows_that_texts_were_chosen_from(rows):
+    sides = [[t for _, t, y in rows if y == kind][:90] for kind in (1, 0)]
+    even, rare = T.fit(*sides, (90, 90)), T.fit(*sides, (90, 810))
+    assert np.isclose(even.weights[0] - rare.weights[0], np.log(9))
+    assert (even.weights[1:] == rare.weights[1:]).all()

@@ -5,8 +5,9 @@ trained on what toxic texts say again and again and ordinary ones never, the oth
 other ordinary texts. A window of a few words that the toxic dictionary compresses better speaks
 for toxicity; how many windows do so by how many bytes is summed up for the whole text, and a
 logistic model turns it into a score. Dictionaries and thresholds are fitted on a bounded sample of
-labelled rows (``PER_CLASS`` of each label, those with the smallest hashes); all else covers every
-row and the whole of every text.
+labelled rows (``PER_CLASS`` of each label, those with the smallest hashes); the share of toxic rows
+is that of all labelled rows, counted, so what 0.5 means does not hang on the sample's size. All else
+covers every row and the whole of every text.
 
 Defined results: a null or empty text is scored too, as a text with one empty window. Rows that
 repeat score alike. Labels that contradict each other for one id count as they stand; null labels
@@ -107,8 +108,9 @@ def _apart(texts: Sequence[set[bytes]], known: set[bytes]) -> bytes:
     return _train([s for s in samples if len(s) > 8], APART, 8)
 
 
-def fit(toxic: Sequence[str], ordinary: Sequence[str]) -> Model | None:
-    """Dictionaries from two thirds of each kind, the logistic model from the last third."""
+def fit(toxic: Sequence[str], ordinary: Sequence[str], rows: tuple[int, int] | None = None) -> Model | None:
+    """Dictionaries from two thirds of each kind, the logistic model from the last third. ``rows`` are
+    the toxic and ordinary rows that the texts were chosen from, without it the texts themselves."""
     if not toxic or not ordinary:
         return None
     sides = [[words_of(t) for t in side] for side in (toxic, ordinary)]
@@ -125,7 +127,6 @@ def fit(toxic: Sequence[str], ordinary: Sequence[str]) -> Model | None:
     gains = Gains(pairs)
     x = np.array([features(gains.of(words)) for side in for_model for words in side])
     y = np.repeat([1.0, 0.0], [len(side) for side in for_model])
-    # the sample has its own share of toxic rows; both kinds keep the weight they have in it
     mean, spread = x.mean(0), x.std(0) + 1e-6
     a = np.c_[np.ones(len(x)), (x - mean) / spread]
     weights = np.zeros(a.shape[1])
@@ -133,6 +134,9 @@ def fit(toxic: Sequence[str], ordinary: Sequence[str]) -> Model | None:
         p = 1 / (1 + np.exp(-np.clip(a @ weights, -30, 30)))
         curve = a.T @ (a * (p * (1 - p))[:, None]) + np.eye(len(weights))
         weights = weights + np.linalg.solve(curve, a.T @ (y - p) - weights)
+    # the last thirds have the sample's share of toxic rows; the odds are put right to that of all rows
+    bad_rows, good_rows = rows or (len(toxic), len(ordinary))
+    weights[0] += np.log(bad_rows / good_rows) - np.log(len(for_model[0]) / len(for_model[1]))
     return Model(tuple(pairs), mean, spread, weights)
 
 
@@ -155,13 +159,15 @@ def score_texts(model: Model, texts: Sequence[str | None]) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", per_class: tuple[int, int] = PER_CLASS) -> Model | None:
-    """Fit on labelled rows; the caller leaves out those held back. The smallest hashes are chosen
-    before any text moves, and only the chosen texts reach the driver."""
+    """Fit on labelled rows; the caller leaves out those held back. Rows are counted and the smallest
+    hashes chosen before any text moves, and only the chosen texts reach the driver."""
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(
         "_id IS NOT NULL AND _y IN (0, 1)").distinct()
     place = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id")
     toxic, ordinary = per_class
-    chosen = docs.select(F.col(id_col).alias("_id")).distinct().join(marked, "_id").withColumn(
+    known = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().join(marked, "_id")
+    count = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+    chosen = known.withColumn(
         "_n", F.row_number().over(place)).where(F.col("_n") <= max(per_class)).where(
         (F.col("_y") == 0) & (F.col("_n") <= ordinary) | (F.col("_y") == 1) & (F.col("_n") <= toxic))
     # one text for each id
@@ -169,7 +175,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         "_text IS NOT NULL").join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(
         F.min("_text").alias("_text"))
     rows = texts.orderBy(F.xxhash64("_id"), "_id").collect()
-    return fit([r["_text"] for r in rows if r["_y"] == 1], [r["_text"] for r in rows if r["_y"] == 0])
+    return fit([r["_text"] for r in rows if r["_y"] == 1], [r["_text"] for r in rows if r["_y"] == 0],
+               (count.get(1, 0), count.get(0, 0)))
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
