@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from data import edge_docs, empty, kept_columns
+from pyspark.sql import functions as F
 from tidemark.llm import toxicity as T
 
 
@@ -89,3 +90,17 @@ def test_odds_follow_the_rows_that_texts_were_chosen_from(rows):
     even, rare = T.fit(*sides, (90, 90)), T.fit(*sides, (90, 810))
     assert np.isclose(even.weights[0] - rare.weights[0], np.log(9))
     assert (even.weights[1:] == rare.weights[1:]).all()
+
+
+def test_the_sample_is_taken_without_ranking_a_whole_class(spark, rows, monkeypatch):
+    plans, texts = [], []
+    collect = type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda df: (plans.append(
+        df._jdf.queryExecution().executedPlan().toString()), collect(df))[1])
+    monkeypatch.setattr(T, "fit", lambda *sides: texts.append(sides))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    T.learn(df, df, per_class=(20, 50))
+    assert not any("Window" in p for p in plans) and "TakeOrderedAndProject" in plans[-1]
+    by_hash = [r.text for r in df.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator() if r.toxic == 0]
+    assert texts[0][1] == by_hash[:50] and len(texts[0][0]) == 20
+    assert texts[0][2] == (sum(y for *_, y in rows), sum(1 - y for *_, y in rows))

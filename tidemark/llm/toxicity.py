@@ -23,7 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import with_column
@@ -163,13 +163,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     hashes chosen before any text moves, and only the chosen texts reach the driver."""
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(
         "_id IS NOT NULL AND _y IN (0, 1)").distinct()
-    place = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id")
-    toxic, ordinary = per_class
     known = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().join(marked, "_id")
     count = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
-    chosen = known.withColumn(
-        "_n", F.row_number().over(place)).where(F.col("_n") <= max(per_class)).where(
-        (F.col("_y") == 0) & (F.col("_n") <= ordinary) | (F.col("_y") == 1) & (F.col("_n") <= toxic))
+    # a limit behind an order keeps the first rows of each task, and only those travel
+    toxic, ordinary = (known.where(F.col("_y") == kind).orderBy(F.xxhash64("_id"), "_id").limit(n)
+                       for kind, n in zip((1, 0), per_class, strict=True))
+    chosen = toxic.unionByName(ordinary)
     # one text for each id
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(
         "_text IS NOT NULL").join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(
