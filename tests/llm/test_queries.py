@@ -16,7 +16,7 @@ from tidemark.llm.queries import ORACLES, QUERIES
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
     assert set(ORACLES) <= set(contract.oracle_sql())
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, sf, name):
     assert compare.difference(compare.connect(sf), ORACLES[name], QUERIES[name](spark, sf)) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op11_spelling_variants"}))
 def test_query_returns_every_document(spark, sf, name):
     df = QUERIES[name](spark, sf)
     ids = sorted(r.doc_id for r in df.select("doc_id").collect())

@@ -11,7 +11,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, embeddings, fingerprints, jaccard, languages, licenses, lines, mixing, tokens, toxicity
+from tidemark.llm import (
+    bpe,
+    collocations,
+    decontamination,
+    embeddings,
+    fingerprints,
+    jaccard,
+    languages,
+    licenses,
+    lines,
+    mixing,
+    spelling,
+    tokens,
+    toxicity,
+)
 from tidemark.llm.common import crc_mod, table
 from tidemark.session import scratch
 
@@ -76,6 +90,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -87,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_license_scan": op9_license_scan,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_benchmark_decontamination": op13_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {
@@ -149,4 +178,60 @@ ORACLES: dict[str, str] = {
                CAST(SUM(CASE WHEN total <= (SELECT SUM(size) FROM d) THEN size ELSE 0 END) AS BIGINT)
                  AS taken
         FROM c GROUP BY doc_id, size, source_size, target""",
+    "op12_phrase_collocations": r"""
+        WITH pieces AS (
+          SELECT COALESCE(lang, 'und') AS lang, unnest(string_split_regex(translate(COALESCE(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+              FROM pieces),
+        g AS (SELECT lang, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS phrase, COUNT(*) AS f
+              FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS s
+                    FROM w, (SELECT unnest([1, 2, 3]) AS k)) GROUP BY ALL),
+        sizes AS (SELECT lang, CAST(SUM(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        c AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS p FROM g WHERE k > 1 AND f >= 10),
+        cuts AS (SELECT c.*, cut, array_to_string(list_slice(p, 1, cut), ' ') AS x,
+                        array_to_string(list_slice(p, cut + 1, k), ' ') AS y
+                 FROM c, (SELECT unnest([1, 2]) AS cut) WHERE cut < k),
+        scored AS (SELECT cuts.lang, cuts.k, cuts.phrase, cuts.p, cuts.f AS a, cut, l.f AS l, r.f AS r,
+                     CAST((CAST(1000000 AS HUGEINT) * cuts.f * cuts.f) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT)
+                       AS score
+                   FROM cuts JOIN g l ON l.lang = cuts.lang AND l.phrase = cuts.x
+                             JOIN g r ON r.lang = cuts.lang AND r.phrase = cuts.y),
+        best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM scored),
+        inner_ AS (SELECT lang, array_to_string(list_slice(p, s, s + 1), ' ') AS phrase, MAX(f) AS longer
+                   FROM c, (SELECT unnest([1, 2]) AS s) WHERE k = 3 GROUP BY ALL),
+        kept AS (SELECT b.* FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase
+                 WHERE nth = 1 AND NOT COALESCE(100 * longer >= 50 * a, FALSE)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase))
+                     AS rank FROM kept)
+        SELECT ranked.lang, rank, phrase, a, l, r, n, score
+        FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000""",
+    "op13_benchmark_decontamination": r"""
+        WITH d AS (
+          SELECT doc_id, list_filter(string_split_regex(translate(COALESCE(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+        i AS (
+          SELECT item_id, list_filter(string_split_regex(translate(COALESCE(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+        iw AS (SELECT DISTINCT item_id, size, array_to_string(list_slice(w, s, s + size - 1), ' ') AS part
+               FROM (SELECT *, least(10, len(w)) AS size,
+                            unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS s
+                     FROM i WHERE len(w) > 0)),
+        hit AS (SELECT doc_id, s, size, part FROM (
+                  SELECT doc_id, s, size, array_to_string(list_slice(w, s, s + size - 1), ' ') AS part
+                  FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS s
+                        FROM d, (SELECT DISTINCT size FROM iw)))
+                WHERE part IN (SELECT part FROM iw)),
+        n AS (SELECT doc_id, COUNT(DISTINCT place) AS n_hit
+              FROM (SELECT doc_id, unnest(generate_series(s, s + size - 1)) AS place FROM hit) GROUP BY doc_id),
+        m AS (SELECT doc_id, COUNT(DISTINCT item_id) AS n_items, string_agg(
+                DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+              FROM hit JOIN iw ON iw.part = hit.part GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit,
+               COALESCE(n_items, 0) AS n_items, sha256(COALESCE(items, '')) AS items_sha256,
+               COALESCE(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id""",
 }
