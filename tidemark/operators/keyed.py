@@ -1,10 +1,10 @@
-"""Keyed operators: latest record, upsert, delete by keys, orphans."""
+"""Keyed operators: latest record, upsert, delete by keys, differences of polls, orphans."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHANGE = "_change"
@@ -95,6 +95,53 @@ def change_images(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> D
     return touched.unionByName(added.select(*base.columns, F.lit("insert").alias(CHANGE)))
 
 
-def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """Child rows without a parent."""
-    return child.join(parent.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")
+def row_digest(columns: Sequence[str]) -> tuple[Column, Column]:
+    """128 bits of a row, in two halves. The hash passes over nulls, so which values are null goes in
+    as well."""
+    nulls = [F.col(f"`{c}`").isNull() for c in columns]
+    values = [F.col(f"`{c}`") for c in columns]
+    return F.xxhash64(*values, *nulls), F.xxhash64(F.lit(1), *nulls, *values)
+
+
+def snapshot_diff(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What happened between two polls of one query, as change rows: the columns and ``op``.
+
+    A row of the later poll is an ``insert`` or an ``update``; a row that no longer comes is a
+    ``delete``, with its last values. Keys and digests alone are compared; the other columns move for
+    rows that changed. Keys are unique in each poll; a null key is one like any other.
+    """
+    columns = after.columns
+
+    def digests(df: DataFrame, side: str) -> DataFrame:
+        return df.select(*[F.col(k).alias(f"{side}_{i}") for i, k in enumerate(keys)],
+                         F.struct(*row_digest(columns)).alias(f"{side}_row"))
+
+    same = None
+    for i in range(len(keys)):
+        match = F.col(f"_old_{i}").eqNullSafe(F.col(f"_new_{i}"))
+        same = match if same is None else same & match
+    both = digests(before, "_old").join(digests(after, "_new"), same, "full_outer")
+    op = (F.when(F.col("_old_row").isNull(), "insert").when(F.col("_new_row").isNull(), "delete")
+          .when(F.col("_old_row") != F.col("_new_row"), "update"))
+    changed = both.select(*[
+        F.when(F.col("_new_row").isNull(), F.col(f"_old_{i}")).otherwise(F.col(f"_new_{i}")).alias(f"_key_{i}")
+        for i in range(len(keys))], op.alias("op")).where("op IS NOT NULL")
+
+    def rows(df: DataFrame, which: Column) -> DataFrame:
+        on = None
+        for i, key in enumerate(keys):
+            match = df[key].eqNullSafe(F.col(f"_key_{i}"))
+            on = match if on is None else on & match
+        return df.join(changed.where(which), on).select(*[df[c] for c in columns], "op")
+
+    return rows(after, F.col("op") != "delete").unionByName(rows(before, F.col("op") == "delete"))
+
+
+def orphans(child: DataFrame, parent: DataFrame, child_key: str | Sequence[str],
+            parent_key: str | Sequence[str]) -> DataFrame:
+    """Child rows without a parent, by one column or several. A child that has a null among them
+    refers to nothing, but is listed as well."""
+    own = [child_key] if isinstance(child_key, str) else list(child_key)
+    other = [parent_key] if isinstance(parent_key, str) else list(parent_key)
+    return child.join(parent.select(*[F.col(p).alias(c) for c, p in zip(own, other, strict=True)]),
+                      own, "left_anti")

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.keyed import CHANGE, change_images, net_changes
+from tidemark.operators.keyed import CHANGE, change_images, net_changes, snapshot_diff
 from tidemark.plans.store import TierStore
 
 OPS = ("insert", "update", "delete")
@@ -35,7 +35,8 @@ def apply_batch(store: TierStore, name: str, changes: DataFrame, keys: Sequence[
     ``changes`` has the columns of the table, ``op``, and the ``order`` columns; several changes
     to one key take effect in that order, and without ``order`` there may be only one.
     The next version is written once, with a mark of what became of each row; the affected rows
-    are counted from that column alone. An unknown operation, a NULL or repeated key, or an
+    are counted from that column alone. Of a table laid out in buckets by its key only the buckets
+    of the changes are read and written. An unknown operation, a NULL or repeated key, or an
     insert onto an existing key refuses the whole batch before the commit, and the earlier
     version stays the published one.
     """
@@ -52,14 +53,24 @@ def apply_batch(store: TierStore, name: str, changes: DataFrame, keys: Sequence[
             raise ChangeError("several changes to one key, and no order between them")
         changes = _stage(store, f"{name}-last", batch,
                          net_changes(changes, keys, order), changes.columns)
-    images = change_images(store.hot_version(state), changes.select(*state.struct.fieldNames(), "op"),
-                           keys)
-    store.write_hot(name, images, batch)
-
-    staged = store.spark.read.schema(images.schema).parquet(store.hot_path(name, batch))
+    changes = changes.select(*state.struct.fieldNames(), "op")
+    # a table in buckets by just these keys: only the buckets of the changes are read and written
+    touched = store.touched(state, changes) if set(state.keys) <= set(keys) else None
+    images = change_images(store.hot_version(state, touched), changes, keys)
+    staged = store.write_state(state, images, batch)
     counts = {r[CHANGE]: r["count"] for r in staged.groupBy(CHANGE).count().collect()}
     if counts.get("conflict"):
         raise ChangeError(f"{counts['conflict']} inserts onto existing keys")
-    rows = sum(counts.values())
-    store.commit(batch, [replace(state, moved=0).with_hot(batch, rows, counts.get("delete", 0))])
+    rows, gone = sum(counts.values()), counts.get("delete", 0)
+    if touched is not None:  # the rows that other buckets have, and what changed in these
+        rows, gone = state.hot_rows + counts.get("insert", 0), state.gone_rows + gone
+    store.commit(batch, [replace(state, moved=0).with_hot(batch, rows, gone, touched)])
     return {op: counts.get(op, 0) for op in OPS}
+
+
+def apply_poll(store: TierStore, name: str, poll: DataFrame, keys: Sequence[str]) -> dict[str, int]:
+    """Make the hot table what a bulk poll of its source says it is: what the poll adds, changes and
+    no longer has becomes one change batch."""
+    state = store.state()[1][name]
+    hot = store.hot_version(state)
+    return apply_batch(store, name, snapshot_diff(hot, poll.select(*hot.columns), keys), keys)

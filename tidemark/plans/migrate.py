@@ -57,9 +57,9 @@ def run_batch(store: TierStore, policies: Sequence[TablePolicy], as_of: datetime
             if noted is not None:
                 return noted
         written = store.cold_batch(name, batch, state.struct, state.generation)
-        rest = _remaining(policy, hot[name], written, state.last_ts, until)
-        store.write_hot(name, rest, batch)
-        return after.with_hot(batch, state.hot_rows - state.gone_rows - moved)
+        touched = store.touched(state, written) if set(state.keys) <= set(policy.pk_columns) else None
+        rest = _remaining(policy, store.hot_version(state, touched), written, state.last_ts, until)
+        return store.rewrite(after, rest, batch, state.hot_rows - state.gone_rows - moved, touched)
 
     done = in_parallel(store.spark, [lambda p=p: move(p) for p in work])
     if done:
@@ -120,8 +120,7 @@ def move_by_predicate(store: TierStore, predicates: dict[str, Column | str]) ->
             after = state.after_batch(batch, moved)
             if not moved:
                 return after
-            store.write_hot(name, stay, batch)
-            return after.with_hot(batch, state.hot_rows - state.gone_rows - moved)
+            return store.rewrite(after, stay, batch, state.hot_rows - state.gone_rows - moved)
         except Exception as error:  # noqa: BLE001 - reported per table
             return error
 

@@ -6,6 +6,7 @@ Layout under one folder::
     cold/<table>/_batch_id=<n>/...   rows that batch <n> moved; ``<table>@<g>`` once compacted
     commits/batch_id=<n>/...         one file; batch <n> counts from the moment it exists
     checkpoints/upto=<n>/...         the state of every table as of commit <n>
+    buckets/<table>/v=<n>/_bucket=<b>/...   instead of hot/<table>, for tables laid out by key
 
 A batch writes its cold partitions and next hot versions, then its commit. Until then readers
 use the earlier commit, so a row is never seen twice nor missed, and a retry of the same batch
@@ -22,12 +23,17 @@ bound what is listed and kept.
 Moving a time window need not rewrite a hot version: the commit notes the window as gone, and
 readers leave it out, with a filter that the scan prunes by. A version never changes, so the
 window holds exactly the rows that were moved. It is rewritten once half of it is gone.
+
+A table with a :class:`Layout` keeps its hot rows in buckets by the hash of their key. The commit
+names a version for each bucket, so a change writes the buckets of its keys and no others, and
+readers choose by partitions alone.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from datetime import datetime
 from typing import NamedTuple
@@ -60,8 +66,12 @@ COMMIT_SCHEMA = T.StructType([
     ])),
     T.StructField("generation", T.LongType()),
     T.StructField("epochs", T.MapType(T.StringType(), T.LongType())),
+    T.StructField("keys", T.ArrayType(T.StringType())),
+    T.StructField("buckets", T.ArrayType(T.LongType())),
 ])
 
+BUCKET, VERSION = "_bucket", "_version"
+
 #: Commits between two checkpoints of the state.
 CHECKPOINT_EVERY = 20
 
@@ -75,6 +85,14 @@ class Gone(NamedTuple):
     until: datetime
 
 
+class Layout(NamedTuple):
+    """Hot rows in ``buckets`` parts by the hash of their key. Choose so many that a part is a file
+    or two: a change rewrites whole parts."""
+
+    keys: tuple[str, ...]
+    buckets: int = 64
+
+
 @dataclass(frozen=True)
 class TableState:
     """What the log says of one table as of some batch."""
@@ -90,6 +108,11 @@ class TableState:
     gone: Gone | None = None
     generation: int = 0  # of the cold folder; compaction begins a new one
     epochs: dict[str, int] | None = None  # per stream, the last micro-batch that was stored
+    keys: tuple[str, ...] = ()  # of a table laid out by key
+    buckets: tuple[int, ...] = ()  # the version of each bucket
+
+    def bucket_of(self) -> Column:
+        return bucket_of(self.keys, len(self.buckets))
 
     @property
     def struct(self) -> T.StructType:
@@ -104,10 +127,14 @@ class TableState:
             cold += ((batch, batch),)
         return replace(self, moved=moved, cold=cold, **changes)
 
-    def with_hot(self, version: int, rows: int, gone: int = 0) -> TableState:
-        """The state once a whole new hot version has been written; ``gone`` of its ``rows`` are
-        marked as deleted."""
-        return replace(self, hot_version=version, hot_rows=rows, gone_rows=gone, gone=None)
+    def with_hot(self, version: int, rows: int, gone: int = 0,
+                 touched: Sequence[int] | None = None) -> TableState:
+        """The state once a new hot version has been written, whole or of the buckets ``touched``;
+        ``gone`` of its ``rows`` are marked as deleted."""
+        buckets = tuple(version if touched is None or b in touched else v
+                        for b, v in enumerate(self.buckets))
+        return replace(self, hot_version=version, hot_rows=rows, gone_rows=gone, gone=None,
+                       buckets=buckets)
 
     def without_window(self, column: str, zone: str | None, after: datetime, until: datetime,
                        rows: int) -> TableState | None:
@@ -126,6 +153,10 @@ class TableState:
                        gone=Gone(column, zone, after, until))
 
 
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
 class TierStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -166,13 +197,15 @@ class TierStore:
     def _state_of(row) -> TableState:
         values = {n: row[n] for n in COMMIT_SCHEMA.fieldNames()[1:]} | {
             "cold": tuple(tuple(c) for c in row.cold),
+            "keys": tuple(row["keys"] or ()), "buckets": tuple(row.buckets or ()),
             "gone": None if row.gone is None else Gone(*row.gone)}
         return TableState(relname=row.relname, **values)
 
     def _write_states(self, states: list[TableState], target: str) -> bool:
         """One file, renamed into place; False if the target exists."""
         rows = [(s.relname, s.last_ts, s.hot_version, s.moved, [list(c) for c in s.cold], s.schema,
-                 s.hot_rows, s.gone_rows, s.gone, s.generation, s.epochs or {}) for s in states]
+                 s.hot_rows, s.gone_rows, s.gone, s.generation, s.epochs or {}, list(s.keys),
+                 list(s.buckets)) for s in states]
         staged = f"{self.root}/staging/{scratch_name('commit')}"
         self.spark.createDataFrame(rows, COMMIT_SCHEMA).coalesce(1).write.parquet(staged)
         return publish(self.spark, staged, target)
@@ -211,7 +244,8 @@ class TierStore:
         held: dict[str, set[tuple[int, int]]] = {n: set() for n in now}
         for as_of in range(oldest, last + 1):
             for state in self.state(as_of)[1].values():
-                held[state.relname].add((state.hot_version, state.generation))
+                held[state.relname].update(
+                    (version, state.generation) for version in state.buckets or [state.hot_version])
         if self._checkpoint(oldest) != oldest:
             self._write_states(list(self.state(oldest)[1].values()),
                                f"{self.root}/checkpoints/upto={oldest}")
@@ -221,9 +255,10 @@ class TierStore:
                 if n.startswith(part) and number(n) < oldest:
                     remove(self.spark, f"{self.root}/{folder}/{n}")
         for name, used in held.items():
-            for n in names(self.spark, f"{self.root}/hot/{name}"):
-                if n.startswith("v=") and number(n) <= last and number(n) not in {h for h, _ in used}:
-                    remove(self.spark, f"{self.root}/hot/{name}/{n}")
+            for folder, part in ((f"hot/{name}", "v="), (f"buckets/{name}", f"{VERSION}=")):
+                for n in names(self.spark, f"{self.root}/{folder}"):
+                    if n.startswith(part) and number(n) <= last and number(n) not in {h for h, _ in used}:
+                        remove(self.spark, f"{self.root}/{folder}/{n}")
             for n in names(self.spark, f"{self.root}/cold"):
                 table, _, generation = n.partition("@")
                 if table == name and int(generation or 0) <= last and int(generation or 0) not in {
@@ -242,15 +277,18 @@ class TierStore:
 
     # Loading and writing
 
-    def load(self, tables: dict[str, DataFrame], replace_existing: bool = False) -> int:
+    def load(self, tables: dict[str, DataFrame], replace_existing: bool = False,
+             layouts: dict[str, Layout] | None = None) -> int:
         """Publish new tables, all rows hot."""
-        return self.load_tiers({name: (df, None) for name, df in tables.items()}, replace_existing)
+        return self.load_tiers({name: (df, None) for name, df in tables.items()}, replace_existing,
+                               layouts)
 
     def load_tiers(self, tables: dict[str, tuple[DataFrame, DataFrame | None]],
-                   replace_existing: bool = False) -> int:
+                   replace_existing: bool = False, layouts: dict[str, Layout] | None = None) -> int:
         """Publish new tables from ``(hot, cold)`` pairs; ``cold=None`` for hot alone.
 
-        A table that the store has is refused, unless it is to be replaced, both tiers of it.
+        A table that the store has is refused, unless it is to be replaced, both tiers of it. Tables
+        named in ``layouts`` are kept in buckets by key.
         """
         last, states = self.state()
         if (known := sorted(states.keys() & tables)) and not replace_existing:
@@ -258,9 +296,11 @@ class TierStore:
         batch = last + 1
 
         def write(name: str, hot: DataFrame, cold: DataFrame | None) -> TableState:
-            self.write_hot(name, hot, batch)
-            rows = self.spark.read.schema(hot.schema).parquet(self.hot_path(name, batch)).count()
-            state = TableState(name, EPOCH, batch, 0, (), hot.schema.json(), rows)
+            keys, buckets = (layouts or {}).get(name, ((), 0))
+            state = TableState(name, EPOCH, batch, 0, (), hot.schema.json(), 0, keys=tuple(keys),
+                               buckets=(batch,) * buckets)
+            rows = self.write_state(state, hot, batch).count()
+            state = replace(state, hot_rows=rows)
             if cold is None:
                 return state
             return state.after_batch(batch, self.add_cold(name, cold, batch, hot.schema))
@@ -272,6 +312,30 @@ class TierStore:
     def write_hot(self, name: str, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(self.hot_path(name, version))
 
+    def write_state(self, state: TableState, df: DataFrame, version: int) -> DataFrame:
+        """Write hot rows as ``state`` lays them out, and give back what was written. In buckets,
+        those that ``df`` has no row of get no folder."""
+        if not state.buckets:
+            self.write_hot(state.relname, df, version)
+            return self.spark.read.schema(df.schema).parquet(self.hot_path(state.relname, version))
+        path = f"{self.bucket_path(state.relname)}/{VERSION}={version}"
+        df.withColumn(BUCKET, state.bucket_of()).hint("rebalance", BUCKET).write.partitionBy(
+            BUCKET).mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+    def rewrite(self, state: TableState, df: DataFrame, version: int, rows: int,
+                touched: Sequence[int] | None = None) -> TableState:
+        """Write the hot rows that stay, of all buckets or those ``touched``; ``rows`` stay in all."""
+        self.write_state(state, df, version)
+        return state.with_hot(version, rows, touched=touched)
+
+    def touched(self, state: TableState, rows: DataFrame) -> list[int] | None:
+        """The buckets of some rows' keys, at most as many as there are; None for all, also where a
+        window is noted as gone, which a rewrite of all ends."""
+        if not state.buckets or state.gone is not None:
+            return None
+        return sorted(r[0] for r in rows.select(state.bucket_of()).distinct().collect())
+
     def write_cold(self, name: str, df: DataFrame, batch: int, rebalance: bool = False,
                    generation: int = 0) -> None:
         """Write one batch partition; a retry replaces it.
@@ -296,6 +360,9 @@ class TierStore:
     def hot_path(self, name: str, version: int) -> str:
         return f"{self.root}/hot/{name}/v={version}"
 
+    def bucket_path(self, name: str) -> str:
+        return f"{self.root}/buckets/{name}"
+
     def cold_path(self, name: str, generation: int = 0) -> str:
         return f"{self.root}/cold/{name}@{generation}" if generation else f"{self.root}/cold/{name}"
 
@@ -368,11 +435,22 @@ class TierStore:
             raise KeyError(f"no table {name!r} in {self.root}")
         return batch, states[name]
 
-    def hot_version(self, state: TableState) -> DataFrame:
-        """The hot rows a state names, without those marked as deleted or in a window gone."""
-        path = self.hot_path(state.relname, state.hot_version)
+    def hot_version(self, state: TableState, touched: Sequence[int] | None = None) -> DataFrame:
+        """The hot rows a state names, without those marked as deleted or in a window gone; of the
+        buckets ``touched`` alone, if given."""
         schema = T.StructType(state.struct.fields + [T.StructField(CHANGE, T.StringType())])
-        df = self.spark.read.schema(schema).parquet(path)
+        if state.buckets:
+            whole = T.StructType(schema.fields + [T.StructField(VERSION, T.LongType()),
+                                                  T.StructField(BUCKET, T.IntegerType())])
+            df = self.spark.read.schema(whole).parquet(self.bucket_path(state.relname))
+            versions = F.array(*[F.lit(v) for v in state.buckets])
+            df = df.where(F.get(versions, F.col(BUCKET)) == F.col(VERSION))
+            if touched is not None:
+                df = df.where(F.col(BUCKET).isin(*touched))
+            df = df.drop(VERSION, BUCKET)
+        else:
+            df = self.spark.read.schema(schema).parquet(
+                self.hot_path(state.relname, state.hot_version))
         df = df.where(F.col(CHANGE).isNull() | (F.col(CHANGE) != "delete")).drop(CHANGE)
         if state.gone is not None:
             column, zone, after, until = state.gone

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.changes import apply_batch
+from tidemark.plans.store import Layout
 from tidemark.queries.staging import given, staged
 
 # The three kinds of change: repeat orders under new keys, finished orders marked, low-priority
@@ -50,15 +51,15 @@ def apply_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _one_by_one(spark, sf_dir).read("orders", as_of=3)
 
 
-def _mixed(spark: SparkSession, sf_dir: str):
+def _mixed(spark: SparkSession, sf_dir: str, name: str = "mixed-changes", layouts=None):
     def build(store) -> None:
         orders = _orders(spark, sf_dir)
-        store.load({"orders": orders})
+        store.load({"orders": orders}, layouts=layouts)
         parts = [rows.withColumn("op", F.lit(op)).withColumn("seq", F.lit(i))
                  for i, (op, rows) in enumerate(_changes(orders).items())]
         changes = parts[0].unionByName(parts[1]).unionByName(parts[2])
         apply_batch(store, "orders", changes, ["o_orderkey"], ["seq"])
-    return staged(spark, sf_dir, "mixed-changes", build)
+    return staged(spark, sf_dir, name, build)
 
 
 def apply_batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +74,29 @@ def apply_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir).read("orders")
 
 
+def apply_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed batch on a table laid out by key."""
+    layouts = {"orders": Layout(("o_orderkey",), 32)}
+    return _mixed(spark, sf_dir, "bucketed-changes", layouts).read("orders")
+
+
+# A customer's orders, as one change would touch them: a few buckets of many.
+_ONE = "o_custkey = 7"
+
+
+def apply_few_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders change on a table laid out by key; what other buckets hold stays as it is."""
+    def build(store) -> None:
+        orders = _orders(spark, sf_dir)
+        store.load({"orders": orders}, layouts={"orders": Layout(("o_orderkey",), 128)})
+        changes = orders.where(_ONE).withColumn("o_orderstatus", F.lit("X"))
+        apply_batch(store, "orders", changes.withColumn("op", F.lit("update")), ["o_orderkey"])
+    return staged(spark, sf_dir, "bucketed-customer", build).read("orders")
+
+
 QUERIES = {f.__name__: f for f in (apply_inserts, apply_updates, apply_deletes,
-                                   apply_batch_report, apply_mixed)}
+                                   apply_batch_report, apply_mixed, apply_in_buckets,
+                                   apply_few_buckets)}
 
 _COLUMNS = "o_custkey, {status} AS o_orderstatus, o_totalprice, o_orderpriority"
 _MARKED = _COLUMNS.format(
@@ -90,6 +112,10 @@ ORACLES = {
                      f"UNION ALL {_ADDED}",
     "apply_mixed": f"SELECT o_orderkey, {_MARKED} FROM orders WHERE NOT ({_DELETE}) "
                    f"UNION ALL {_ADDED}",
+    "apply_in_buckets": f"SELECT o_orderkey, {_MARKED} FROM orders WHERE NOT ({_DELETE}) "
+                        f"UNION ALL {_ADDED}",
+    "apply_few_buckets": "SELECT o_orderkey, " + _COLUMNS.format(
+        status=f"CASE WHEN {_ONE} THEN 'X' ELSE o_orderstatus END") + " FROM orders",
     "apply_batch_report": f"""
         SELECT 'insert' AS op, COUNT(*) AS affected FROM orders WHERE {_INSERT}
         UNION ALL SELECT 'update', COUNT(*) FROM orders WHERE {_UPDATE} AND NOT ({_DELETE})

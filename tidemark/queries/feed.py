@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.keyed import latest_by_key
-from tidemark.plans.changes import apply_batch
+from tidemark.operators.keyed import latest_by_key, snapshot_diff
+from tidemark.plans.changes import apply_batch, apply_poll
+from tidemark.plans.store import Layout
 from tidemark.queries.staging import given, money, staged
 from tidemark.session import scratch
 from tidemark.sources.feed import decode, fits, folder_stream, parse_records, poll_records, row_json
@@ -46,6 +47,34 @@ def cdc_latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.select(*ORDER.fieldNames())
 
 
+# Between two polls low-priority orders have gone, early ones are finished and some are new.
+_GONE, _EARLY = "o_orderpriority = '5-LOW'", "o_orderdate < TIMESTAMP_NTZ '1998-01-01 00:00:00'"
+_NEW = "o_orderpriority = '2-HIGH'"
+
+
+def _two_polls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    orders = given(spark, sf_dir, "orders")
+    names = ORDER.fieldNames()
+    later = orders.where(f"NOT ({_GONE})").withColumn("o_orderstatus", F.when(
+        F.expr(_EARLY), "F").otherwise(F.col("o_orderstatus")))
+    new = orders.where(_NEW).withColumn("o_orderkey", -F.col("o_orderkey") - 1)
+    return orders.select(*names), later.select(*names).unionAll(new.select(*names))
+
+
+def poll_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What came, changed and went between two polls."""
+    return snapshot_diff(*_two_polls(spark, sf_dir), ["o_orderkey"])
+
+
+def poll_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table kept like its source by polls alone, those that went included."""
+    def build(store) -> None:
+        first, second = _two_polls(spark, sf_dir)
+        store.load({"orders": first}, layouts={"orders": Layout(("o_orderkey",), 16)})
+        apply_poll(store, "orders", second, ["o_orderkey"])
+    return staged(spark, sf_dir, "poll-sync", build).read("orders")
+
+
 def cdc_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event properties as records; those of errors arrive cut short and must be rejected."""
     text = F.when(F.col("event_type") == "error", F.expr("substring(props, 1, 4)")).otherwise(
@@ -113,8 +142,14 @@ def object_read_report(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.regexp_extract(F.col("path"), r"/object=(-?\d+)/", 1))
 
 
-QUERIES = {f.__name__: f for f in (bulk_poll_to_json, cdc_latest_by_key, cdc_parse,
-                                   cdc_stream_ingest, object_read_report)}
+QUERIES = {f.__name__: f for f in (bulk_poll_to_json, cdc_latest_by_key, poll_diff, poll_sync,
+                                   cdc_parse, cdc_stream_ingest, object_read_report)}
+
+_STATUS = f"CASE WHEN {_EARLY.replace('_NTZ', '')} THEN 'F' ELSE o_orderstatus END"
+_SECOND = f"""
+    SELECT o_orderkey, o_custkey, {_STATUS} AS o_orderstatus, o_totalprice FROM orders
+    WHERE NOT ({_GONE})
+    UNION ALL SELECT -o_orderkey - 1, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE {_NEW}"""
 
 ORACLES = {
     "bulk_poll_to_json": """
@@ -124,6 +159,14 @@ ORACLES = {
     "cdc_latest_by_key": "SELECT o_orderkey, o_custkey, CASE WHEN o_orderdate < "
                          "TIMESTAMP '1998-01-01 00:00:00' THEN 'F' ELSE o_orderstatus END AS "
                          "o_orderstatus, o_totalprice FROM orders",
+    "poll_diff": f"""
+        SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, 'delete' AS op FROM orders
+        WHERE {_GONE}
+        UNION ALL SELECT o_orderkey, o_custkey, 'F', o_totalprice, 'update' FROM orders
+        WHERE NOT ({_GONE}) AND {_EARLY.replace('_NTZ', '')} AND o_orderstatus <> 'F'
+        UNION ALL SELECT -o_orderkey - 1, o_custkey, o_orderstatus, o_totalprice, 'insert' FROM orders
+        WHERE {_NEW}""",
+    "poll_sync": _SECOND,
     "cdc_parse": """
         SELECT event_type AS topic, COUNT(*) AS n,
                SUM(CASE WHEN event_type <> 'error' THEN CAST(json_extract(props, '$.k') AS INT)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.tiers import BATCH, hybrid, multiset_diff, split_tiers, tier_concat
+from tidemark.operators.tiers import BATCH, hybrid, reduced, split_tiers, tier_concat, tier_diff
 from tidemark.plans.migrate import tier_counts
 from tidemark.queries.staging import (
     analytic_store,
@@ -17,6 +17,7 @@ from tidemark.queries.staging import (
     tpcc_views,
 )
 from tidemark.schemas import CH_COLD
+from tidemark.sources.jdbc import split_conditions, split_points
 from tidemark.sources.files import has_rows
 
 # Fixed value: the one example query, with its date anchored in the test data.
@@ -108,7 +109,41 @@ def tier_concat_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tier_vs_whole_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiers = analytic_store(spark, sf_dir).read("lineitem")
-    return multiset_diff(given(spark, sf_dir, "lineitem"), tiers)
+    return tier_diff(given(spark, sf_dir, "lineitem"), tiers)
+
+
+def tier_planted_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tier that lost one order's lines, holds another's twice and has one changed."""
+    whole = given(spark, sf_dir, "lineitem")
+    tiers = analytic_store(spark, sf_dir).read("lineitem")
+    wrong = tiers.where("l_orderkey <> 1").unionByName(tiers.where("l_orderkey = 2"))
+    return tier_diff(whole, wrong.withColumn("l_quantity", F.when(
+        F.col("l_orderkey") == 3, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))))
+
+
+def hybrid_reduced_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few customers and their orders in both tiers: the customers' keys go to the scans."""
+    store = analytic_store(spark, sf_dir)
+    some = store.read("customer").where("c_acctbal > 9500").select("c_custkey")
+    keys = some.withColumnRenamed("c_custkey", "o_custkey")
+    hot, cold = (reduced(tier, keys, ["o_custkey"]) for tier in store.tiers("orders")["orders"])
+    return hybrid(hot, cold).join(some, F.col("o_custkey") == F.col("c_custkey")).groupBy(
+        "c_custkey").agg(F.count(F.lit(1)).alias("n"), money("o_totalprice", "total"))
+
+
+def hot_scan_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan in splits of equally many rows, over a key with a third of its rows in a hundredth of
+    its range: how many splits, their rows, and whether none has more than twice the mean."""
+    lines = given(spark, sf_dir, "lineitem").select(F.when(
+        F.col("l_orderkey") % 3 == 0, F.col("l_orderkey") / 100).otherwise(
+        F.col("l_orderkey")).cast("double").alias("key"))
+    parts = [lines.where(c).agg(F.count(F.lit(1)).alias("n"))
+             for c in split_conditions("key", split_points(lines, "key", 16))]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionAll(part)
+    return whole.agg(F.count(F.lit(1)).cast("int").alias("splits"), F.sum("n").alias("rows"),
+                     (F.max("n") <= 2 * F.avg("n")).alias("even"))
 
 
 def _in_flight(spark: SparkSession, sf_dir: str):
@@ -157,7 +192,8 @@ def result_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {name: _sql(text) for name, text in SQL.items()} | {
     f.__name__: f for f in (
         param_query, hybrid_recent_order_lines, tier_split_counts, tier_concat_scan,
-        tier_vs_whole_diff, hybrid_overlap_safe, hybrid_overlap_keys, hot_nonempty_gate,
+        tier_vs_whole_diff, tier_planted_diff, hybrid_reduced_join, hot_scan_splits,
+        hybrid_overlap_safe, hybrid_overlap_keys, hot_nonempty_gate,
         result_view)}
 
 _KEYS = {"customer": "c_custkey", "lineitem": "l_orderkey", "orders": "o_orderkey",
@@ -177,6 +213,14 @@ ORACLES = dict(SQL) | {
         f"COUNT(*) AS rows FROM {t} GROUP BY 1, 2" for t, k in _KEYS.items()),
     "tier_concat_scan": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000",
     "tier_vs_whole_diff": "SELECT 0 AS missing, 0 AS extra",
+    "tier_planted_diff": "SELECT COUNT(*) FILTER (WHERE l_orderkey IN (1, 3)) AS missing, "
+                         "COUNT(*) FILTER (WHERE l_orderkey IN (2, 3)) AS extra FROM lineitem",
+    "hybrid_reduced_join": """
+        SELECT c_custkey, COUNT(*) AS n,
+               CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+        FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 9500
+        GROUP BY c_custkey""",
+    "hot_scan_splits": "SELECT 16 AS splits, COUNT(*) AS rows, TRUE AS even FROM lineitem",
     "hybrid_overlap_safe": _TOTALS,
     "hybrid_overlap_keys": _TOTALS,
     "hot_nonempty_gate": "SELECT COUNT(*) AS hot_rows, COUNT(*) > 0 AS takes_part FROM orders "

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from contextlib import contextmanager
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.tiers import FEW_KEYS, few_keys
+
 #: Column of a staging table: rows of the key when it was staged.
 STAGED = "staged_rows"
 
@@ -38,8 +40,7 @@ class JdbcHot:
     def parallel(self, name: str, column: str, partitions: int) -> DataFrame:
         """The table in key ranges of equal width, read side by side; the database finds the ends.
 
-        Ranges suit an evenly spread key. For another distribution give :meth:`by_predicates`
-        conditions that split the rows evenly, such as remainders of a hash.
+        Ranges suit an evenly spread key; :meth:`balanced` suits any.
         """
         c = _name(column)
         low, high = self.query(f"SELECT MIN({c}) AS low, MAX({c}) AS high FROM {name}").first()
@@ -49,6 +50,25 @@ class JdbcHot:
             **self.options, dbtable=name, partitionColumn=column, lowerBound=str(low),
             upperBound=str(high), numPartitions=str(partitions)).load()
 
+    def balanced(self, name: str, column: str, partitions: int) -> DataFrame:
+        """The table in key ranges of about equally many rows. The ends come from a sketch of the key's
+        quantiles, for which the key alone is read first, side by side. Choose a key whose values
+        repeat little: the rows of one value stay together."""
+        keys = self.parallel(name, column, partitions).select(column)
+        return self.by_predicates(name, split_conditions(
+            _name(column), split_points(keys, column, partitions)))
+
+    def matching(self, name: str, rows: DataFrame, on: Sequence[str], staging: str,
+                 limit: int = FEW_KEYS) -> DataFrame:
+        """The rows of a table whose key occurs in ``rows``, picked by the database from staged keys;
+        the whole table if there are more than ``limit`` keys."""
+        keys = few_keys(rows, on, limit)
+        if keys is None:
+            return self.table(name)
+        self.write(self.spark.createDataFrame(keys, rows.select(*on).schema), staging, "overwrite")
+        match = " AND ".join(f"s.{_name(k)} = t.{_name(k)}" for k in on)
+        return self.query(f"SELECT t.* FROM {name} t WHERE EXISTS (SELECT 1 FROM {staging} s WHERE {match})")
+
     def by_predicates(self, name: str, predicates: Sequence[str]) -> DataFrame:
         """One task per condition; the conditions must cover the table without overlap."""
         return self.spark.read.jdbc(
@@ -158,3 +178,28 @@ def _plain(text: str) -> str:
 def _name(column: str) -> str:
     """A column name exactly as the database reported it."""
     return '"' + column.replace('"', '""') + '"'
+
+
+def split_points(df: DataFrame, column: str, splits: int) -> list:
+    """At most ``splits`` - 1 values that cut the rows into parts of about equal size: quantiles of a
+    sketch whose error is a hundredth of a part. For numbers, dates and timestamps."""
+    shares = [i / splits for i in range(1, splits)]
+    found = df.agg(F.percentile_approx(column, shares, 100 * splits)).first()[0] if shares else None
+    return sorted(set(found or []))
+
+
+def split_conditions(column: str, points: Sequence) -> list[str]:
+    """Conditions, in SQL, that cover all rows once: ranges between the points, nulls in the first."""
+    if not points:
+        return ["1 = 1"]
+    text = [_sql_value(p) for p in points]
+    between = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(text, text[1:])]
+    return [f"({column} < {text[0]} OR {column} IS NULL)", *between, f"{column} >= {text[-1]}"]
+
+
+def _sql_value(value) -> str:
+    if isinstance(value, datetime):
+        return f"CAST('{value.isoformat(sep=' ')}' AS TIMESTAMP)"
+    if isinstance(value, date):
+        return f"CAST('{value.isoformat()}' AS DATE)"
+    return repr(value) if isinstance(value, (int, float)) else str(value)
