@@ -18,10 +18,7 @@ from tidemark.sources.feed import (
 )
 from tidemark.sources.files import (
     file_stats,
-    may_match,
     object_report,
-    pruned_scan,
-    resolve_path,
     try_read,
 )
 from tidemark.streaming.ingest import REJECTS, Route, ingest
@@ -123,32 +120,12 @@ def test_kafka_needs_its_package(spark):
         kafka_stream(spark, "nowhere:9092", "topic", max_offsets=5)
 
 
-def test_manifest_prunes_files_and_no_rows(spark):
+def test_report_of_data_files(spark):
     path = scratch(spark, "files")
-    spark.range(0, 1000, 1, 10).withColumn("v", F.col("id") * 2).write.parquet(path)
-    table = spark.read.parquet(path)
-    saved = scratch(spark, "stats")
-    file_stats(table, ["id"]).write.parquet(saved)
-    manifest = spark.read.parquet(saved)
-    assert manifest.count() == 10 and manifest.agg(F.sum("rows")).first()[0] == 1000
-    match = may_match("id", 250, 349)
-    scan = pruned_scan(spark, table, manifest, match, path)
-    assert len(scan.inputFiles()) == 2
-    assert rows(scan.where("id BETWEEN 250 AND 349")) == rows(
-        table.where("id BETWEEN 250 AND 349"))
-    # a file that came after the manifest is read
-    spark.range(300, 310, 1, 1).withColumn("v", F.col("id") * 2).write.mode("append").parquet(path)
-    grown = spark.read.parquet(path)
-    assert pruned_scan(spark, grown, manifest, match, path).where("id = 305").count() == 2
-    assert pruned_scan(spark, table, manifest, may_match("id", 5000), path).count() == 0
-    assert len(pruned_scan(spark, table, manifest, may_match("id"), path).inputFiles()) == 10
-
-
-def test_paths(spark):
-    df = spark.createDataFrame([("s3://b/x",), ("s3a://b/x",), ("file:/x",), ("data/x",),
-                                ("gs://b/x",), ("abfss://c@a/x",)], "p string")
-    got = [r.r for r in df.select(resolve_path(F.col("p"), "s3://w/").alias("r")).collect()]
-    assert got == ["s3://b/x", "s3a://b/x", "file:/x", "s3://w/data/x", "gs://b/x", "abfss://c@a/x"]
+    spark.range(0, 1000, 1, 10).write.parquet(path)
+    report = file_stats(spark.read.parquet(path), ["id"])
+    assert report.count() == 10 and tuple(report.agg(
+        F.sum("rows"), F.min("min_id"), F.max("max_id")).first()) == (1000, 0, 999)
 
 
 def test_missing_folder_is_none_other_failures_raise(spark, tmp_path):
@@ -174,13 +151,3 @@ def test_an_object_in_several_files_counts_once(spark, tmp_path):
         (tmp_path / f"part-{i}.bin").write_bytes(b"x" * 10)
     expected = spark.createDataFrame([("all",), ("all",), ("none",)], "key string")
     assert tuple(object_report(spark, str(tmp_path), expected, F.lit("all")).first()) == (2, 1, 1, 30)
-
-
-def test_pruned_scan_of_names_with_blanks_and_brackets(spark):
-    path = scratch(spark, "odd [names] with blanks")
-    spark.range(0, 100, 1, 4).write.parquet(path)
-    literal_path = path.replace("[", "\\[").replace("]", "\\]")
-    table = spark.read.parquet(literal_path)
-    manifest = file_stats(table, ["id"])
-    scan = pruned_scan(spark, table, manifest, may_match("id", 10, 20), path)
-    assert scan.where("id BETWEEN 10 AND 20").count() == 11 and len(scan.inputFiles()) == 1

@@ -267,3 +267,59 @@ def test_cold_tables_for_every_hot_table(spark, hot):
     assert spark.table(f"{database}.h1").dtypes == [("a", "bigint"), ("b", "decimal(10,2)")]
     assert spark.table(f"{database}.h2").dtypes == [("u", "string")]
     spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
+def test_splits_of_equal_depth(spark, hot):
+    """A third of the rows in a hundredth of the range: equal widths pile them up, quantiles do not."""
+    from pyspark.sql import functions as F
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id") / 100).otherwise(
+        F.col("id")).cast("double").alias("k"), F.col("id").alias("v"))
+    hot.write(df, "skewed")
+    sizes = [len(p) for p in hot.balanced("skewed", "k", 8).rdd.glom().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * 3000 / 8
+    assert rows(hot.balanced("skewed", "k", 8)) == rows(df)
+    assert max(len(p) for p in hot.parallel("skewed", "k", 8).rdd.glom().collect()) > 2 * 3000 / 8
+    hot.write(df.where("false"), "nothing_skewed")
+    assert hot.balanced("nothing_skewed", "k", 4).count() == 0
+
+
+def test_the_database_picks_the_rows_of_staged_keys(spark, hot):
+    orders = spark.range(1000).selectExpr("id AS o", "id % 50 AS c")
+    hot.write(orders, "ord2")
+    some = spark.createDataFrame([(7,), (7,), (9,), (None,), (1234,)], "c long")
+    found = hot.matching("ord2", some, ["c"], "staging_some")
+    # what is fetched is what matches
+    assert rows(found) == rows(orders.where("c IN (7, 9)")) and found.count() == 40
+    assert hot.matching("ord2", some, ["c"], "staging_some", limit=2).count() == 1000
+    two = spark.createDataFrame([(7, 7), (8, 9)], "o long, c long")
+    assert rows(hot.matching("ord2", two, ["o", "c"], "staging_two")) == Counter([(7, 7)])
+
+
+def test_very_many_noted_batches_in_a_constant_plan(spark, loaded, store):
+    want = whole(spark, loaded, store)
+    run_jdbc_batch(loaded, store, [LINE], day(5), 0)
+    cold = cold_table(spark, store, "line", loaded.table("line").schema.add(BATCH, "long"))
+    short = len(plan(jdbc_hybrid(loaded, cold, "line", LINE.pk_columns)))
+    loaded.write(spark.range(1, 10_000).selectExpr("'line' AS relname", "id AS batch_id"), "noted_batches")
+    with loaded.transaction() as tx:
+        tx.execute('INSERT INTO sync_batch SELECT "relname", "batch_id" FROM noted_batches')
+    read = jdbc_hybrid(loaded, cold, "line", LINE.pk_columns)
+    assert len(plan(read)) < 1.2 * short and rows(read) == want["line"]
+
+
+def test_deletes_go_children_first(spark, hot, store):
+    """The database enforces the reference; parents first would be refused."""
+    from tidemark.operators.references import ForeignKey
+    with hot.transaction() as tx:
+        tx.execute('CREATE TABLE ord ("o" INT PRIMARY KEY, "done" TIMESTAMP)')
+        tx.execute('CREATE TABLE line ("o" INT REFERENCES ord ("o"), "n" INT, "done" TIMESTAMP)')
+        for o in range(4):
+            tx.execute("INSERT INTO ord VALUES (?, CAST(? AS TIMESTAMP))", [o, str(day(o))])
+            tx.execute("INSERT INTO line VALUES (?, 1, CAST(? AS TIMESTAMP))", [o, str(day(o))])
+    policies = [TablePolicy("ord", "append_only", "done", ("o",)), LINE]
+    with pytest.raises(Exception):
+        run_jdbc_batch(hot, store, policies, day(1), 0)
+    run_jdbc_batch(hot, store, policies, day(1), 0,
+                   references=[ForeignKey("line", ("o",), "ord", ("o",))])
+    assert sorted(r.o for r in hot.table("ord").collect()) == [2, 3]
+    assert sorted(r.o for r in hot.table("line").collect()) == [2, 3]

@@ -121,16 +121,6 @@ def test_deleted_rows_count_as_gone(spark, store):
     assert (state.hot_rows, state.gone_rows) == (0, 0) and store.read("t").count() == 10
 
 
-def test_manifest_never_hides_newer_files(spark, store):
-    store.load_tiers({"t": (spark.range(0).toDF("id"), spark.range(50).toDF("id"))})
-    saved = spark.createDataFrame(store.manifest("t", ["id"]).collect(), store.manifest("t", ["id"]).schema)
-    store.append_cold("t", spark.range(10, 61).toDF("id"))
-    assert store.pruned("t", saved, "id", 0, 100).count() == 101
-    assert store.pruned("t", saved, "id", 55, 100).where("id >= 55").count() == 6
-    # the next manifest scans only what is new
-    assert store.manifest("t", ["id"]).agg(F.sum("rows")).first()[0] == 101
-
-
 def test_stragglers_are_hot_rows_up_to_the_watermark(spark, store):
     df = spark.range(10).select("id", F.expr("TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(id)").alias("ts"))
     store.load({"t": df})
@@ -147,14 +137,25 @@ def test_replay_runs_all_and_top_counts_only_workload(spark):
         [(f"SELECT c + {i} FROM customer", 1) for i in range(60)]
         + [(f"SELECT {i} FROM pg_catalog.pg_class, customer", 99) for i in range(50)],
         "query string, calls int")
-    assert len(replay(spark, top_statements(log, 60))) == 60
-    assert top_statements(log).where("query LIKE '%pg_catalog%'").count() == 0
-    assert top_statements(log).count() == 50
+    assert len(replay(spark, top_statements(log, 110))) == 60
+    assert top_statements(log, 110).where("query LIKE '%pg_catalog%'").count() == 0
+    assert top_statements(log).count() == 0  # the control statements are the most called
 
 
 def test_unseen_statements_across_polls(spark):
     path = scratch(spark, "seen")
     poll = lambda *q: spark.createDataFrame([(x,) for x in q], "query string")
-    assert rows(take_unseen(poll("a", "b", "a"), path)) == Counter([("a",), ("b",)])
-    assert rows(take_unseen(poll("b", "c"), path)) == Counter([("c",)])
-    assert not has_rows(take_unseen(poll("a", "c"), path))
+    assert rows(take_unseen(poll("a", "b", "a"), path, 0)) == Counter([("a",), ("b",)])
+    assert rows(take_unseen(poll("b", "c"), path, 1)) == Counter([("c",)])
+    assert not has_rows(take_unseen(poll("a", "c"), path, 2))
+    # a poll that failed after it had stored its statements gives them again
+    assert rows(take_unseen(poll("b", "c", "d"), path, 1)) == Counter([("c",), ("d",)])
+    assert not has_rows(take_unseen(poll("d"), path, 3))
+
+
+def test_control_statements_take_places_among_the_most_called(spark):
+    log = spark.createDataFrame(
+        [(f"SET customer_{i} = 1", 100) for i in range(30)]
+        + [(f"SELECT {i} FROM customer", 99 - i) for i in range(60)], "query string, calls int")
+    top = top_statements(log)
+    assert top.count() == 20 and top.agg(F.min("calls")).first()[0] == 80

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.times import EPOCH, cutoff, local_bound
 from tidemark.operators.extract import CATEGORIES, TablePolicy, extract, unsettled
 from tidemark.operators.keyed import delete_using
+from tidemark.operators.references import ForeignKey, dependents, divided, marked, parents_first
 from tidemark.operators.tiers import BATCH, as_column, hybrid, split_tiers
 from tidemark.plans.store import TableState, TierStore
 from tidemark.session import in_parallel
@@ -19,8 +20,9 @@ from tidemark.sources.jdbc import JdbcHot
 
 
 def run_batch(store: TierStore, policies: Sequence[TablePolicy], as_of: datetime,
-              delay_minutes: int = 1) -> list[dict]:
-    """One migration batch over the store; returns a report of one entry per policy.
+              delay_minutes: int = 1, note: dict[str, int] | None = None) -> list[dict]:
+    """One migration batch over the store; returns a report of one entry per policy. ``note`` goes
+    into the commit: the micro-batch of a stream that the batch was run for.
 
     All tables are extracted from the same published state. Where a policy looks at the row
     alone, the rows that stay are its complement over the same immutable version: no keys are
@@ -49,7 +51,8 @@ def run_batch(store: TierStore, policies: Sequence[TablePolicy], as_of: datetime
         child = hot[policy.close_by.child] if policy.close_by else None
         rows = extract(policy, hot[name], state.last_ts, until, child)
         moved = store.add_cold(name, rows, batch, state.struct, True, state.generation)
-        after = state.after_batch(batch, moved, last_ts=max(until, state.last_ts))
+        after = state.after_batch(batch, moved, last_ts=max(until, state.last_ts),
+                                  epochs={**(state.epochs or {}), **(note or {})})
         if not moved:
             return after
         if policy.close_by is None:
@@ -132,6 +135,38 @@ def move_by_predicate(store: TierStore, predicates: dict[str, Column | str]) ->
     return {n: r.moved if isinstance(r, TableState) else r for n, r in results.items()}
 
 
+def move_with_children(store: TierStore, predicates: dict[str, Column | str],
+                       references: Sequence[ForeignKey]) -> dict[str, int]:
+    """Move the rows that satisfy a predicate, and all rows that refer to a row that moves, through
+    however many tables: one commit, after which no row of the hot tier refers to a row outside it
+    (unless it referred to none before). Rows whose reference is null stay.
+
+    Tables go parents first. The keys that take children along are read back from what was written,
+    so each table is decided once. A table that refers to itself is refused.
+    """
+    if own := sorted(r.child for r in references if r.child == r.parent):
+        raise ValueError(f"{', '.join(own)} refers to itself")
+    last_batch, states = store.state()
+    batch = last_batch + 1
+    names = [n for n in parents_first(references, predicates)
+             if n in dependents(references, predicates)]
+    written, done = {}, []
+    for name in names:
+        state = states[name]
+        goes = as_column(predicates[name]) if name in predicates else F.lit(False)
+        moving = [(r, written[r.parent]) for r in references
+                  if r.child == name and r.parent in written]
+        stay, go = divided(marked(store.hot_version(state), goes, moving))
+        moved = store.add_cold(name, go, batch, state.struct, generation=state.generation)
+        after = state.after_batch(batch, moved)
+        if moved:
+            written[name] = store.cold_batch(name, batch, state.struct, state.generation)
+            after = store.rewrite(after, stay, batch, state.hot_rows - state.gone_rows - moved)
+        done.append(after)
+    store.commit(batch, done)
+    return {s.relname: s.moved for s in done}
+
+
 def tier_counts(store: TierStore, names: Sequence[str]) -> DataFrame:
     """``relname, tier, rows`` of the current state."""
     parts = []
@@ -164,7 +199,8 @@ def jdbc_watermarks(hot: JdbcHot) -> dict[str, tuple[datetime, int]]:
 
 def run_jdbc_batch(hot: JdbcHot, cold, policies: Sequence[TablePolicy], as_of: datetime,
                    delay_minutes: int = 1,
-                   read: Callable[[str], DataFrame] | None = None) -> list[dict]:
+                   read: Callable[[str], DataFrame] | None = None,
+                   references: Sequence[ForeignKey] = ()) -> list[dict]:
     """As :func:`run_batch`, deleting from a live database.
 
     Windows, and which parents have closed, are evaluated by the database, so that only settled rows
@@ -178,7 +214,8 @@ def run_jdbc_batch(hot: JdbcHot, cold, policies: Sequence[TablePolicy], as_of: d
     (``unique=False``), rows of each key are counted in the transaction, and if any came or went
     since, all is rolled back and a retry moves them. Delete, watermark and the note that the batch
     counts are one database transaction. Until it commits, read with :func:`~tidemark.operators.tiers.hybrid`
-    given the keys; a retry writes the same batch number again.
+    given the keys; a retry writes the same batch number again. With ``references`` rows are deleted
+    children first, as a database that enforces them needs it.
     """
     scan = read or hot.table
     marks = jdbc_watermarks(hot)
@@ -204,6 +241,9 @@ def run_jdbc_batch(hot: JdbcHot, cold, policies: Sequence[TablePolicy], as_of: d
         active.append((policy, max(until, last)))
         report.append({"relname": policy.relname, "moved": moved, "skipped": None})
 
+    if references:
+        order = parents_first(references, [p.relname for p in moved_tables])
+        moved_tables.sort(key=lambda p: -order.index(p.relname))
     with hot.transaction() as tx:
         for policy in moved_tables:
             if not policy.unique and tx.execute(hot.changed_statement(
@@ -265,7 +305,10 @@ def jdbc_hybrid(hot: JdbcHot, cold_table: DataFrame | None, name: str, keys: Seq
         return live
     # the last batch of the database, whichever tables it had
     done = max((b for _, b in jdbc_watermarks(hot).values()), default=-1)
-    noted = hot.query(f"SELECT batch_id FROM sync_batch WHERE relname = '{name}'")
-    counts = sorted(r[0] for r in noted.collect())
-    cold = cold_table.where(F.col(BATCH).isin(counts) | (F.col(BATCH) > done))
+    # the noted batches meet the partitions in a join, however many there are
+    noted = hot.table("sync_batch").where(F.col("relname") == name).select(
+        F.col("batch_id").alias(BATCH))
+    counts = cold_table.where(F.col(BATCH) <= done).join(noted, BATCH, "left_semi").select(
+        *cold_table.columns)
+    cold = counts.unionByName(cold_table.where(F.col(BATCH) > done))
     return hybrid(live, cold, committed=done, keys=keys)

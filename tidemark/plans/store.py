@@ -32,7 +32,6 @@ readers choose by partitions alone.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from datetime import datetime
@@ -43,11 +42,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.times import EPOCH, in_window, outside_window
+from tidemark.operators.clustering import clustered
 from tidemark.operators.keyed import CHANGE
 from tidemark.operators.tiers import BATCH, hybrid
 from tidemark.session import in_parallel, scratch_name
-from tidemark.sources.files import file_stats, may_match, pruned_scan, read_paths, try_read
-from tidemark.sources.paths import literal, names, plain, publish, remove
+from tidemark.sources.files import try_read
+from tidemark.sources.paths import names, publish, remove
 
 COMMIT_SCHEMA = T.StructType([
     T.StructField("relname", T.StringType()),
@@ -393,31 +393,6 @@ class TierStore:
         return self.spark.read.schema(schema).parquet(
             f"{self.cold_path(name, generation)}/{BATCH}={batch}")
 
-    def manifest(self, name: str, columns: list[str]) -> DataFrame:
-        """Statistics of every committed cold file. They are saved, and each call scans only files
-        that no earlier one has seen."""
-        path = f"{self.root}/stats/{name}/{'+'.join(columns)}"
-        state = self._table(name, None)[1]
-        saved = try_read(self.spark, path)
-        known = set() if saved is None else {plain(r.file) for r in saved.select("file").collect()}
-        cold = self.cold_rows(state)
-        batch = re.compile(f"/{BATCH}=(\\d+)/")
-        files = {plain(f): f for f in cold.inputFiles() if any(
-            first <= int(batch.search(f)[1]) <= last for first, last in state.cold)}
-        if new := [literal(f) for spelt, f in files.items() if spelt not in known]:
-            fresh = read_paths(self.spark, new, cold.schema, self.cold_path(name, state.generation))
-            file_stats(fresh, columns).write.mode("append").parquet(path)
-        saved = self.spark.read.parquet(path)
-        listed = [(r.file,) for r in saved.select("file").collect() if plain(r.file) in files]
-        return saved.join(self.spark.createDataFrame(listed, "file string"), "file", "left_semi")
-
-    def pruned(self, name: str, manifest: DataFrame, column: str, low=None, high=None) -> DataFrame:
-        """Committed cold rows of the files whose statistics overlap ``[low, high]``, and of files
-        that the manifest does not list; the caller still filters rows."""
-        state = self._table(name, None)[1]
-        return pruned_scan(self.spark, self.cold_rows(state), manifest, may_match(column, low, high),
-                           self.cold_path(name, state.generation)).where(self._counts(state))
-
     def stragglers(self, name: str, ts_column: str, zone: str | None = None) -> DataFrame:
         """Rows that are still hot though their time is not after the table's watermark: they came
         too late for their window, and stay hot."""
@@ -483,12 +458,14 @@ class TierStore:
         self.commit(batch + 1, [replace(state, schema=wide.json(), moved=0)])
         return batch + 1
 
-    def append_cold(self, name: str, df: DataFrame) -> int:
-        """Add rows straight to the cold tier as one published batch."""
+    def append_cold(self, name: str, df: DataFrame, cluster: Sequence[str] = ()) -> int:
+        """Add rows straight to the cold tier as one published batch. ``cluster`` names columns that
+        readers filter by: rows near in all of them are stored together, so that Parquet's own
+        statistics rule out most of what a filter on any of them does not need."""
         batch, state = self._table(name, None)
         batch += 1
-        columns = state.struct.fieldNames()
-        moved = self.add_cold(name, df.select(*columns), batch, state.struct,
+        df = df.select(*state.struct.fieldNames())
+        moved = self.add_cold(name, clustered(df, cluster) if cluster else df, batch, state.struct,
                               generation=state.generation)
         self.commit(batch, [state.after_batch(batch, moved)])
         return batch

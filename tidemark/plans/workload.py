@@ -29,10 +29,12 @@ def profile(log: DataFrame) -> DataFrame:
 
 
 def top_statements(log: DataFrame, n: int = TOP) -> DataFrame:
-    """The most-called workload statements that mention the tables of interest."""
+    """Of the ``n`` most-called statements that mention the tables of interest, those that are
+    workload: control statements count among the ``n``, and go after that."""
     q = F.col("query")
-    return (log.where(S.mentions(q) & S.is_workload(q)).groupBy("query").agg(
-        F.sum("calls").alias("calls")).orderBy(F.desc("calls"), "query").limit(n))
+    top = log.where(S.mentions(q)).groupBy("query").agg(F.sum("calls").alias("calls")).orderBy(
+        F.desc("calls"), "query").limit(n)
+    return top.where(S.is_workload(q))
 
 
 def unseen(log: DataFrame, seen: DataFrame) -> DataFrame:
@@ -41,14 +43,18 @@ def unseen(log: DataFrame, seen: DataFrame) -> DataFrame:
                                                "left_anti")
 
 
-def take_unseen(log: DataFrame, path: str) -> DataFrame:
-    """Statements that no earlier poll of the table at ``path`` had, which now has them too."""
+def take_unseen(log: DataFrame, path: str, poll: int) -> DataFrame:
+    """Statements that no earlier poll of the table at ``path`` had, which now has them too.
+
+    A poll is known by its number and its own partition. One that failed, before or after its
+    statements were stored, is run again under the same number and gives the same statements:
+    only lower numbers count as seen, and the partition is replaced.
+    """
     spark = log.sparkSession
     seen = try_read(spark, path, SEEN)
-    new = log.select("query").distinct() if seen is None else unseen(log, seen)
-    poll = 0 if seen is None else 1 + (seen.agg(F.max("poll")).first()[0] or 0)
-    new.select("query", F.lit(poll).cast("long").alias("poll")).write.mode("append").parquet(path)
-    return spark.read.schema(SEEN).parquet(path).where(F.col("poll") == poll).select("query")
+    new = log.select("query").distinct() if seen is None else unseen(log, seen.where(F.col("poll") < poll))
+    new.write.mode("overwrite").parquet(f"{path}/poll={poll}")
+    return spark.read.schema("query string").parquet(f"{path}/poll={poll}").select("query")
 
 
 def replay(spark: SparkSession, top: DataFrame) -> list[dict]:

@@ -126,6 +126,23 @@ def cdc_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
+def stream_unrepeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three bulk polls, each a stream run of its own that goes on from the checkpoint: the second
+    repeats the first but for some orders that changed, the third repeats the second."""
+    def build(store) -> None:
+        source, checkpoint = scratch(spark, "polls"), scratch(spark, "checkpoint")
+        route = Route("orders", "orders", ORDER, ("o_orderkey",))
+        orders = given(spark, sf_dir, "orders")
+        later = orders.withColumn("o_orderstatus", F.when(F.expr(_EARLY), "F").otherwise(
+            F.col("o_orderstatus")))
+        for i, rows in enumerate((orders, later, later)):
+            poll_records(rows.select(*ORDER.fieldNames()), "orders", "o_orderkey",
+                         datetime(2024, 1, 1, 0, i)).write.mode("append").parquet(source)
+            ingest(folder_stream(spark, source), store, [route], checkpoint).awaitTermination()
+    store = staged(spark, sf_dir, "stream-unrepeated", build)
+    return store.read("orders").select(*ORDER.fieldNames(), F.minute("record_timestamp").alias("poll"))
+
+
 OBJECT_DOCS = 200  # documents per object
 
 
@@ -143,7 +160,7 @@ def object_read_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (bulk_poll_to_json, cdc_latest_by_key, poll_diff, poll_sync,
-                                   cdc_parse, cdc_stream_ingest, object_read_report)}
+                                   cdc_parse, cdc_stream_ingest, stream_unrepeated, object_read_report)}
 
 _STATUS = f"CASE WHEN {_EARLY.replace('_NTZ', '')} THEN 'F' ELSE o_orderstatus END"
 _SECOND = f"""
@@ -179,6 +196,10 @@ ORACLES = {
         UNION ALL SELECT 'customer', COUNT(*),
                CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) FROM customer
         UNION ALL SELECT 'rejects', COUNT(*), NULL FROM supplier""",
+    "stream_unrepeated": f"""
+        SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, 0 AS poll FROM orders
+        UNION ALL SELECT o_orderkey, o_custkey, 'F', o_totalprice, 1 FROM orders
+        WHERE {_EARLY.replace('_NTZ', '')} AND o_orderstatus <> 'F'""",
     "object_read_report": f"""
         SELECT COUNT(DISTINCT doc_id // {OBJECT_DOCS}) + 3 AS total,
                COUNT(DISTINCT doc_id // {OBJECT_DOCS}) AS success, 3 AS missing,

@@ -25,7 +25,7 @@ from tidemark.queries.staging import (
 )
 from tidemark.schemas import CH_NAMES, TPCC, conform, schema_drift, tpcc_schema
 from tidemark.session import in_parallel, scratch
-from tidemark.sources.files import read_paths
+from tidemark.sources.files import file_stats, read_paths
 from tidemark.sources.lake import append, bulk_load, create_from_source, create_table, create_tpcc
 
 # Source types of the orders columns, as its database declares them.
@@ -212,31 +212,40 @@ def partitioned_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_stats_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The saved manifest, summed up: its files are named differently in every run."""
-    return tpcc_store(spark, sf_dir).manifest("order_line", ["ol_delivery_d"]).agg(
+    """The cold files' rows and ranges, summed up: files are named differently in every run."""
+    return file_stats(tpcc_store(spark, sf_dir).cold("order_line"), ["ol_delivery_d"]).agg(
         F.sum("rows").alias("rows"),
         iso_text(F.min("min_ol_delivery_d")).alias("first"),
         iso_text(F.max("max_ol_delivery_d")).alias("last"))
 
 
-def file_pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only files whose range overlaps the quarter are opened, and one that came after the manifest
-    was taken: the lines of the last order status."""
+def _clustered_lines(spark: SparkSession, sf_dir: str):
+    """Delivered lines in two cold batches, kept together by time and item."""
     def build(store) -> None:
         lines = tpcc_frames(spark, sf_dir, "order_line")["order_line"]
         late = F.col("ol_dist_info") == "R"
-        store.load_tiers({"order_line": (lines.where(F.lit(False)), lines.where(~late))})
-        store.manifest("order_line", ["ol_delivery_d"])
-        store.append_cold("order_line", lines.where(late))
-    store = staged(spark, sf_dir, "manifest", build)
-    saved = spark.read.parquet(f"{store.root}/stats/order_line/ol_delivery_d")
+        store.load({"order_line": lines.where(F.lit(False))})
+        for part in (~late, late):
+            store.append_cold("order_line", lines.where(part), cluster=["ol_delivery_d", "ol_i_id"])
+    return staged(spark, sf_dir, "clustered", build)
+
+
+def file_pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the clustered lines: Parquet's statistics rule out the files and row groups."""
     low = F.lit("1998-03-01 00:00:00").cast("timestamp_ntz")
     high = F.lit("1998-05-31 00:00:00").cast("timestamp_ntz")
-    return store.pruned("order_line", saved, "ol_delivery_d", low, high).where(
+    return _clustered_lines(spark, sf_dir).read("order_line").where(
         F.col("ol_delivery_d").between(low, high)).agg(
         F.count(F.lit(1)).alias("n"), F.sum("ol_amount").cast("double").alias("amount"))
 
 
+def cold_clustered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few items of the same lines: the other column they are kept together by."""
+    return _clustered_lines(spark, sf_dir).read("order_line").where(
+        "ol_i_id BETWEEN 10 AND 19").groupBy("ol_i_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("ol_amount").cast("double").alias("amount"))
+
+
 # Every type name a source may declare, some with sizes and in other spellings, and what it becomes.
 _DECLARED_TYPES = [*SOURCE_TYPES.items(), ("numeric(12,2)", "decimal(12,2)"),
                    ("DECIMAL(9)", "decimal(9,0)"), ("numeric ( 20 , 5 )", "decimal(20,5)"),
@@ -293,7 +302,7 @@ QUERIES = {f.__name__: f for f in (
     cold_scan, parquet_paths_scan, cold_filtered_fetch, cold_append, create_from_mapping,
     insert_values, tpcc_schemas, bulk_load_renamed, export_parquet_roundtrip,
     schema_evolution_read, time_travel_read, snapshot_list, partitioned_read,
-    file_stats_manifest, file_pruned_scan, type_mapping)} | {"schema_drift": schema_drift_report}
+    file_stats_manifest, file_pruned_scan, cold_clustered_scan, type_mapping)} | {"schema_drift": schema_drift_report}
 
 _TPCC_SOURCES = {"customer": "customer", "district": "nation", "hhistory": "events",
                  "item": "part", "new_order": "orders WHERE o_orderstatus = 'O'",
@@ -392,6 +401,10 @@ ORACLES = {
                         "AS DOUBLE) AS amount FROM lineitem WHERE l_linestatus = 'F' AND "
                         "l_shipdate BETWEEN TIMESTAMP '1998-03-01 00:00:00' "
                         "AND TIMESTAMP '1998-05-31 00:00:00'",
+    "cold_clustered_scan": """
+        SELECT l_partkey AS ol_i_id, COUNT(*) AS n,
+               CAST(SUM(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS amount
+        FROM lineitem WHERE l_partkey BETWEEN 10 AND 19 GROUP BY l_partkey""",
     "type_mapping": _type_mapping_sql(),
     "schema_drift": """
         SELECT column_name, declared_type, observed_type, status,

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.times import EPOCH, cutoff, in_window, iso_text
+from tidemark.functions.times import EPOCH, cutoff, in_window, iso_text, ntz
 from tidemark.operators.extract import (
     TPCC_POLICIES,
     CloseBy,
@@ -22,7 +22,8 @@ from tidemark.operators.extract import (
 from tidemark.operators.keyed import delete_using, key_rows, keyed_upsert, orphans
 from tidemark.operators.tiers import BATCH, hybrid
 from tidemark.plans.changes import apply_batch
-from tidemark.plans.migrate import move_by_predicate, run_batch, tier_counts
+from tidemark.operators.references import ForeignKey
+from tidemark.plans.migrate import move_by_predicate, move_with_children, run_batch, tier_counts
 from tidemark.queries.staging import (
     MOVED_SQL,
     ROUNDS,
@@ -36,6 +37,8 @@ from tidemark.queries.staging import (
     tpcc_store,
 )
 from tidemark.schemas import CH_COLD
+from tidemark.session import scratch
+from tidemark.streaming.rounds import run_stream
 
 LAST, UNTIL = datetime(1998, 1, 1), datetime(1999, 1, 1)
 
@@ -174,8 +177,44 @@ def _one_batch(spark: SparkSession, sf_dir: str):
 
 
 def migrate_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per table and batch after three rounds; batch 0 stands for hot."""
-    return _where_rows_are(tpcc_store(spark, sf_dir), TPCC_MOVED).fillna(0, ["batch"])
+    """Rows per table and batch after three rounds that a stream of ticks drives, with a restart
+    after the first; batch 0 stands for hot."""
+    def build(store) -> None:
+        store.load(tpcc_frames(spark, sf_dir, *TPCC_MOVED))
+        source, checkpoint = scratch(spark, "ticks"), scratch(spark, "rounds")
+        for ticks in (ROUNDS[:1], ROUNDS[1:]):
+            for at in ticks:
+                spark.range(1).select(ntz(at).alias("at")).write.mode("append").parquet(source)
+            stream = spark.readStream.schema("at timestamp_ntz").option("maxFilesPerTrigger", 1)
+            run_stream(stream.parquet(source), store, TPCC_POLICIES, checkpoint).awaitTermination()
+    store = staged(spark, sf_dir, "tpcc-stream-rounds", build)
+    return _where_rows_are(store, TPCC_MOVED).fillna(0, ["batch"])
+
+
+# Customers, their orders, and the orders' lines.
+REFERENCES = (ForeignKey("orders", ("o_custkey",), "customer", ("c_custkey",)),
+              ForeignKey("lineitem", ("l_orderkey",), "orders", ("o_orderkey",)))
+
+
+def move_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers move with their orders, and early orders, all with their lines: rows by tier, and hot
+    rows whose parent is not hot."""
+    def build(store) -> None:
+        store.load({n: given(spark, sf_dir, n) for n in ("customer", "orders", "lineitem")})
+        move_with_children(store, {"customer": "c_custkey > 100", "orders":
+                                   "o_orderdate < TIMESTAMP_NTZ '1996-01-01 00:00:00'"}, REFERENCES)
+    store = staged(spark, sf_dir, "references", build)
+    tiers = store.tiers("customer", "orders", "lineitem")
+    lost = {r.child: orphans(tiers[r.child][0], tiers[r.parent][0], r.columns, r.parent_columns)
+            for r in REFERENCES}
+    out = None
+    for name, (hot, cold) in tiers.items():
+        for tier, df in (("hot", hot), ("cold", cold), ("orphan", lost.get(name))):
+            if df is not None:
+                part = df.agg(F.count(F.lit(1)).alias("n")).select(
+                    F.lit(name).alias("relname"), F.lit(tier).alias("tier"), "n")
+                out = part if out is None else out.unionAll(part)
+    return out
 
 
 def move_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,7 +284,7 @@ def iso_text_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     extract_append_only, extract_update_once, extract_closed_parents, extract_zone_window,
     policy_upsert, policy_active, watermark_lookup, watermark_advance, pk_distinct,
-    delete_using_keys, migrate_batch_cold, migrate_batch_hot, migrate_rounds, tier_conservation,
+    delete_using_keys, migrate_batch_cold, migrate_batch_hot, migrate_rounds, move_references, tier_conservation,
     orphan_check)} | {
     "move_by_predicate": move_predicate, "keyed_upsert": keyed_upsert_orders,
     "stragglers": straggler_rows, "iso_text": iso_text_events}
@@ -308,6 +347,20 @@ ORACLES = {
         f"SELECT '{t}' AS relname, CASE WHEN {k} > 100 THEN 'cold' ELSE 'hot' END AS tier, "
         f"COUNT(*) AS n, CAST(SUM(CAST({k} AS DECIMAL(18,0))) AS DOUBLE) AS key_sum "
         f"FROM {t} GROUP BY 1, 2" for t, k in _KEYS.items()),
+    "move_references": """
+        WITH c AS (SELECT c_custkey AS k, c_custkey > 100 AS goes FROM customer),
+        o AS (SELECT o_orderkey AS k, o_custkey AS p, (o_orderdate < TIMESTAMP '1996-01-01 00:00:00'
+                OR COALESCE(c.goes, FALSE)) AS goes FROM orders LEFT JOIN c ON c.k = o_custkey),
+        l AS (SELECT l_orderkey AS p, COALESCE(o.goes, FALSE) AS goes
+              FROM lineitem LEFT JOIN o ON o.k = l_orderkey),
+        t AS (SELECT 'customer' AS relname, goes FROM c UNION ALL SELECT 'orders', goes FROM o
+              UNION ALL SELECT 'lineitem', goes FROM l)
+        SELECT relname, CASE WHEN goes THEN 'cold' ELSE 'hot' END AS tier, COUNT(*) AS n
+        FROM t GROUP BY ALL
+        UNION ALL SELECT 'orders', 'orphan', COUNT(*) FROM o
+        WHERE NOT goes AND p NOT IN (SELECT k FROM c WHERE NOT goes)
+        UNION ALL SELECT 'lineitem', 'orphan', COUNT(*) FROM l
+        WHERE NOT goes AND p NOT IN (SELECT k FROM o WHERE NOT goes)""",
     "tier_conservation": "SELECT 'orders' AS relname, COUNT(*) AS rows FROM orders "
                          "UNION ALL SELECT 'order_line', COUNT(*) FROM lineitem "
                          "UNION ALL SELECT 'hhistory', COUNT(*) FROM events",

@@ -1,4 +1,4 @@
-"""File sources: explicit paths, per-file statistics, objects, change-record folders."""
+"""File sources: explicit paths, a report of data files, objects, change-record folders."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.sources.paths import literal, plain
-
 
 def read_paths(spark: SparkSession, paths: Sequence[str], schema: T.StructType | None = None,
                base: str | None = None) -> DataFrame:
@@ -37,12 +35,6 @@ def has_rows(df: DataFrame) -> bool:
     return not df.isEmpty()
 
 
-def resolve_path(path: Column, warehouse: str) -> Column:
-    """Paths with any scheme stay, others are taken relative to the warehouse."""
-    return F.when(path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), path).otherwise(
-        F.concat(F.lit(warehouse.rstrip("/") + "/"), path))
-
-
 def file_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows and value range of each data file: ``file, rows, min_<c>, max_<c>``.
 
@@ -54,32 +46,6 @@ def file_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), *ranges)
 
 
-def may_match(column: str, low=None, high=None) -> Column:
-    """Manifest rows whose range overlaps ``[low, high]``; no bound means every file."""
-    keep = F.lit(True)
-    if low is not None:
-        keep = keep & (F.col(f"max_{column}") >= low)
-    if high is not None:
-        keep = keep & (F.col(f"min_{column}") <= high)
-    return keep
-
-
-def pruned_scan(spark: SparkSession, table: DataFrame, manifest: DataFrame, match: Column,
-                base: str) -> DataFrame:
-    """The table without the files whose statistics rule them out.
-
-    A file that the manifest does not list is read, so a saved manifest never hides newer rows.
-    The caller still filters rows. Only names of ruled-out files come to the driver, which keeps
-    the names of all files of a scan in any case.
-    """
-    out = {plain(r.file) for r in manifest.where(~F.coalesce(match, F.lit(True))).select(
-        "file").collect()}
-    files = [f for f in table.inputFiles() if plain(f) not in out]
-    if not files:
-        return table.where(F.lit(False))
-    return read_paths(spark, [literal(f) for f in files], table.schema, base)
-
-
 def object_report(spark: SparkSession, root: str, expected: DataFrame, key: Column) -> DataFrame:
     """Read every object under ``root`` whole and compare with the expected keys.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from contextlib import contextmanager
 from datetime import date, datetime
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +49,8 @@ class JdbcHot:
         if low is None:
             return self.table(name)
         return self.spark.read.format("jdbc").options(
-            **self.options, dbtable=name, partitionColumn=column, lowerBound=str(low),
-            upperBound=str(high), numPartitions=str(partitions)).load()
+            **self.options, dbtable=name, partitionColumn=column, lowerBound=_bound(low, math.floor),
+            upperBound=_bound(high, math.ceil), numPartitions=str(partitions)).load()
 
     def balanced(self, name: str, column: str, partitions: int) -> DataFrame:
         """The table in key ranges of about equally many rows. The ends come from a sketch of the key's
@@ -197,6 +199,11 @@ def split_conditions(column: str, points: Sequence) -> list[str]:
     return [f"({column} < {text[0]} OR {column} IS NULL)", *between, f"{column} >= {text[-1]}"]
 
 
+def _bound(value, whole) -> str:
+    """An end of a range as text; Spark takes whole numbers, dates and timestamps."""
+    return str(whole(value)) if isinstance(value, (float, Decimal)) else str(value)
+
+
 def _sql_value(value) -> str:
     if isinstance(value, datetime):
         return f"CAST('{value.isoformat(sep=' ')}' AS TIMESTAMP)"

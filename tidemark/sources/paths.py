@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from urllib.parse import unquote
-
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
-_GLOB = str.maketrans({c: "\\" + c for c in "\\{}[]*?"})
-
 
 def _hadoop(spark: SparkSession):
     return spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
@@ -47,12 +42,3 @@ def names(spark: SparkSession, path: str) -> list[str]:
         return []
     return sorted(s.getPath().getName() for s in system.listStatus(at))
 
-
-def plain(file: str) -> str:
-    """One spelling for a file's URI, which Spark reports with one slash or three, and encoded."""
-    return re.sub(r"^([A-Za-z][A-Za-z0-9+.-]*:)/+", r"\1/", unquote(file))
-
-
-def literal(file: str) -> str:
-    """A file's URI, as Spark reports it, as a path that reads just that file."""
-    return unquote(file).translate(_GLOB)
