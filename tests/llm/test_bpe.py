@@ -1,5 +1,7 @@
 import hashlib
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,6 +9,7 @@ import public_tokenizers
 import tiktoken
 from data import edge_docs, empty, kept_columns
 from tidemark.llm import bpe as B
+from tidemark.llm import pretokens
 from test_tokens import ODD
 
 
@@ -55,3 +58,49 @@ def test_awkward_documents(spark):
     report = B.digests(df).where("doc_id = 2").first()
     assert report.n_tokens == 0 and report.ids_sha256 == hashlib.sha256(b"").hexdigest()
     assert B.digests(empty(df)).count() == 0
+
+
+def test_agreement_of_neighbours_is_what_the_merges_make():
+    encoder, rnd = B.loaded(B.RANKS), random.Random(10)
+    tokens = [*encoder.split, *(r for t, r in encoder.ranks.items() if len(t) == 1)]
+    seen = Counter()
+    for _ in range(4000):
+        a, b = rnd.choice(tokens[:300] + tokens), rnd.choice(tokens[:300])
+        left, right = encoder.bytes_of[a], encoder.bytes_of[b]
+        want = encoder._merged(left + right) == [left, right]
+        assert encoder._apart(a, b) == want
+        seen[want] += 1
+    assert min(seen.values()) > 20
+
+
+@pytest.mark.parametrize("unit", ["a", "ab3é", "日本"])
+def test_a_long_unbroken_piece_takes_time_in_proportion(unit):
+    encoder = B.loaded(B.RANKS)
+
+    def seconds(size):
+        data = (unit * size).encode()[:size]
+        times = []
+        for _ in range(3):
+            start = time.process_time()
+            ids = encoder.piece(data)
+            times.append(time.process_time() - start)
+            assert b"".join(encoder.bytes_of[i] for i in ids) == data
+        return min(times)
+    assert seconds(1_000_000) < 2.8 * seconds(500_000) + 0.05
+
+
+def test_what_is_remembered_is_bounded_in_bytes():
+    made = []
+
+    def make(part):
+        made.append(part)
+        return part.encode()
+    memo = pretokens.Memo(make, 40_000)
+    for turn in range(2):
+        for k in range(1000):
+            assert memo[f"part {k}"] == f"part {k}".encode()
+    held = sum(memo.EACH + len(k) + len(v) for d in (memo, memo.young) for k, v in d.items())
+    assert held <= 40_000 and memo["part 0"] == b"part 0" and len(made) < 2000
+    assert memo["x" * 10_000] == b"x" * 10_000 and "x" * 10_000 not in memo.young
+    memo.clear()
+    assert not memo and not memo.young and memo["part 0"] == b"part 0"

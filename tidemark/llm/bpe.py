@@ -2,19 +2,24 @@
 
 Bytes are mapped to Latin-1 characters, so that pyahocorasick finds at once every token that ends
 at each place of a piece. From each place the longest match is tried first; it stands if the token
-before it and it are what the merges make of their joint bytes, which is remembered for each pair.
+before it and it are what the merges make of their joint bytes. That is found by undoing the merges
+on either side of the border, the later one first, until one would have been made across it sooner,
+and is remembered for each pair.
 If none stands, the token before gives way to its next shorter match. A sequence whose neighbours
 all agree is exactly what the merges make of the whole piece, and each place is given up at most
-once, so the work is linear in the piece's length.
+once, and looks no further ahead than the longest token, so the work is linear in the piece's length,
+however long a text goes on without a break.
 
 Defined results: a null text is empty; an empty text has no ids. Rows that repeat are encoded each.
-An empty table gives an empty table. All columns of the input stay; those named like the results are
+Very long texts are encoded whole, piece by piece, and ties do not arise. What is remembered is bounded
+in bytes and given up at the end of a task. An empty table gives an empty table. All columns of the input stay; those named like the results are
 replaced.
 """
 
 from __future__ import annotations
 
 import base64
+import struct
 
 import ahocorasick
 import numpy as np
@@ -37,8 +42,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class BytePairs:
     """Encoder and decoder for one vocabulary. Everything remembered is bounded."""
 
-    #: Pairs, pieces and chunks that are remembered: some 100 MB in all.
-    PAIRS, PIECES, CHUNKS = 200_000, 100_000, 40_000
+    #: Pairs that are remembered, and bytes of pieces and chunks: some 90 MB in all.
+    PAIRS, PIECES, CHUNKS = 200_000, 20 << 20, 50 << 20
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
@@ -49,21 +54,42 @@ class BytePairs:
         self.size = [len(token) for token in self.bytes_of]
         self.automaton = ahocorasick.Automaton()
         # a token that the merges do not make can only be a whole piece
-        made = {t: r for t, r in ranks.items() if len(t) == 1 or self._merged(t) == [t]}
+        made, self.split = {}, {}
+        for token, rank in ranks.items():
+            last = self._merged(token, 2)
+            if len(last) <= 2:  # two parts whose bytes are a token are joined
+                made[token] = rank
+            if len(last) == 2:
+                self.split[rank] = tuple(ranks[t] for t in last)
+        self.joined = {a << 32 | b: rank for rank, (a, b) in self.split.items()}
+        self.longest = max(map(len, made))
         for token, rank in made.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         #: for each token, the next shorter one that begins as it does
         self.shorter = {r: next(made[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in made)
                         for t, r in made.items() if len(t) > 1}
-        self.pieces = Memo(lambda piece: np.array(
-            self.piece(piece.encode("utf-8", "replace")), "<u4").tobytes(), self.PIECES)
-        self.memo = Memo(lambda part: b"".join(map(self.pieces.__getitem__, pieces(part))), self.CHUNKS)
+        self.pieces = Memo(self._piece, self.PIECES)
+        self.memo = Memo(self._part, self.CHUNKS)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.piece(piece.encode("utf-8", "replace"))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _part(self, part: str) -> bytes:
+        if part.isalpha():  # a piece by itself, remembered as a chunk
+            return self._piece(" " + part)
+        return b"".join(map(self.pieces.__getitem__, pieces(part)))
 
-    def _merged(self, data: bytes) -> list[bytes]:
-        """The merges as defined: join the neighbours of the lowest rank until none can be."""
+    def forget(self) -> None:
+        for memo in (self.pieces, self.memo, self.agreed):
+            memo.clear()
+
+    def _merged(self, data: bytes, least: int = 1) -> list[bytes]:
+        """The merges as defined: join the neighbours of the lowest rank until none can be, or until
+        ``least`` parts are left."""
         out, ranks = [data[i:i + 1] for i in range(len(data))], self.ranks
-        while len(out) > 1:
+        while len(out) > least:
             best, at = min(((ranks.get(out[i] + out[i + 1], len(self.bytes_of)), i)
                             for i in range(len(out) - 1)))
             if best == len(self.bytes_of):
@@ -73,22 +99,37 @@ class BytePairs:
 
     def agree(self, left: int, right: int) -> bool:
         """Whether the merges make just these two tokens of their joint bytes."""
-        a, b = self.bytes_of[left], self.bytes_of[right]
         if len(self.agreed) >= self.PAIRS:
             self.agreed.clear()
-        return self.agreed.setdefault(left << 32 | right, self._merged(a + b) == [a, b])
+        return self.agreed.setdefault(left << 32 | right, self._apart(left, right))
+
+    def _apart(self, left: int, right: int) -> bool:
+        """Undo the merges at the border, the later one first: the tokens stand if no two parts that
+        met there could be joined before the merge that was undone last."""
+        joined, split, limit = self.joined, self.split, len(self.bytes_of)
+        while True:
+            if joined.get(left << 32 | right, limit) < limit:
+                return False
+            a, b = left if left in split else -1, right if right in split else -1
+            if a > b:
+                left, limit = split[left][1], a
+            elif b >= 0:
+                # of equal ranks the left one is joined first
+                right, limit = split[right][0], b + 1
+            else:
+                return True
 
     def piece(self, data: bytes) -> list[int]:
         """The ids of one piece."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        longest, shorter, size = self.automaton.iter_long, self.shorter, self.size
+        find, far, shorter, size = self.automaton.iter_long, self.longest, self.shorter, self.size
         agreed, agree = self.agreed, self.agree
         text, n = data.decode("latin-1"), len(data)
         out: list[int] = []
         dead: set[int] = set()
-        at, rank = 0, next(longest(text))[1]
+        at, rank = 0, next(find(text[:far]))[1]
         while True:
             end = at + size[rank]
             stands = end not in dead
@@ -100,7 +141,7 @@ class BytePairs:
                 out.append(rank)
                 if end == n:
                     return out
-                at, rank = end, next(longest(text, end))[1]
+                at, rank = end, next(find(text[end:end + far]))[1]
                 continue
             step = shorter.get(rank)
             while step is None:
@@ -138,7 +179,7 @@ def loaded(path: str) -> BytePairs:
 def encode_texts(docs: DataFrame, text_col: str = "text", ranks: str = RANKS) -> DataFrame:
     """``docs`` with ``_ids``, packed, none for null or empty text."""
     return with_column(docs, lambda texts: [[loaded(ranks).encode(x or "") for x in texts]],
-                       {"_ids": "binary"}, text_col)
+                       {"_ids": "binary"}, text_col, done=lambda: loaded(ranks).forget())
 
 
 def decode_ids(encoded: DataFrame, ids_col: str = "_ids", ranks: str = RANKS) -> DataFrame:

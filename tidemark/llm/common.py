@@ -51,10 +51,11 @@ def crc_mod(column: str, modulus: int) -> Column:
 
 
 def with_column(df: DataFrame, make: Callable[[list], list], results: dict[str, str],
-                column: str, rows: int = 256) -> DataFrame:
+                column: str, rows: int = 256, done: Callable[[], None] = lambda: None) -> DataFrame:
     """``df`` with columns that ``make`` computes from lists of values of ``column``, on the
     executors: it returns one list for each of ``results`` (name -> type). All other columns pass
-    through as they are; those with a result's name are replaced."""
+    through as they are; those with a result's name are replaced. ``done`` is called when a task's
+    rows end, to give up what was remembered: workers outlive their tasks."""
     df = df.drop(*[c for c in results if c != column])
     schema = StructType(list(df.schema.fields))
     for name, kind in results.items():
@@ -63,13 +64,16 @@ def with_column(df: DataFrame, make: Callable[[list], list], results: dict[str,
     kinds = [to_arrow_type(schema[name].dataType) for name in results]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                made = make(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))],
-                    names=schema.names)
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, rows):
+                    part = batch.slice(start, rows)
+                    made = make(part.column(at).to_pylist())
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))],
+                        names=schema.names)
+        finally:
+            done()
 
     return df.mapInArrow(run, schema)
 

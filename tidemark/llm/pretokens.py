@@ -53,21 +53,39 @@ def pieces(part: str) -> list[str]:
 
 
 class Memo(dict):
-    """part -> packed ids. ``make`` fills in what is missing. The first ``limit`` entries stay, as
-    frequent parts come first; later ones share a second dictionary that starts anew when full."""
+    """part -> packed ids, in at most ``limit`` bytes. ``make`` fills in what is missing. The first
+    half of the bytes goes to entries that stay, as frequent parts come first; later ones share the
+    other half, which starts anew when full. Parts longer than ``LONGEST`` are not kept."""
+
+    LONGEST = 256
+    #: What an entry takes beside its characters and bytes: two objects and its share of the table.
+    EACH = 200
 
     def __init__(self, make: Callable[[str], bytes], limit: int) -> None:
         super().__init__()
-        self.make, self.limit, self.young = make, limit, {}
+        self.make, self.half = make, limit // 2
+        self.young: dict[str, bytes] = {}
+        self.held = self.recent = 0
 
     def __missing__(self, part: str) -> bytes:
         value = self.young.get(part)
         if value is None:
             value = self.make(part)
-            if len(self) < self.limit:
+            if len(part) > self.LONGEST:
+                return value
+            size = self.EACH + len(part) + len(value)
+            if self.held + size <= self.half:
                 self[part] = value
+                self.held += size
             else:
-                if len(self.young) >= self.limit:
-                    self.young.clear()
+                if self.recent + size > self.half:
+                    self.young = {}
+                    self.recent = 0
                 self.young[part] = value
+                self.recent += size
         return value
+
+    def clear(self) -> None:
+        super().clear()
+        self.young = {}
+        self.held = self.recent = 0

@@ -16,8 +16,9 @@ Ids are those of the library's ``encode(text, add_special_tokens=False)``: a tex
 of one of the vocabulary's added tokens, such as the one that ends a text, has that token's id there.
 
 Defined results: a null text is empty; an empty text has the end id alone. Rows that repeat are
-stored each; equal ids keep the order of their texts' hashes, and null ids come first. An empty
-table gives files without blocks. Other columns are not stored.
+stored each; equal ids keep the order of their texts' hashes, and null ids come first. A very long text
+is encoded whole and closes its block. What is remembered is bounded in bytes and given up at the end of
+a task. An empty table gives files without blocks. Other columns are not stored.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
 #: Tokens after which a block is closed; one document is never split.
 BLOCK = 1 << 20
-#: How often a pair must occur to be replaced.
+#: How often a pair must occur in a block to be replaced: a documented bound on the grammar. Rarer pairs
+#: stay as they are; a rule for one would save at most a few bytes and cost as many in the table.
 OFTEN = 16
 
 MAGIC = b"RPG1"
@@ -198,6 +200,8 @@ class Encoder:
     pre-tokenizer does; what pieces and chunks become is remembered, within bounds."""
 
     LETTERS = _byte_letters()
+    #: Bytes that remembered pieces and parts may take.
+    PIECES, PARTS = 32 << 20, 240 << 20
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
@@ -209,18 +213,26 @@ class Encoder:
         self.size = tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self._code = "H" if self.kind.itemsize == 2 else "I"
-        self.pieces = Memo(self._piece, 600_000)
-        self.parts = Memo(self._part, 600_000)
+        self.pieces = Memo(self._piece, self.PIECES)
+        self.parts = Memo(self._part, self.PARTS)
+        self._blank = self.LETTERS[32]
+
+    def forget(self) -> None:
+        self.pieces.clear()
+        self.parts.clear()
 
     def _piece(self, piece: str) -> bytes:
         letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self.LETTERS)
-        ids = [t.id for t in self.model.tokenize(letters)]
-        return self._packed(ids)
+        return self._packed([t.id for t in self.model.tokenize(letters)])
 
     def _packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self._code}", *ids)
 
     def _part(self, part: str) -> bytes:
+        if part.isalpha():  # a piece by itself, remembered as a part; ASCII letters stand for themselves
+            if part.isascii():
+                return self._packed([t.id for t in self.model.tokenize(self._blank + part)])
+            return self._piece(" " + part)
         return b"".join(map(self.pieces.__getitem__, pieces(part)))
 
     def encode(self, text: str) -> bytes:
@@ -280,6 +292,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                         ids, held, tokens, block = [], [], 0, block + 1
         if held:
             yield close()
+        own.forget()  # the worker outlives the task
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                        F.xxhash64(text_col).alias("h"))
