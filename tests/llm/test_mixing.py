@@ -83,3 +83,22 @@ def test_awkward_documents(spark):
     assert M.mix(empty(df)).count() == 0 and M.mixed(empty(df)).count() == 0
     silent = df.where("doc_id IN (2, 3, 4)")
     assert {(r.target, r.repeats * r.size) for r in M.mix(silent).collect()} == {(0.0, 0)}
+
+
+def test_empty_texts_do_not_queue(spark, monkeypatch):
+    """A source of empty texts alone is in no interval of the queue, and each of them is taken once."""
+    monkeypatch.setattr(M, "RANGE", 64)
+    rows = corpus([("a", 200), ("b", 50)]) + [(10_000 + i, None if i % 2 else " ", "empty") for i in range(500)]
+    kept = []
+    original = M.stored
+    monkeypatch.setattr(M, "stored", lambda df, name: kept.append((name, original(df, name))) or kept[-1][1])
+    out = M.mix(docs(spark, rows)).collect()
+    queue = dict(kept)["queue"]
+    assert queue.where("source = 'empty' OR size = 0").count() == 0
+    empties = [r for r in out if r.size == 0]
+    assert len(empties) >= 500 and all(r.repeats == 1 for r in empties if r.source == "empty")
+    places = sorted(r.finish for r in empties if r.source == "empty")
+    assert 0 <= places[0] < places[-1] < 1 and len(set(places)) == 500
+    assert M.mixed(docs(spark, rows)).where("source = 'empty'").count() == 500
+    only = docs(spark, [(i, "", "e") for i in range(30)])
+    assert M.mixed(only).count() == 30

@@ -15,8 +15,11 @@ times into intervals, whose totals are summed first. Only the sources (one row e
 ranges, and the interval that holds the cut are ordered as wholes.
 
 Defined results: a null text has size 0, a null source is a source of its own, last in order. Rows
-with the same id and source are taken together. Documents of size 0 are taken with the one before
-them, and add nothing. A null id is an id. An empty table gives an empty mix.
+with the same id and source are taken together, and ties in finish time go by source and shuffle key.
+Documents of size 0 do not queue, whole sources of them included: each is taken once, adds nothing, and
+stands at a place in the mix that is drawn from its id. Of a very long text only the number of words
+counts. A null id is an id. Other columns stay in the mix, whatever their names. An empty table gives
+an empty mix.
 """
 
 from __future__ import annotations
@@ -74,7 +77,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ranges = max(1, sized.count() // RANGE)
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
 
-    unit = sized.groupBy("source", "_key").agg(F.sum("size").alias("size")).withColumn(
+    unit = sized.where("size > 0").groupBy("source", "_key").agg(F.sum("size").alias("size")).withColumn(
         "range", F.floor(F.col("_key") / (KEYS // ranges + 1)))
     totals = unit.groupBy("source", "range").agg(F.sum("size").alias("total"))
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,10 +110,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     chosen = taken.groupBy("source", "_key").agg(F.count("*").alias("repeats"),
                                                  F.min("finish").alias("finish"))
     chosen = chosen.select(F.col("source").alias("s4"), F.col("_key").alias("k4"), "repeats", "finish")
+    empty = F.col("size") == 0
     return sized.join(chosen, same("source", "s4") & (F.col("_key") == F.col("k4")), "left").join(
         share.withColumnRenamed("source", "s5"), same("source", "s5")).select(
         "id", "source", "_key", "size", "source_size", "target",
-        F.coalesce("repeats", F.lit(0)).cast("long").alias("repeats"), "finish")
+        F.coalesce("repeats", F.when(empty, 1).otherwise(0)).cast("long").alias("repeats"),
+        F.coalesce("finish", F.when(empty, F.col("_key") / KEYS)).alias("finish"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
