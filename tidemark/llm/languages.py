@@ -2,18 +2,20 @@
 
 The blended-spectrum presence kernel of two texts counts the n-grams of one to three characters
 that both have, over the geometric mean of how many each has; n-grams are those that occur in some
-landmark, over the landmarks' ``ALPHABET`` most frequent characters and one for all others. Texts
+landmark, of whatever characters: a table finds their places while the landmarks' characters are few,
+and a sorted list of the n-grams' codes beyond that. Texts
 are compared with the landmarks only (Nyström), and one ridge regression for each language against
 the rest scores them: a batch of texts is one product of matrices after the other.
 
-Landmarks and training texts are a bounded sample: of each language the ``TRAIN`` rows with the
-smallest hashes, of which the first ``LANDMARKS`` are landmarks. Prediction covers every row and the
-whole of every text.
+Landmarks and training texts are a bounded sample: of each of the ``LANGUAGES`` languages with the most
+rows the ``TRAIN`` rows with the smallest hashes, of which the first ``LANDMARKS`` are landmarks. A text
+of the sample teaches by its first ``SAMPLE`` characters, so what reaches the driver is bounded in bytes.
+Prediction covers every row and the whole of every text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is every text
 if there is nothing to learn from. Null languages and texts teach nothing. Rows that repeat are
-predicted alike; a tie goes to the language that sorts first. Other columns stay;
-those named like the results are replaced.
+predicted alike; a tie goes to the language that sorts first. Very long texts are looked at whole. An
+empty table gives an empty table. Other columns stay; those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +33,11 @@ from tidemark.llm.common import with_column
 
 LANDMARKS = 32
 TRAIN = 250
-ALPHABET = 150
+#: Languages that are learned, and characters that a text of the sample teaches by.
+LANGUAGES = 256
+SAMPLE = 100_000
+#: Characters of the landmarks up to which n-grams have a table of their own.
+TABLE = 200
 RIDGE = 1e-2
 #: Steepness with which the regressions' values become a score.
 SHARP = 4.0
@@ -46,36 +52,45 @@ class Spectrum:
     """Which of the landmarks' n-grams a text has."""
 
     def __init__(self, landmarks: Sequence[str]) -> None:
-        often = Counter(c for text in landmarks for c in self._clean(text))
-        letters = sorted(sorted(often), key=lambda c: -often[c])[:ALPHABET]
-        self.code = np.zeros(0x110000, np.uint8)
+        letters = sorted({c for text in landmarks for c in self._clean(text)})
+        self.code = np.zeros(0x110000, np.int64)
         self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.base = len(letters) + 1
-        grams = [np.unique(np.concatenate([g[n] for g in map(self._grams, landmarks)])) for n in range(3)]
-        self.place, at = [], 0
-        for n, found in enumerate(grams):
-            place = np.full(self.base ** (n + 1), -1, np.int32)
-            place[found] = np.arange(at, at + len(found))
-            at += len(found)
-            self.place.append(place)
-        self.size = at
+        self.grams = [np.unique(np.concatenate([g[n] for g in map(self._grams, landmarks)])) for n in range(3)]
+        self.first = np.cumsum([0, *map(len, self.grams)])
+        self.size = int(self.first[-1])
+        self.place = []
+        if self.base <= TABLE:
+            for n, found in enumerate(self.grams):
+                place = np.full(self.base ** (n + 1), -1, np.int32)
+                place[found] = self.first[n] + np.arange(len(found))
+                self.place.append(place)
 
     @staticmethod
     def _clean(text: str) -> str:
         return " ".join(("", *text.lower().split(), ""))
 
     def _grams(self, text: str) -> tuple[np.ndarray, ...]:
+        """Codes of n-grams; a character that no landmark has is 0, and no landmark's n-gram holds it."""
         points = np.frombuffer(self._clean(text).encode("utf-32-le", "replace"), np.uint32)
-        one = self.code[points].astype(np.int32)
+        one = self.code[points]
         two = one[:-1] * self.base + one[1:]
         return one, two, two[:-1] * self.base + one[2:]
 
+    def _places(self, n: int, grams: np.ndarray) -> np.ndarray:
+        if self.place:
+            return self.place[n][grams]
+        known = self.grams[n]
+        grams = np.unique(grams)
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        return np.where(known[at] == grams, self.first[n] + at, -1)
+
     def presence(self, texts: Sequence[str]) -> np.ndarray:
         """Unit rows; n-grams that no landmark has fall into a last column that is cut off."""
         out = np.zeros((len(texts), self.size + 1), np.float32)
         for row, text in zip(out, texts, strict=True):
-            for place, grams in zip(self.place, self._grams(text), strict=True):
-                row[place[grams]] = 1
+            for n, grams in enumerate(self._grams(text)):
+                row[self._places(n, grams)] = 1
         out = out[:, :-1]
         return out / np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
 
@@ -136,6 +151,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     rows = docs.where(F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull()).select(
         key.alias("_key"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
+    most = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES)
+    rows = rows.join(F.broadcast(most.select("_lang")), "_lang").withColumn("_text", F.left("_text", F.lit(SAMPLE)))
     place = Window.partitionBy("_lang").orderBy("_key")
     chosen = rows.select("_lang", "_key").withColumn("_n", F.row_number().over(place)).where(
         F.col("_n") <= train).select("_lang", "_key").distinct()
