@@ -5,9 +5,11 @@ each hash (a document's own repeats count once, before the shuffle); the positio
 the threshold return to their document, which is put together again by position. No text is
 exploded, and a line that a third of all documents hold is one row per task in the count.
 
-Defined results: each row is a document, also one that repeats another. A null or empty text is
-one empty line. Ties do not arise. An empty table gives an empty table. All columns of the input
-stay; those named like the results are replaced.
+Defined results: a document is an id, so rows that repeat an id count as one document, and only they are
+told apart before counting; rows without an id are a document each. Every row loses its own lines. A null
+or empty text is one empty line. Ties do not arise. Very long texts are one row throughout; what is
+exploded are hashes. An empty table gives an empty table. All columns of the input stay; those named like
+the results are replaced.
 """
 
 from __future__ import annotations
@@ -35,9 +37,15 @@ def drop_shared_lines(docs: DataFrame, text_col: str = "text", id_col: str = "do
     hashed = hashed.select("_tag", "_id", F.transform("_keys", lambda k: F.when(
         F.char_length(k) >= min_chars,
         F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(1), k).alias("b")))).alias("_keys"))
-    often = hashed.select(F.explode(F.array_distinct("_keys")).alias("k")).where(
-        "k IS NOT NULL").groupBy("k.a", "k.b").count().where(F.col("count") >= min_docs) \
-        .select("a", "b")
+    own = hashed.select("_id", F.explode(F.array_distinct("_keys")).alias("k")).where("k IS NOT NULL").select(
+        "_id", "k.a", "k.b")
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_rep")).count().where(
+        "count > 1").select("_rep")
+    if repeated.head(1):  # ids of several rows count once for a line
+        own = own.join(repeated, F.col("_id") == F.col("_rep"), "left")
+        several = own.where("_rep IS NOT NULL").select("a", "b", "_id").distinct()
+        own = own.where("_rep IS NULL").select("a", "b", "_id").unionAll(several)
+    often = own.groupBy("a", "b").count().where(F.col("count") >= min_docs).select("a", "b")
     places = hashed.select("_tag", "_id", F.posexplode("_keys").alias("p", "k")).where(
         "k IS NOT NULL").select("_tag", "_id", "p", "k.a", "k.b")
     gone = places.join(often, ["a", "b"]).groupBy("_tag", "_id").agg(
