@@ -89,3 +89,20 @@ def test_stages_take_awkward_documents(spark, sf):
             if name != "byte-level BPE":
                 assert out.columns == df.columns, name
             assert (out.count() == 0) == (df.count() == 0), name
+
+
+def test_one_row_of_each_group_of_copies_stays(spark, sf):
+    """Repeated ids, rows without an id, and texts without words, which are no copies of each other."""
+    near = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (None, "a b c d e f", "x"), (None, "a b c d e f", "x"),
+            (3, "A b c d e f", "y"), (9, near, "x"), (8, near + " more", "x"), (None, near, "z"),
+            (5, None, "x"), (6, None, "x"), (6, None, "x"), (7, "", "x"), (None, "only here and nowhere else", "x"),
+            (2, "some other text of its own", "x"), (2, "quite another text with this id", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _own string")
+    out = corpus_pipeline.drop_near_copies(spark, df, sf)
+    assert out.columns == df.columns
+    got = sorted(map(tuple, out.collect()), key=str)
+    want = [(1, "a b c d e f", "x"), (8, near + " more", "x"), (5, None, "x"), (6, None, "x"), (7, "", "x"),
+            (None, "only here and nowhere else", "x"), (2, "some other text of its own", "x"),
+            (2, "quite another text with this id", "x")]
+    assert got == sorted(want, key=str)
