@@ -27,8 +27,9 @@ def run_batch(store: TierStore, policies: Sequence[TablePolicy], as_of: datetime
     All tables are extracted from the same published state. Where a policy looks at the row
     alone, the rows that stay are its complement over the same immutable version: no keys are
     exchanged, tables without a true key are handled, and the window is only noted as gone until
-    so much has gone that a rewrite pays. Where it depends on another table, the keys are read
-    back from the batch just written and removed by anti-join.
+    so much has gone that a rewrite pays. Where it depends on another table, the keys of the batch
+    just written are noted as gone in the same way, if they are a true key, and readers leave them
+    out; a rewrite removes them by anti-join.
 
     A table with nothing to move keeps its hot version. Every processed table advances its
     watermark; disabled, unknown or invalid policies are reported and left alone.
@@ -57,8 +58,10 @@ def run_batch(store: TierStore, policies: Sequence[TablePolicy], as_of: datetime
             return after
         if policy.close_by is None:
             noted = after.without_window(policy.ts_column, policy.zone, state.last_ts, until, moved)
-            if noted is not None:
-                return noted
+        else:
+            noted = after.without_keys(policy.pk_columns, batch, moved) if policy.unique else None
+        if noted is not None:
+            return noted
         written = store.cold_batch(name, batch, state.struct, state.generation)
         touched = store.touched(state, written) if set(state.keys) <= set(policy.pk_columns) else None
         rest = _remaining(policy, store.hot_version(state, touched), written, state.last_ts, until)

@@ -22,7 +22,8 @@ bound what is listed and kept.
 
 Moving a time window need not rewrite a hot version: the commit notes the window as gone, and
 readers leave it out, with a filter that the scan prunes by. A version never changes, so the
-window holds exactly the rows that were moved. It is rewritten once half of it is gone.
+window holds exactly the rows that were moved. It is rewritten once half of it is gone. Likewise a move
+by key notes from which cold batch on keys have gone; readers leave them out with an anti-join.
 
 A table with a :class:`Layout` keeps its hot rows in buckets by the hash of their key. The commit
 names a version for each bucket, so a change writes the buckets of its keys and no others, and
@@ -66,6 +67,10 @@ COMMIT_SCHEMA = T.StructType([
     ])),
     T.StructField("generation", T.LongType()),
     T.StructField("epochs", T.MapType(T.StringType(), T.LongType())),
+    T.StructField("gone_keys", T.StructType([
+        T.StructField("columns", T.ArrayType(T.StringType())),
+        T.StructField("since", T.LongType()),
+    ])),
     T.StructField("keys", T.ArrayType(T.StringType())),
     T.StructField("buckets", T.ArrayType(T.LongType())),
 ])
@@ -85,6 +90,13 @@ class Gone(NamedTuple):
     until: datetime
 
 
+class GoneKeys(NamedTuple):
+    """Rows that have left the hot version by key: those whose key a cold batch has, from one on."""
+
+    columns: tuple[str, ...]
+    since: int
+
+
 class Layout(NamedTuple):
     """Hot rows in ``buckets`` parts by the hash of their key. Choose so many that a part is a file
     or two: a change rewrites whole parts."""
@@ -108,6 +120,7 @@ class TableState:
     gone: Gone | None = None
     generation: int = 0  # of the cold folder; compaction begins a new one
     epochs: dict[str, int] | None = None  # per stream, the last micro-batch that was stored
+    gone_keys: GoneKeys | None = None
     keys: tuple[str, ...] = ()  # of a table laid out by key
     buckets: tuple[int, ...] = ()  # the version of each bucket
 
@@ -134,7 +147,7 @@ class TableState:
         buckets = tuple(version if touched is None or b in touched else v
                         for b, v in enumerate(self.buckets))
         return replace(self, hot_version=version, hot_rows=rows, gone_rows=gone, gone=None,
-                       buckets=buckets)
+                       gone_keys=None, buckets=buckets)
 
     def without_window(self, column: str, zone: str | None, after: datetime, until: datetime,
                        rows: int) -> TableState | None:
@@ -152,6 +165,16 @@ class TableState:
         return replace(self, gone_rows=self.gone_rows + rows,
                        gone=Gone(column, zone, after, until))
 
+    def without_keys(self, columns: Sequence[str], batch: int, rows: int) -> TableState | None:
+        """The state with the keys of a cold batch noted as gone; None where a rewrite is due instead.
+        The columns are a true key of the table."""
+        if 2 * (self.gone_rows + rows) >= self.hot_rows:
+            return None
+        if self.gone_keys is not None and self.gone_keys.columns != tuple(columns):
+            return None
+        since = batch if self.gone_keys is None else self.gone_keys.since
+        return replace(self, gone_rows=self.gone_rows + rows, gone_keys=GoneKeys(tuple(columns), since))
+
 
 def bucket_of(keys: Sequence[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
@@ -198,13 +221,16 @@ class TierStore:
         values = {n: row[n] for n in COMMIT_SCHEMA.fieldNames()[1:]} | {
             "cold": tuple(tuple(c) for c in row.cold),
             "keys": tuple(row["keys"] or ()), "buckets": tuple(row.buckets or ()),
-            "gone": None if row.gone is None else Gone(*row.gone)}
+            "gone": None if row.gone is None else Gone(*row.gone),
+            "gone_keys": None if row.gone_keys is None else GoneKeys(
+                tuple(row.gone_keys.columns), row.gone_keys.since)}
         return TableState(relname=row.relname, **values)
 
     def _write_states(self, states: list[TableState], target: str) -> bool:
         """One file, renamed into place; False if the target exists."""
         rows = [(s.relname, s.last_ts, s.hot_version, s.moved, [list(c) for c in s.cold], s.schema,
-                 s.hot_rows, s.gone_rows, s.gone, s.generation, s.epochs or {}, list(s.keys),
+                 s.hot_rows, s.gone_rows, s.gone, s.generation, s.epochs or {},
+                 s.gone_keys and (list(s.gone_keys.columns), s.gone_keys.since), list(s.keys),
                  list(s.buckets)) for s in states]
         staged = f"{self.root}/staging/{scratch_name('commit')}"
         self.spark.createDataFrame(rows, COMMIT_SCHEMA).coalesce(1).write.parquet(staged)
@@ -331,8 +357,8 @@ class TierStore:
 
     def touched(self, state: TableState, rows: DataFrame) -> list[int] | None:
         """The buckets of some rows' keys, at most as many as there are; None for all, also where a
-        window is noted as gone, which a rewrite of all ends."""
-        if not state.buckets or state.gone is not None:
+        window or keys are noted as gone, which a rewrite of all ends."""
+        if not state.buckets or state.gone is not None or state.gone_keys is not None:
             return None
         return sorted(r[0] for r in rows.select(state.bucket_of()).distinct().collect())
 
@@ -430,6 +456,10 @@ class TierStore:
         if state.gone is not None:
             column, zone, after, until = state.gone
             df = df.where(outside_window(F.col(column), after, until, zone))
+        if state.gone_keys is not None:
+            columns, since = state.gone_keys
+            moved = self.cold_rows(state).where(F.col(BATCH) >= since).select(*columns)
+            df = df.join(moved, list(columns), "left_anti").select(*df.columns)
         return df
 
     def cold_rows(self, state: TableState) -> DataFrame | None:

@@ -26,7 +26,15 @@ from tidemark.queries.staging import (
 from tidemark.schemas import CH_NAMES, TPCC, conform, schema_drift, tpcc_schema
 from tidemark.session import in_parallel, scratch
 from tidemark.sources.files import file_stats, read_paths
-from tidemark.sources.lake import append, bulk_load, create_from_source, create_table, create_tpcc
+from tidemark.sources.lake import (
+    add_column,
+    append,
+    bulk_load,
+    create_from_source,
+    create_table,
+    create_tpcc,
+    name_table,
+)
 
 # Source types of the orders columns, as its database declares them.
 ORDERS_COLUMNS = [
@@ -49,15 +57,26 @@ def _released(spark: SparkSession, name: str) -> DataFrame:
 
 
 def cold_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A catalogue table read by name."""
-    events = given(spark, sf_dir, "events")
+    """A catalogue table read by name: the files are there, the name is new."""
     name = _new_table("cold_events")
-    create_table(spark, name, events.schema, scratch(spark, name))
-    append(events, name)
+    name_table(spark, name, f"{sf_dir}/events.parquet")
     return _released(spark, name).groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), money("value", "total"))
 
 
+def catalog_add_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column added to a catalogue table between two appends: earlier rows read NULL."""
+    orders = given(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    name = _new_table("growing_orders")
+    first = orders.drop("o_orderpriority")
+    create_table(spark, name, first.schema, scratch(spark, name))
+    append(first.where("o_orderstatus = 'F'"), name)
+    add_column(spark, name, "o_orderpriority", "STRING")
+    append(orders.where("o_orderstatus <> 'F'"), name)
+    return _released(spark, name).groupBy("o_orderstatus", "o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def parquet_paths_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An explicit list of paths: those of the cold batches the commit log names."""
     store = analytic_store(spark, sf_dir)
@@ -302,7 +321,7 @@ QUERIES = {f.__name__: f for f in (
     cold_scan, parquet_paths_scan, cold_filtered_fetch, cold_append, create_from_mapping,
     insert_values, tpcc_schemas, bulk_load_renamed, export_parquet_roundtrip,
     schema_evolution_read, time_travel_read, snapshot_list, partitioned_read,
-    file_stats_manifest, file_pruned_scan, cold_clustered_scan, type_mapping)} | {"schema_drift": schema_drift_report}
+    file_stats_manifest, file_pruned_scan, cold_clustered_scan, catalog_add_column, type_mapping)} | {"schema_drift": schema_drift_report}
 
 _TPCC_SOURCES = {"customer": "customer", "district": "nation", "hhistory": "events",
                  "item": "part", "new_order": "orders WHERE o_orderstatus = 'O'",
@@ -401,6 +420,9 @@ ORACLES = {
                         "AS DOUBLE) AS amount FROM lineitem WHERE l_linestatus = 'F' AND "
                         "l_shipdate BETWEEN TIMESTAMP '1998-03-01 00:00:00' "
                         "AND TIMESTAMP '1998-05-31 00:00:00'",
+    "catalog_add_column": """
+        SELECT o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END
+               AS o_orderpriority, COUNT(*) AS n FROM orders GROUP BY ALL""",
     "cold_clustered_scan": """
         SELECT l_partkey AS ol_i_id, COUNT(*) AS n,
                CAST(SUM(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS amount

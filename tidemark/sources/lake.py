@@ -85,6 +85,17 @@ def create_table(spark: SparkSession, table: str, schema: T.StructType, location
               f"LOCATION '{location}'")
 
 
+def name_table(spark: SparkSession, table: str, path: str) -> None:
+    """Give Parquet files that exist a name in the catalogue; nothing is copied, and dropping the name
+    leaves the files."""
+    spark.catalog.createTable(table, path=path, source="parquet")
+
+
+def add_column(spark: SparkSession, table: str, column: str, ddl_type: str) -> None:
+    """A new last column; rows written earlier read NULL. Files stay as they are."""
+    spark.sql(f"ALTER TABLE {table} ADD COLUMNS (`{column}` {ddl_type})")
+
+
 def create_from_source(spark: SparkSession, table: str, columns: list[tuple[str, str]],
                        location: str) -> T.StructType:
     """An empty Parquet table from ``(column, source type)`` pairs; dots in names become ``_``."""
