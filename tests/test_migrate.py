@@ -21,7 +21,7 @@ from tidemark.operators.tiers import BATCH
 from tidemark.plans.changes import apply_batch
 from tidemark.plans import migrate
 from tidemark.plans.migrate import move_by_predicate, run_batch, run_for, run_rounds
-from tidemark.plans.store import TierStore
+from tidemark.plans.store import Layout, TierStore
 
 DAY = datetime(2024, 1, 1)
 LOG = TablePolicy("log", "append_only", "ts", ("id",))
@@ -269,3 +269,60 @@ def test_run_for_stops_at_the_budget():
     rounds = run_for(lambda: None, 700, 120, clock=lambda: now[0],
                      sleep=lambda s: now.__setitem__(0, now[0] + s))
     assert rounds == 6
+
+
+def closing(spark, parents, settled):
+    """Parents with two lines each, of which the first ones are done on their own day."""
+    line = [(o, n, day(o + 1) if o < settled else None) for o in range(parents) for n in range(2)]
+    return {"line": spark.createDataFrame(line, "o int, n int, done timestamp_ntz"),
+            "ord": spark.createDataFrame([(o, f"c{o}") for o in range(parents)], "o int, c string")}
+
+
+def test_closed_parents_are_noted_and_rewritten_once_half_have_gone(spark, store):
+    data = closing(spark, 20, 15)
+    store.load(data)
+    want = rows(data["ord"])
+    seen = []
+    for n in (3, 6, 7, 12, 20):
+        run_batch(store, [ORDER], day(n), 0)
+        state = store.state()[1]["ord"]
+        seen.append((state.hot_version, state.hot_rows, state.gone_rows, state.gone_keys is not None))
+        assert rows(store.read("ord").select("o", "c")) == want
+        assert store.hot("ord").count() == state.hot_rows - state.gone_rows
+    assert seen == [(0, 20, 3, True), (0, 20, 6, True), (0, 20, 7, True), (4, 8, 0, False), (4, 8, 3, True)]
+    for n in range(6):
+        assert rows(store.read("ord", as_of=n).select("o", "c")) == want
+    store.compact("ord")
+    assert rows(store.read("ord").select("o", "c")) == want
+    store.expire()
+    assert rows(store.read("ord").select("o", "c")) == want
+
+
+@pytest.mark.parametrize("layout", [None, Layout(("o",), 8)])
+def test_a_moved_key_can_be_hot_again(spark, store, layout):
+    data = closing(spark, 20, 4)
+    store.load(data, layouts={"ord": layout} if layout else None)
+    run_batch(store, [ORDER], day(30), 0)
+    assert store.state()[1]["ord"].gone_keys is not None and store.hot("ord").count() == 16
+    again = spark.createDataFrame([(2, "back", "insert"), (9, "new", "update")], "o int, c string, op string")
+    apply_batch(store, "ord", again, ["o"])
+    assert store.state()[1]["ord"].gone_keys is None
+    got = rows(store.hot("ord"))
+    assert got[(2, "back")] == got[(9, "new")] == 1 and sum(got.values()) == 17
+    assert store.cold("ord").count() == 4
+
+
+def test_a_failed_batch_of_closed_parents_hides_nothing(spark, store, monkeypatch):
+    data = closing(spark, 20, 8)
+    store.load(data)
+    run_batch(store, [ORDER], day(3), 0)
+
+    def failing(self, batch, states):
+        raise RuntimeError("lost")
+    with monkeypatch.context() as patch:
+        patch.setattr(TierStore, "commit", failing)
+        with pytest.raises(RuntimeError):
+            run_batch(store, [ORDER], day(6), 0)
+    assert store.hot("ord").count() == 17 and store.read("ord").count() == 20
+    run_batch(store, [ORDER], day(6), 0)
+    assert store.hot("ord").count() == 14 and rows(store.read("ord").select("o", "c")) == rows(data["ord"])
