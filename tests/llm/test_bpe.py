@@ -104,3 +104,21 @@ def test_what_is_remembered_is_bounded_in_bytes():
     assert memo["x" * 10_000] == b"x" * 10_000 and "x" * 10_000 not in memo.young
     memo.clear()
     assert not memo and not memo.young and memo["part 0"] == b"part 0"
+
+
+def test_texts_in_batches_are_encoded_as_one_by_one(both):
+    own, library = both
+    rnd = random.Random(12)
+    texts = [*ODD, *(" ".join(rnd.choice(ODD) for _ in range(rnd.randint(0, 6))) for _ in range(200)), "", "a"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)]
+    assert got == [library.encode_ordinary(t) for t in texts] and own.encode_all([]) == []
+
+
+def test_slices_by_size():
+    import pyarrow as pa
+    from tidemark.llm.common import by_size
+    texts = ["x" * n for n in (0, 3, 50, 1, 1, 1, 200, 0)] + [None, "y"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts)], names=["i", "t"])
+    parts = [p.column(1).to_pylist() for p in by_size(batch, 1, rows=4, size=55)]
+    assert sum(parts, []) == texts and [len(p) for p in parts] == [4, 2, 1, 3]
+    assert list(by_size(batch.slice(0, 0), 1)) == []

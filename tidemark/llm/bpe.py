@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from collections.abc import Sequence
 
 import ahocorasick
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import with_column
-from tidemark.llm.pretokens import PATTERN, Memo, is_plain, parts, pieces
+from tidemark.llm.pretokens import PATTERN, Memo, encode_all, pieces
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -157,10 +158,10 @@ class BytePairs:
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        if not is_plain(text):
-            return self.packed(text)
-        first, *rest = parts(text)
-        return self.packed(first) + b"".join(map(self.memo.__getitem__, rest))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        return encode_all(texts, self.packed, self.packed, self.memo.__getitem__, np.dtype("<u4"))
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -178,8 +179,8 @@ def loaded(path: str) -> BytePairs:
 
 def encode_texts(docs: DataFrame, text_col: str = "text", ranks: str = RANKS) -> DataFrame:
     """``docs`` with ``_ids``, packed, none for null or empty text."""
-    return with_column(docs, lambda texts: [[loaded(ranks).encode(x or "") for x in texts]],
-                       {"_ids": "binary"}, text_col, done=lambda: loaded(ranks).forget())
+    return with_column(docs, lambda texts: [loaded(ranks).encode_all([x or "" for x in texts])],
+                       {"_ids": "binary"}, text_col, 2048, lambda: loaded(ranks).forget(), 1 << 23)
 
 
 def decode_ids(encoded: DataFrame, ids_col: str = "_ids", ranks: str = RANKS) -> DataFrame:

@@ -6,7 +6,9 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -51,11 +53,13 @@ def crc_mod(column: str, modulus: int) -> Column:
 
 
 def with_column(df: DataFrame, make: Callable[[list], list], results: dict[str, str],
-                column: str, rows: int = 256, done: Callable[[], None] = lambda: None) -> DataFrame:
+                column: str, rows: int = 256, done: Callable[[], None] = lambda: None,
+                size: int | None = None) -> DataFrame:
     """``df`` with columns that ``make`` computes from lists of values of ``column``, on the
     executors: it returns one list for each of ``results`` (name -> type). All other columns pass
     through as they are; those with a result's name are replaced. ``done`` is called when a task's
-    rows end, to give up what was remembered: workers outlive their tasks."""
+    rows end, to give up what was remembered: workers outlive their tasks. With ``size`` slices of a text
+    column are bounded in bytes as well."""
     df = df.drop(*[c for c in results if c != column])
     schema = StructType(list(df.schema.fields))
     for name, kind in results.items():
@@ -66,8 +70,9 @@ def with_column(df: DataFrame, make: Callable[[list], list], results: dict[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             for batch in batches:
-                for start in range(0, batch.num_rows, rows):
-                    part = batch.slice(start, rows)
+                slices = by_size(batch, at, rows, size) if size else (
+                    batch.slice(start, rows) for start in range(0, batch.num_rows, rows))
+                for part in slices:
                     made = make(part.column(at).to_pylist())
                     yield pa.RecordBatch.from_arrays(
                         [*part.columns, *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))],
@@ -78,6 +83,18 @@ def with_column(df: DataFrame, make: Callable[[list], list], results: dict[str,
     return df.mapInArrow(run, schema)
 
 
+def by_size(batch: pa.RecordBatch, column: int, rows: int = 2048, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most so many rows, and of so many bytes of a text column but for a longer
+    text."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto, at = np.cumsum(lengths, dtype=np.int64), 0
+    while at < batch.num_rows:
+        before = int(upto[at - 1]) if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(upto, before + size, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession

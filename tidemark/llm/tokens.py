@@ -17,15 +17,14 @@ of one of the vocabulary's added tokens, such as the one that ends a text, has t
 
 Defined results: a null text is empty; an empty text has the end id alone. Rows that repeat are
 stored each; equal ids keep the order of their texts' hashes, and null ids come first. A very long text
-is encoded whole and closes its block. What is remembered is bounded in bytes and given up at the end of
-a task. An empty table gives files without blocks. Other columns are not stored.
+is encoded whole and closes its block. What a worker remembers is bounded in bytes. An empty table gives files without blocks. Other columns are not stored.
 """
 
 from __future__ import annotations
 
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import public_tokenizers
@@ -34,7 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.pretokens import PATTERN, Memo, is_plain, parts, pieces
+from tidemark.llm.common import by_size
+from tidemark.llm.pretokens import PATTERN, Memo, encode_all, pieces
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
@@ -217,10 +217,6 @@ class Encoder:
         self.parts = Memo(self._part, self.PARTS)
         self._blank = self.LETTERS[32]
 
-    def forget(self) -> None:
-        self.pieces.clear()
-        self.parts.clear()
-
     def _piece(self, piece: str) -> bytes:
         letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self.LETTERS)
         return self._packed([t.id for t in self.model.tokenize(letters)])
@@ -235,20 +231,23 @@ class Encoder:
             return self._piece(" " + part)
         return b"".join(map(self.pieces.__getitem__, pieces(part)))
 
-    def encode(self, text: str) -> bytes:
-        """Packed ids of a text; special tokens' strings in it are ordinary text."""
-        if not is_plain(text):
-            return b"".join(map(self.pieces.__getitem__, PATTERN.findall(text)))
-        first, *rest = parts(text)
-        return (b"".join(map(self.pieces.__getitem__, PATTERN.findall(first)))
-                + b"".join(map(self.parts.__getitem__, rest)))
+    def _first(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PATTERN.findall(text)))
+
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        """Packed ids of texts; special tokens' strings in them are ordinary text."""
+        return encode_all(texts, self._first, self._first, self.parts.__getitem__, self.kind)
 
-    def encode_added(self, text: str) -> bytes:
-        """Packed ids of a text in which the strings of added tokens are these tokens, as the library
+    def encode_added(self, texts: Sequence[str]) -> list[bytes]:
+        """Packed ids of texts in which the strings of added tokens are these tokens, as the library
         takes them unless told otherwise. Such texts are rare, and the library's own."""
-        if any(token in text for token in self.added):
-            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return self.encode(text)
+        out = [b""] * len(texts)
+        own = [i for i, text in enumerate(texts) if not any(token in text for token in self.added)]
+        for i in set(range(len(texts))) - set(own):
+            out[i] = self._packed(self.tokenizer.encode(texts[i], add_special_tokens=False).ids)
+        for i, ids in zip(own, self.encode_all([texts[i] for i in own]), strict=True):
+            out[i] = ids
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -281,18 +280,17 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         last = np.array([end], own.kind).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for part in by_size(batch, 1):
+                keys, texts = (c.to_pylist() for c in part.columns)
+                for key, packed in zip(keys, own.encode_added([t or "" for t in texts]), strict=True):
                     ids.append(key)
-                    held.append(own.encode_added(text or "") + last)
+                    held.append(packed + last)
                     tokens += len(held[-1]) // own.kind.itemsize
                     if tokens >= BLOCK:
                         yield close()
                         ids, held, tokens, block = [], [], 0, block + 1
         if held:
             yield close()
-        own.forget()  # the worker outlives the task
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                        F.xxhash64(text_col).alias("h"))
