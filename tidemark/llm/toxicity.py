@@ -11,7 +11,8 @@ covers every row and the whole of every text.
 
 Defined results: a null or empty text is scored too, as a text with one empty window. Rows that
 repeat score alike. Labels that contradict each other for one id count as they stand; null labels
-and null texts teach nothing. Without labels of both kinds every score is 0. Other columns
+and null texts teach nothing. Without labels of both kinds every score is 0. Ties among sampled rows go by
+id. Very long texts are scored whole, window by window. An empty table gives an empty table. Other columns
 stay; one named like the result is replaced.
 """
 
@@ -187,4 +188,4 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
     def make(texts: list[str | None]) -> list[np.ndarray]:
         return [score_texts(shared.value, texts)]
 
-    return with_column(docs, make, {"_toxic": "double"}, text_col)
+    return with_column(docs, make, {"_toxic": "double"}, text_col, done=_GAINS.clear)
