@@ -13,8 +13,9 @@ Equal texts have equal fingerprints.
 The neighbour of a document is the next by descending id, nulls last, equal ids by descending text;
 after the last comes the first, so a single document is its own neighbour. The order is cut into
 ranges by quantiles of the id, so no task sees more than a few of them; only the head of each range
-travels to the end of the one before. An empty table gives an empty table. Other columns are left
-out.
+travels to the end of the one before. Rows that repeat, and equal ids with equal texts, have equal
+fingerprints whichever comes first. Very long texts are hashed whole, within their row. An empty table
+gives an empty table. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations

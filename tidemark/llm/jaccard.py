@@ -18,8 +18,9 @@ components are exact. Links are verified on 64-bit hashes of shingles.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with
 nothing; a text of fewer words than a shingle is one shingle. Rows that repeat an id share their
-component; a null id links with nothing. Other columns are ignored. An empty table gives an empty
-result.
+component; a null id links with nothing. Ties in the order of shingles go by hash and decide the work
+only. Very long texts are compared whole; one at a time is held beside a hub. Other columns are ignored,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ kept. Everything happens within the row: no shuffle, and a source full of licens
 rows are.
 
 Defined results: a null or empty text has no words, no detections and score 0. Rows that repeat
-give equal rows. Other columns stay, but for those named like the results. An empty table gives an empty one.
+give equal rows. Ties between detections go by the order above. Very long texts are scanned whole, within
+their row. Other columns stay, but for those named like the results. An empty table gives an empty one.
 """
 
 from __future__ import annotations
