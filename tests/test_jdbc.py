@@ -323,3 +323,11 @@ def test_deletes_go_children_first(spark, hot, store):
                    references=[ForeignKey("line", ("o",), "ord", ("o",))])
     assert sorted(r.o for r in hot.table("ord").collect()) == [2, 3]
     assert sorted(r.o for r in hot.table("line").collect()) == [2, 3]
+
+
+def test_large_tables_are_read_side_by_side(spark, hot):
+    hot.write(spark.range(1000).selectExpr("id AS k", "CAST(id AS STRING) AS s"), "wide_table")
+    split = hot.scan("wide_table", "k", rows_per_task=300)
+    assert split.rdd.getNumPartitions() == 4 and rows(split) == rows(hot.table("wide_table"))
+    for small in (hot.scan("wide_table", "k"), hot.scan("wide_table"), hot.scan("wide_table", "s", 300)):
+        assert small.rdd.getNumPartitions() == 1 and small.count() == 1000

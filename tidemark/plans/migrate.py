@@ -208,8 +208,8 @@ def run_jdbc_batch(hot: JdbcHot, cold, policies: Sequence[TablePolicy], as_of: d
 
     Windows, and which parents have closed, are evaluated by the database, so that only settled rows
     travel; next to a clock change of the policy's zone Spark finds the closed parents instead.
-    ``read`` gives the rows of a table, by default over one connection; for a large first move give
-    for instance ``lambda t: hot.parallel(t, "id", 64)``, and Spark finds the closed parents.
+    ``read`` gives the rows of a table, by default :meth:`~tidemark.sources.jdbc.JdbcHot.scan` over the
+    first key column, side by side where the table is large; with a ``read`` Spark finds the closed parents.
 
     ``cold`` offers ``write_cold(name, df, batch)`` and ``cold_batch(name, batch, schema)``.
     Rows are read once, into the batch partition; the keys to delete are read back from it. A row
@@ -220,7 +220,8 @@ def run_jdbc_batch(hot: JdbcHot, cold, policies: Sequence[TablePolicy], as_of: d
     given the keys; a retry writes the same batch number again. With ``references`` rows are deleted
     children first, as a database that enforces them needs it.
     """
-    scan = read or hot.table
+    first = {p.relname: p.pk_columns[0] for p in policies}
+    scan = read or (lambda name: hot.scan(name, first.get(name)))
     marks = jdbc_watermarks(hot)
     batch = max((b for _, b in marks.values()), default=-1) + 1
     until = cutoff(as_of, delay_minutes)
@@ -303,7 +304,7 @@ def jdbc_hybrid(hot: JdbcHot, cold_table: DataFrame | None, name: str, keys: Seq
     that listing and the hot scan would hide its rows from both. ``read`` is as in
     :func:`run_jdbc_batch`.
     """
-    live = _zoneless((read or hot.table)(name))
+    live = _zoneless(read(name) if read else hot.scan(name, keys[0]))
     if cold_table is None:
         return live
     # the last batch of the database, whichever tables it had

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.tiers import FEW_KEYS, few_keys
 
+#: Rows of a hot table that one task reads.
+ROWS_PER_TASK = 1_000_000
+
 #: Column of a staging table: rows of the key when it was staged.
 STAGED = "staged_rows"
 
@@ -60,6 +63,17 @@ class JdbcHot:
         return self.by_predicates(name, split_conditions(
             _name(column), split_points(keys, column, partitions)))
 
+    def scan(self, name: str, key: str | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+        """The table, side by side in ranges of equal depth if it has more than ``rows_per_task`` rows and
+        ``key`` is a number, date or timestamp; the database counts the rows."""
+        if key is None:
+            return self.table(name)
+        kind = dict(self.table(name).dtypes).get(key, "string")
+        if kind in ("string", "boolean", "binary"):
+            return self.table(name)
+        rows = self.query(f"SELECT COUNT(*) AS n FROM {name}").first()[0]
+        return self.balanced(name, key, -(-rows // rows_per_task)) if rows > rows_per_task else self.table(name)
+
     def matching(self, name: str, rows: DataFrame, on: Sequence[str], staging: str,
                  limit: int = FEW_KEYS) -> DataFrame:
         """The rows of a table whose key occurs in ``rows``, picked by the database from staged keys;
