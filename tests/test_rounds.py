@@ -187,6 +187,21 @@ def test_clustered_append(spark, store):
     assert rows(store.read("t").select("id", "v")) == rows(df)
 
 
+def test_moves_cluster_what_they_move(spark, store, monkeypatch):
+    from tidemark.plans import store as stores
+    from tidemark.plans.migrate import move_by_predicate, run_batch
+    seen = []
+    original = stores.clustered
+    monkeypatch.setattr(stores, "clustered", lambda df, columns: seen.append(tuple(columns)) or original(df, columns))
+    df = spark.range(300).select(F.col("id").cast("int").alias("id"), F.expr(
+        "TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(CAST(id % 10 AS INT))").alias("ts"))
+    store.load({"log": df, "t": df})
+    run_batch(store, [TablePolicy("log", "append_only", "ts", ("id",), cluster=("ts", "id"))], day(5), 0)
+    assert move_by_predicate(store, {"t": "id < 100"}, {"t": ["id"]}) == {"t": 100}
+    assert seen == [("ts", "id"), ("id",)]
+    assert all(rows(store.read(n).select("id", "ts")) == rows(df) for n in ("log", "t"))
+
+
 # Streams without repeats
 
 ITEM = T.StructType().add("k", "long").add("v", "string")

@@ -43,6 +43,7 @@ class TablePolicy:
     close_by: CloseBy | None = None
     zone: str | None = None
     unique: bool = True  # whether pk_columns are a true key
+    cluster: tuple[str, ...] = ()  # columns that moved rows are kept together by
 
 
 # The policies of the order-processing schema and its time zone.

@@ -112,7 +112,7 @@ def multiset_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 def bucket_digests(df: DataFrame, columns: Sequence[str], buckets: int) -> DataFrame:
     """``bucket, rows`` and the digest of the multiset of rows of each bucket: the sums of the four
-    32-bit quarters of its rows' 128 bits, which tell repeated rows too."""
+    32-bit quarters of its rows' 128 bits, which tell repeated rows too. A bucket may have 2^31 rows."""
     a, b = row_digest(columns)
     hashed = df.select(F.pmod(a, F.lit(buckets)).cast("int").alias("bucket"), a.alias("a"), b.alias("b"))
     low = F.lit(0xFFFFFFFF)

@@ -51,7 +51,7 @@ def run_batch(store: TierStore, policies: Sequence[TablePolicy], as_of: datetime
         name, state = policy.relname, states[policy.relname]
         child = hot[policy.close_by.child] if policy.close_by else None
         rows = extract(policy, hot[name], state.last_ts, until, child)
-        moved = store.add_cold(name, rows, batch, state.struct, True, state.generation)
+        moved = store.add_cold(name, rows, batch, state.struct, True, state.generation, policy.cluster)
         after = state.after_batch(batch, moved, last_ts=max(until, state.last_ts),
                                   epochs={**(state.epochs or {}), **(note or {})})
         if not moved:
@@ -110,10 +110,12 @@ def run_for(batch: Callable[[], object], budget_sec: float, interval_sec: float,
     return rounds
 
 
-def move_by_predicate(store: TierStore, predicates: dict[str, Column | str]) -> dict[str, object]:
+def move_by_predicate(store: TierStore, predicates: dict[str, Column | str],
+                      cluster: dict[str, Sequence[str]] | None = None) -> dict[str, object]:
     """Move the rows that satisfy a predicate, once; the rest, NULL included, stays hot.
 
-    A failing table does not hold up the others: its entry in the report is the error.
+    A failing table does not hold up the others: its entry in the report is the error. ``cluster``
+    names, by table, columns that the moved rows are kept together by.
     """
     last_batch, states = store.state()
     batch = last_batch + 1
@@ -122,7 +124,8 @@ def move_by_predicate(store: TierStore, predicates: dict[str, Column | str]) ->
         try:
             state = states[name]
             stay, go = split_tiers(store.hot_version(state), as_column(predicate))
-            moved = store.add_cold(name, go, batch, state.struct, generation=state.generation)
+            moved = store.add_cold(name, go, batch, state.struct, generation=state.generation,
+                                   cluster=(cluster or {}).get(name, ()))
             after = state.after_batch(batch, moved)
             if not moved:
                 return after

@@ -375,8 +375,11 @@ class TierStore:
         df.write.mode("overwrite").parquet(f"{self.cold_path(name, generation)}/{BATCH}={batch}")
 
     def add_cold(self, name: str, df: DataFrame, batch: int, schema: T.StructType,
-                 rebalance: bool = False, generation: int = 0) -> int:
-        """Write one batch partition and count what was written; an empty one leaves no folder."""
+                 rebalance: bool = False, generation: int = 0, cluster: Sequence[str] = ()) -> int:
+        """Write one batch partition and count what was written; an empty one leaves no folder.
+        ``cluster`` names columns that readers filter by, see :meth:`append_cold`."""
+        if cluster:
+            df, rebalance = clustered(df, cluster), False
         self.write_cold(name, df, batch, rebalance, generation)
         rows = self.cold_batch(name, batch, schema, generation).count()
         if not rows:
@@ -495,7 +498,6 @@ class TierStore:
         batch, state = self._table(name, None)
         batch += 1
         df = df.select(*state.struct.fieldNames())
-        moved = self.add_cold(name, clustered(df, cluster) if cluster else df, batch, state.struct,
-                              generation=state.generation)
+        moved = self.add_cold(name, df, batch, state.struct, generation=state.generation, cluster=cluster)
         self.commit(batch, [state.after_batch(batch, moved)])
         return batch
