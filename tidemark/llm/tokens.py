@@ -201,7 +201,7 @@ class Encoder:
 
     LETTERS = _byte_letters()
     #: Bytes that remembered pieces and parts may take.
-    PIECES, PARTS = 32 << 20, 240 << 20
+    PIECES, PARTS = 32 << 20, 320 << 20
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
@@ -216,12 +216,15 @@ class Encoder:
         self.pieces = Memo(self._piece, self.PIECES)
         self.parts = Memo(self._part, self.PARTS)
         self._blank = self.LETTERS[32]
+        self._pack = [struct.Struct(f"<{n}{self._code}").pack for n in range(32)]
 
     def _piece(self, piece: str) -> bytes:
         letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self.LETTERS)
         return self._packed([t.id for t in self.model.tokenize(letters)])
 
     def _packed(self, ids: list[int]) -> bytes:
+        if len(ids) < len(self._pack):
+            return self._pack[len(ids)](*ids)
         return struct.pack(f"<{len(ids)}{self._code}", *ids)
 
     def _part(self, part: str) -> bytes:
@@ -280,7 +283,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         last = np.array([end], own.kind).tobytes()
         for batch in batches:
-            for part in by_size(batch, 1):
+            for part in by_size(batch, 1, 4096, 1 << 24):
                 keys, texts = (c.to_pylist() for c in part.columns)
                 for key, packed in zip(keys, own.encode_added([t or "" for t in texts]), strict=True):
                     ids.append(key)
