@@ -43,8 +43,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class BytePairs:
     """Encoder and decoder for one vocabulary. Everything remembered is bounded."""
 
-    #: Pairs that are remembered, and bytes of pieces and chunks: some 90 MB in all.
-    PAIRS, PIECES, CHUNKS = 200_000, 20 << 20, 50 << 20
+    #: Pairs that are remembered, and bytes of pieces and chunks: some 70 MB in all.
+    PAIRS, PIECES, CHUNKS = 150_000, 16 << 20, 40 << 20
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
@@ -180,7 +180,7 @@ def loaded(path: str) -> BytePairs:
 def encode_texts(docs: DataFrame, text_col: str = "text", ranks: str = RANKS) -> DataFrame:
     """``docs`` with ``_ids``, packed, none for null or empty text."""
     return with_column(docs, lambda texts: [loaded(ranks).encode_all([x or "" for x in texts])],
-                       {"_ids": "binary"}, text_col, 2048, lambda: loaded(ranks).forget(), 1 << 23)
+                       {"_ids": "binary"}, text_col, 1024, lambda: loaded(ranks).forget(), 3 << 20)
 
 
 def decode_ids(encoded: DataFrame, ids_col: str = "_ids", ranks: str = RANKS) -> DataFrame:

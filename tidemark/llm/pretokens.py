@@ -76,7 +76,8 @@ def encode_all(texts: Sequence[str], of_text: Callable[[str], bytes], of_first:
     first = np.cumsum(size) - size
     length = size[which]
     ends = np.cumsum(length)
-    place = np.arange(int(ends[-1])) + np.repeat(first[which] - (ends - length), length)
+    place = np.arange(int(ends[-1]), dtype=np.int32)
+    place += np.repeat((first[which] - (ends - length)).astype(np.int32), length)
     ids = np.frombuffer(b"".join(packed), kind)[place]
     lo = 0
     for i, hi in zip(plain, ends[bounds[1:] - 1].tolist(), strict=True):

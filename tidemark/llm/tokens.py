@@ -201,7 +201,7 @@ class Encoder:
 
     LETTERS = _byte_letters()
     #: Bytes that remembered pieces and parts may take.
-    PIECES, PARTS = 32 << 20, 320 << 20
+    PIECES, PARTS = 32 << 20, 300 << 20
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
@@ -283,7 +283,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         last = np.array([end], own.kind).tobytes()
         for batch in batches:
-            for part in by_size(batch, 1, 4096, 1 << 24):
+            for part in by_size(batch, 1):
                 keys, texts = (c.to_pylist() for c in part.columns)
                 for key, packed in zip(keys, own.encode_added([t or "" for t in texts]), strict=True):
                     ids.append(key)
