@@ -9,12 +9,12 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.times import EPOCH, cutoff, local_bound
+from tidemark.functions.times import EPOCH, cutoff, in_window, local_bound
 from tidemark.operators.extract import CATEGORIES, TablePolicy, extract, unsettled
 from tidemark.operators.keyed import delete_using
 from tidemark.operators.references import ForeignKey, dependents, divided, marked, parents_first
 from tidemark.operators.tiers import BATCH, as_column, hybrid, split_tiers
-from tidemark.plans.store import TableState, TierStore
+from tidemark.plans.store import TableState, TierStore, is_bulk
 from tidemark.session import in_parallel
 from tidemark.sources.jdbc import JdbcHot
 
@@ -51,7 +51,8 @@ def run_batch(store: TierStore, policies: Sequence[TablePolicy], as_of: datetime
         name, state = policy.relname, states[policy.relname]
         child = hot[policy.close_by.child] if policy.close_by else None
         rows = extract(policy, hot[name], state.last_ts, until, child)
-        moved = store.add_cold(name, rows, batch, state.struct, True, state.generation, policy.cluster)
+        small = not is_bulk(*_share(policy, states, hot, until))
+        moved = store.add_cold(name, rows, batch, state.struct, small, state.generation, policy.cluster)
         after = state.after_batch(batch, moved, last_ts=max(until, state.last_ts),
                                   epochs={**(state.epochs or {}), **(note or {})})
         if not moved:
@@ -73,6 +74,16 @@ def run_batch(store: TierStore, policies: Sequence[TablePolicy], as_of: datetime
     return report + [{"relname": s.relname, "moved": s.moved, "skipped": None} for s in done]
 
 
+def _share(policy: TablePolicy, states: dict[str, TableState], hot: dict[str, DataFrame],
+           until: datetime) -> tuple[int, int]:
+    """Rows of the window and hot rows, of the table whose time decides: a scan of one column. For closed
+    parents, which only a join finds, their children tell about how large a share they are."""
+    name, column = ((policy.close_by.child, policy.close_by.ts_column) if policy.close_by else
+                    (policy.relname, policy.ts_column))
+    window = in_window(F.col(column), states[policy.relname].last_ts, until, policy.zone)
+    return hot[name].where(window).count(), states[name].hot_rows - states[name].gone_rows
+
+
 def _skip_reason(policy: TablePolicy, states: dict) -> str | None:
     if not policy.enabled:
         return "disabled"

@@ -81,6 +81,15 @@ BUCKET, VERSION = "_bucket", "_version"
 CHECKPOINT_EVERY = 20
 
 
+#: A move of at least one in this many of a table's hot rows keeps the tasks of its scan.
+BULK = 8
+
+
+def is_bulk(rows: int, among: int) -> bool:
+    """Whether ``rows`` of ``among`` are so many that tasks which read all write files of a good size."""
+    return rows * BULK >= among
+
+
 class Gone(NamedTuple):
     """A time window whose rows have left the hot version."""
 
