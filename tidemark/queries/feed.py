@@ -100,10 +100,12 @@ def cdc_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("timestamp"))
         routes = [Route("orders", "orders", ORDER), Route("customer", "customer", CUSTOMER)]
         checkpoint = scratch(spark, "checkpoint")
+        # a file for each core, at least two: with fewer a micro-batch would leave cores idle
+        per_batch = max(2, spark.sparkContext.defaultParallelism)
 
         def arrive(records: DataFrame) -> None:
             records.write.mode("append").parquet(source)
-            ingest(folder_stream(spark, source, max_files=2), store, routes,
+            ingest(folder_stream(spark, source, max_files=per_batch), store, routes,
                    checkpoint).awaitTermination()
         # other commits come between the micro-batches of one stream
         arrive(_polls(spark, sf_dir))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -92,6 +93,31 @@ def rejects_of(decoded: DataFrame) -> DataFrame:
     return decoded.where(~fits()).select(F.col("value").cast("string").alias("value"), *rest)
 
 
+def decode_each(records: DataFrame, routes: Sequence[tuple[str, T.StructType]]) -> DataFrame:
+    """Records decoded for every ``(topic, schema)``, in one pass over them: for the route ``i`` whether
+    its value fits in ``_fits_<i>``, null on other topics, and the fields in ``_<i>_<name>``. The text
+    stays, as a string, where a route of the topic cannot take it or the topic has none.
+
+    Values are flat columns and the text of what fits is left out, so the frame is small to hold.
+    """
+    rows = []
+    for i, (topic, schema) in enumerate(routes):
+        wide = T.StructType(schema.fields + [T.StructField(_CORRUPT, T.StringType())])
+        options = dict(JSON_OPTIONS, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT)
+        parsed = F.from_json(F.col("value").cast("string"), wide, options)
+        rows.append(F.when(F.col("topic") == topic, parsed).alias(f"_{i}"))
+    decoded = records.select("value", "topic", "timestamp", F.explode(F.array(F.struct(*rows))).alias("_rows"))
+    kept, taken, known = [], F.lit(True), F.lit(False)
+    for i, (topic, schema) in enumerate(routes):
+        row, own = f"_rows._{i}", F.coalesce(F.col("topic") == topic, F.lit(False))
+        fit = F.col(row).isNotNull() & F.col(f"{row}.{_CORRUPT}").isNull()
+        kept += [F.when(own, fit).alias(f"_fits_{i}")] + [
+            F.when(fit, F.col(f"{row}.{f.name}")).alias(f"_{i}_{f.name}") for f in schema.fields]
+        taken, known = taken & (~own | fit), known | own
+    text = F.when(~(taken & known), F.col("value").cast("string"))
+    return decoded.select(text.alias("value"), "topic", "timestamp", known.alias("_known"), *kept)
+
+
 def parse_records(records: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """``(rows, rejects)`` of one record schema."""
     decoded = decode(records, schema)

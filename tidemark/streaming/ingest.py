@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.operators.keyed import row_digest
 from tidemark.plans.store import Layout, TableState, TierStore
 from tidemark.session import in_parallel
-from tidemark.sources.feed import decode, rejects_of, rows_of
+from tidemark.sources.feed import decode_each
 
 REJECTS = "rejects"
 RECORD_TIME = "record_timestamp"
@@ -109,27 +109,32 @@ def ingest(stream: DataFrame, store: TierStore, routes: Sequence[Route], checkpo
         if (states[REJECTS].epochs or {}).get(source) == epoch:
             return
         # one read of the source for all routes, and one parse of each record
-        records = records.select("value", "topic", "timestamp").persist()
-        cached = [records]
+        held = decode_each(records, [(r.topic, r.schema) for r in routes]).persist()
         try:
-            topics = [r.topic for r in routes]
-            rejects = records.where(~F.coalesce(F.col("topic").isin(*topics), F.lit(False))).select(
-                F.col("value").cast("string").alias("value"), "topic", "timestamp")
-            written = {}
-            for route in routes:
-                decoded = decode(records.where(F.col("topic") == route.topic), route.schema).persist()
-                cached.append(decoded)
-                rows = rows_of(decoded, route.schema).drop("record_topic")
+            rejects = held.where(~F.col("_known")).select("value", "topic", "timestamp")
+            written, of = {}, {}
+            for i, route in enumerate(routes):
+                rows = held.where(f"_fits_{i}").select(
+                    *[F.col(f"_{i}_{f.name}").alias(f.name) for f in route.schema.fields],
+                    F.col("timestamp").alias(RECORD_TIME))
                 written[route.table] = (written[route.table].unionByName(rows)
                                         if route.table in written else rows)
-                rejects = rejects.unionByName(rejects_of(decoded))
+                of.setdefault(route.table, []).append(F.count_if(f"_fits_{i}"))
+                rejects = rejects.unionByName(held.where(f"NOT _fits_{i}").select("value", "topic", "timestamp"))
+            of[REJECTS] = [F.count_if(~F.col("_known"))] + [
+                F.count_if(~F.col(f"_fits_{i}")) for i in range(len(routes))]
+            # fills the cache in one job, and tells which tables have no row in it
+            due = held.agg(*[sum(parts, F.lit(0)).alias(n) for n, parts in of.items()]).first()
 
             def save(name: str, rows: DataFrame) -> TableState:
                 state = states[name]
-                count = store.add_cold(name, rows, batch, schemas[name], True, state.generation)
+                count = store.add_cold(name, rows, batch, schemas[name], True,
+                                       state.generation) if due[name] else 0
                 return state.after_batch(batch, count, epochs={**(state.epochs or {}), source: epoch})
 
             def save_changed(route: Route, rows: DataFrame) -> list[TableState]:
+                if not due[route.table]:
+                    return [save(route.table, rows)]
                 latest = states[latest_table(route.table)]
                 touched = store.touched(latest, rows)
                 columns = route.schema.fieldNames()
@@ -155,8 +160,7 @@ def ingest(stream: DataFrame, store: TierStore, routes: Sequence[Route], checkpo
             done = [state for states_of in done for state in states_of] + [save(REJECTS, rejects)]
             store.commit(batch, done)
         finally:
-            for frame in cached:
-                frame.unpersist()
+            held.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
