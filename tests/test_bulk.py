@@ -11,7 +11,7 @@ from tidemark.plans.migrate import run_batch
 from tidemark.plans.store import TierStore
 from tidemark.queries import feed
 from tidemark.session import scratch
-from tidemark.sources.feed import RECORD_SCHEMA, decode_each, folder_stream
+from tidemark.sources.feed import RECORD_SCHEMA, decode_each, folder_stream, poll_records
 from tidemark.streaming.ingest import REJECTS, Route, ingest
 
 AT = datetime(2024, 1, 1)
@@ -92,6 +92,19 @@ def test_a_micro_batch_writes_only_tables_that_it_has_rows_of(spark, store, writ
     assert [store.read(n).count() for n in ("item", "tag", REJECTS)] == [1, 0, 1]
 
 
+def test_changed_records_are_exchanged_again_only_if_few(spark, store, written):
+    source, checkpoint = scratch(spark, "items"), scratch(spark, "checkpoint")
+    route = Route("items", "item", ITEM, ("k",))
+    polls = [[(i, "a") for i in range(40)], [(i, "b" if i < 20 else "a") for i in range(40)],
+             [(i, "c" if i < 2 else "b" if i < 20 else "a") for i in range(40)]]
+    for minute, rows in enumerate(polls):
+        poll_records(spark.createDataFrame(rows, "k long, v string"), "items", "k",
+                     datetime(2024, 1, 1, 0, minute)).write.mode("append").parquet(source)
+        ingest(folder_stream(spark, source), store, [route], checkpoint).awaitTermination()
+    assert written == [("item", False), ("item", False), ("item", True)]
+    assert store.read("item").count() == 40 + 20 + 2
+
+
 def test_a_micro_batch_of_the_feed_has_a_file_for_each_core(spark, tmp_path, monkeypatch):
     tables = {
         "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "

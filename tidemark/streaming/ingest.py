@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.keyed import row_digest
-from tidemark.plans.store import Layout, TableState, TierStore
+from tidemark.plans.store import Layout, TableState, TierStore, is_bulk
 from tidemark.session import in_parallel
 from tidemark.sources.feed import decode_each
 
@@ -126,9 +126,9 @@ def ingest(stream: DataFrame, store: TierStore, routes: Sequence[Route], checkpo
             # fills the cache in one job, and tells which tables have no row in it
             due = held.agg(*[sum(parts, F.lit(0)).alias(n) for n, parts in of.items()]).first()
 
-            def save(name: str, rows: DataFrame) -> TableState:
+            def save(name: str, rows: DataFrame, rebalance: bool = True) -> TableState:
                 state = states[name]
-                count = store.add_cold(name, rows, batch, schemas[name], True,
+                count = store.add_cold(name, rows, batch, schemas[name], rebalance,
                                        state.generation) if due[name] else 0
                 return state.after_batch(batch, count, epochs={**(state.epochs or {}), source: epoch})
 
@@ -142,7 +142,8 @@ def ingest(stream: DataFrame, store: TierStore, routes: Sequence[Route], checkpo
                 path = f"{store.root}/changes/{latest.relname}/batch={batch}"
                 found.write.mode("overwrite").parquet(path)
                 found = spark.read.schema(found.schema).parquet(path)
-                saved = save(route.table, found.select(*rows.columns))
+                saved = save(route.table, found.select(*rows.columns),
+                             not is_bulk(found.count(), due[route.table]))
                 if not saved.moved:
                     return [saved]
                 touched = store.touched(latest, found)
