@@ -1,6 +1,7 @@
 """The registered queries, against SQL where it can express them; components; the pipeline."""
 
 import random
+import time
 
 import compare
 import corpus_pipeline
@@ -50,6 +51,26 @@ def test_components_of_random_graphs(spark):
         assert len(got) == components(df).count()
 
 
+def shuffle_files(spark):
+    """Names of the shuffle files on this machine."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    """They go when it is written, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(name), shuffle_files(spark)
+    rows = spark.range(10_000).selectExpr("id % 1000 AS a", "id AS b")
+    out = stored(rows.join(rows.groupBy("a").count().hint("merge"), "a"), "joined")
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(name) == setting
+    assert out.count() == 10_000
+
+
 def test_stages_are_their_operators(spark, sf):
     """Each stage's result from its operator's own, which other tests hold against brute force."""
     docs = table(spark, sf, "documents")
