@@ -89,3 +89,58 @@ def test_shingle_sets_follow_the_words(spark):
     for i in range(2000):
         seen[int(J.shingle_set(f"a b c{i}", 3)[0])].add(i)
     assert len(seen) == 2000
+
+
+def chance(texts, shared, others):
+    """Long texts of words of their own, that meet at some of ``shared`` common shingles each."""
+    rnd = random.Random(8)
+    common = [f"a{i} b{i} c{i}" for i in range(shared)]
+    rows = []
+    for i in range(texts):
+        met = rnd.sample(common, others)
+        rows.append(" ".join(f"{m} " + " ".join(f"o{i}x{j}x{k}" for k in range(2)) for j, m in enumerate(met)))
+    return rows
+
+
+def kept_tables(monkeypatch):
+    """What a run stores: name -> DataFrames."""
+    kept, original = defaultdict(list), J.stored
+    monkeypatch.setattr(J, "stored", lambda df, name: kept[name].append(original(df, name)) or kept[name][-1])
+    return kept
+
+
+def test_chance_meetings_send_no_text_to_all_others(spark, monkeypatch):
+    """Texts that common shingles chain into one large part are counted, not compared each with each."""
+    monkeypatch.setattr(J, "FEW", 3)
+    monkeypatch.setattr(J, "BLOCK", 4)
+    monkeypatch.setattr(J, "FREQUENT", 1)  # nearly none known as common, as in a large corpus
+    texts = chance(120, 25, 16)
+    texts += [t + " more" for t in texts[:5]]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    want = brute(rows, 3, 90)
+    kept = kept_tables(monkeypatch)
+    assert run(spark, rows, 3, 90) == want
+    assert len({c for _, _, c in want}) == 120
+    assert sum(x.where("k > 3").count() for x in kept["open"]) > 0
+    assert sum(x.count() for x in kept["blocks"]) == 0
+
+
+def test_dense_and_sparse_parts_together(spark, monkeypatch):
+    """Near misses that share most of what they have stay in blocks beside parts that are counted."""
+    monkeypatch.setattr(J, "FEW", 3)
+    monkeypatch.setattr(J, "BLOCK", 4)
+    monkeypatch.setattr(J, "FREQUENT", 1)
+    texts = chance(100, 25, 16)
+    base = [f"t{i}" for i in range(90)]
+    for i in range(40):  # a tenth and more of them differ, each in words of its own
+        text = list(base)
+        for j in range(2 + i % 3):
+            text[(7 * i + 29 * j) % 90] = f"z{i}x{j}"
+        texts.append(" ".join(text))
+    rows = [(3 * i, t) for i, t in enumerate(texts)]
+    want = brute(rows, 3, 90)
+    kept = kept_tables(monkeypatch)
+    assert run(spark, rows, 3, 90) == want
+    many = kept["open"][0].where("k > 3").select("s").distinct().count()
+    assert 0 < kept["dense"][0].count() < many
+    assert 0 < sum(x.count() for x in kept["blocks"]) <= 40

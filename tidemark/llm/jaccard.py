@@ -10,8 +10,11 @@
 3. Where groups meet, all members of like size are first verified against one hub, so that a group
    of copies, however large, costs one comparison each. What lies in one component then needs no
    more comparing, whichever pairs were looked at.
-4. Meetings that still join several components are compared in full across components: few
-   members in pairs, many in blocks of bounded size, each pair of blocks one task.
+4. Meetings that still join several components are looked at across components. Where few members
+   meet, pairs are counted, and those that share enough are compared. So they are where many do, if
+   those share little else, as long texts meet by chance in a large corpus. Members that meet many
+   others at most of their prefixes are compared in full, in blocks of bounded size, each pair of
+   blocks one task. A pair that meets in no block shares all it must where it is counted.
 
 Every pair that may link is verified on whole texts or lies in one component already, so the
 components are exact. Links are verified on 64-bit hashes of shingles.
@@ -39,9 +42,11 @@ from tidemark.llm.common import Forest, components, stored
 #: Frequent shingles that are told apart, and how often a batch must see one to report it.
 FREQUENT = 1 << 17
 SEEN = 2
-#: Members of a meeting that are compared as pairs; rows of a block beyond that.
+#: Members of a meeting that are always counted as pairs; rows of a block where they are not.
 FEW = 32
 BLOCK = 512
+#: Share of their prefixes at which members meet many others, from which on they are compared in blocks.
+DENSE = 0.5
 #: Shingles that the prefixes of long texts must share.
 NEED = 8
 
@@ -249,8 +254,11 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     open_ = meeting.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
                                      F.count("*").alias("k")).where("low <> high").select("s", "k")
     meeting = stored(meeting.join(_sorted(open_), "s"), "open")
-    # a pair that meets only among few shares all it must there; any other is met among many
-    few = meeting.where(F.col("k") <= FEW)
+    # a pair that meets at no dense shingle shares all it must at the others; any other is compared in blocks
+    few, many = meeting.where(F.col("k") <= FEW), meeting.where(F.col("k") > FEW)
+    dense = stored(_dense(many, percent), "dense")
+    few = few.union(many.join(dense, "s", "left_anti").select(few.columns))
+    many = many.join(dense, "s", "left_semi")
     left = few.select("s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     right = few.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     rest = left.join(_sorted(right), "s").where("a < b AND ca <> cb").where(
@@ -260,8 +268,7 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(_sorted(done), ["a", "b"], "left_anti"), "rest")
     links = links.union(verified(rest, "more"))
-    many = meeting.where(F.col("k") > FEW)
-    if many.head(1):
+    if dense.head(1):
         links = links.union(_blocks(rows, many, words, percent))
 
     edges = links.union(filled.join(_sorted(reps), ["n", "h1", "h2"]).where("id <> rep").select("id", "rep"))
@@ -271,6 +278,15 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         F.coalesce("component", "id").alias("component_id"))
 
 
+def _dense(many: DataFrame, percent: int) -> DataFrame:
+    """Shingles whose members meet many others at most of what they have: at ``DENSE`` of their prefixes."""
+    length = F.col("n") - F.ceil(percent * F.col("n") / 100) + _need(F.col("n"), percent)
+    own = many.groupBy("rep").agg(F.count("*").alias("met"), F.min(length).alias("length"))
+    return many.select("s", "rep").join(_sorted(own), "rep").groupBy("s").agg(
+        F.sum("met").alias("met"), F.sum("length").alias("length")).where(
+        F.col("met") >= DENSE * F.col("length")).select("s")
+
+
 def _blocks(rows: DataFrame, many: DataFrame, words: int, percent: int) -> DataFrame:
     """Links across components where many members meet; blocks of one component skip each other."""
     firsts = many.groupBy("s").agg(F.min("rep").alias("first"))
